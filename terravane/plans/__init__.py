@@ -6,7 +6,7 @@ import importlib
 
 from terravane.plans.registry import CATALOGUE, Query
 
-THEMES = ("series",)
+THEMES = ("series", "fused", "spatial")
 
 
 def catalogue() -> dict[str, Query]:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.functions import grid
 from terravane.operators.windows import SeriesKey
 from terravane.plans.registry import Tables
 
@@ -34,6 +33,7 @@ def readings(t: Tables) -> DataFrame:
     """Raw readings: one row per event, placed on its cell."""
     return t.events.select(
         "event_id",
+        "user_id",
         "event_type",
         "value",
         cell_latitude("user_id").cast("double").alias("latitude"),
@@ -45,7 +45,7 @@ def readings(t: Tables) -> DataFrame:
 
 
 READINGS_SQL = f"""readings AS (
-  SELECT event_id, event_type, value, {CELL_COLUMNS_SQL},
+  SELECT event_id, user_id, event_type, value, {CELL_COLUMNS_SQL},
     CAST(ts AS DATE) AS valid_date, ts,
     CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
   FROM events)"""
@@ -96,16 +96,16 @@ def districts(t: Tables) -> DataFrame:
         F.concat(F.lit("NATION_"), F.col("s_nationkey")).alias("state"),
         F.col("s_name").alias("district"),
         key.alias("district_id"),
-        (((key * 37) % 997) * 0.05 - 20.0).cast("double").alias("latitude"),
-        (((key * 53) % 991) * 0.05 + 60.0).cast("double").alias("longitude"),
+        (((key * 37) % 800) * 0.0625 - 20.0).cast("double").alias("latitude"),
+        (((key * 53) % 797) * 0.0625 + 60.0).cast("double").alias("longitude"),
         F.col("s_acctbal").alias("balance"),
     )
 
 
 DISTRICTS_SQL = """districts AS (
   SELECT 'NATION_' || s_nationkey AS state, s_name AS district, s_suppkey AS district_id,
-    ((s_suppkey * 37) % 997) * 0.05::DOUBLE - 20.0::DOUBLE AS latitude,
-    ((s_suppkey * 53) % 991) * 0.05::DOUBLE + 60.0::DOUBLE AS longitude, s_acctbal AS balance
+    ((s_suppkey * 37) % 800) * 0.0625::DOUBLE - 20.0::DOUBLE AS latitude,
+    ((s_suppkey * 53) % 797) * 0.0625::DOUBLE + 60.0::DOUBLE AS longitude, s_acctbal AS balance
   FROM supplier)"""
 
 
@@ -114,8 +114,8 @@ def points(t: Tables) -> DataFrame:
     key = F.col("c_custkey")
     return t.customer.select(
         key.alias("point_id"),
-        (((key * 7919) % 4999) * 0.01 - 20.0).cast("double").alias("latitude"),
-        (((key * 104729) % 4973) * 0.01 + 60.0).cast("double").alias("longitude"),
+        (((key * 7919) % 3203) * 0.015625 - 20.0).cast("double").alias("latitude"),
+        (((key * 104729) % 3187) * 0.015625 + 60.0).cast("double").alias("longitude"),
         F.col("c_acctbal").alias("amount"),
         F.col("c_mktsegment").alias("segment"),
     )
@@ -123,8 +123,8 @@ def points(t: Tables) -> DataFrame:
 
 POINTS_SQL = """points AS (
   SELECT c_custkey AS point_id,
-    ((c_custkey * 7919) % 4999) * 0.01::DOUBLE - 20.0::DOUBLE AS latitude,
-    ((c_custkey * 104729) % 4973) * 0.01::DOUBLE + 60.0::DOUBLE AS longitude,
+    ((c_custkey * 7919) % 3203) * 0.015625::DOUBLE - 20.0::DOUBLE AS latitude,
+    ((c_custkey * 104729) % 3187) * 0.015625::DOUBLE + 60.0::DOUBLE AS longitude,
     c_acctbal AS amount, c_mktsegment AS segment
   FROM customer)"""
 
@@ -134,6 +134,7 @@ def verified_events(t: Tables) -> DataFrame:
     r = readings(t).where(F.col("event_type").isin("error", "signup") & (F.col("value") > 120.0))
     return r.select(
         "event_id",
+        "user_id",
         F.col("valid_date").alias("event_date"),
         F.when(F.col("event_type") == "error", "flood").otherwise("cyclone").alias("hazard_type"),
         "latitude",
@@ -141,17 +142,17 @@ def verified_events(t: Tables) -> DataFrame:
         (F.col("k") >= 10).alias("verified"),
         F.least(F.col("value") / 3.0, F.lit(100.0)).alias("confidence"),
         F.concat(F.lit("src"), F.col("k") % 7).alias("source"),
-        F.concat(F.lit("grp"), F.col("event_id") % 40).alias("source_event_id"),
+        F.concat(F.lit("grp"), F.floor(F.col("event_id") / 60)).alias("source_event_id"),
         "k",
         "value",
     )
 
 
 VERIFIED_EVENTS_SQL = f"""{READINGS_SQL}, verified_events AS (
-  SELECT event_id, valid_date AS event_date,
+  SELECT event_id, user_id, valid_date AS event_date,
     CASE WHEN event_type = 'error' THEN 'flood' ELSE 'cyclone' END AS hazard_type,
     latitude, longitude, k >= 10 AS verified, least(value / 3.0, 100.0) AS confidence,
-    'src' || (k % 7) AS source, 'grp' || (event_id % 40) AS source_event_id, k, value
+    'src' || (k % 7) AS source, 'grp' || (event_id // 60) AS source_event_id, k, value
   FROM readings WHERE event_type IN ('error', 'signup') AND value > 120.0)"""
 
 
@@ -163,7 +164,7 @@ def scored(t: Tables) -> DataFrame:
         (F.col("n_chars") / (F.col("n_chars") + 900.0)).alias("probability"),
         F.col("toxic").alias("target"),
         F.when(
-            F.col("toxic") == 1, F.concat(F.lit("grp"), (F.floor(F.col("doc_id") / 3) % 60))
+            F.col("toxic") == 1, F.concat(F.lit("grp"), F.floor(F.col("doc_id") / 50))
         ).otherwise("").alias("event_group"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("date"),
         "source",
@@ -173,6 +174,6 @@ def scored(t: Tables) -> DataFrame:
 
 SCORED_SQL = """scored AS (
   SELECT doc_id, n_chars / (n_chars + 900.0::DOUBLE) AS probability, toxic AS target,
-    CASE WHEN toxic = 1 THEN 'grp' || ((doc_id // 3) % 60) ELSE '' END AS event_group,
+    CASE WHEN toxic = 1 THEN 'grp' || (doc_id // 50) ELSE '' END AS event_group,
     DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS date, source, lang
   FROM labels JOIN documents USING (doc_id))"""
