@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from terravane.functions import as_column
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _strip_accents(names: pd.Series) -> pd.Series:
     return (
         names.str.normalize("NFKD")
@@ -27,7 +28,7 @@ def normalise_name(value) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, r"\bdistrict\b", ""), "[^a-z0-9]", "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
@@ -46,48 +47,42 @@ def name_similarity(left, right) -> Column:
 
 
 def normalise_text(value) -> Column:
-    """Lower case, no URL scheme, every run of other characters one space."""
-    value = F.regexp_replace(F.lower(as_column(value)), r"https?://", " ")
-    return F.trim(F.regexp_replace(value, r"[^\p{L}\p{N}]+", " "))
+    """Lower case, no URL scheme, every run of characters outside a-z and 0-9 one space."""
+    value = F.regexp_replace(F.lower(F.coalesce(as_column(value), F.lit(""))), "https?://", " ")
+    return F.trim(F.regexp_replace(value, "[^a-z0-9]+", " "))
 
 
 def searchable(*columns) -> Column:
     return F.concat_ws(" ", *[as_column(c) for c in columns])
 
 
-def phrase_pattern(phrases: Sequence[str], bounded: bool = True) -> str:
-    """One alternation for all phrases; ``bounded`` matches whole words only."""
-    choices = "|".join(re.escape(p) for p in sorted(phrases, key=lambda p: (-len(p), p)))
-    return rf"(?<![\p{{L}}\p{{N}}])(?:{choices})(?![\p{{L}}\p{{N}}])" if bounded else f"(?:{choices})"
+def has_phrase(value, phrase: str, bounded: bool = True) -> Column:
+    """Phrase present in the text.
+
+    ``bounded`` wants whole words and expects text and phrase as ``normalise_text``
+    leaves them; otherwise any substring counts.
+    """
+    value = as_column(value)
+    if bounded:
+        return F.contains(F.concat(F.lit(" "), value, F.lit(" ")), F.lit(f" {phrase} "))
+    return F.contains(value, F.lit(phrase))
 
 
-def has_phrase(value, phrases: Sequence[str], bounded: bool = True) -> Column:
-    return as_column(value).rlike(phrase_pattern(phrases, bounded))
+def has_any(value, phrases: Sequence[str], bounded: bool = True) -> Column:
+    tests = [F.coalesce(has_phrase(value, p, bounded), F.lit(False)) for p in phrases]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
 def found_phrases(value, phrases: Sequence[str], bounded: bool = False) -> Column:
     """Sorted distinct phrases present in the text."""
-    value = as_column(value)
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    has_phrase(value, [p]) if bounded else F.contains(value, F.lit(p)), F.lit(p)
-                )
-                for p in sorted(set(phrases))
-            ]
-        )
-    )
+    found = [F.when(has_phrase(value, p, bounded), F.lit(p)) for p in sorted(set(phrases))]
+    return F.array_compact(F.array(*found))
 
 
 def phrase_hits(value, phrases: Sequence[str], bounded: bool = False) -> Column:
     """How many of the phrases are present."""
-    value = as_column(value)
-    total = F.lit(0)
-    for p in phrases:
-        test = has_phrase(value, [p]) if bounded else F.contains(value, F.lit(p))
-        total = total + F.coalesce(test, F.lit(False)).cast("int")
-    return total
+    tests = [F.coalesce(has_phrase(value, p, bounded), F.lit(False)).cast("int") for p in phrases]
+    return reduce(lambda a, b: a + b, tests, F.lit(0))
 
 
 def most_hits(value, rules: Mapping[str, Sequence[str]], bounded: bool = False) -> Column:
@@ -108,24 +103,24 @@ def most_hits(value, rules: Mapping[str, Sequence[str]], bounded: bool = False)
     )
 
 
-def first_match(value, rules: Sequence[tuple[str, str, Sequence[str]]], bounded: bool = False) -> Column:
-    """struct<kind,subtype> of the first rule with any phrase present, in rule order."""
-    value = as_column(value)
-    outcome = [
-        F.when(
-            has_phrase(value, phrases, bounded),
-            F.struct(F.lit(kind).alias("kind"), F.lit(subtype).alias("subtype")),
-        )
-        for kind, subtype, phrases in rules
-    ]
-    return F.coalesce(*outcome)
+def first_match(value, rules: Mapping[str, Sequence[str]], bounded: bool = False) -> Column:
+    """struct<name,phrase> of the first phrase present, in the order of rules and phrases."""
+    return F.coalesce(
+        *[
+            F.when(
+                has_phrase(value, phrase, bounded),
+                F.struct(F.lit(name).alias("name"), F.lit(phrase).alias("phrase")),
+            )
+            for name, phrases in rules.items()
+            for phrase in phrases
+        ]
+    )
 
 
 def longest_phrase_words(value, phrases: Sequence[str]) -> Column:
-    """Word count of the longest phrase present, 0 when none is."""
-    value = as_column(value)
-    words = [F.when(has_phrase(value, [p]), F.lit(len(p.split()))).otherwise(0) for p in phrases]
-    return F.greatest(*words, F.lit(0)) if words else F.lit(0)
+    """Word count of the longest whole-word phrase present, 0 when none is."""
+    words = [F.when(has_phrase(value, p), len(p.split())).otherwise(0) for p in phrases]
+    return F.greatest(*words, F.lit(0), F.lit(0))
 
 
 def stable_id(prefix: str, *parts) -> Column:

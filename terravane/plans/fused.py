@@ -22,7 +22,10 @@ from terravane.plans.registry import query, tidy, tidy_sql
 
 CELL_KEYS = ["latitude", "longitude", "valid_date"]
 CELL_SQL = "latitude, longitude, CAST(valid_date AS VARCHAR) AS valid_date"
-CELL = ["latitude", "longitude", F.col("valid_date").cast("string").alias("valid_date")]
+
+
+def cell():
+    return ["latitude", "longitude", F.col("valid_date").cast("string").alias("valid_date")]
 
 PROVIDERS_SQL = f"""{READINGS_SQL}, a AS (
   SELECT event_id, latitude, longitude, valid_date, value AS precipitation_a, k / 4.0 AS temperature
@@ -66,7 +69,7 @@ def priority_fusion(t):
         ("A", "B"),
         order=["event_id"],
     )
-    return fused.select(*CELL, "temperature", tidy("precipitation").alias("precipitation"), "precipitation_source")
+    return fused.select(*cell(), "temperature", tidy("precipitation").alias("precipitation"), "precipitation_source")
 
 
 @query(
@@ -82,7 +85,7 @@ def provider_inner_join(t):
         fusion.mean_per_cell(provider_a(t), CELL_KEYS, ["precipitation_a", "temperature"]),
         fusion.mean_per_cell(provider_b(t), CELL_KEYS, ["precipitation_b"]),
     )
-    return joined.select(*CELL, *[tidy(c).alias(c) for c in ("precipitation_a", "temperature", "precipitation_b")])
+    return joined.select(*cell(), *[tidy(c).alias(c) for c in ("precipitation_a", "temperature", "precipitation_b")])
 
 
 @query(
@@ -205,7 +208,7 @@ def event_window_labels(t):
         days, events, {"flood": 1, "cyclone": 2}, ["latitude", "longitude"], "valid_date", "event_id"
     )
     return labelled.select(
-        *CELL,
+        *cell(),
         tidy("precipitation").alias("precipitation"),
         "flood_risk",
         "flood_event_group",

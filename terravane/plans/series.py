@@ -19,9 +19,13 @@ from terravane.plans.bindings import (
 )
 from terravane.plans.registry import query, tidy, tidy_columns, tidy_sql
 
-STATION_ID = ["station", F.col("valid_date").cast("string").alias("valid_date")]
+
+
+def day_text():
+    return F.col("valid_date").cast("string").alias("valid_date")
+
+
 STATION_ID_SQL = "station, CAST(valid_date AS VARCHAR) AS valid_date"
-CELL_ID = ["latitude", "longitude", F.col("valid_date").cast("string").alias("valid_date")]
 CELL_ID_SQL = "latitude, longitude, CAST(valid_date AS VARCHAR) AS valid_date"
 
 
@@ -59,7 +63,9 @@ def flagship_wettest_flagged_cells(t):
         F.desc("precipitation_7d_sum"), "valid_date", "latitude", "longitude"
     ).limit(100)
     return top.select(
-        *CELL_ID,
+        "latitude",
+        "longitude",
+        day_text(),
         tidy("precipitation_3d_sum").alias("rain_3d"),
         tidy("precipitation_7d_sum").alias("rain_7d"),
         tidy("temperature_30d_anomaly").alias("temperature_anomaly"),
@@ -79,7 +85,8 @@ SUM_ROWS = (3, 7, 14, 30, 90, 180)
 )
 def rolling_sums(t):
     return station_days(t).select(
-        *STATION_ID,
+        "station",
+        day_text(),
         *[tidy(windows.rolling_sum(STATION, "precipitation", n)).alias(f"sum_{n}") for n in SUM_ROWS],
     )
 
@@ -98,7 +105,8 @@ MEAN_ROWS = (7, 30, 90, 365)
 )
 def rolling_means_and_maxima(t):
     return station_days(t).select(
-        *STATION_ID,
+        "station",
+        day_text(),
         *[tidy(windows.rolling_mean(STATION, "temperature", n)).alias(f"mean_{n}") for n in MEAN_ROWS],
         *[windows.rolling_max(STATION, "temperature", n).alias(f"max_{n}") for n in (3, 7)],
     )
@@ -116,7 +124,8 @@ def rolling_means_and_maxima(t):
 )
 def trailing_anomalies(t):
     return station_days(t).select(
-        *STATION_ID,
+        "station",
+        day_text(),
         *[
             tidy(windows.trailing_anomaly(STATION, "temperature", n)).alias(f"anomaly_{n}")
             for n in (30, 365)
@@ -133,7 +142,7 @@ def trailing_anomalies(t):
 )
 def month_of_year_anomaly(t):
     return station_days(t).select(
-        *STATION_ID, tidy(windows.month_anomaly(STATION, "precipitation")).alias("anomaly")
+        "station", day_text(), tidy(windows.month_anomaly(STATION, "precipitation")).alias("anomaly")
     )
 
 
@@ -151,7 +160,7 @@ def month_of_year_anomaly(t):
 )
 def antecedent_wetness_index(t):
     return station_days(t).select(
-        *STATION_ID, tidy(windows.decayed_index(STATION, "precipitation", 0.15)).alias("wetness")
+        "station", day_text(), tidy(windows.decayed_index(STATION, "precipitation", 0.15)).alias("wetness")
     )
 
 
@@ -176,7 +185,7 @@ def wet_and_dry_streaks(t):
             "dry_streak": F.col("precipitation") <= 20,
         },
     )
-    return days.select(*STATION_ID, "wet_streak", "dry_streak")
+    return days.select("station", day_text(), "wet_streak", "dry_streak")
 
 
 @query(
@@ -188,7 +197,7 @@ def wet_and_dry_streaks(t):
 )
 def rolling_water_balance(t):
     balance = windows.water_balance(STATION, "precipitation", "potential_evaporation", 30)
-    return station_days(t).select(*STATION_ID, tidy(balance).alias("balance_30"))
+    return station_days(t).select("station", day_text(), tidy(balance).alias("balance_30"))
 
 
 HORIZONS = (3, 7, 14)
@@ -218,7 +227,7 @@ def future_window_features(t):
             windows.future_window(STATION, "precipitation", h, "max").alias(f"future_max_{h}"),
             windows.future_window(STATION, "precipitation", h, "min").alias(f"future_min_{h}"),
         ]
-    return station_days(t).select(*STATION_ID, *columns)
+    return station_days(t).select("station", day_text(), *columns)
 
 
 @query(
@@ -237,7 +246,8 @@ def monthly_low_quantile(t):
         station_days(t)
         .withColumn("low", low)
         .select(
-            *STATION_ID,
+            "station",
+        day_text(),
             tidy("low").alias("low"),
             (F.col("precipitation") <= F.col("low")).cast("int").alias("is_low"),
         )
@@ -288,7 +298,7 @@ def dry_spell_episodes(t):
 )
 def first_difference(t):
     return station_days(t).select(
-        *STATION_ID, tidy(windows.first_difference(STATION, "temperature")).alias("change")
+        "station", day_text(), tidy(windows.first_difference(STATION, "temperature")).alias("change")
     )
 
 
@@ -304,7 +314,7 @@ def first_difference(t):
 )
 def short_history_fallback(t):
     out = windows.short_history_features(cell_days(t), CELL, "precipitation", rows=7, min_days=9)
-    return out.select(*CELL_ID, tidy("rolling").alias("rolling"), tidy("anomaly").alias("anomaly"), "history_days")
+    return out.select("latitude", "longitude", day_text(), tidy("rolling").alias("rolling"), tidy("anomaly").alias("anomaly"), "history_days")
 
 
 @query(
@@ -397,7 +407,9 @@ def calendar_features(t):
 )
 def threshold_flags(t):
     return cell_days(t).select(
-        *CELL_ID,
+        "latitude",
+        "longitude",
+        day_text(),
         (F.col("precipitation") >= 150).cast("int").alias("heavy_rain"),
         (F.col("temperature_max") >= 120).cast("int").alias("hot_day"),
         (F.col("temperature_min") <= 10).cast("int").alias("cold_day"),
