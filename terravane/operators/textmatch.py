@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def word_sequences(text: Column, longest: int) -> Column:
-    """Distinct runs of 1..longest words of a normalised text."""
-    words = F.split(text, " ")
-
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        found = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*[runs(n) for n in range(1, longest + 1)]))
+def word_sequences(words: str, longest: int) -> Column:
+    """Distinct runs of 1..longest neighbouring words of an array column."""
+    single = F.col(words)
+    parts, grown = [single], single
+    for n in range(2, longest + 1):
+        # the shorter side is padded with null, and a run that ran out of words is null
+        following = F.slice(single, n, F.greatest(F.size(single), F.lit(1)))
+        grown = F.zip_with(grown, following, lambda run, word: F.concat(run, F.lit(" "), word))
+        parts.append(grown)
+    return F.array_distinct(F.array_compact(F.concat(*parts)))
 
 
 def whole_word_names(
@@ -33,9 +33,8 @@ def whole_word_names(
 
     Both sides are normalised; names have at most ``longest`` words.
     """
-    runs = texts.select(
-        identity, *by, F.explode(word_sequences(F.col(text), longest)).alias(name)
-    )
+    split = texts.select(identity, *by, F.split(text, " ").alias("_words"))
+    runs = split.select(identity, *by, F.explode(word_sequences("_words", longest)).alias(name))
     return runs.join(names.where(F.col(name) != ""), [*by, name], "inner")
 
 
