@@ -113,7 +113,8 @@ def quantiles(
     next whole position.
     """
     by = list(by)
-    ranked = positions(frame, value, by)
+    ranked = positions(frame.select(*by, F.col(value).alias("_value")), "_value", by)
+    value = "_value"
     point = F.array(*[F.lit(float(p)) for p in probabilities])
     spots = ranked.select(
         *by, value, "below", "at_value", F.col("total").alias("_n"), F.explode(point).alias("probability")

@@ -6,7 +6,7 @@ import importlib
 
 from terravane.plans.registry import CATALOGUE, Query
 
-THEMES = ("series", "fused", "spatial", "served", "texts")
+THEMES = ("series", "fused", "spatial", "served", "texts", "quality")
 
 
 def catalogue() -> dict[str, Query]:
