@@ -6,7 +6,7 @@ import importlib
 
 from terravane.plans.registry import CATALOGUE, Query
 
-THEMES = ("series", "fused", "spatial", "served", "texts", "quality", "ingest")
+THEMES = ("series", "fused", "spatial", "served", "texts", "quality", "ingest", "learned")
 
 
 def catalogue() -> dict[str, Query]:
