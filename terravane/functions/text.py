@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -56,12 +56,41 @@ def searchable(*columns) -> Column:
     return F.concat_ws(" ", *[as_column(c) for c in columns])
 
 
+class Flags:
+    """Which phrases a text column has, searched once per row and kept as one array column.
+
+    Classification, state and score rules look at the same phrases again and again; given
+    the flags instead of the text they only read booleans.
+    """
+
+    def __init__(self, column: str, phrases: Iterable[str], bounded: bool = True):
+        self.column, self.bounded = column, bounded
+        self.phrases = list(dict.fromkeys(phrases))
+        self.name = f"_{column}_flags"
+
+    def attach(self, frame: DataFrame) -> DataFrame:
+        text = F.concat(F.lit(" "), F.col(self.column), F.lit(" ")) if self.bounded else F.col(self.column)
+        padded = frame.withColumn("_padded", text)
+        found = [
+            F.coalesce(F.contains("_padded", F.lit(f" {p} " if self.bounded else p)), F.lit(False))
+            for p in self.phrases
+        ]
+        # a filter on what follows is not moved below a generator, which would repeat the
+        # whole search for every flag the filter reads
+        return padded.withColumn(self.name, F.explode(F.array(F.array(*found)))).drop("_padded")
+
+    def has(self, phrase: str) -> Column:
+        return F.col(self.name)[self.phrases.index(phrase)]
+
+
 def has_phrase(value, phrase: str, bounded: bool = True) -> Column:
-    """Phrase present in the text.
+    """Phrase present in the text, or in the flags taken of it.
 
     ``bounded`` wants whole words and expects text and phrase as ``normalise_text``
     leaves them; otherwise any substring counts.
     """
+    if isinstance(value, Flags):
+        return value.has(phrase)
     value = as_column(value)
     if bounded:
         return F.contains(F.concat(F.lit(" "), value, F.lit(" ")), F.lit(f" {phrase} "))

@@ -189,14 +189,17 @@ def severity_and_confidence(
     }
 
 
-def article_analysis(searchable: str, hazards: Mapping[str, Sequence[str]], places: Sequence[str]) -> dict[str, Column]:
+def article_analysis(
+    frame: DataFrame, body: str, hazards: Mapping[str, Sequence[str]], places: Sequence[str]
+) -> DataFrame:
     """Keywords found, first one in hazard order, hazard with most hits, places mentioned."""
-    body = F.lower(F.col(searchable))
     every = [p for phrases in hazards.values() for p in phrases]
-    first = text.first_match(body, hazards)
-    return {
-        "keywords": text.found_phrases(body, every),
-        "matched_keyword": first["phrase"],
-        "article_hazard": text.most_hits(body, hazards)["name"],
-        "mentions": text.found_phrases(body, places),
+    flags = text.Flags("_low", [*every, *places], bounded=False)
+    searched = flags.attach(frame.withColumn("_low", F.lower(body)))
+    columns = {
+        "keywords": text.found_phrases(flags, every),
+        "matched_keyword": text.first_match(flags, hazards)["phrase"],
+        "article_hazard": text.most_hits(flags, hazards)["name"],
+        "mentions": text.found_phrases(flags, places),
     }
+    return searched.withColumns(columns).drop("_low", flags.name)

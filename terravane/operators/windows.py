@@ -89,7 +89,7 @@ def water_balance(key: SeriesKey, gain, loss, rows: int) -> Column:
     return rolling_sum(key, gain, rows) - rolling_sum(key, loss, rows)
 
 
-def decayed_index(key: SeriesKey, value, alpha: float, tolerance: float = 1e-12) -> Column:
+def decayed_index(key: SeriesKey, value, alpha: float, tolerance: float = 1e-15) -> Column:
     """Exponentially weighted index seeded with the first value.
 
     Only the rows whose weight can still exceed ``tolerance`` are folded, which

@@ -98,7 +98,7 @@ MEAN_ROWS = (7, 30, 90, 365)
     "rolling_means_and_maxima",
     "W2 W3",
     f"WITH {STATION_DAYS_SQL} SELECT {STATION_ID_SQL}, "
-    + ", ".join(f"{tidy_sql(f'avg(temperature) {over_station(n)}')} AS mean_{n}" for n in MEAN_ROWS)
+    + ", ".join(f"{tidy_sql(f'avg(precipitation) {over_station(n)}')} AS mean_{n}" for n in MEAN_ROWS)
     + ", "
     + ", ".join(f"max(temperature) {over_station(n)} AS max_{n}" for n in (3, 7))
     + " FROM station_days",
@@ -107,7 +107,7 @@ def rolling_means_and_maxima(t):
     return station_days(t).select(
         "station",
         day_text(),
-        *[tidy(windows.rolling_mean(STATION, "temperature", n)).alias(f"mean_{n}") for n in MEAN_ROWS],
+        *[tidy(windows.rolling_mean(STATION, "precipitation", n)).alias(f"mean_{n}") for n in MEAN_ROWS],
         *[windows.rolling_max(STATION, "temperature", n).alias(f"max_{n}") for n in (3, 7)],
     )
 
@@ -117,7 +117,7 @@ def rolling_means_and_maxima(t):
     "W4",
     f"WITH {STATION_DAYS_SQL} SELECT {STATION_ID_SQL}, "
     + ", ".join(
-        f"{tidy_sql(f'temperature - avg(temperature) {over_station(n)}')} AS anomaly_{n}"
+        f"{tidy_sql(f'precipitation - avg(precipitation) {over_station(n)}')} AS anomaly_{n}"
         for n in (30, 365)
     )
     + " FROM station_days",
@@ -127,7 +127,7 @@ def trailing_anomalies(t):
         "station",
         day_text(),
         *[
-            tidy(windows.trailing_anomaly(STATION, "temperature", n)).alias(f"anomaly_{n}")
+            tidy(windows.trailing_anomaly(STATION, "precipitation", n)).alias(f"anomaly_{n}")
             for n in (30, 365)
         ],
     )

@@ -184,12 +184,14 @@ def locate_points(t):
     "polygon_cell_means",
     "J14",
     f"""WITH {POINTS_SQL}, {POLYGONS_SQL}, m AS (
-      SELECT district_id, count(*) AS cells, avg(amount) AS amount FROM points p JOIN polygons ON {inside_sql('p.longitude', 'p.latitude')} GROUP BY 1)
+      SELECT district_id, count(*) AS cells, avg(round_even(amount * 100, 0)) AS amount FROM points p JOIN polygons ON {inside_sql('p.longitude', 'p.latitude')} GROUP BY 1)
     SELECT district_id, coalesce(cells, 0) AS cells, CASE WHEN cells > 0 THEN 'ok' ELSE 'no_cells' END AS status, {tidy_sql('amount')} AS amount
     FROM polygons LEFT JOIN m USING (district_id)""",
 )
 def polygon_cell_means(t):
-    out = geo.polygon_means(points(t), polygons(t), "district_id", ["amount"])
+    out = geo.polygon_means(
+        points(t).withColumn("amount", F.rint(F.col("amount") * 100)), polygons(t), "district_id", ["amount"]
+    )
     return out.select("district_id", "cells", "status", tidy("amount").alias("amount"))
 
 

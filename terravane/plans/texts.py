@@ -18,6 +18,7 @@ from terravane.operators.candidates import (
 )
 from terravane.plans.bindings import VERIFIED_EVENTS_SQL, verified_events
 from terravane.plans.registry import query, tidy, tidy_sql
+from terravane.session import spread
 
 RULES = {
     "FLOOD": PhraseRule(("thst", "erth", "of the th"), ("rewh",)),
@@ -39,7 +40,7 @@ CODES = {"030": "FLOOD", "031": "DROUGHT"}
 
 def raw_rows(t):
     """Documents in the shape of raw event rows."""
-    d, key = t.documents, F.col("doc_id")
+    d, key = spread(t.documents), F.col("doc_id")
     return d.select(
         key.alias("event_key"),
         F.concat(
@@ -122,9 +123,14 @@ def like_any_filter(t):
 
 def classified(t):
     r = raw_rows(t).withColumn("url_text", text.normalise_text("source_url"))
-    return r.withColumns(candidates.classify("searchable", "url_text", RULES, POINTS)).withColumns(
-        candidates.infer_state("searchable", STATES)
-    )
+    included = [p for rule in RULES.values() for p in rule.include]
+    excluded = [p for rule in RULES.values() for p in rule.exclude]
+    body = text.Flags("searchable", included + excluded + ALIASES)
+    link = text.Flags("url_text", included)
+    flagged = link.attach(body.attach(r))
+    return flagged.withColumns(candidates.classify(body, link, RULES, POINTS)).withColumns(
+        candidates.infer_state(body, STATES)
+    ).drop(body.name, link.name)
 
 
 def _longest_sql(rule: PhraseRule) -> str:
@@ -227,8 +233,10 @@ HAZARD_WORDS = {n: r.include for n, r in RULES.items()}
 
 
 def detailed(t):
-    rows = placed(t).drop("hazard", "keyword").withColumns(
-        candidates.hazard_from_text_or_code("searchable", "event_code", HAZARD_WORDS, CODES)
+    rows = placed(t).drop("hazard", "keyword")
+    words = text.Flags("searchable", [p for ps in HAZARD_WORDS.values() for p in ps], bounded=False)
+    rows = words.attach(rows).withColumns(
+        candidates.hazard_from_text_or_code(words, "event_code", HAZARD_WORDS, CODES)
     )
     rows = rows.where("hazard IS NOT NULL")
     return rows.withColumns(
@@ -333,8 +341,8 @@ ALL_ARTICLE_WORDS = sorted({p for ps in ARTICLE_WORDS.values() for p in ps})
 
 
 def analysed(t):
-    d = t.documents.select("doc_id", "text", F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("title"))
-    return d.withColumns(groundtruth.article_analysis("text", ARTICLE_WORDS, PLACE_WORDS))
+    d = spread(t.documents).select("doc_id", "text", F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("title"))
+    return groundtruth.article_analysis(d, "text", ARTICLE_WORDS, PLACE_WORDS)
 
 
 def _sub(words):
@@ -431,14 +439,14 @@ def enriched_candidates(t):
     """WITH n AS (SELECT DISTINCT 'zone' || (item_id % 2) AS state, lower(substr(text, 1, 12)) AS name FROM benchmark),
     d AS (SELECT doc_id, 'zone' || (doc_id % 2) AS state, lower(text) AS low FROM documents),
     m AS (SELECT doc_id, name FROM d JOIN n ON n.state = d.state AND contains(low, name))
-    SELECT DISTINCT doc_id, state, coalesce(upper(name), 'UNKNOWN') AS district, CASE WHEN name IS NULL THEN 'none' ELSE 'district_name' END AS match_method FROM d LEFT JOIN m USING (doc_id)""",
+    SELECT DISTINCT doc_id, state, coalesce('in ' || name, 'UNKNOWN') AS district, CASE WHEN name IS NULL THEN 'none' ELSE 'district_name' END AS match_method FROM d LEFT JOIN m USING (doc_id)""",
 )
 def districts_named_in_text(t):
     names = t.benchmark.select(
         F.concat(F.lit("zone"), F.col("item_id") % 2).alias("state"),
         F.lower(F.substring("text", 1, 12)).alias("district_name"),
-    ).distinct().withColumn("district", F.upper("district_name"))
-    texts = t.documents.select(
+    ).distinct().withColumn("district", F.concat(F.lit("in "), "district_name"))
+    texts = spread(t.documents).select(
         "doc_id", F.concat(F.lit("zone"), F.col("doc_id") % 2).alias("state"), F.lower("text").alias("body")
     )
     return candidates.districts_named(texts, names, "doc_id", "body")
@@ -690,7 +698,7 @@ def page_hashes(t):
     return t.pages.select("page_id", web.document_id("html").alias("document_id"))
 
 
-_UNESCAPED = "replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_UNESCAPED = "regexp_replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')"
 _TAGLESS = "trim(regexp_replace(regexp_replace(regexp_replace({}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
@@ -710,7 +718,7 @@ def _dropped_sql(column: str) -> str:
       md5({_UNESCAPED.format(_TAGLESS.format(_dropped_sql('html')))}) AS clean_digest FROM p JOIN b USING (page_id)""",
 )
 def page_fields(t):
-    fields = web.page_fields(t.pages)
+    fields = web.page_fields(spread(t.pages))
     return fields.select(
         "page_id",
         "title",

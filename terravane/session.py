@@ -58,6 +58,16 @@ def run_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Deal out an input that comes in fewer pieces than there are cores.
+
+    A table of a few large row groups would keep most cores idle under text work.  Inputs
+    with enough pieces, as any large table has, are left as they are, without a shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Materialise on reliable storage so a lost executor does not replay the whole history."""
     shared_folder(frame.sparkSession)
