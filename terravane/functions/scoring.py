@@ -107,14 +107,20 @@ def text_items(items: Sequence[tuple[Column | None, Column]], fallback: str | No
     return F.when(F.size(texts) == 0, F.array(F.lit(fallback))).otherwise(texts)
 
 
+def largest(columns: Sequence) -> Column:
+    """Largest value that is not null, for one column or more."""
+    columns = [as_column(c) for c in columns]
+    return F.greatest(*columns) if len(columns) > 1 else columns[0]
+
+
 def dominant(scores: Sequence[tuple[str, Column]], none_when_zero: str | None = None) -> Column:
     """Name of the largest score, the earlier one on a tie."""
-    largest = F.greatest(*[as_column(c) for _, c in scores])
-    chain = F.when(largest.isNull(), F.lit(None).cast("string"))
+    top = largest([c for _, c in scores])
+    chain = F.when(top.isNull(), F.lit(None).cast("string"))
     if none_when_zero is not None:
-        chain = chain.when(largest == 0, none_when_zero)
+        chain = chain.when(top == 0, none_when_zero)
     for name, column in scores:
-        chain = chain.when(as_column(column) == largest, name)
+        chain = chain.when(as_column(column) == top, name)
     return chain
 
 

@@ -10,10 +10,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravane.functions import geometry, grid
+from terravane.functions import geometry, grid, scoring
 from terravane.operators import dedupe
 
 POINT = ("latitude", "longitude")
@@ -148,7 +148,7 @@ def closest_approach(
 
 def strongest(values: dict[str, Column]) -> tuple[Column, Column]:
     """Largest of several readings and the name of the first source that gave it."""
-    largest = F.greatest(*values.values()) if len(values) > 1 else next(iter(values.values()))
+    largest = scoring.largest(list(values.values()))
     source = F.coalesce(*[F.when(column == largest, F.lit(name)) for name, column in values.items()])
     return largest, source
 
@@ -354,8 +354,6 @@ def interior_samples(polygons: DataFrame, identity: str, side: int) -> DataFrame
 
 def slopes(frame: DataFrame, tile: str, row: str, column: str, height: str, spacing_deg: float, latitude) -> DataFrame:
     """Slope in degrees from central differences; null at borders and beside missing heights."""
-    from pyspark.sql import Window
-
     along_row = Window.partitionBy(tile, row).orderBy(column)
     along_column = Window.partitionBy(tile, column).orderBy(row)
 

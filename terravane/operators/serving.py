@@ -167,7 +167,7 @@ def planning_outlook(
         columns[f"{h}_outlook_score"] = scoring.half_even(limited, 1)
     scored = spread.withColumns(columns)
     names = [F.col(f"{h}_outlook_score") for h in hazards]
-    whole = composite[0] * F.greatest(*names) + composite[1] * scoring.mean_of_present(names)
+    whole = composite[0] * scoring.largest(names) + composite[1] * scoring.mean_of_present(names)
     return (
         scored.withColumn("composite_risk_score", scoring.half_even(whole, 1))
         .withColumns(
