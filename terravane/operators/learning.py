@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from terravane import contracts
 from terravane.operators import metrics
+from terravane.session import run_folder
 
 
 def with_class_weights(frame: DataFrame, target: str) -> DataFrame:
@@ -60,9 +61,14 @@ def fit(frame: DataFrame, features: Sequence[str], target: str, classifier: Esti
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     try:
         # the learner passes over its input many times
-        return Pipeline(stages=[assembler, classifier]).fit(labelled)
+        model = Pipeline(stages=[assembler, classifier]).fit(labelled)
     finally:
         labelled.unpersist()
+    # a fitted forest keeps a training summary that holds the session and cannot be sent to
+    # tasks; read back from storage it is the plain model
+    folder = run_folder(frame.sparkSession, "model")
+    model.write().save(folder)
+    return PipelineModel.load(folder)
 
 
 def raw_score(model: PipelineModel, frame: DataFrame, name: str = "probability") -> DataFrame:
