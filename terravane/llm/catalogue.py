@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from terravane.llm import mixing, simhash
+from terravane.llm import mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.query,
+    "op3_best_fit_packing": packing.query,
     "op4_simhash_components": simhash.query,
+    "op6_toxicity": toxicity.query,
+    "op10_quality_grades": quality.query,
 }
 
 SQL = {
