@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-from terravane.llm import mixing, packing, quality, simhash, toxicity
+from terravane.llm import (
+    chat,
+    licenses,
+    mixing,
+    nearest,
+    packing,
+    quality,
+    simhash,
+    tokencounts,
+    topk,
+    toxicity,
+)
 
 QUERIES = {
     "op1_source_mix": mixing.query,
+    "op2_license_scan": licenses.query,
     "op3_best_fit_packing": packing.query,
     "op4_simhash_components": simhash.query,
+    "op5_preference_format": chat.query,
     "op6_toxicity": toxicity.query,
+    "op7_exact_top_k": topk.query,
+    "op8_token_counts": tokencounts.query,
+    "op9_nearest_neighbours": nearest.query,
     "op10_quality_grades": quality.query,
 }
 
 SQL = {
     "op1_source_mix": mixing.SQL,
+    "op2_license_scan": licenses.SQL,
+    "op5_preference_format": chat.SQL,
+    "op7_exact_top_k": topk.SQL,
 }
