@@ -7,7 +7,9 @@ documented sample (``PER_GRADE`` documents of each grade, weighted back to the g
 scoring reads every whole text.
 
 Features: each white-space word's share of the text, square-rooted, hashed; and the same for the
-word's shape (runs of lower, upper, digit or other letters).
+word's shape (runs of lower, upper, digit or other letters).  Besides, how much repeats: the share of
+words that equal the word before them, and of word pairs that stood earlier in the text, each as a
+value and as a step.
 
 Defined cases: null and empty texts have no features and stand at position 0; documents without a
 rating are scored like others; an id rated several times has its lowest grade; null ratings count
@@ -17,6 +19,8 @@ as none; without any rating no grade can be told, so grades are null and every d
 from __future__ import annotations
 
 import itertools
+import math
+import operator
 import zlib
 from collections import Counter
 
@@ -29,6 +33,9 @@ from terravane.llm.common import fresh, table
 from terravane.llm.training import labelled_sample
 
 WORD_DIMENSIONS, SHAPE_DIMENSIONS = 1 << 15, 1 << 12
+REPEAT_STEPS = 10
+REPEAT_DIMENSIONS = 2 * (REPEAT_STEPS + 2)
+DIMENSIONS = WORD_DIMENSIONS + SHAPE_DIMENSIONS + REPEAT_DIMENSIONS
 GRADES, PASSING, KEEP_FROM = 3, 1, 0.5
 #: Rated documents of each grade that the model is fitted on, at most.
 PER_GRADE = 2_500
@@ -52,9 +59,24 @@ def _numbers(word: str) -> int:
     return zlib.crc32(coded) % WORD_DIMENSIONS | (WORD_DIMENSIONS + shape) << 32
 
 
+def _repeats(words: list[str]) -> tuple[list[int], list[float]]:
+    pairs = len(words) - 1
+    if pairs < 1:
+        return [], []
+    following = sum(map(operator.eq, words, itertools.islice(words, 1, None)))
+    again = pairs - len(set(zip(words, itertools.islice(words, 1, None))))
+    numbers, values = [], []
+    for kind, share in enumerate((following / pairs, again / pairs)):
+        base = WORD_DIMENSIONS + SHAPE_DIMENSIONS + kind * (REPEAT_STEPS + 2)
+        numbers += [base, base + 1 + int(share * REPEAT_STEPS)]
+        values += [math.sqrt(share), 0.5]
+    return numbers, values
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers (a number may occur again) and values of one whole text."""
-    counts = Counter((text or "").split())
+    words = (text or "").split()
+    counts = Counter(words)
     if not counts:
         return np.empty(0, np.int64), np.empty(0)
     if len(_known) > REMEMBERED:
@@ -66,8 +88,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     share /= share.sum()
     shapes = np.bincount((both >> 32) - WORD_DIMENSIONS, weights=share)
     present = np.flatnonzero(shapes)
-    numbers = np.concatenate([both & 0xFFFFFFFF, present + WORD_DIMENSIONS])
-    return numbers, np.sqrt(np.concatenate([share, shapes[present]]))
+    more, steps = _repeats(words)
+    numbers = np.concatenate([both & 0xFFFFFFFF, present + WORD_DIMENSIONS, np.array(more, np.int64)])
+    return numbers, np.concatenate([np.sqrt(np.concatenate([share, shapes[present]])), steps])
 
 
 def _logistic(x):
@@ -94,7 +117,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, importanc
     numbers = np.concatenate([n for n, _ in rows]) if len(rows) else np.empty(0, np.int64)
     values = np.concatenate([v for _, v in rows]) if len(rows) else np.empty(0)
     owner = np.repeat(np.arange(len(rows)), lengths)
-    width = WORD_DIMENSIONS + SHAPE_DIMENSIONS
+    width = DIMENSIONS
     share = importance / importance.sum()
     state = np.zeros(width + top - 1)
     state[width] = -1.0
