@@ -6,7 +6,8 @@ then put in the list of its nearest centroid, and boundary rows, for which furth
 almost as near, in up to ``REPLICAS`` lists.  Centroids are found by an in-memory graph: each is
 linked to its nearest neighbours, and a beam of all queries at once moves along the links.  A
 query reads the lists whose centroid lies within a ratio of its nearest centroid's distance; the
-ratio and the beam are calibrated on the sample against brute force.
+ratio and the beam are calibrated on the sample against brute force.  A query that finds fewer than
+it asked for reads all lists.
 
 Lists longer than ``BLOCK`` are cut into blocks, so that many equal vectors never meet in one task;
 distances are then exact, on the original vectors in double precision.
@@ -35,6 +36,8 @@ LIST_ROWS, MOST_LISTS, BLOCK = 100, 2_048, 1_024
 REPLICAS, BOUNDARY = 4, 1.3
 LINKS, RECALL = 24, 0.97
 RATIOS = tuple(1 + 0.02 * i for i in range(1, 31))
+#: Rows that distances are computed for at a time; bounds memory.
+AT_ONCE = 256
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -42,6 +45,10 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def _parts(rows: np.ndarray) -> list[np.ndarray]:
+    return [rows[at : at + AT_ONCE] for at in range(0, len(rows), AT_ONCE)] or [rows]
+
+
 def balanced_centroids(sample: np.ndarray, lists: int, rounds: int = 4) -> np.ndarray:
     parts, leaf = [np.arange(len(sample))], max(1, len(sample) / lists)
     leaves = []
@@ -60,13 +67,15 @@ def balanced_centroids(sample: np.ndarray, lists: int, rounds: int = 4) -> np.nd
     centroids = np.array([sample[p].mean(0) for p in leaves])
     price = np.zeros(len(centroids))
     for _ in range(rounds):
-        near = (_distances(sample, centroids) + price).argmin(1)
+        near = np.concatenate([(_distances(part, centroids) + price).argmin(1) for part in _parts(sample)])
         size = np.bincount(near, minlength=len(centroids))
         sums = np.zeros_like(centroids)
         np.add.at(sums, near, sample)
         centroids = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centroids)
         price += 0.02 * (size / max(size.mean(), 1e-9) - 1)
-    return centroids
+    # a centroid of next to nothing would stand on its rows and hide the lists around it
+    full = size >= size.mean() / 4
+    return centroids[full] if full.any() else centroids
 
 
 @dataclass
@@ -75,11 +84,13 @@ class Index:
     links: np.ndarray  # per centroid, the numbers of its neighbours
     beam: int
     ratio: float
+    usual: float  # the middle distance of sample rows to their nearest centroid
 
     def search(self, rows: np.ndarray, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Per row, numbers and distances of centroids found along the graph, nearest first."""
         beam = min(beam or self.beam, len(self.centroids))
-        return _along_graph(rows, self.centroids, self.links, beam)
+        found = [_along_graph(part, self.centroids, self.links, beam) for part in _parts(rows)]
+        return np.concatenate([n for n, _ in found]), np.concatenate([d for _, d in found])
 
     def homes(self, rows: np.ndarray) -> list[np.ndarray]:
         """Lists of every row: the nearest, and further ones almost as near."""
@@ -91,9 +102,12 @@ class Index:
     def probes(self, rows: np.ndarray) -> list[np.ndarray]:
         """Lists that each query reads."""
         numbers, distances = self.search(rows)
-        near = distances <= self.ratio * distances[:, :1] + 1e-12
+        near = distances <= self.ratio * np.maximum(distances[:, :1], self.usual)
         return [n[k] for n, k in zip(numbers, near)]
 
+    def everything(self, rows: np.ndarray) -> list[np.ndarray]:
+        return [np.arange(len(self.centroids))] * len(rows)
+
 
 def _along_graph(rows, centroids, links, beam):
     many = len(centroids)
@@ -142,9 +156,12 @@ def fit(sample: np.ndarray, lists: int, best: int = BEST) -> Index:
     many = len(centroids)
     order = np.argsort(_distances(centroids, centroids), axis=1, kind="stable")
     links = order[:, 1 : LINKS + 1] if many > 1 else np.zeros((1, 1), int)
-    index = Index(centroids, links, many, RATIOS[-1])
+    usual = float(np.median(np.concatenate([_distances(part, centroids).min(1) for part in _parts(sample)])))
+    index = Index(centroids, links, many, RATIOS[-1], usual)
     asked = sample[: min(200, len(sample))]
-    truth = np.argsort(_distances(asked, sample), axis=1, kind="stable")[:, 1 : best + 1]
+    truth = np.concatenate(
+        [np.argsort(_distances(part, sample), axis=1, kind="stable")[:, 1 : best + 1] for part in _parts(asked)]
+    )
     if not truth.size:
         return index
     homes = index.homes(sample)
@@ -152,17 +169,21 @@ def fit(sample: np.ndarray, lists: int, best: int = BEST) -> Index:
         beam = min(beam, many)
         numbers, distances = index.search(asked, beam)
         for ratio in RATIOS:
-            read = [set(n[d <= ratio * d[0] + 1e-12]) for n, d in zip(numbers, distances)]
+            read = [set(n[d <= ratio * max(d[0], usual)]) for n, d in zip(numbers, distances)]
             hits = sum(not read[q].isdisjoint(homes[t]) for q in range(len(asked)) for t in truth[q])
             if hits >= RECALL * truth.size:
-                return Index(centroids, links, beam, ratio)
+                return Index(centroids, links, beam, ratio, usual)
         if beam == many:
             break
     return index
 
 
 def _rows(column) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=float)
+    """A column of equally long arrays as a matrix."""
+    many = len(column)
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = whole.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(many, len(flat) // max(many, 1))
 
 
 def _with_lists(vectors: DataFrame, choose) -> DataFrame:
@@ -208,9 +229,7 @@ def nearest(embeddings: DataFrame, every: int = EVERY, best: int = BEST, sample_
     blocks = [max(1, -(-sizes.get(k, 0) // BLOCK)) for k in range(len(index.centroids))]
     count_of = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("list") + 1)
     held = postings.withColumn("block", F.pmod(F.xxhash64("row"), count_of.cast("long")))
-    asked = _with_lists(vectors.where(F.col("vec_id") % every == 0), index.probes).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), (count_of - 1).cast("long")))
-    )
+    questions = vectors.where(F.col("vec_id") % every == 0)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
@@ -230,12 +249,24 @@ def nearest(embeddings: DataFrame, every: int = EVERY, best: int = BEST, sample_
         return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)})
 
     schema = "query_row long, query_id long, vec_row long, vec_id long, score double"
-    met = asked.groupBy("list", "block").cogroup(held.groupBy("list", "block")).applyInArrow(meet, schema)
-    # a vector in several lists is found once for each
-    single = met.groupBy("query_row", "query_id", "vec_row", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_row").orderBy("score", "vec_id")
-    ranked = single.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= best)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    def answers(asking: DataFrame, choose) -> DataFrame:
+        asked = _with_lists(asking, choose).withColumn(
+            "block", F.explode(F.sequence(F.lit(0).cast("long"), (count_of - 1).cast("long")))
+        )
+        met = asked.groupBy("list", "block").cogroup(held.groupBy("list", "block")).applyInArrow(meet, schema)
+        # a vector in several lists is found once for each
+        single = met.groupBy("query_row", "query_id", "vec_row", "vec_id").agg(F.min("score").alias("score"))
+        order = Window.partitionBy("query_row").orderBy("score", "vec_id")
+        return single.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= best)
+
+    found = written(answers(questions, index.probes), "found")
+    enough = found.where(F.col("rank") == min(best, max(total - 1, 1))).select(F.col("query_row").alias("row"))
+    short = written(questions.join(enough, "row", "left_anti"), "short")
+    if not short.isEmpty():
+        again = answers(short.select("row", "vec_id", "v"), index.everything)
+        partial = short.select(F.col("row").alias("query_row"))
+        found = found.join(partial, "query_row", "left_anti").unionByName(again.select(*found.columns))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
