@@ -146,13 +146,14 @@ def top_inner_products(
     down = _dealt(asked.count(), QUERY_BLOCK, 1)
 
     def numbers(count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
 
-    # every block of queries to every block of candidates, each pair one bounded group
-    questions = asked.withColumn("q", F.pmod(F.xxhash64("row", F.lit("q")), F.lit(down))).withColumn(
+    # every block of queries to every block of candidates, each pair one bounded group; the numbers
+    # of blocks are long on both sides, as equal numbers of different types hash differently
+    questions = asked.withColumn("q", F.pmod(F.xxhash64("row", F.lit("q")), F.lit(down).cast("long"))).withColumn(
         "c", numbers(across)
     )
-    candidates = vectors.withColumn("c", F.pmod(F.xxhash64("row", F.lit("c")), F.lit(across))).withColumn(
+    candidates = vectors.withColumn("c", F.pmod(F.xxhash64("row", F.lit("c")), F.lit(across).cast("long"))).withColumn(
         "q", numbers(down)
     )
 

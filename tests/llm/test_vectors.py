@@ -1,5 +1,4 @@
 import math
-import random
 
 import numpy as np
 import pytest
@@ -65,19 +64,26 @@ def test_block_bounds_settle_on_the_exact_answer(seed):
 
 
 def test_top_beyond_exact_doubles(spark):
-    rows = [(50 * i, [3.0e5 * (i + 1), 2.5e5 + i, -1.0e5], 0) for i in range(12)] + [(1, [2.0e15, 1.0, 1.0], 0)]
-    frame = spark.createDataFrame([r for r in rows], "vec_id long, embedding array<double>, label int")
-    small = [r for r in rows]
+    rows = [(50 * i, [3.0e5 * (i + 1), 2.5e5 + i, -1.0e5], 0) for i in range(12)] + [(1, [2.0e6, 1.0, 1.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     with pytest.raises(Exception):
         topk.top_inner_products(spark.createDataFrame([(0, [1e17], 0), (1, [1e17], 0)], "vec_id long, embedding array<double>, label int")).collect()
-    assert sorted(map(tuple, topk.top_inner_products(frame).collect())) == brute_top(small, 50, 5)
+    assert sorted(map(tuple, topk.top_inner_products(frame).collect())) == brute_top(rows, 50, 5)
 
 
-def test_top_many_rows(spark):
+def test_top_many_rows_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 150)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
     rng = np.random.default_rng(7)
     rows = [(i, [float(x) for x in np.float32(rng.normal(size=8) / 3)], 0) for i in range(4000)]
     frame = spark.createDataFrame(rows, SCHEMA)
-    assert sorted(map(tuple, topk.top_inner_products(frame).collect())) == brute_top(rows, 50, 5)
+    spark.conf.set(coalesce, "false")
+    try:
+        found = sorted(map(tuple, topk.top_inner_products(frame).collect()))
+    finally:
+        spark.conf.set(coalesce, "true")
+    assert found == brute_top(rows, 50, 5)
 
 
 def test_top_empty(spark):
@@ -134,5 +140,15 @@ def test_graph_finds_nearly_what_brute_force_finds():
     assert sizes.max() <= 6 * sizes.mean()
 
 
-def test_random_is_seeded():
-    assert random.Random(1).random() == random.Random(1).random()
+def test_lonely_and_copied_queries_are_answered(spark):
+    """A query far from all rows, and one among many equal rows, still get their ten."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=3)], 0) for i in range(1, 1500)]
+    rows += [(0, [900.0, 1.0, 1.0], 0)] + [(i, [0.5, 0.5, 0.5], 0) for i in range(2000, 3600)]
+    found = {}
+    for r in nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert {len(v) for v in found.values()} == {10} and len(found) == 31
+    assert [v for _, v, _ in sorted(found[2000])] == list(range(2001, 2011))
+    want = sorted((math.dist(v, rows[1499][1]), i) for i, v, _ in rows if i != 0)[:10]
+    assert [v for _, v, _ in sorted(found[0])] == [i for _, i in want]
