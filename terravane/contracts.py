@@ -51,6 +51,12 @@ def assert_no_nulls(frame: DataFrame, names: Sequence[str] | None = None) -> Dat
     return frame
 
 
+def never_null(column: str, what: str) -> Column:
+    """The column itself; a row without a value stops the job that reads it."""
+    message = F.lit(f"{what}: {column} is null")
+    return F.when(F.col(column).isNull(), F.raise_error(message)).otherwise(F.col(column)).alias(column)
+
+
 def assert_not_empty(frame: DataFrame, what: str) -> DataFrame:
     if frame.isEmpty():
         raise ContractError(f"{what} is empty")

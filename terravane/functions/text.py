@@ -2,48 +2,37 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
 
 from terravane.functions import as_column
 
 
-@F.pandas_udf(StringType())
-def _strip_accents(names: pd.Series) -> pd.Series:
-    return (
-        names.str.normalize("NFKD")
-        .str.encode("ascii", "ignore")
-        .str.decode("ascii")
-    )
-
+def _letters_with_marks() -> tuple[str, str]:
+    """Every Latin letter with a mark, and the plain letter it decomposes to."""
+    marked = [chr(n) for n in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]]
+    plain = [unicodedata.normalize("NFKD", c)[0] for c in marked]
+    pairs = [(c, p) for c, p in zip(marked, plain) if p != c and p.isascii()]
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
 
-def normalise_name(value) -> Column:
-    """Lower case, no accents, without the word district, letters and digits only."""
-    plain = F.lower(_strip_accents(as_column(value)))
-    return F.regexp_replace(F.regexp_replace(plain, r"\bdistrict\b", ""), "[^a-z0-9]", "")
 
+MARKED, PLAIN = _letters_with_marks()
 
-@F.pandas_udf(DoubleType())
-def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    from difflib import SequenceMatcher
 
-    return pd.Series(
-        [
-            None if a is None or b is None else SequenceMatcher(None, a.lower(), b.lower()).ratio()
-            for a, b in zip(left, right)
-        ],
-        dtype="float64",
-    )
+def normalise_name(value) -> Column:
+    """Lower case, no accents, without the words district and dist, letters and digits only."""
+    plain = F.lower(F.translate(as_column(value), MARKED, PLAIN))
+    return F.regexp_replace(F.regexp_replace(plain, r"\b(district|dist)\b", ""), "[^a-z0-9]", "")
 
 
 def name_similarity(left, right) -> Column:
-    """Share of matching characters, 0 to 1."""
-    return _ratio(as_column(left), as_column(right))
+    """One minus the edits between two normalised names per letter of the longer one, 0 to 1."""
+    a, b = normalise_name(left), normalise_name(right)
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
 def normalise_text(value) -> Column:

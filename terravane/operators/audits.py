@@ -44,8 +44,24 @@ def findings(measures: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return measures.select(F.inline(F.array_compact(F.array(*rows))))
 
 
+def values_seen(column: str, expected: Sequence) -> Column:
+    """The expected values that occur, in order and comma-joined, and "other" if any other does.
+
+    Bounded by the expected values, whatever the column holds.
+    """
+    known = [F.when(F.bool_or(F.col(column) == value), F.lit(str(value))) for value in expected]
+    other = F.when(F.bool_or(~F.col(column).isin(*expected)), F.lit("other"))
+    return F.concat_ws(",", *known, other)
+
+
 def training_measures(
-    frame: DataFrame, day: str, inside: Column, features: Sequence[str], method: str, targets: Sequence[str]
+    frame: DataFrame,
+    day: str,
+    inside: Column,
+    features: Sequence[str],
+    method: str,
+    methods: Sequence[str],
+    targets: Sequence[str],
 ) -> DataFrame:
     """History length, region, completeness, label provenance and class counts in one pass."""
     nulls = sum((F.count_if(F.col(f).isNull()) for f in features), F.lit(0))
@@ -54,21 +70,28 @@ def training_measures(
         F.countDistinct(F.to_date(day)).alias("days"),
         F.count_if(~F.coalesce(inside, F.lit(False))).alias("outside_rows"),
         nulls.alias("null_features"),
-        F.array_join(F.array_sort(F.collect_set(method)), ",").alias("methods"),
+        values_seen(method, methods).alias("methods"),
         *[F.count_if(F.col(t) == 1).alias(f"{t}_positive") for t in targets],
         *[F.count_if(F.col(t) == 0).alias(f"{t}_negative") for t in targets],
     )
 
 
 def operational_measures(
-    frame: DataFrame, places: Sequence[str], horizon: str, source_id: str, collected: str, now: Column, factors: Sequence[str]
+    frame: DataFrame,
+    places: Sequence[str],
+    horizon: str,
+    horizons: Sequence[int],
+    source_id: str,
+    collected: str,
+    now: Column,
+    factors: Sequence[str],
 ) -> DataFrame:
     """Coverage, repeated ids, freshness and factor completeness in one pass."""
     age = (F.unix_micros(now) - F.unix_micros(F.max(F.col(collected).cast("timestamp")))) / 3.6e9
     return frame.agg(
         F.count(F.lit(1)).alias("rows"),
         F.countDistinct(*places).alias("places"),
-        F.array_join(F.array_sort(F.collect_set(horizon)).cast("array<string>"), ",").alias("horizons"),
+        values_seen(horizon, horizons).alias("horizons"),
         (F.count(source_id) - F.countDistinct(source_id)).alias("repeated_ids"),
         age.alias("age_hours"),
         *[(F.count(f) / F.count(F.lit(1))).alias(f"{f}_coverage") for f in factors],
@@ -100,14 +123,16 @@ def review_measures(review: DataFrame) -> DataFrame:
     )
 
 
-def probability_measures(frame: DataFrame, place: Sequence[str], horizon: str, columns: Sequence[str]) -> DataFrame:
+def probability_measures(
+    frame: DataFrame, place: Sequence[str], horizon: str, horizons: Sequence[int], columns: Sequence[str]
+) -> DataFrame:
     """Coverage, horizon set and range of served probabilities."""
     outside = sum(
         (F.count_if(~F.coalesce(F.col(c).between(0.0, 1.0), F.lit(True))) for c in columns), F.lit(0)
     )
     return frame.agg(
         F.countDistinct(*place).alias("places"),
-        F.array_join(F.array_sort(F.collect_set(horizon)).cast("array<string>"), ",").alias("horizons"),
+        values_seen(horizon, horizons).alias("horizons"),
         outside.alias("out_of_range"),
         *[F.count(c).alias(f"{c}_rows") for c in columns],
     )

@@ -33,10 +33,14 @@ def mean_per_cell(frame: DataFrame, keys: Sequence[str], values: Sequence[str])
 
 
 def inner_fusion(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Rows both providers have, one per key (the first in the order of the remaining columns)."""
+    """Rows both providers have, one per key (the first in the order of the remaining columns).
+
+    Providers without a common key are an error, and so is a common key without a value.
+    """
     joined = left.join(right, list(keys), "inner")
     rest = [name for name in joined.columns if name not in keys]
-    return dedupe.keep_first(joined, keys, rest).orderBy(*keys)
+    single = dedupe.keep_first(contracts.assert_not_empty(joined, "the common part of the providers"), keys, rest)
+    return single.select(*keys, *[contracts.never_null(name, "fused table") for name in rest])
 
 
 def priority_fusion(
@@ -49,15 +53,17 @@ def priority_fusion(
     order: Sequence[str],
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Every primary key once; the secondary mean wins where it exists, and a tag says which."""
+    """Every primary key once; the secondary mean wins where it exists, and a tag says which.
+
+    A fused row without a key or without a value from either side stops the job.
+    """
     kept = dedupe.keep_first(primary, keys, order)
     averaged = mean_per_cell(secondary, keys, [secondary_value])
     joined = kept.join(averaged, list(keys), "left")
     chosen = F.coalesce(F.col(secondary_value), F.col(primary_value))
     tag = F.when(F.col(secondary_value).isNotNull(), tags[1]).otherwise(tags[0])
-    return joined.withColumns({value: chosen, f"{value}_source": tag}).drop(
-        primary_value, secondary_value
-    )
+    fused = joined.withColumns({value: chosen, f"{value}_source": tag}).drop(primary_value, secondary_value)
+    return fused.withColumns({name: contracts.never_null(name, "fused table") for name in (*keys, value)})
 
 
 def coverage(frame: DataFrame, day: str = "valid_date", minimum: float = 0.95) -> DataFrame:

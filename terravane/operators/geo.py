@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import geometry, grid, scoring
 from terravane.operators import dedupe
+from terravane.session import cut_lineage
 
 POINT = ("latitude", "longitude")
 
@@ -111,14 +112,15 @@ def nearest(
     open_points = distinct_points(points)
     answers = None
     for step in reversed(range(steps)):
-        found = (
+        # each ring is looked at once: its answers and what is still open are written down
+        found = cut_lineage(
             within(open_points, candidates, max_km / 4**step)
             .groupBy(*POINT)
             .agg(F.min(F.struct("distance_km", "_place")).alias("_best"))
         )
         answers = found if answers is None else answers.unionByName(found)
         if step:
-            open_points = open_points.join(found, list(POINT), "left_anti")
+            open_points = open_points.join(found.select(*POINT), list(POINT), "left_anti")
     columns = [F.col(f"_best._place.{name}").alias(name) for name in dict.fromkeys([identity, *keep])]
     flat = answers.select(*POINT, *columns, F.col("_best.distance_km").alias("distance_km"))
     return points.join(flat, list(POINT), "left")
@@ -208,7 +210,7 @@ def locate(
         .groupBy(*POINT)
         .agg(F.min(identity).alias("_inside"))
     )
-    distinct = distinct_points(points).join(inside, list(POINT), "left")
+    distinct = cut_lineage(distinct_points(points).join(inside, list(POINT), "left"))
     open_points = distinct.where("_inside IS NULL").select(*POINT)
     near = nearest(open_points, places, identity, [], max_km).select(
         *POINT, F.col(identity).alias("_near"), "distance_km"
@@ -258,25 +260,43 @@ def affected_places(
     return places.join(pairs, list(POINT)).select(event, place).distinct()
 
 
-def axis_nearest(places: DataFrame, cells: DataFrame, place: Sequence[str], step: float) -> DataFrame:
-    """Nearest grid row and nearest grid column of each place, chosen separately.
+def axis_nearest(places: DataFrame, cells: DataFrame, place: Sequence[str]) -> DataFrame:
+    """Nearest grid row and nearest grid column of each place, chosen separately, however far.
 
-    ``step`` is at least the widest gap of the grid axes.  Each axis value is put in
-    its own bucket and the two beside it; ties go to the smaller axis value.
+    Lines and places are put in buckets of one degree.  The neighbours of a place are those inside
+    its bucket, or else the outermost lines of the nearest filled buckets on either side; there
+    are no more buckets than degrees.  Ties go to the smaller axis value.
     """
 
     def choose(axis: str) -> DataFrame:
-        lines = cells.select(F.col(axis).alias("_line")).distinct()
-        spread = lines.withColumn("_bucket", F.floor(F.col("_line") / step)).withColumn(
-            "_bucket", F.explode(F.sequence(F.col("_bucket") - 1, F.col("_bucket") + 1))
+        lines = cells.select(F.col(axis).alias("_line")).where(F.col("_line").isNotNull()).distinct()
+        values = places.select(axis).where(F.col(axis).isNotNull()).distinct()
+        both = lines.select(
+            F.floor("_line").alias("_bucket"), F.col("_line").alias("_at"), "_line", F.lit(None).cast("double").alias(axis)
+        ).unionByName(
+            values.select(
+                F.floor(axis).alias("_bucket"), F.col(axis).alias("_at"), F.lit(None).cast("double").alias("_line"), axis
+            )
+        )
+        inside = Window.partitionBy("_bucket").orderBy("_at")
+        down = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        up = inside.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+        near = both.select(
+            "_bucket", axis, F.max("_line").over(down).alias("_below"), F.min("_line").over(up).alias("_above")
+        ).where(F.col(axis).isNotNull())
+        # one row per degree
+        filled = both.groupBy("_bucket").agg(F.min("_line").alias("_low"), F.max("_line").alias("_high"))
+        order = Window.partitionBy(F.lit(0)).orderBy("_bucket")
+        outer = filled.select(
+            "_bucket",
+            F.max("_high").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+            F.min("_low").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
         )
-        values = places.select(axis).distinct().withColumn("_bucket", F.floor(F.col(axis) / step))
-        return (
-            values.join(spread, "_bucket")
-            .groupBy(axis)
-            .agg(F.min(F.struct(F.abs(F.col("_line") - F.col(axis)).alias("d"), "_line")).alias("_best"))
-            .select(axis, F.col("_best._line").alias(f"cell_{axis}"))
+        candidates = F.array(F.coalesce("_below", "_before"), F.coalesce("_above", "_after"))
+        ranked = F.transform(
+            F.array_compact(candidates), lambda line: F.struct(F.abs(line - F.col(axis)).alias("d"), line.alias("line"))
         )
+        return near.join(outer, "_bucket").select(axis, F.array_min(ranked)["line"].alias(f"cell_{axis}"))
 
     return (
         places.select(*place, *POINT)
@@ -286,13 +306,33 @@ def axis_nearest(places: DataFrame, cells: DataFrame, place: Sequence[str], step
     )
 
 
-def nearest_cell(
-    places: DataFrame, cells: DataFrame, place: Sequence[str], reach: float
-) -> DataFrame:
-    """Closest grid cell to each place by cosine-corrected flat distance, within ``reach`` degrees."""
+# no two points are farther apart in flat degrees
+WHOLE_MAP = 403.0
+
+
+def nearest_cell(places: DataFrame, cells: DataFrame, place: Sequence[str], start: float = 1.0) -> DataFrame:
+    """Closest grid cell to each place by cosine-corrected flat distance, however far.
+
+    Looks within ``start`` degrees first; places still open go on to a ring four times as wide.
+    A cell found within the ring is the closest one, so the first answer is final.
+    """
     grid_points = distinct_points(cells).select(
         F.col("latitude").alias("cell_latitude"), F.col("longitude").alias("cell_longitude")
     )
+    open_points, answers, reach = distinct_points(places), None, start
+    while True:
+        found = cut_lineage(_closest_within(open_points, grid_points, reach))
+        answers = found if answers is None else answers.unionByName(found)
+        if reach > WHOLE_MAP:
+            break
+        open_points = cut_lineage(open_points.join(found.select(*POINT), list(POINT), "left_anti"))
+        if open_points.isEmpty():
+            break
+        reach *= 4
+    return places.select(*place, *POINT).join(answers, list(POINT)).drop(*POINT)
+
+
+def _closest_within(points: DataFrame, grid_points: DataFrame, reach: float) -> DataFrame:
     tiles = grid_points.withColumn(
         "_tile_row",
         F.explode(
@@ -303,11 +343,8 @@ def nearest_cell(
         ),
     )
     # longitude degrees shrink with latitude, so the bucket is as wide as the reach at that row
-    shrink = F.greatest(
-        F.cos(F.radians(F.least(F.greatest(F.abs(F.col("_tile_row") * reach), F.abs((F.col("_tile_row") + 1) * reach)), F.lit(89.0)))),
-        F.lit(0.0175),
-    )
-    wide = F.lit(reach) / shrink
+    edge = F.greatest(F.abs(F.col("_tile_row") * reach), F.abs((F.col("_tile_row") + 1) * reach))
+    wide = F.lit(reach) / F.greatest(F.cos(F.radians(F.least(edge, F.lit(89.0)))), F.lit(0.0175))
     tiles = tiles.withColumn(
         "_tile_column",
         F.explode(
@@ -317,11 +354,11 @@ def nearest_cell(
             )
         ),
     )
-    looked = distinct_points(places).withColumn("_tile_row", _row("latitude", reach)).withColumn(
+    looked = points.withColumn("_tile_row", _row("latitude", reach)).withColumn(
         "_tile_column", F.floor(F.col("longitude") / wide).cast("int")
     )
     distance = grid.flat_distance("latitude", "longitude", "cell_latitude", "cell_longitude")
-    best = (
+    return (
         looked.join(tiles, ["_tile_row", "_tile_column"])
         .withColumn("distance", distance)
         .where(F.col("distance") <= reach)
@@ -329,7 +366,6 @@ def nearest_cell(
         .agg(F.min(F.struct("distance", "cell_latitude", "cell_longitude")).alias("_best"))
         .select(*POINT, "_best.*")
     )
-    return places.select(*place, *POINT).join(best, list(POINT)).drop(*POINT)
 
 
 def interior_samples(polygons: DataFrame, identity: str, side: int) -> DataFrame:
@@ -418,21 +454,28 @@ def reconcile_names(
     """Match each named place to one named polygon.
 
     ``places``: place_id, name, latitude, longitude.  ``polygons``: source_id, source_name,
-    geometry.  A polygon of the same normalised name is taken first, else one that contains
-    the place; among several the most similar name wins (ties: smallest source_id).
-    A polygon keeps only its best place; the others fall back to ``legacy``.
+    geometry.  A polygon of the same normalised name is taken first, and among several of that
+    name the one that contains the place; without any, a polygon that contains the place.  Then the
+    most similar name wins (ties: smallest source_id).  A polygon keeps only its best place; the
+    others fall back to ``legacy``.
     """
     named = places.withColumn("_norm", normalise("name"))
     shapes = polygons.withColumn("_norm", normalise("source_name"))
     names = shapes.select("source_id", "source_name", "_norm")
-    exact = named.join(names, "_norm").select("place_id", "name", "source_id", "source_name", F.lit(True).alias("_exact"))
-    unmatched = named.join(exact.select("place_id").distinct(), "place_id", "left_anti")
-    held = (
-        unmatched.join(containing(unmatched, polygons.select("source_id", "source_name", "geometry"), tile), list(POINT))
-        .select("place_id", "name", "source_id", "source_name", F.lit(False).alias("_exact"))
-    )
-    candidates = exact.unionByName(held).withColumn("similarity", similarity("name", "source_name"))
-    best = dedupe.keep_first(candidates, ["place_id"], [F.desc("similarity"), F.col("source_id")])
+    held = named.join(
+        containing(named, shapes.select("source_id", "source_name", F.col("_norm").alias("_held_norm"), "geometry"), tile),
+        list(POINT),
+    ).select("place_id", "name", "source_id", "source_name", (F.col("_norm") == F.col("_held_norm")).alias("_exact"))
+    exact = named.join(names, "_norm").select("place_id", "name", "source_id", "source_name")
+    inside = held.where("_exact").select("place_id", "source_id", F.lit(True).alias("_inside"))
+    exact = exact.join(inside, ["place_id", "source_id"], "left").select(
+        "place_id", "name", "source_id", "source_name", F.lit(True).alias("_exact"), F.coalesce("_inside", F.lit(False)).alias("_inside")
+    )
+    other = held.where("NOT _exact").withColumn("_inside", F.lit(True))
+    candidates = exact.unionByName(other).withColumn("similarity", similarity("name", "source_name"))
+    best = dedupe.keep_first(
+        candidates, ["place_id"], [F.desc("_exact"), F.desc("_inside"), F.desc("similarity"), F.col("source_id")]
+    )
     status = (
         F.when(F.col("_exact"), "exact")
         .when(F.col("similarity") >= fuzzy_cut, "fuzzy")
@@ -447,7 +490,7 @@ def reconcile_names(
     ).select("place_id", F.lit(True).alias("_keeper"))
     return (
         places.select("place_id", "name", "latitude", "longitude")
-        .join(graded.drop("name"), "place_id", "left")
+        .join(graded.drop("name", "_inside"), "place_id", "left")
         .join(keepers, "place_id", "left")
         .select(
             "place_id",

@@ -6,12 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    LogisticRegressionModel,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -54,9 +49,10 @@ def forest(trees: int = 30, depth: int = 6, seed: int = 7) -> RandomForestClassi
 
 
 def fit(frame: DataFrame, features: Sequence[str], target: str, classifier: Estimator) -> PipelineModel:
-    """Weighted classifier on the named features; rows with a missing feature are left out."""
+    """Weighted classifier on the named features; a row without one of them is an error."""
     require_both_classes(frame, target)
-    rows = with_class_weights(frame.dropna(subset=list(features)), target)
+    contracts.assert_no_nulls(frame, list(features))
+    rows = with_class_weights(frame, target)
     labelled = rows.select(*features, "weight", F.col(target).cast("double").alias("label")).persist()
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     try:
@@ -71,8 +67,21 @@ def fit(frame: DataFrame, features: Sequence[str], target: str, classifier: Esti
     return PipelineModel.load(folder)
 
 
-def raw_score(model: PipelineModel, frame: DataFrame, name: str = "probability") -> DataFrame:
+@dataclass(frozen=True)
+class LinearModel:
+    """A logistic score with given coefficients, e.g. one taken over from another system."""
+
+    coefficients: Mapping[str, float]
+    intercept: float
+
+
+def raw_score(model: PipelineModel | LinearModel, frame: DataFrame, name: str = "probability") -> DataFrame:
     """Probability of the positive class; null where a feature is missing."""
+    if isinstance(model, LinearModel):
+        total = F.lit(model.intercept)
+        for feature, weight in model.coefficients.items():
+            total = total + F.col(feature) * weight
+        return frame.withColumn(name, 1.0 / (1.0 + F.exp(-total)))
     features = model.stages[0].getInputCols()
     complete = F.lit(True)
     for feature in features:
@@ -86,27 +95,33 @@ def raw_score(model: PipelineModel, frame: DataFrame, name: str = "probability")
     )
 
 
-def fit_sigmoid(frame: DataFrame, score: str, target: str) -> LogisticRegressionModel:
+@dataclass(frozen=True)
+class Sigmoid:
+    """Calibration of a score: one slope, one intercept."""
+
+    slope: float
+    intercept: float
+
+    def of(self, score: str) -> Column:
+        return 1.0 / (1.0 + F.exp(-(self.slope * F.col(score) + self.intercept)))
+
+
+def fit_sigmoid(frame: DataFrame, score: str, target: str) -> Sigmoid:
     """Sigmoid calibration of a score on held-out rows."""
     rows = frame.where(F.col(score).isNotNull()).select(
         array_to_vector(F.array(F.col(score).cast("double"))).alias("features"),
         F.col(target).cast("double").alias("label"),
     )
-    return LogisticRegression(maxIter=50).fit(rows)
-
-
-def sigmoid(model: LogisticRegressionModel, score: str) -> Column:
-    """The calibration as a plain expression: one slope, one intercept."""
-    slope, intercept = float(model.coefficients[0]), float(model.intercept)
-    return 1.0 / (1.0 + F.exp(-(slope * F.col(score) + intercept)))
+    model = LogisticRegression(maxIter=50).fit(rows)
+    return Sigmoid(float(model.coefficients[0]), float(model.intercept))
 
 
 @dataclass(frozen=True)
 class HazardModel:
     """What is needed to score a hazard; ``model`` may be missing for an optional hazard."""
 
-    model: PipelineModel | None
-    calibration: LogisticRegressionModel | None = None
+    model: PipelineModel | LinearModel | None
+    calibration: Sigmoid | None = None
     threshold: float = 0.5
 
 
@@ -132,7 +147,7 @@ def score(frame: DataFrame, hazard: str, trained: HazardModel) -> DataFrame:
         )
     out = raw_score(trained.model, frame, probability)
     if trained.calibration is not None:
-        out = out.withColumn(probability, sigmoid(trained.calibration, probability))
+        out = out.withColumn(probability, trained.calibration.of(probability))
     return out.withColumns(
         {
             prediction: F.coalesce((F.col(probability) >= trained.threshold).cast("int"), F.lit(0)),
@@ -151,31 +166,97 @@ def score_horizons(frame: DataFrame, horizon: str, hazard: str, models: Mapping[
 
 
 def compare(
-    frame: DataFrame, features: Sequence[str], target: str, candidates: Mapping[str, Estimator], partition: str = "partition"
+    frame: DataFrame,
+    features: Sequence[str],
+    target: str,
+    candidates: Mapping[str, Estimator],
+    threshold: float = 0.5,
+    partition: str = "partition",
 ) -> tuple[str, DataFrame]:
-    """Validation measures of every candidate and the name of the best (average precision, then ROC area)."""
+    """Validation measures of every candidate and the name of the best."""
     train = frame.where(F.col(partition) == "train")
     held_out = frame.where(F.col(partition) == "calibration")
+    scored = {
+        name: raw_score(fit(train, features, target, classifier), held_out) for name, classifier in candidates.items()
+    }
+    return choose({name: (rows, "probability") for name, rows in scored.items()}, target, threshold)
+
+
+def choose(
+    scored: Mapping[str, tuple[DataFrame, str]], target: str, threshold: float
+) -> tuple[str, DataFrame]:
+    """Areas and recall of scored candidates, and the best by average precision, then by recall."""
     rows = None
-    for name, classifier in candidates.items():
-        scored = raw_score(fit(train, features, target, classifier), held_out)
-        areas = metrics.curve_areas(scored, "probability", target).withColumn("candidate", F.lit(name))
-        rows = areas if rows is None else rows.unionByName(areas)
-    best = rows.agg(F.max_by("candidate", F.struct("pr_auc", "roc_auc")).alias("best")).first()["best"]
+    for name, (frame, probability) in scored.items():
+        recall = frame.agg(
+            (
+                F.count_if((F.col(target) == 1) & (F.col(probability) >= threshold)) / F.count_if(F.col(target) == 1)
+            ).alias("recall")
+        )
+        measures = metrics.curve_areas(frame, probability, target).select(
+            F.lit(name).alias("candidate"), "*", recall.scalar().alias("recall")
+        )
+        rows = measures if rows is None else rows.unionByName(measures)
+    # one row per candidate
+    best = rows.agg(F.max_by("candidate", F.struct("pr_auc", "recall")).alias("best")).first()["best"]
     return best, rows
 
 
 def backtest(
     validation: DataFrame, test: DataFrame, probability: str, target: str, group: str, day: str, budgets: Sequence[float]
 ) -> DataFrame:
-    """Alert budgets fixed on validation rows, their burden and event recall on test rows."""
-    out = None
-    for budget in budgets:
-        limit = metrics.alert_threshold(validation, probability, budget).first()["threshold"]
-        burden = metrics.alert_burden(test, probability, day, limit)
-        events = metrics.event_metrics(test, probability, target, group, day, limit)
-        row = burden.withColumn("_e", events.select(F.struct("*")).scalar()).select(
-            F.lit(float(budget)).alias("budget"), F.lit(float(limit)).alias("threshold"), *burden.columns, "_e.*"
+    """Alert budgets fixed on validation rows, their burden and event recall on test rows.
+
+    All thresholds come from one pass over the validation rows; every test row then counts for each
+    budget at once in one daily and one event aggregation.
+    """
+    limits = {b: metrics.alert_threshold(validation, probability, b).withColumn("budget", F.lit(float(b))) for b in budgets}
+    thresholds = None
+    for limit in limits.values():
+        thresholds = limit if thresholds is None else thresholds.unionByName(limit)
+    # one row per budget
+    fixed = [(r["budget"], r["threshold"]) for r in thresholds.select("budget", "threshold").collect()]
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("budget"), F.lit(float(t)).alias("threshold")) for b, t in fixed]))
+    alert = F.col("best") >= F.col("threshold")
+    rows = test.select(
+        F.to_date(day).alias("_day"), F.col(probability).alias("best"), F.col(target).alias("_t"), F.col(group).alias("_g"), each.alias("_b")
+    ).select("_day", "best", "_t", "_g", "_b.*")
+    days = (
+        rows.groupBy("budget", "threshold", "_day")
+        .agg(
+            F.count_if(alert).alias("alerts"),
+            F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.bool_or(F.when(F.col("_t") == 0, alert)), F.lit(False)).alias("alarm"),
+            F.bool_or(F.col("_t") == 0).alias("negative"),
         )
-        out = row if out is None else out.unionByName(row)
-    return out
+        .groupBy("budget", "threshold")
+        .agg(
+            F.sum("alerts").alias("alerted_rows"),
+            (F.sum("alerts") / F.sum("rows")).alias("alerted_row_fraction"),
+            F.avg("alerts").alias("mean_alerts_per_day"),
+            F.max("alerts").alias("maximum_alerts_per_day"),
+            F.count_if("alarm").alias("false_alarm_days"),
+            F.count_if("negative").alias("negative_days"),
+        )
+    )
+    events = (
+        rows.where((F.col("_t") == 1) & (F.coalesce("_g", F.lit("")) != ""))
+        .groupBy("budget", "threshold", "_g")
+        .agg(F.max("best").alias("best"))
+        .groupBy("budget")
+        .agg(F.count(F.lit(1)).alias("independent_events"), F.count_if(alert).alias("detected_events"))
+    )
+    return days.join(events, "budget", "left").select(
+        "budget",
+        "threshold",
+        "alerted_rows",
+        "alerted_row_fraction",
+        "mean_alerts_per_day",
+        "maximum_alerts_per_day",
+        "independent_events",
+        "detected_events",
+        (F.col("detected_events") / F.col("independent_events")).alias("event_recall"),
+        "false_alarm_days",
+        "negative_days",
+        F.when(F.col("negative_days") > 0, F.col("false_alarm_days") / F.col("negative_days")).alias("false_alarm_day_rate"),
+    )

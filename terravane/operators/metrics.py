@@ -59,6 +59,38 @@ def curve_areas(frame: DataFrame, probability: str, target: str) -> DataFrame:
     )
 
 
+def eligibility_measures(
+    frame: DataFrame, by: Sequence[str], probability: str, target: str, group: str, bins: int = 10
+) -> DataFrame:
+    """Per group of rows: events, areas, prevalence, calibration error and skill over the prevalence."""
+    by, p, y = list(by), F.col(probability), F.col(target)
+    ranked = ranking.positions(frame, probability, by, extra={"pos": y.cast("long")})
+    below = F.col("below") - F.col("pos_below") + (F.col("at_value") - F.col("pos")) / 2
+    positives, negatives = F.max("pos_total"), F.max(F.col("total") - F.col("pos_total"))
+    precision = (F.col("pos_total") - F.col("pos_below")) / (F.col("total") - F.col("below"))
+    both = (positives > 0) & (negatives > 0)
+    areas = ranked.groupBy(*by).agg(
+        F.when(both, F.sum(F.col("pos") * below) / (positives * negatives)).alias("roc_auc"),
+        F.when(positives > 0, F.sum(F.col("pos") * precision) / positives).alias("pr_auc"),
+    )
+    # areas of a group with one class only stay null
+    binned = (
+        frame.groupBy(*by, F.least(F.floor(p * bins), F.lit(bins - 1)).alias("_bin"))
+        .agg(F.abs(F.sum(y) - F.sum(p)).alias("_gap"), F.count(F.lit(1)).alias("_n"))
+        .groupBy(*by)
+        .agg((F.sum("_gap") / F.sum("_n")).alias("calibration_error"))
+    )
+    whole = frame.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.countDistinct(F.when(y == 1, F.col(group))).alias("events"),
+        F.avg(y).alias("prevalence"),
+        F.avg(F.pow(p - y, F.lit(2.0))).alias("_brier"),
+    )
+    spread = F.col("prevalence") * (1 - F.col("prevalence"))
+    skill = F.when(spread > 0, 1 - F.col("_brier") / spread)
+    return whole.withColumn("skill", skill).drop("_brier").join(areas, by, "left").join(binned, by, "left")
+
+
 def event_metrics(
     frame: DataFrame, probability: str, target: str, group: str, day: str, threshold: float
 ) -> DataFrame:

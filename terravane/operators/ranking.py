@@ -17,16 +17,11 @@ from pyspark.sql import functions as F
 from terravane.session import shuffle_width
 
 
-# groups with fewer distinct values than this are ordered whole, in one bucket
-SMALL_GROUP = 100_000
-
-
 def positions(
     frame: DataFrame,
     value: str,
     by: Sequence[str] = (),
     extra: dict[str, Column] | None = None,
-    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """One row per group and distinct value: how many rows lie below, at and in all.
 
@@ -46,7 +41,7 @@ def positions(
     approximate = F.percentile_approx(
         value, [i / width for i in range(1, width)] or [0.5], F.lit(20 * width)
     )
-    cuts = F.when(F.count(F.lit(1)) > small_group, F.array_distinct(approximate))
+    cuts = F.array_distinct(approximate)
     if by:
         edges = tallies.groupBy(*by).agg(cuts.alias("_edges"))
         placed = tallies.join(edges, by)

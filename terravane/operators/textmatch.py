@@ -8,18 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def word_sequences(words: str, longest: int) -> Column:
-    """Distinct runs of 1..longest neighbouring words of an array column."""
-    single = F.col(words)
-    parts, grown = [single], single
-    for n in range(2, longest + 1):
-        # the shorter side is padded with null, and a run that ran out of words is null
-        following = F.slice(single, n, F.greatest(F.size(single), F.lit(1)))
-        grown = F.zip_with(grown, following, lambda run, word: F.concat(run, F.lit(" "), word))
-        parts.append(grown)
-    return F.array_distinct(F.array_compact(F.concat(*parts)))
-
-
 def whole_word_names(
     texts: DataFrame,
     names: DataFrame,
@@ -27,15 +15,35 @@ def whole_word_names(
     text: str,
     name: str,
     by: Sequence[str] = (),
-    longest: int = 3,
 ) -> DataFrame:
     """Rows (text identity, names columns) for every name that occurs as whole words.
 
-    Both sides are normalised; names have at most ``longest`` words.
+    Both sides are normalised, with single spaces.  A word of the text is joined only where it is
+    some name's first word; runs from there are cut in the lengths that names with this first word
+    have, however long, and compared whole.
     """
-    split = texts.select(identity, *by, F.split(text, " ").alias("_words"))
-    runs = split.select(identity, *by, F.explode(word_sequences("_words", longest)).alias(name))
-    return runs.join(names.where(F.col(name) != ""), [*by, name], "inner")
+    known = names.where(F.col(name) != "")
+    size = F.size(F.split(F.col(name), " "))
+    lengths = known.groupBy(*by, F.substring_index(name, " ", 1).alias("_first")).agg(
+        F.collect_set(size).alias("_lengths")
+    )
+    longest = known.agg(F.coalesce(F.max(size), F.lit(1)))
+    words = texts.select(identity, *by, F.split(text, " ").alias("_words")).withColumn(
+        "_longest", longest.scalar()
+    )
+    places = F.sequence(F.lit(1), F.size("_words"))
+    starts = words.select(
+        identity,
+        *by,
+        F.explode(F.array_distinct(F.transform(places, lambda at: F.slice("_words", at, F.col("_longest"))))).alias("_run"),
+    ).withColumn("_first", F.element_at("_run", 1))
+    fitting = F.filter("_lengths", lambda n: n <= F.size("_run"))
+    runs = starts.join(lengths, [*by, "_first"]).select(
+        identity,
+        *by,
+        F.explode(F.transform(fitting, lambda n: F.array_join(F.slice("_run", 1, n), " "))).alias(name),
+    )
+    return runs.distinct().join(known, [*by, name], "inner")
 
 
 # names shorter than this are looked up whole, longer ones by one of their blocks

@@ -7,6 +7,7 @@ closing tag or where the next paragraph starts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -112,12 +113,23 @@ def links(pages: DataFrame, identity: str, html: str = "html") -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class BulletinStates:
+    """What a page is called that links an active bulletin, says there is none, links others, links nothing."""
+
+    active: str
+    none: str
+    linked: str
+    nothing: str
+
+
 def bulletin_status(
     link_rows: DataFrame,
     identity: str,
     phrases: Sequence[str],
     none_phrase: str,
     active_phrase: str,
+    states: BulletinStates,
 ) -> DataFrame:
     """Per page: bulletins linked (distinct URLs) and a status, strongest evidence first."""
     combined = F.lower(F.concat_ws(" ", "label", "href"))
@@ -132,10 +144,10 @@ def bulletin_status(
     pages = link_rows.select(identity).distinct()
     joined = pages.join(per_page, identity, "left")
     status = (
-        F.when(F.col("_active"), "ACTIVE")
-        .when(F.col("_none"), "NONE_ACTIVE")
-        .when(F.col("bulletins") > 0, "OUTLOOK")
-        .otherwise("UNAVAILABLE")
+        F.when(F.col("_active"), states.active)
+        .when(F.col("_none"), states.none)
+        .when(F.col("bulletins") > 0, states.linked)
+        .otherwise(states.nothing)
     )
     return joined.select(identity, F.coalesce("bulletins", F.lit(0)).alias("bulletins"), status.alias("status"))
 

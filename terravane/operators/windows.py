@@ -8,7 +8,6 @@ exchange and a single sort for any mix of them.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -41,26 +40,20 @@ class SeriesKey:
         return Window.partitionBy(*self.cell, F.month(self.day))
 
 
-# Spark refills a sliding frame for every row, so a long frame costs its length per row.
-# Two growing frames cost one addition each; their difference is the same sum.
-LONGEST_SLIDING_FRAME = 31
-
-
 def _not_nan(value) -> Column:
     value = as_column(value).cast("double")
     return F.when(~F.isnan(value), value)
 
 
 def _windowed(key: SeriesKey, value, rows: int) -> tuple[Column, Column]:
-    """Sum and count of the non-null values in the trailing frame."""
-    value = _not_nan(value)
-    if rows <= LONGEST_SLIDING_FRAME:
-        frame = key.trailing(rows)
-        return F.sum(value).over(frame), F.count(value).over(frame)
-    before = key.order().rowsBetween(Window.unboundedPreceding, -rows)
-    total = F.sum(value).over(key.running()) - F.coalesce(F.sum(value).over(before), F.lit(0.0))
-    count = F.count(value).over(key.running()) - F.count(value).over(before)
-    return F.when(count > 0, total), count
+    """Sum and count of the non-null values in the trailing frame.
+
+    The frame itself is summed at every length.  A difference of two growing sums would be
+    cheaper for long frames, but a very large or infinite value that has left the frame would
+    stay in its rounding.
+    """
+    value, frame = _not_nan(value), key.trailing(rows)
+    return F.sum(value).over(frame), F.count(value).over(frame)
 
 
 def rolling_sum(key: SeriesKey, value, rows: int) -> Column:
@@ -89,19 +82,48 @@ def water_balance(key: SeriesKey, gain, loss, rows: int) -> Column:
     return rolling_sum(key, gain, rows) - rolling_sum(key, loss, rows)
 
 
-def decayed_index(key: SeriesKey, value, alpha: float, tolerance: float = 1e-15) -> Column:
-    """Exponentially weighted index seeded with the first value.
+# days folded at a time, so that the list of a cell's results is copied once per chunk
+FOLD_CHUNK = 128
 
-    Only the rows whose weight can still exceed ``tolerance`` are folded, which
-    keeps the work per row constant however long the history is.  A frame that
-    starts after the first row seeds with a value whose weight is below the tolerance.
+
+def decayed_index(frame: DataFrame, key: SeriesKey, value, alpha: float, name: str) -> DataFrame:
+    """Adds the exponentially weighted index of each row's whole history, seeded with the first value.
+
+    Weights go by position: a missing value (null or NaN) keeps the index and still ages the
+    history, so ``0, null, 2`` at 0.5 ends at (0.25 * 0 + 0.5 * 2) / 0.75.  Rows before the first
+    value have no index.  A cell's days are folded once, in order; nothing of the history is cut.
     """
-    rows = max(2, math.ceil(math.log(tolerance) / math.log(1.0 - alpha)) + 1)
-    history = F.collect_list(as_column(value).cast("double")).over(key.trailing(rows))
-    return F.aggregate(
-        F.slice(history, 2, rows),
-        F.element_at(history, 1),
-        lambda past, now: past * (1.0 - alpha) + now * alpha,
+    rest = [c for c in frame.columns if c not in (*key.cell, key.day)]
+    packed = F.struct(key.day, _not_nan(value).alias("_x"), *rest)
+    cells = frame.groupBy(*key.cell).agg(F.array_sort(F.collect_list(packed)).alias("_days"))
+    keep, start = 1.0 - alpha, F.lit(None).cast("double")
+
+    def step(state: Column, day: Column) -> Column:
+        x, past, weight = day["_x"], state["y"], state["w"] * keep
+        mixed = (weight * past + alpha * x) / (weight + alpha)
+        y = F.when(x.isNull(), past).when(past.isNull(), x).otherwise(mixed)
+        aged = F.when(x.isNotNull(), F.lit(1.0)).when(past.isNull(), F.lit(1.0)).otherwise(weight)
+        return F.struct(y.alias("y"), aged.alias("w"), F.concat(state["out"], F.array(y)).alias("out"))
+
+    def chunk(state: Column, at: Column) -> Column:
+        empty = F.struct(
+            state["y"].alias("y"), state["w"].alias("w"), F.array().cast("array<double>").alias("out")
+        )
+        done = F.aggregate(F.slice("_days", at * FOLD_CHUNK + 1, F.lit(FOLD_CHUNK)), empty, step)
+        return F.struct(
+            done["y"].alias("y"), done["w"].alias("w"), F.concat(state["out"], F.array(done["out"])).alias("out")
+        )
+
+    first = F.struct(
+        start.alias("y"), F.lit(1.0).alias("w"), F.array().cast("array<array<double>>").alias("out")
+    )
+    chunks = F.sequence(F.lit(0), F.floor((F.size("_days") - 1) / FOLD_CHUNK).cast("int"))
+    folded = F.flatten(F.aggregate(chunks, first, chunk, lambda state: state["out"]))
+    rows = cells.select(
+        *key.cell, F.explode(F.arrays_zip(F.col("_days").alias("day"), folded.alias("index"))).alias("_row")
+    )
+    return rows.select(
+        *key.cell, f"_row.day.{key.day}", *[F.col(f"_row.day.`{c}`") for c in rest], F.col("_row.index").alias(name)
     )
 
 

@@ -130,13 +130,12 @@ POINTS_SQL = """points AS (
 
 
 def verified_events(t: Tables) -> DataFrame:
-    """Event records: error and signup readings above a cut, several per source group."""
-    r = readings(t).where(F.col("event_type").isin("error", "signup") & (F.col("value") > 120.0))
-    return r.select(
+    """Event records: every reading, its hazard told by its type, several per source group."""
+    return readings(t).select(
         "event_id",
         "user_id",
         F.col("valid_date").alias("event_date"),
-        F.when(F.col("event_type") == "error", "flood").otherwise("cyclone").alias("hazard_type"),
+        F.when(F.col("event_type").isin("signup", "purchase"), "cyclone").otherwise("flood").alias("hazard_type"),
         "latitude",
         "longitude",
         (F.col("k") >= 10).alias("verified"),
@@ -150,10 +149,10 @@ def verified_events(t: Tables) -> DataFrame:
 
 VERIFIED_EVENTS_SQL = f"""{READINGS_SQL}, verified_events AS (
   SELECT event_id, user_id, valid_date AS event_date,
-    CASE WHEN event_type = 'error' THEN 'flood' ELSE 'cyclone' END AS hazard_type,
+    CASE WHEN event_type IN ('signup', 'purchase') THEN 'cyclone' ELSE 'flood' END AS hazard_type,
     latitude, longitude, k >= 10 AS verified, least(value / 3.0, 100.0) AS confidence,
     'src' || (k % 7) AS source, 'grp' || (event_id // 60) AS source_event_id, k, value
-  FROM readings WHERE event_type IN ('error', 'signup') AND value > 120.0)"""
+  FROM readings)"""
 
 
 def scored(t: Tables) -> DataFrame:

@@ -341,15 +341,14 @@ def event_frequency_by_hazard(t):
 @query(
     "yearly_events_zero_filled",
     "A17",
-    """WITH y AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, o_orderpriority AS p FROM orders WHERE o_totalprice > 470000),
+    """WITH y AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, o_orderpriority AS p FROM orders),
     g AS (SELECT CAST(unnest(range((SELECT min(yr) FROM y), (SELECT max(yr) FROM y) + 1)) AS INTEGER) AS year)
     SELECT year, kind, count(y.yr) AS events FROM g CROSS JOIN (VALUES ('1-URGENT'), ('2-HIGH'), ('9-NONE')) k(kind)
     LEFT JOIN y ON y.yr = g.year AND y.p = kind GROUP BY 1, 2""",
 )
 def yearly_events_zero_filled(t):
-    large = t.orders.where("o_totalprice > 470000")
     return fusion.zero_filled(
-        large, F.year("o_orderdate"), "o_orderpriority", ["1-URGENT", "2-HIGH", "9-NONE"]
+        t.orders, F.year("o_orderdate"), "o_orderpriority", ["1-URGENT", "2-HIGH", "9-NONE"]
     )
 
 

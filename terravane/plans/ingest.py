@@ -9,6 +9,8 @@ from terravane.plans.bindings import (
     DISTRICTS_SQL,
     READINGS_SQL,
     STATION_DAYS_SQL,
+    cell_latitude,
+    cell_longitude,
     districts,
     readings,
     station_days,
@@ -297,7 +299,8 @@ def stream_ledger_ingest(t):
     jobs.once_per_batch(rows, work, f"{base}/first")
     # the same input through a new checkpoint: the ledger keeps it out
     jobs.once_per_batch(rows, work, f"{base}/second")
-    return t.spark.read.parquet(table).groupBy("unit").agg(F.count(F.lit(1)).alias("rows"))
+    stored = t.spark.read.schema(rows.schema).parquet(table)
+    return stored.groupBy("unit").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(
@@ -310,15 +313,13 @@ def stream_ledger_ingest(t):
 )
 def stream_final_before_late(t):
     keys = ["latitude", "longitude", "valid_date"]
-    cells = readings(t).select("event_id", "latitude", "longitude")
 
     def product(kinds, label):
         table, checkpoint = folders(t, label)
         rows = event_stream(t).where(F.col("event_type").isin(*kinds)).select(
-            "event_id", F.to_date("ts").alias("valid_date"), "value"
+            cell_latitude("user_id").alias("latitude"), cell_longitude("user_id").alias("longitude"), F.to_date("ts").alias("valid_date"), "value"
         )
-        stored = jobs.once(rows, table, checkpoint)
-        return stored.join(cells, "event_id").groupBy(*keys).agg(F.sum("value").alias("precipitation"))
+        return jobs.once(rows, table, checkpoint).groupBy(*keys).agg(F.sum("value").alias("precipitation"))
 
     merged = jobs.prefer_final(product(["view", "click"], "final"), product(["purchase"], "late"), keys)
     return merged.select(
@@ -405,7 +406,8 @@ def stream_running_series(t):
     writers.snapshot(days, source)
     table, checkpoint = folders(t, "series")
     stream = jobs.files(t.spark, source, days.schema)
-    out = jobs.once(jobs.running_series(stream, "cell", "day", "rain", 60.0, 0.2), table, checkpoint)
+    stored = jobs.once(jobs.running_series(stream, "cell", "day", "rain", 60.0, 0.2), table, checkpoint)
+    out = jobs.settled(stored, "cell", "day", "rain", 60.0, 0.2)
     return out.select("cell", F.col("day").cast("string").alias("day"), "wet_streak", tidy("wetness").alias("wetness"))
 
 
@@ -416,17 +418,14 @@ def stream_running_series(t):
 )
 def stream_freshness(t):
     base = run_folder(t.spark, "fresh")
-    table = f"{base}/table"
-
-    def work(batch, number):
-        batch.agg(F.count(F.lit(1)).alias("rows"), F.max("ts").alias("newest")).write.mode("append").parquet(table)
-
-    jobs.once_per_batch(jobs.freshness(event_stream(t), "ts"), work, f"{base}/checkpoint")
-    limit = F.lit("2024-02-01 00:00:00").cast("timestamp") - F.expr("INTERVAL 36 HOURS")
-    return t.spark.read.parquet(table).agg(
-        F.sum("rows").alias("rows"),
-        F.unix_micros(F.max("newest")).alias("newest_us"),
-        (F.max("newest") < limit).cast("int").alias("stale"),
+    metrics = jobs.observed(jobs.freshness(event_stream(t), "ts"), "freshness", f"{base}/checkpoint")
+    newest = max((m["newest_us"] for m in metrics if m["newest_us"] is not None), default=None)
+    limit = F.unix_micros(F.lit("2024-02-01 00:00:00").cast("timestamp") - F.expr("INTERVAL 36 HOURS"))
+    newest_us = F.lit(newest).cast("long")
+    return t.spark.range(1).select(
+        F.lit(sum(m["rows"] for m in metrics)).cast("long").alias("rows"),
+        newest_us.alias("newest_us"),
+        (newest_us < limit).cast("int").alias("stale"),
     )
 
 

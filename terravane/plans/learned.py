@@ -1,13 +1,17 @@
-"""Queries that train and apply models; their numbers depend on the learner, so no SQL twin."""
+"""Queries that train and apply models.
+
+The numbers of a trained model depend on the learner, so its twins state what must hold of them; scoring,
+calibration and choice are twinned with given coefficients.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from terravane.operators import learning, sampling, windows
-from terravane.plans.bindings import STATION, SCORED_SQL, scored, station_days
+from terravane.plans.bindings import SCORED_SQL, STATION, STATION_DAYS_SQL, scored, station_days
 from terravane.plans.registry import query, tidy, tidy_columns, tidy_sql
-from terravane.plans.served import horizons
+from terravane.plans.served import HORIZONS_SQL, horizons
 
 FEATURES = ["rain", "rain_7d", "temperature_30d", "season_sin"]
 
@@ -33,41 +37,102 @@ def learning_rows(t):
     )
 
 
-@query("trained_flood_scores", "M7 M8 M10")
+TEST_SQL = f"""WITH {STATION_DAYS_SQL}, n AS (SELECT *, lead(valid_date, 3) OVER (PARTITION BY station ORDER BY valid_date) AS later FROM station_days),
+test AS (SELECT * FROM n WHERE later IS NOT NULL AND year(valid_date) > 1999)"""
+
+
+@query(
+    "trained_flood_scores",
+    "M7 M8",
+    f"""{TEST_SQL} SELECT station, count(*) AS rows, count(*) AS in_range, count(*) AS agreeing, 0 AS drought_available FROM test GROUP BY 1""",
+)
 def trained_flood_scores(t):
+    """Per station: all test rows are scored, in range, and predicted by the threshold."""
     rows = learning_rows(t)
     trained = learning.train_calibrated(rows, FEATURES, "target", learning.forest(trees=10, depth=4))
     test = rows.where("partition = 'test'")
     scored_rows = learning.score(test, "flood", trained)
     scored_rows = learning.score(scored_rows, "drought", learning.HazardModel(None))
-    return scored_rows.select(
-        "station", F.col("valid_date").cast("string").alias("valid_date"), tidy("flood_probability").alias("flood_probability"),
-        "flood_prediction", "drought_probability", "drought_prediction", "drought_available",
+    return scored_rows.groupBy("station").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("flood_probability").between(0, 1)).alias("in_range"),
+        F.count_if((F.col("flood_probability") >= trained.threshold) == (F.col("flood_prediction") == 1)).alias("agreeing"),
+        F.count_if("drought_available").cast("int").alias("drought_available"),
     )
 
 
-@query("candidate_models", "M9")
-def candidate_models(t):
-    rows = learning_rows(t)
-    best, table = learning.compare(
-        rows, FEATURES, "target",
+@query(
+    "trained_model_quality",
+    "M7",
+    "SELECT unnest(['boosted', 'forest']) AS candidate, true AS better_than_chance, true AS within_bounds",
+)
+def trained_model_quality(t):
+    """Each trained candidate ranks held-out rows better than chance."""
+    _, table = learning.compare(
+        learning_rows(t), FEATURES, "target",
         {"forest": learning.forest(trees=8, depth=3), "boosted": learning.boosted_trees(rounds=4, depth=3)},
     )
-    return tidy_columns(table, ["roc_auc", "pr_auc"]).withColumn("selected", F.col("candidate") == best)
+    return table.select(
+        "candidate",
+        (F.col("roc_auc") > 0.5).alias("better_than_chance"),
+        (F.col("roc_auc").between(0, 1) & F.col("pr_auc").between(0, 1) & F.col("recall").between(0, 1)).alias("within_bounds"),
+    )
+
+
+def _areas_sql(name: str, p: str) -> str:
+    """Row of ROC area, average precision and recall of one score column."""
+    return f"""SELECT '{name}' AS candidate,
+      (SELECT (sum(rk) - any_value(p) * (any_value(p) + 1) / 2) / (any_value(p) * any_value(q)) FROM
+        (SELECT target, rank() OVER (ORDER BY {p}) + (count(*) OVER (PARTITION BY {p}) - 1) / 2.0 AS rk FROM rated), n WHERE target = 1) AS roc_auc,
+      (SELECT sum(pos * tp / pred) / any_value(p) FROM (SELECT pos, sum(pos) OVER (ORDER BY v DESC) AS tp, sum(c) OVER (ORDER BY v DESC) AS pred
+        FROM (SELECT {p} AS v, sum(target) AS pos, count(*) AS c FROM rated GROUP BY 1)), n) AS pr_auc,
+      (SELECT count(*) FILTER ({p} >= 0.6) / count(*) FROM rated WHERE target = 1) AS recall"""
 
 
-@query("horizon_model_scores", "M11")
+@query(
+    "candidate_models",
+    "M9",
+    f"""WITH {SCORED_SQL}, rated AS (SELECT target, probability AS a, 1 - probability AS b FROM scored),
+    n AS (SELECT sum(target) AS p, count(*) - sum(target) AS q FROM rated),
+    m AS ({_areas_sql('rising', 'a')} UNION ALL {_areas_sql('falling', 'b')})
+    SELECT candidate, {tidy_sql('roc_auc')} AS roc_auc, {tidy_sql('pr_auc')} AS pr_auc, {tidy_sql('recall')} AS recall,
+      row_number() OVER (ORDER BY pr_auc DESC, recall DESC) = 1 AS selected FROM m""",
+)
+def candidate_models(t):
+    rows = scored(t).withColumn("falling", 1 - F.col("probability"))
+    best, table = learning.choose({"rising": (rows, "probability"), "falling": (rows, "falling")}, "target", 0.6)
+    return tidy_columns(table, ["roc_auc", "pr_auc", "recall"]).withColumn("selected", F.col("candidate") == best)
+
+
+LINEAR = {
+    3: (learning.LinearModel({"precipitation_sum_mm": 0.01, "rain_probability_max": 0.02}, -2.0), learning.Sigmoid(4.0, -2.0), 0.5),
+    7: (learning.LinearModel({"precipitation_sum_mm": 0.004, "rain_probability_max": 0.03}, -3.0), learning.Sigmoid(5.0, -2.5), 0.4),
+    14: (learning.LinearModel({"precipitation_sum_mm": 0.002, "rain_probability_max": 0.01}, -1.0), None, 0.6),
+}
+
+
+def _linear_sql(days: int) -> str:
+    model, calibration, _ = LINEAR[days]
+    total = " + ".join([str(model.intercept), *[f"{f} * {w}::DOUBLE" for f, w in model.coefficients.items()]])
+    raw = f"1.0::DOUBLE / (1.0 + exp(-({total})))"
+    return f"1.0::DOUBLE / (1.0 + exp(-({calibration.slope} * ({raw}) + ({calibration.intercept}))))" if calibration else raw
+
+
+@query(
+    "horizon_model_scores",
+    "M8 M10 M11",
+    f"""WITH {HORIZONS_SQL}, p AS (SELECT district, horizon_days, CASE horizon_days {' '.join(f'WHEN {d} THEN {_linear_sql(d)}' for d in LINEAR)} END AS p,
+      CASE horizon_days {' '.join(f'WHEN {d} THEN {LINEAR[d][2]}' for d in LINEAR)} END AS cut FROM horizons)
+    SELECT district, horizon_days, {tidy_sql('p')} AS cyclone_probability, coalesce(CAST(p >= cut AS INTEGER), 0) AS cyclone_prediction, 0 AS flood_prediction FROM p""",
+)
 def horizon_model_scores(t):
-    rows = horizons(t).withColumn("target", (F.col("gust_max_kmh") >= 40).cast("int"))
-    features = ["precipitation_sum_mm", "rain_probability_max"]
-    models = {
-        days: learning.HazardModel(
-            learning.fit(rows.where(F.col("horizon_days") == days), features, "target", learning.forest(trees=5, depth=3))
-        )
-        for days in (3, 7, 14)
-    }
-    out = learning.score_horizons(rows, "horizon_days", "cyclone", models)
-    return out.select("district", "horizon_days", tidy("cyclone_probability").alias("cyclone_probability"), "cyclone_prediction")
+    """Each horizon by its own model, calibration and threshold; a hazard without a model stays unavailable."""
+    models = {days: learning.HazardModel(*parts) for days, parts in LINEAR.items()}
+    out = learning.score_horizons(horizons(t), "horizon_days", "cyclone", models)
+    out = learning.score(out, "flood", learning.HazardModel(None))
+    return out.select(
+        "district", "horizon_days", tidy("cyclone_probability").alias("cyclone_probability"), "cyclone_prediction", "flood_prediction"
+    )
 
 
 @query(

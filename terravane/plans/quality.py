@@ -203,6 +203,7 @@ def training_rows(t):
     )
 
 
+LABEL_METHODS = ("proxy", "verified")
 TRAINING_RULES = [
     Rule("ERROR", "training.history", "days < 40", "{days} distinct days, 40 wanted"),
     Rule("ERROR", "training.geography", "outside_rows > 0", "{outside_rows} rows outside the region"),
@@ -227,7 +228,8 @@ TRAINING_RULES = [
 def training_audit(t):
     rows = training_rows(t)
     measures = audits.training_measures(
-        rows, "valid_date", F.col("latitude").between(-45, 60), ["precipitation", "humidity"], "label_method", ["flood_risk"]
+        rows, "valid_date", F.col("latitude").between(-45, 60), ["precipitation", "humidity"],
+        "label_method", LABEL_METHODS, ["flood_risk"]
     )
     return audits.findings(measures, TRAINING_RULES)
 
@@ -243,16 +245,15 @@ def training_audit(t):
 )
 def operational_audit(t):
     measures = audits.operational_measures(
-        assessment(t), ["district"], "horizon_days", "district_id", "collected_at",
+        assessment(t), ["district"], "horizon_days", (3, 7, 14), "district_id", "collected_at",
         F.lit("2024-02-01 00:00:00").cast("timestamp"), ["rain_p95"],
     )
     rules = [
         Rule("ERROR", "assessment.ids", "repeated_ids > 0", "{repeated_ids} repeated ids"),
-        Rule("ERROR", "assessment.horizons", "horizons <> '14,3,7'", "horizons {horizons}"),
+        Rule("ERROR", "assessment.horizons", "horizons <> '3,7,14'", "horizons {horizons}"),
         Rule("WARNING", "assessment.factors", "rain_p95_coverage < 0.9", "factor coverage is low"),
         Rule("ERROR", "assessment.freshness", "age_hours > 12", "older than 12 hours"),
     ]
-    measures = measures.withColumn("horizons", F.array_join(F.array_sort(F.split("horizons", ",")), ","))
     return audits.findings(measures, rules)
 
 
@@ -286,14 +287,13 @@ def review_completeness(t):
 @query(
     "served_probability_audit",
     "A32 U6",
-    f"""WITH {ASSESSMENT_SQL} SELECT count(DISTINCT district) AS places, '14,3,7' AS horizons, count(*) FILTER (flood_probability NOT BETWEEN 0 AND 1 OR cyclone_probability NOT BETWEEN 0 AND 1) AS out_of_range,
+    f"""WITH {ASSESSMENT_SQL} SELECT count(DISTINCT district) AS places, '3,7,14' AS horizons, count(*) FILTER (flood_probability NOT BETWEEN 0 AND 1 OR cyclone_probability NOT BETWEEN 0 AND 1) AS out_of_range,
       count(flood_probability) AS flood_probability_rows, count(cyclone_probability) AS cyclone_probability_rows FROM assessment""",
 )
 def served_probability_audit(t):
-    out = audits.probability_measures(
-        assessment(t), ["district"], "horizon_days", ["flood_probability", "cyclone_probability"]
+    return audits.probability_measures(
+        assessment(t), ["district"], "horizon_days", (3, 7, 14), ["flood_probability", "cyclone_probability"]
     )
-    return out.withColumn("horizons", F.array_join(F.array_sort(F.split("horizons", ",")), ","))
 
 
 @query(
@@ -480,22 +480,33 @@ def year_split_counts(t):
     return out.withColumn("both_classes", F.col("both_classes").cast("int"))
 
 
+ELIGIBLE = {"events": 5, "roc_auc": 0.45, "calibration_error": 0.6, "skill": -8.0}
+
+
 @query(
     "model_eligibility",
     "M13",
-    f"""WITH {SCORED_SQL} SELECT lang, count(*) AS rows, CAST(count(DISTINCT CASE WHEN target = 1 THEN event_group END) >= 5 AND avg(CASE WHEN target = 1 THEN probability END) >= avg(target) AND avg(pow(probability - target, 2)) <= 0.4 AS INTEGER) AS eligible FROM scored GROUP BY 1""",
+    f"""WITH {SCORED_SQL}, r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY probability) + (count(*) OVER (PARTITION BY lang, probability) - 1) / 2.0 AS rk FROM scored),
+    n AS (SELECT lang, sum(target) AS p, count(*) - sum(target) AS q, count(*) AS rows, avg(target) AS prevalence, avg(pow(probability - target, 2)) AS brier,
+      count(DISTINCT CASE WHEN target = 1 THEN event_group END) AS events FROM scored GROUP BY 1),
+    a AS (SELECT r.lang, (sum(rk) - any_value(p) * (any_value(p) + 1) / 2) / nullif(any_value(p) * any_value(q), 0) AS roc_auc FROM r JOIN n USING (lang) WHERE target = 1 GROUP BY 1),
+    d AS (SELECT lang, probability, sum(target) AS pos, count(*) AS c FROM scored GROUP BY 1, 2),
+    w AS (SELECT lang, pos, sum(pos) OVER (PARTITION BY lang ORDER BY probability DESC) AS tp, sum(c) OVER (PARTITION BY lang ORDER BY probability DESC) AS pred FROM d),
+    b AS (SELECT w.lang, sum(pos * tp / pred) / nullif(any_value(p), 0) AS pr_auc FROM w JOIN n USING (lang) GROUP BY 1),
+    e AS (SELECT lang, sum(gap) / sum(c) AS calibration_error FROM (SELECT lang, abs(sum(target) - sum(probability)) AS gap, count(*) AS c FROM scored GROUP BY lang, least(floor(probability * 10), 9)) GROUP BY 1),
+    m AS (SELECT n.*, roc_auc, pr_auc, calibration_error, 1 - brier / nullif(prevalence * (1 - prevalence), 0) AS skill FROM n LEFT JOIN a USING (lang) LEFT JOIN b USING (lang) LEFT JOIN e USING (lang))
+    SELECT lang, rows, events, {', '.join(f'{tidy_sql(c)} AS {c}' for c in ('roc_auc', 'pr_auc', 'calibration_error', 'skill'))},
+      CAST(coalesce(events >= {ELIGIBLE['events']} AND roc_auc >= {ELIGIBLE['roc_auc']} AND pr_auc >= prevalence AND calibration_error <= {ELIGIBLE['calibration_error']} AND skill >= {ELIGIBLE['skill']}, false) AS INTEGER) AS eligible FROM m""",
 )
 def model_eligibility(t):
-    rows = scored(t).groupBy("lang").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.countDistinct(F.when(F.col("target") == 1, F.col("event_group"))).alias("events"),
-        F.avg(F.when(F.col("target") == 1, F.col("probability"))).alias("positive_mean"),
-        F.avg("target").alias("prevalence"),
-        F.avg(F.pow(F.col("probability") - F.col("target"), 2)).alias("brier"),
-    )
+    measures = metrics.eligibility_measures(scored(t), ["lang"], "probability", "target", "event_group")
     rules = [
-        F.col("events") >= 5,
-        F.col("positive_mean") >= F.col("prevalence"),
-        F.col("brier") <= 0.4,
+        F.col("events") >= ELIGIBLE["events"],
+        F.col("roc_auc") >= ELIGIBLE["roc_auc"],
+        F.col("pr_auc") >= F.col("prevalence"),
+        F.col("calibration_error") <= ELIGIBLE["calibration_error"],
+        F.col("skill") >= ELIGIBLE["skill"],
     ]
-    return rows.select("lang", "rows", metrics.eligible(rules).cast("int").alias("eligible"))
+    judged = measures.withColumn("eligible", metrics.eligible(rules).cast("int"))
+    shown = ["roc_auc", "pr_auc", "calibration_error", "skill"]
+    return tidy_columns(judged.select("lang", "rows", "events", *shown, "eligible"), shown)

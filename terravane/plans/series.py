@@ -159,9 +159,9 @@ def month_of_year_anomaly(t):
     SELECT {STATION_ID_SQL}, {tidy_sql('y')} AS wetness FROM walk""",
 )
 def antecedent_wetness_index(t):
-    return station_days(t).select(
-        "station", day_text(), tidy(windows.decayed_index(STATION, "precipitation", 0.15)).alias("wetness")
-    )
+    series = station_days(t).select("station", "valid_date", "precipitation")
+    folded = windows.decayed_index(series, STATION, "precipitation", 0.15, "wetness")
+    return folded.select("station", day_text(), tidy("wetness").alias("wetness"))
 
 
 @query(

@@ -70,10 +70,10 @@ def pairwise_distance(t):
       SELECT point_id, district_id, {haversine_sql('p.latitude', 'p.longitude', 'd.latitude', 'd.longitude')} AS km
       FROM points p, districts d WHERE abs(p.latitude - d.latitude) < 1.2)
     SELECT p.point_id, b.district_id, {tidy_sql('b.km', 4)} AS distance_km FROM points p LEFT JOIN (
-      SELECT * FROM c WHERE km <= 125 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY km, district_id) = 1) b USING (point_id)""",
+      SELECT * FROM c WHERE km <= 90 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY km, district_id) = 1) b USING (point_id)""",
 )
 def nearest_district(t):
-    found = geo.nearest(points(t), districts(t), "district_id", [], 125.0)
+    found = geo.nearest(points(t), districts(t), "district_id", [], 90.0)
     return found.select("point_id", "district_id", tidy("distance_km", 4).alias("distance_km"))
 
 
@@ -84,12 +84,12 @@ def nearest_district(t):
       SELECT point_id, point_id // 16 AS storm, latitude, longitude,
         CASE WHEN point_id % 3 <> 0 THEN amount / 80 END AS w1, CASE WHEN point_id % 4 <> 0 THEN amount / 90 + 10 END AS w2,
         CASE WHEN point_id % 5 <> 0 THEN amount / 100 + 15 END AS w3 FROM points),
-    s AS (SELECT *, greatest(w1, w2, w3) AS wind FROM track), v AS (SELECT * FROM s WHERE wind >= 34),
+    s AS (SELECT *, greatest(w1, w2, w3) AS wind FROM track), v AS (SELECT * FROM s WHERE wind >= 40),
     c AS (SELECT v.*, d.district_id, {haversine_sql('v.latitude', 'v.longitude', 'd.latitude', 'd.longitude')} AS km
       FROM v, districts d WHERE abs(v.latitude - d.latitude) < 1.0)
     SELECT storm, district_id, {tidy_sql('km', 4)} AS distance_km, {tidy_sql('wind')} AS wind,
       CASE wind WHEN w1 THEN 'first' WHEN w2 THEN 'second' ELSE 'third' END AS agency,
-      CASE WHEN wind >= 96 THEN 'EXTREME' WHEN wind >= 64 THEN 'SEVERE' ELSE 'MODERATE' END AS severity
+      CASE WHEN wind >= 100 THEN 'third level' WHEN wind >= 70 THEN 'second level' ELSE 'first level' END AS severity
     FROM c WHERE km <= 100 QUALIFY row_number() OVER (PARTITION BY storm, district_id ORDER BY km, point_id) = 1""",
 )
 def storm_closest_approach(t):
@@ -103,9 +103,9 @@ def storm_closest_approach(t):
         F.when(F.col("point_id") % 5 != 0, F.col("amount") / 100 + 15).alias("w3"),
     )
     wind, agency = geo.strongest({"first": F.col("w1"), "second": F.col("w2"), "third": F.col("w3")})
-    strong = track.withColumns({"wind": wind, "agency": agency}).where("wind >= 34")
+    strong = track.withColumns({"wind": wind, "agency": agency}).where("wind >= 40")
     best = geo.closest_approach(strong, districts(t), "storm", ["district_id"], 100.0, ["point_id"])
-    severity = F.when(F.col("wind") >= 96, "EXTREME").when(F.col("wind") >= 64, "SEVERE").otherwise("MODERATE")
+    severity = F.when(F.col("wind") >= 100, "third level").when(F.col("wind") >= 70, "second level").otherwise("first level")
     return best.select(
         "storm",
         "district_id",
@@ -122,13 +122,13 @@ def storm_closest_approach(t):
     f"""WITH {READINGS_SQL}, {DISTRICTS_SQL}, g AS (SELECT DISTINCT latitude AS la, longitude AS lo FROM readings),
     b AS (SELECT district_id, la, lo, sqrt(pow(la - latitude, 2) + pow((lo - longitude) * cos(radians(latitude)), 2)) AS dist
       FROM districts, g),
-    n AS (SELECT * FROM b WHERE dist <= 3 QUALIFY row_number() OVER (PARTITION BY district_id ORDER BY dist, la, lo) = 1)
+    n AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY district_id ORDER BY dist, la, lo) = 1)
     SELECT district_id, la AS latitude, lo AS longitude, CAST(valid_date AS VARCHAR) AS valid_date, {tidy_sql('sum(value)')} AS precipitation
     FROM n JOIN readings r ON r.latitude = la AND r.longitude = lo GROUP BY district_id, la, lo, valid_date""",
 )
 def nearest_cell_series(t):
     days = cell_days(t)
-    chosen = geo.nearest_cell(districts(t), days, ["district_id"], reach=3.0).select(
+    chosen = geo.nearest_cell(districts(t), days, ["district_id"]).select(
         "district_id", F.col("cell_latitude").alias("latitude"), F.col("cell_longitude").alias("longitude")
     )
     return days.join(chosen, ["latitude", "longitude"]).select(
@@ -207,6 +207,10 @@ def districts_hit_by_polygon_events(t):
     return geo.affected_places(events, places, "event_group", "place_id")
 
 
+# three letters in ten may differ
+NAME_CUT = 0.7
+
+
 def named_places(t):
     d = districts(t)
     # every fifth name is misspelt, every seventh written differently but equal once normalised
@@ -228,7 +232,7 @@ def reconciled(t):
         F.col("district_id").alias("source_id"), F.col("district").alias("source_name"), "geometry"
     )
     matches = geo.reconcile_names(
-        named_places(t), shapes, text.name_similarity, text.normalise_name, fuzzy_cut=0.76
+        named_places(t), shapes, text.name_similarity, text.normalise_name, fuzzy_cut=NAME_CUT
     )
     overrides = districts(t).where("district_id % 10 = 0").select(
         F.concat(F.lit("suplier"), F.lpad(F.col("district_id").cast("string"), 8, "0")).alias("alias"),
@@ -238,13 +242,52 @@ def reconciled(t):
     return geo.apply_overrides(matches, overrides, text.name_similarity, text.normalise_name)
 
 
-@query("name_reconciliation", "J16 F11")
+def norm_sql(name: str) -> str:
+    return f"regexp_replace(regexp_replace(lower(strip_accents({name})), '\\b(district|dist)\\b', '', 'g'), '[^a-z0-9]', '', 'g')"
+
+
+def like_sql(a: str, b: str) -> str:
+    return f"(1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}), 1)::DOUBLE)"
+
+
+RECONCILED_SQL = f"""{POLYGONS_SQL}, named AS (
+  SELECT *, {norm_sql('name')} AS pn FROM (SELECT district_id AS place_id, latitude + 0.125 AS latitude, longitude + 0.125 AS longitude,
+    CASE WHEN district_id % 5 = 0 THEN replace(district, 'Supplier#0', 'Suplier-') WHEN district_id % 7 = 0 THEN upper(district) || ' District' ELSE district END AS name FROM districts)),
+shapes AS (SELECT district_id AS source_id, district AS source_name, {norm_sql('district')} AS sn, x0, y0 FROM polygons),
+pairs AS (SELECT place_id, name, source_id, source_name, pn = sn AS exact, {inside_sql('longitude', 'latitude')} AS held, {like_sql('pn', 'sn')} AS similarity
+  FROM named JOIN shapes ON pn = sn OR ({inside_sql('longitude', 'latitude')})),
+best AS (SELECT *, CASE WHEN exact THEN 'exact' WHEN similarity >= {NAME_CUT} THEN 'fuzzy' ELSE 'legacy' END AS status FROM pairs
+  QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY exact DESC, held DESC, similarity DESC, source_id) = 1),
+keepers AS (SELECT place_id FROM best WHERE status <> 'legacy'
+  QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY status <> 'exact', similarity DESC, place_id) = 1),
+matched AS (SELECT n.place_id, n.name, n.pn, n.latitude, n.longitude, b.source_id, b.source_name, b.similarity,
+    CASE WHEN b.status IS NULL THEN 'unresolved' WHEN k.place_id IS NOT NULL THEN b.status ELSE 'legacy' END AS status
+  FROM named n LEFT JOIN best b USING (place_id) LEFT JOIN keepers k USING (place_id)),
+overrides AS (SELECT {norm_sql("'suplier' || lpad(CAST(district_id AS VARCHAR), 8, '0')")} AS pn, district_id AS oid, district AS oname FROM districts WHERE district_id % 10 = 0),
+reconciled AS (SELECT place_id, name, latitude, longitude,
+    CASE WHEN used THEN oid ELSE source_id END AS source_id, CASE WHEN used THEN oname ELSE source_name END AS source_name,
+    CASE WHEN used THEN {like_sql('pn', norm_sql('oname'))} ELSE similarity END AS similarity, CASE WHEN used THEN 'exact_override' ELSE status END AS status
+  FROM (SELECT m.*, o.oid, o.oname, o.oid IS NOT NULL AND m.status NOT IN ('exact', 'fuzzy') AS used FROM matched m LEFT JOIN overrides o USING (pn)))"""
+
+
+@query(
+    "name_reconciliation",
+    "J16 F11",
+    f"WITH {RECONCILED_SQL} SELECT place_id, name, source_id, source_name, status, {tidy_sql('similarity', 4)} AS similarity FROM reconciled",
+)
 def name_reconciliation(t):
     out = reconciled(t)
     return out.select("place_id", "name", "source_id", "source_name", "status", tidy("similarity", 4).alias("similarity"))
 
 
-@query("boundary_validation_grades", "F47")
+@query(
+    "boundary_validation_grades",
+    "F47",
+    f"""WITH {RECONCILED_SQL}, j AS (SELECT r.place_id, r.status, r.status IN ('exact', 'fuzzy', 'exact_override') AS usable,
+      coalesce({inside_sql('r.longitude', 'r.latitude')}, false) AS held FROM reconciled r LEFT JOIN polygons p ON p.district_id = r.source_id)
+    SELECT place_id, status, held AND usable AS point_inside, CASE WHEN status IN ('exact', 'exact_override') AND held AND usable THEN 'A'
+      WHEN status IN ('exact', 'exact_override') OR (status = 'fuzzy' AND held AND usable) THEN 'B' WHEN usable THEN 'C' ELSE 'D' END AS grade FROM j""",
+)
 def boundary_validation_grades(t):
     matched = reconciled(t)
     shapes = polygons(t).select(F.col("district_id").alias("source_id"), "geometry")
@@ -262,14 +305,14 @@ def boundary_validation_grades(t):
     "nearest_axis_sampling",
     "J24",
     f"""WITH {READINGS_SQL}, {DISTRICTS_SQL}, la AS (SELECT DISTINCT latitude AS v FROM readings), lo AS (SELECT DISTINCT longitude AS v FROM readings),
-    a AS (SELECT district_id, v AS cell_latitude FROM districts, la WHERE abs(floor(v) - floor(latitude)) <= 1 QUALIFY row_number() OVER (PARTITION BY district_id ORDER BY abs(v - latitude), v) = 1),
-    b AS (SELECT district_id, v AS cell_longitude FROM districts, lo WHERE abs(floor(v) - floor(longitude)) <= 1 QUALIFY row_number() OVER (PARTITION BY district_id ORDER BY abs(v - longitude), v) = 1)
+    a AS (SELECT district_id, v AS cell_latitude FROM districts, la QUALIFY row_number() OVER (PARTITION BY district_id ORDER BY abs(v - latitude), v) = 1),
+    b AS (SELECT district_id, v AS cell_longitude FROM districts, lo QUALIFY row_number() OVER (PARTITION BY district_id ORDER BY abs(v - longitude), v) = 1)
     SELECT district_id, CAST(valid_date AS VARCHAR) AS valid_date, {tidy_sql('sum(value)')} AS precipitation
     FROM a JOIN b USING (district_id) JOIN readings r ON r.latitude = cell_latitude AND r.longitude = cell_longitude GROUP BY district_id, valid_date""",
 )
 def nearest_axis_sampling(t):
     days = cell_days(t)
-    chosen = geo.axis_nearest(districts(t), days, ["district_id"], step=1.0)
+    chosen = geo.axis_nearest(districts(t), days, ["district_id"])
     renamed = chosen.select(
         "district_id", F.col("cell_latitude").alias("latitude"), F.col("cell_longitude").alias("longitude")
     )

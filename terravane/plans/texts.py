@@ -15,6 +15,7 @@ from terravane.operators.candidates import (
     DetailPoints,
     PhraseRule,
     RowPoints,
+    RowReasons,
 )
 from terravane.plans.bindings import VERIFIED_EVENTS_SQL, verified_events
 from terravane.plans.registry import query, tidy, tidy_sql
@@ -25,15 +26,23 @@ RULES = {
     "DROUGHT": PhraseRule(("onth", "in the er"), ("hehely",)),
     "CYCLONE": PhraseRule(("erst", "que la", "der sch")),
 }
-POINTS = ClassPoints(base=30, per_word=6, most_extra=20, url=35)
+# Points out of a hundred: each kind of evidence counts half of the one before it, from the hazard's
+# words (40 to 52) over the state (up to 24), district (12) and country (6) to named place and link (3
+# each), which add up to 100.  A hazard word in the link alone counts half of one in the text.  A row
+# with hazard, state and district in full needs no review.
+POINTS = ClassPoints(base=40, per_word=4, most_extra=12, url=20)
 STATES = {"ALPHA": ("thre", "anti"), "BETA": ("thon", "ering", "le de"), "GAMMA": ("und", "thed", "los")}
 COUNTRIES = {"action_country": "HM", "actor_country": "HOM"}
-ROW = RowPoints(per_state_hit=9, most_state=20, district=15, country=10, geo_name=5, url=5)
+ROW = RowPoints(per_state_hit=8, most_state=24, district=12, country=6, geo_name=3, url=3, cap=100, review_below=76)
+LACKS = RowReasons(state="no state named", district="no district named", country="other country", url="no link")
+# the same scale, with coverage instead of place name and link
 DETAIL = DetailPoints(
-    country=15, state=25, per_hit=6, most_hits=18, district=12, coordinate=4, hazard=35,
-    mentions=((20, 6, "many_mentions"), (5, 3, "mentions")),
-    articles=((9, 6, "many_articles"), (3, 2, "articles")),
-    tone=(-2.0, 4, "negative_tone"),
+    country=6, state=16, per_hit=4, most_hits=8, district=12, coordinate=3, hazard=40,
+    mentions=((16, 4, "mentioned 16 times"), (4, 2, "mentioned 4 times")),
+    articles=((8, 4, "8 articles"), (2, 2, "2 articles")),
+    tone=(-3.0, 4, "bad news"),
+    cap=100, review_below=76,
+    home_reason="own country", state_reason="state named", district_reason="district named", keyword_reason="word ",
 )
 CODES = {"030": "FLOOD", "031": "DROUGHT"}
 
@@ -143,7 +152,7 @@ def _keyword_sql(rule: PhraseRule) -> str:
 
 
 def _points_sql(name: str) -> str:
-    return f"CASE WHEN {name}_w > 0 THEN 30 + least({name}_w * 6, 20) ELSE 0 END"
+    return f"CASE WHEN {name}_w > 0 THEN {POINTS.base} + least({name}_w * {POINTS.per_word}, {POINTS.most_extra}) ELSE 0 END"
 
 
 _STATE_HITS = {s: hits_sql(a) for s, a in STATES.items()}
@@ -155,7 +164,7 @@ classified AS (SELECT *,
     ELSE CASE {' '.join(f"WHEN {any_sql(r.include, 'url_text')} THEN '{n}'" for n, r in RULES.items())} END END AS hazard,
   CASE WHEN best > 0 THEN CASE {' '.join(f"WHEN {_points_sql(n)} = best THEN {n}_k" for n in RULES)} END
     ELSE CASE {' '.join(f"WHEN {has_sql(p, 'url_text')} THEN '{p}'" for r in RULES.values() for p in r.include)} END END AS keyword,
-  CASE WHEN best > 0 THEN best WHEN {any_sql([p for r in RULES.values() for p in r.include], 'url_text')} THEN 35 ELSE 0 END AS hazard_points,
+  CASE WHEN best > 0 THEN best WHEN {any_sql([p for r in RULES.values() for p in r.include], 'url_text')} THEN {POINTS.url} ELSE 0 END AS hazard_points,
   concat_ws(';', CASE WHEN {has_sql('rewh')} THEN 'FLOOD: excluded phrase rewh' END, CASE WHEN {has_sql('hehely')} THEN 'DROUGHT: excluded phrase hehely' END) AS rejections,
   CASE WHEN state_hits = 0 THEN 'UNKNOWN' WHEN ALPHA_h = state_hits THEN 'ALPHA' WHEN BETA_h = state_hits THEN 'BETA' ELSE 'GAMMA' END AS state FROM pts)"""
 
@@ -177,10 +186,13 @@ def state_inference(t):
 
 
 def place_names(t):
-    """District names per state: the first word and the first two words of the benchmark texts."""
-    words = F.split(text.normalise_text("text"), " ")
+    """District names per state: every run of one to four words of the benchmark texts' own phrases."""
     state = F.element_at(F.array(*[F.lit(s) for s in STATES]), (F.col("item_id") % 3 + 1).cast("int"))
-    names = F.explode(F.array(F.element_at(words, 1), F.array_join(F.slice(words, 1, 2), " ")))
+    phrases = F.filter(
+        F.transform(F.split(F.lower("text"), r"[.,\n]+"), lambda p: F.trim(F.regexp_replace(p, "[^a-z0-9]+", " "))),
+        lambda p: p.rlike("^[a-z0-9]+( [a-z0-9]+){0,3}$"),
+    )
+    names = F.explode(phrases)
     return (
         t.benchmark.select(state.alias("state"), names.alias("district_norm"))
         .distinct()
@@ -188,12 +200,14 @@ def place_names(t):
     )
 
 
-PLACES_SQL = """bench AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM benchmark),
-place_names AS (SELECT DISTINCT CASE item_id % 3 WHEN 0 THEN 'ALPHA' WHEN 1 THEN 'BETA' ELSE 'GAMMA' END AS state, unnest([w[1], w[1] || ' ' || w[2]]) AS district_norm FROM bench)"""
+PLACES_SQL = """bench AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[.,\\n]+')) AS part FROM benchmark),
+cut AS (SELECT item_id, trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) AS district_norm FROM bench),
+place_names AS (SELECT DISTINCT CASE item_id % 3 WHEN 0 THEN 'ALPHA' WHEN 1 THEN 'BETA' ELSE 'GAMMA' END AS state, district_norm FROM cut
+  WHERE regexp_full_match(district_norm, '[a-z0-9]+( [a-z0-9]+){0,3}'))"""
 
 
 def placed(t):
-    return candidates.infer_district(classified(t), place_names(t), "event_key", "searchable", longest=2)
+    return candidates.infer_district(classified(t), place_names(t), "event_key", "searchable")
 
 
 PLACED_SQL = f"""{CLASSIFIED_SQL}, {PLACES_SQL}, found AS (
@@ -207,22 +221,22 @@ def district_inference(t):
     return placed(t).select("event_key", "state", "district")
 
 
-SCORED_SQL = f"""{PLACED_SQL}, s AS (SELECT *, CAST(least(hazard_points + CASE WHEN state <> 'UNKNOWN' THEN least(state_hits * 9, 20) ELSE 0 END + CASE WHEN district <> 'UNKNOWN' THEN 15 ELSE 0 END
-    + CASE WHEN action_country = 'HM' THEN 10 ELSE 0 END + CASE WHEN trim(geo_name) <> '' THEN 5 ELSE 0 END + CASE WHEN source_url IS NOT NULL THEN 5 ELSE 0 END, 100) AS INTEGER) AS score
+SCORED_SQL = f"""{PLACED_SQL}, s AS (SELECT *, CAST(least(hazard_points + CASE WHEN state <> 'UNKNOWN' THEN least(state_hits * {ROW.per_state_hit}, {ROW.most_state}) ELSE 0 END + CASE WHEN district <> 'UNKNOWN' THEN {ROW.district} ELSE 0 END
+    + CASE WHEN action_country = 'HM' THEN {ROW.country} ELSE 0 END + CASE WHEN trim(geo_name) <> '' THEN {ROW.geo_name} ELSE 0 END + CASE WHEN source_url IS NOT NULL THEN {ROW.url} ELSE 0 END, {ROW.cap}) AS INTEGER) AS score
   FROM placed WHERE hazard IS NOT NULL)"""
 
 
 @query(
     "candidate_scores",
     "F19",
-    f"""WITH {SCORED_SQL} SELECT event_key, score, CAST(score < 80 OR district = 'UNKNOWN' AS INTEGER) AS needs_review,
-      concat_ws(';', CASE WHEN state = 'UNKNOWN' THEN 'state_not_found' END, CASE WHEN district = 'UNKNOWN' THEN 'district_not_found' END, CASE WHEN action_country <> 'HM' THEN 'outside_country' END,
-        CASE WHEN source_url IS NULL THEN 'missing_source_url' END, CASE WHEN rejections <> '' THEN rejections END) AS review_reason FROM s WHERE score >= 45""",
+    f"""WITH {SCORED_SQL} SELECT event_key, score, CAST(score < {ROW.review_below} OR district = 'UNKNOWN' AS INTEGER) AS needs_review,
+      concat_ws(';', CASE WHEN state = 'UNKNOWN' THEN '{LACKS.state}' END, CASE WHEN district = 'UNKNOWN' THEN '{LACKS.district}' END, CASE WHEN action_country <> 'HM' THEN '{LACKS.country}' END,
+        CASE WHEN source_url IS NULL THEN '{LACKS.url}' END, CASE WHEN rejections <> '' THEN rejections END) AS review_reason FROM s WHERE score >= 45""",
 )
 def candidate_scores(t):
     rows = placed(t).where("hazard IS NOT NULL")
     scored = rows.withColumns(
-        candidates.score_row(F.col("action_country") == "HM", F.col("geo_name"), F.col("source_url"), ROW)
+        candidates.score_row(F.col("action_country") == "HM", F.col("geo_name"), F.col("source_url"), ROW, LACKS)
     )
     return scored.where("score >= 45").select(
         "event_key", F.col("score").cast("int").alias("score"), F.col("needs_review").cast("int").alias("needs_review"), "review_reason"
@@ -250,9 +264,9 @@ def detailed(t):
 _FIRST_HAZARD = "CASE " + " ".join(f"WHEN contains(searchable, '{p}') THEN '{n}'" for n, ps in HAZARD_WORDS.items() for p in ps) + " WHEN event_code = '030' THEN 'FLOOD' WHEN event_code = '031' THEN 'DROUGHT' END"
 _FIRST_WORD = "CASE " + " ".join(f"WHEN contains(searchable, '{p}') THEN '{p}'" for ps in HAZARD_WORDS.values() for p in ps) + " WHEN event_code IN ('030', '031') THEN 'event_code:' || event_code END"
 DETAILED_SQL = f"""{PLACED_SQL}, h AS (SELECT * EXCLUDE (hazard, keyword), {_FIRST_HAZARD} AS hazard, {_FIRST_WORD} AS keyword FROM placed),
-detailed AS (SELECT *, CAST(least(CASE WHEN action_country = 'HM' THEN 15 ELSE 0 END + CASE WHEN state <> 'UNKNOWN' THEN 25 ELSE 0 END + least(state_hits * 6, 18)
-    + CASE WHEN district <> 'UNKNOWN' THEN 12 ELSE 0 END + CASE WHEN latitude IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN longitude IS NOT NULL THEN 4 ELSE 0 END, 100) AS INTEGER) AS geography_points,
-  CASE WHEN mentions >= 20 THEN 6 WHEN mentions >= 5 THEN 3 ELSE 0 END + CASE WHEN articles >= 9 THEN 6 WHEN articles >= 3 THEN 2 ELSE 0 END + CASE WHEN tone < -2 THEN 4 ELSE 0 END AS coverage_points
+detailed AS (SELECT *, CAST(least(CASE WHEN action_country = 'HM' THEN {DETAIL.country} ELSE 0 END + CASE WHEN state <> 'UNKNOWN' THEN {DETAIL.state} ELSE 0 END + least(state_hits * {DETAIL.per_hit}, {DETAIL.most_hits})
+    + CASE WHEN district <> 'UNKNOWN' THEN {DETAIL.district} ELSE 0 END + CASE WHEN latitude IS NOT NULL THEN {DETAIL.coordinate} ELSE 0 END + CASE WHEN longitude IS NOT NULL THEN {DETAIL.coordinate} ELSE 0 END, {DETAIL.cap}) AS INTEGER) AS geography_points,
+  CASE WHEN mentions >= 16 THEN 4 WHEN mentions >= 4 THEN 2 ELSE 0 END + CASE WHEN articles >= 8 THEN 4 WHEN articles >= 2 THEN 2 ELSE 0 END + CASE WHEN tone < -3 THEN 4 ELSE 0 END AS coverage_points
   FROM h WHERE hazard IS NOT NULL)"""
 
 
@@ -264,12 +278,12 @@ def hazard_from_code(t):
 @query(
     "detailed_candidate_scores",
     "F20",
-    f"""WITH {DETAILED_SQL} SELECT event_key, geography_points, coverage_points, CAST(least(geography_points + 35 + coverage_points, 100) AS INTEGER) AS candidate_score,
-      concat_ws(';', CASE WHEN action_country = 'HM' THEN 'home_country' END, CASE WHEN state <> 'UNKNOWN' THEN 'state' END, CASE WHEN district <> 'UNKNOWN' THEN 'district' END, 'keyword:' || keyword,
-        CASE WHEN mentions >= 20 THEN 'many_mentions' WHEN mentions >= 5 THEN 'mentions' END, CASE WHEN articles >= 9 THEN 'many_articles' WHEN articles >= 3 THEN 'articles' END,
-        CASE WHEN tone < -2 THEN 'negative_tone' END) AS reasons,
-      CAST(least(geography_points + 35 + coverage_points, 100) < 60 OR district = 'UNKNOWN' AS INTEGER) AS needs_review
-    FROM detailed WHERE least(geography_points + 35 + coverage_points, 100) >= 50""",
+    f"""WITH {DETAILED_SQL} SELECT event_key, geography_points, coverage_points, CAST(least(geography_points + {DETAIL.hazard} + coverage_points, {DETAIL.cap}) AS INTEGER) AS candidate_score,
+      concat_ws(';', CASE WHEN action_country = 'HM' THEN '{DETAIL.home_reason}' END, CASE WHEN state <> 'UNKNOWN' THEN '{DETAIL.state_reason}' END, CASE WHEN district <> 'UNKNOWN' THEN '{DETAIL.district_reason}' END, '{DETAIL.keyword_reason}' || keyword,
+        CASE WHEN mentions >= 16 THEN 'mentioned 16 times' WHEN mentions >= 4 THEN 'mentioned 4 times' END, CASE WHEN articles >= 8 THEN '8 articles' WHEN articles >= 2 THEN '2 articles' END,
+        CASE WHEN tone < -3 THEN 'bad news' END) AS reasons,
+      CAST(least(geography_points + {DETAIL.hazard} + coverage_points, {DETAIL.cap}) < {DETAIL.review_below} OR district = 'UNKNOWN' AS INTEGER) AS needs_review
+    FROM detailed WHERE least(geography_points + {DETAIL.hazard} + coverage_points, {DETAIL.cap}) >= 50""",
 )
 def detailed_candidate_scores(t):
     return detailed(t).where("candidate_score >= 50").select(
@@ -305,7 +319,7 @@ def candidate_ids_and_dates(t):
 def deduplicated_candidates(t):
     rows = placed(t).where("hazard IS NOT NULL AND source_url IS NOT NULL")
     scored = rows.withColumns(
-        candidates.score_row(F.col("action_country") == "HM", F.col("geo_name"), F.col("source_url"), ROW)
+        candidates.score_row(F.col("action_country") == "HM", F.col("geo_name"), F.col("source_url"), ROW, LACKS)
     )
     grouped = scored.withColumn("id", F.col("event_key")).withColumn("event_key", F.floor(F.col("event_key") / 2))
     kept = candidates.deduplicated(grouped, [F.desc("score"), F.col("id")])
@@ -319,12 +333,12 @@ BANDS = ((75, "EXTREME"), (55, "SEVERE"), (35, "MODERATE"))
     "severity_and_confidence",
     "F23",
     f"""WITH {SCORED_SQL} SELECT event_key, CASE WHEN score >= 75 THEN 'EXTREME' WHEN score >= 55 THEN 'SEVERE' WHEN score >= 35 THEN 'MODERATE' ELSE 'MINOR' END AS severity,
-      {tidy_sql("least(CASE WHEN score < 80 OR district = 'UNKNOWN' THEN score * 0.8 ELSE score END, 100)", 2)} AS confidence FROM s""",
+      {tidy_sql("least(CASE WHEN score < 76 OR district = 'UNKNOWN' THEN score * 0.8 ELSE score END, 100)", 2)} AS confidence FROM s""",
 )
 def severity_and_confidence(t):
     rows = placed(t).where("hazard IS NOT NULL")
     scored = rows.withColumns(
-        candidates.score_row(F.col("action_country") == "HM", F.col("geo_name"), F.col("source_url"), ROW)
+        candidates.score_row(F.col("action_country") == "HM", F.col("geo_name"), F.col("source_url"), ROW, LACKS)
     )
     out = scored.withColumns(groundtruth.severity_and_confidence("score", F.col("needs_review"), BANDS, "MINOR", 0.8))
     return out.select("event_key", "severity", tidy("confidence", 2).alias("confidence"))
@@ -436,16 +450,17 @@ def enriched_candidates(t):
 @query(
     "districts_named_in_text",
     "J21",
-    """WITH n AS (SELECT DISTINCT 'zone' || (item_id % 2) AS state, lower(substr(text, 1, 12)) AS name FROM benchmark),
+    """WITH allnames AS (SELECT DISTINCT 'zone' || (item_id % 2) AS state, unnest(regexp_split_to_array(lower(text), '[ .,\\n]+')) AS name FROM benchmark), n AS (SELECT * FROM allnames WHERE length(name) >= 10),
     d AS (SELECT doc_id, 'zone' || (doc_id % 2) AS state, lower(text) AS low FROM documents),
     m AS (SELECT doc_id, name FROM d JOIN n ON n.state = d.state AND contains(low, name))
     SELECT DISTINCT doc_id, state, coalesce('in ' || name, 'UNKNOWN') AS district, CASE WHEN name IS NULL THEN 'none' ELSE 'district_name' END AS match_method FROM d LEFT JOIN m USING (doc_id)""",
 )
 def districts_named_in_text(t):
+    # every long word of the benchmark texts stands for a name
     names = t.benchmark.select(
         F.concat(F.lit("zone"), F.col("item_id") % 2).alias("state"),
-        F.lower(F.substring("text", 1, 12)).alias("district_name"),
-    ).distinct().withColumn("district", F.concat(F.lit("in "), "district_name"))
+        F.explode(F.split(F.lower("text"), r"[ .,\n]+")).alias("district_name"),
+    ).where(F.length("district_name") >= 10).distinct().withColumn("district", F.concat(F.lit("in "), "district_name"))
     texts = spread(t.documents).select(
         "doc_id", F.concat(F.lit("zone"), F.col("doc_id") % 2).alias("state"), F.lower("text").alias("body")
     )
@@ -453,13 +468,13 @@ def districts_named_in_text(t):
 
 
 def _truth_and_reports(t):
-    truth = t.events.where("event_type = 'error' AND value > 100").select(
+    truth = t.events.where("event_type = 'error'").select(
         F.col("event_id").alias("truth_id"),
         F.to_date("ts").alias("date"),
         F.concat(F.lit("Zone "), F.col("user_id") % 40).alias("state"),
         F.concat(F.lit("Station "), F.col("user_id")).alias("district"),
     )
-    reports = t.events.where("event_type = 'view' AND value > 30").select(
+    reports = t.events.where("event_type = 'view'").select(
         F.col("event_id").alias("report_id"),
         F.to_date("ts").alias("date"),
         F.concat(F.lit("station "), F.col("user_id"), F.lit(" in zone "), F.col("user_id") % 60).alias("location"),
@@ -467,8 +482,8 @@ def _truth_and_reports(t):
     return truth, reports
 
 
-_TRUTH_SQL = """truth AS (SELECT event_id AS truth_id, CAST(ts AS DATE) AS date, 'zone ' || (user_id % 40) AS state, 'station ' || user_id AS district FROM events WHERE event_type = 'error' AND value > 100),
-reports AS (SELECT event_id AS report_id, CAST(ts AS DATE) AS date, 'station ' || user_id || ' in zone ' || (user_id % 60) AS location FROM events WHERE event_type = 'view' AND value > 30),
+_TRUTH_SQL = """truth AS (SELECT event_id AS truth_id, CAST(ts AS DATE) AS date, 'zone ' || (user_id % 40) AS state, 'station ' || user_id AS district FROM events WHERE event_type = 'error'),
+reports AS (SELECT event_id AS report_id, CAST(ts AS DATE) AS date, 'station ' || user_id || ' in zone ' || (user_id % 60) AS location FROM events WHERE event_type = 'view'),
 pairs AS (SELECT truth_id, CASE WHEN contains(location, district) THEN 1 ELSE 2 END AS rk, r.date, report_id, location
   FROM truth t JOIN reports r ON abs(r.date - t.date) <= 2 AND (contains(location, district) OR contains(location, state))),
 matches AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY truth_id ORDER BY rk, date, report_id) = 1)"""
@@ -652,7 +667,7 @@ def record_validation(t):
 @query(
     "news_records",
     "F48",
-    """SELECT doc_id, CASE lang WHEN 'en' THEN 'FLOOD' WHEN 'fr' THEN 'DROUGHT' END AS hazard_type, CASE WHEN doc_id % 2 = 0 THEN source ELSE substr(text, 1, 20) END AS description,
+    """SELECT doc_id, CASE lang WHEN 'en' THEN 'FLOOD' WHEN 'fr' THEN 'DROUGHT' END AS hazard_type, CASE WHEN doc_id % 2 = 0 THEN source ELSE text END AS description,
       CAST(lang IN ('en', 'fr') AS INTEGER) AS valid FROM documents""",
 )
 def news_records(t):
@@ -660,7 +675,7 @@ def news_records(t):
         "doc_id",
         F.concat(F.lit(" "), F.upper("lang")).alias("event_type"),
         F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("").alias("description"),
-        F.substring("text", 1, 20).alias("content"),
+        F.col("text").alias("content"),
         F.lit("2024-01-05").alias("date"),
     )
     out = groundtruth.news_records(articles, {"en": "FLOOD", "fr": "DROUGHT"})
@@ -729,6 +744,7 @@ def page_fields(t):
     )
 
 
+BULLETIN_STATES = web.BulletinStates(active="open", none="closed", linked="announced", nothing="silent")
 LINK_PHRASES = ["/the", "/de", "/und", "/thanedble"]
 
 
@@ -740,8 +756,8 @@ LINK_PHRASES = ["/the", "/de", "/und", "/thanedble"]
     w AS (SELECT *, lower(label || ' ' || href) AS joined FROM m),
     s AS (SELECT page_id, count(DISTINCT href) AS n, bool_or(contains(lower(label), 'the') AND NOT contains(lower(href), '/then')) AS act, bool_or(contains(lower(href), '/then')) AS non
       FROM w WHERE contains(joined, '/the') OR contains(joined, '/de') OR contains(joined, '/und') OR contains(joined, '/thanedble') GROUP BY 1)
-    SELECT page_id, coalesce(n, 0) AS bulletins, CASE WHEN act THEN 'ACTIVE' WHEN non THEN 'NONE_ACTIVE' WHEN n > 0 THEN 'OUTLOOK' ELSE 'UNAVAILABLE' END AS status
+    SELECT page_id, coalesce(n, 0) AS bulletins, CASE WHEN act THEN 'open' WHEN non THEN 'closed' WHEN n > 0 THEN 'announced' ELSE 'silent' END AS status
     FROM (SELECT DISTINCT page_id FROM m) LEFT JOIN s USING (page_id)""",
 )
 def page_bulletins(t):
-    return web.bulletin_status(web.links(t.pages, "page_id"), "page_id", LINK_PHRASES, "/then", "the")
+    return web.bulletin_status(web.links(t.pages, "page_id"), "page_id", LINK_PHRASES, "/then", "the", BULLETIN_STATES)

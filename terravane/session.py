@@ -42,14 +42,19 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach; the cluster names it in ``spark.checkpoint.dir``."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can reach; the cluster names it in ``spark.checkpoint.dir``.
+
+    Only a session whose executors are this process may do without that setting.
+    """
+    context = spark.sparkContext
+    active = context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or active
     if not named:
-        active = spark.sparkContext.getCheckpointDir()
-        if active:
-            return active
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="terravane-")
-        spark.sparkContext.setCheckpointDir(named)
+    if not active:
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 

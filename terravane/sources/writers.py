@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terravane.operators import dedupe
@@ -52,14 +52,22 @@ def exists(frame: DataFrame, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
-def append_new(frame: DataFrame, path: str, identity: str, order: Sequence) -> int:
-    """Append rows whose id is not stored yet, one per id; returns how many were added."""
-    spark, before = frame.sparkSession, 0
-    fresh = dedupe.keep_first(frame, [identity], order)
+def append_new(
+    frame: DataFrame, path: str, identity: str, order: Sequence, unit: str | None = None
+) -> int:
+    """Append rows whose id is not stored yet, one per id; returns how many were added.
+
+    With ``unit``, the table is partitioned by that column and ids are unique within a unit, so only
+    the stored ids of the batch's own units are read.
+    """
+    spark, keys = frame.sparkSession, [unit, identity] if unit else [identity]
+    fresh = dedupe.keep_first(frame, keys, order)
     if exists(frame, path):
-        stored = spark.read.parquet(path)
-        before = stored.count()
-        fresh = fresh.join(stored.select(identity), identity, "left_anti")
-    fresh.write.mode("append").parquet(path)
-    # row counts come from the file footers
-    return spark.read.parquet(path).count() - before
+        stored = spark.read.schema(frame.schema).parquet(path).select(*keys)
+        if unit:
+            stored = stored.join(frame.select(unit).distinct(), unit, "left_semi")
+        fresh = fresh.join(stored, keys, "left_anti")
+    added = Observation()
+    writer = fresh.observe(added, F.count(F.lit(1)).alias("rows")).write.mode("append")
+    (writer.partitionBy(unit) if unit else writer).parquet(path)
+    return added.get["rows"]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from terravane.operators import dedupe, windows
 from terravane.sources import writers
 
 
@@ -102,8 +103,8 @@ def running_series(
 ) -> DataFrame:
     """Wet streak and decayed wetness index per cell, carried from one run to the next.
 
-    The stream holds one row per cell and day.  A day at or before the last one seen is late
-    and is left out; it belongs to the next batch rebuild.
+    The stream holds one row per cell and day.  A day at or before the last one seen is given out
+    without measures and marked late; ``settled`` rebuilds the cells that have such rows.
     """
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -112,51 +113,83 @@ def running_series(
         out = []
         for at, amount in zip(rows[day], rows[value]):
             if last is not None and at <= last:
+                out.append((key[0], at, amount, None, None, True))
                 continue
             streak = streak + 1 if amount >= wet else 0
             wetness = amount if wetness is None else alpha * amount + (1.0 - alpha) * wetness
             last = at
-            out.append((key[0], at, amount, streak, wetness))
+            out.append((key[0], at, amount, streak, wetness, False))
         if last is not None:
             state.update((last, streak, wetness))
-        yield pd.DataFrame(out, columns=[cell, day, value, "wet_streak", "wetness"])
+        frame = pd.DataFrame(out, columns=[cell, day, value, "wet_streak", "wetness", "late"])
+        yield frame.astype({"wet_streak": "Int32", "wetness": "float64"})
 
     kind = stream.schema[cell].dataType.simpleString()
     return stream.select(cell, day, value).groupBy(cell).applyInPandasWithState(
         advance,
-        f"{cell} {kind}, {day} DATE, {value} DOUBLE, wet_streak INT, wetness DOUBLE",
+        f"{cell} {kind}, {day} DATE, {value} DOUBLE, wet_streak INT, wetness DOUBLE, late BOOLEAN",
         SPELL_STATE,
         "append",
         GroupStateTimeout.NoTimeout,
     )
 
 
+def settled(stored: DataFrame, cell: str, day: str, value: str, wet: float, alpha: float) -> DataFrame:
+    """The stored series with every cell that has late rows computed anew from all its days.
+
+    A day given twice counts once, with its smaller value.
+    """
+    late = stored.where("late").select(cell).distinct()
+    key = windows.SeriesKey((cell,), day)
+    days = stored.join(late, cell, "left_semi").groupBy(cell, day).agg(F.min(value).alias(value))
+    runs = windows.streak(days, key, {"wet_streak": F.col(value) >= wet})
+    again = windows.decayed_index(runs, key, value, alpha, "wetness")
+    columns = [cell, day, value, "wet_streak", "wetness"]
+    return stored.join(late, cell, "left_anti").select(*columns).unionByName(again.select(*columns))
+
+
 def against_alerts(stream: DataFrame, alerts: DataFrame, keys: Sequence[str], default: Column) -> DataFrame:
     """Each arriving row with the alert state of a static snapshot."""
     return stream.join(alerts, list(keys), "left").withColumn("alert", F.coalesce("alert", default))
 
 
-def ingest_units(unit: str, order: Sequence[str], table: str, ledger: str) -> Callable[[DataFrame, int], None]:
-    """Batch function that appends only units the ledger does not list yet.
+def ingest_units(
+    unit: str, order: Sequence[str], table: str, ledger: str, expected: DataFrame | None = None
+) -> Callable[[DataFrame, int], None]:
+    """Batch function that adds each row of a unit once, in however many batches it arrives.
 
-    The ledger row of a unit is written after its data.  Rows are keyed by unit, so a batch
-    that is replayed after a failure between the two writes adds nothing twice.
+    The table is partitioned by unit, so only the units of a batch are compared with what is stored.
+    After the data the ledger gets each unit's total row count and schema; a replayed batch adds
+    nothing twice and writes the same totals.  ``expected`` (unit, rows) names full units: once the
+    ledger shows that count with the batch's schema, a unit is skipped without a look at its rows.
     """
 
     def work(batch: DataFrame, number: int) -> None:
-        fresh = batch
+        spark, shape = batch.sparkSession, batch.schema.simpleString()
+        fresh = dedupe.keep_first(batch, [unit, "_row_id"], order)
         if writers.exists(batch, ledger):
-            known = batch.sparkSession.read.parquet(ledger).select(unit)
-            fresh = batch.join(known, unit, "left_anti")
-        fresh = fresh.persist()
-        try:
-            writers.append_new(fresh, table, "_row_id", order)
-            done = fresh.groupBy(unit).agg(F.count(F.lit(1)).alias("rows")).withColumn(
-                "batch", F.lit(number).cast("long")
-            )
-            done.write.mode("append").parquet(ledger)
-        finally:
-            fresh.unpersist()
+            if expected is not None:
+                newest = F.struct("batch", "rows", "schema")
+                book = spark.read.parquet(ledger).groupBy(unit).agg(F.max(newest).alias("_n")).select(unit, "_n.*")
+                full = book.where(F.col("schema") == shape).join(
+                    expected.select(F.col(unit), F.col("rows").alias("_all")), unit
+                )
+                fresh = fresh.join(full.where(F.col("rows") == F.col("_all")).select(unit), unit, "left_anti")
+            stored = spark.read.schema(batch.schema).parquet(table).select(unit, "_row_id")
+            here = stored.join(batch.select(unit).distinct(), unit, "left_semi")
+            fresh = fresh.join(here, [unit, "_row_id"], "left_anti")
+        fresh.write.mode("append").partitionBy(unit).parquet(table)
+        # totals of the batch's units as stored now; what is stored no longer counts as fresh
+        totals = (
+            spark.read.schema(batch.schema)
+            .parquet(table)
+            .join(batch.select(unit).distinct(), unit, "left_semi")
+            .groupBy(unit)
+            .agg(F.count(F.lit(1)).alias("rows"))
+        )
+        totals.select(
+            unit, "rows", F.lit(shape).alias("schema"), F.lit(number).cast("long").alias("batch")
+        ).write.mode("append").parquet(ledger)
 
     return work
 
@@ -170,5 +203,18 @@ def prefer_final(final: DataFrame, late: DataFrame, keys: Sequence[str]) -> Data
 
 
 def freshness(stream: DataFrame, time: str, name: str = "freshness") -> DataFrame:
-    """Counts rows and keeps the newest event time of every batch as an observed metric."""
-    return stream.observe(name, F.count(F.lit(1)).alias("rows"), F.max(time).alias("newest"))
+    """Counts rows and keeps the newest event time (microseconds) of every batch as an observed metric."""
+    return stream.observe(name, F.count(F.lit(1)).alias("rows"), F.unix_micros(F.max(time)).alias("newest_us"))
+
+
+def observed(stream: DataFrame, name: str, checkpoint: str) -> list[dict]:
+    """Process what is new for its observed metrics alone, and return them batch by batch."""
+    query = (
+        stream.writeStream.format("noop")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    found = [p.observedMetrics.get(name) for p in query.recentProgress]
+    return [row.asDict() for row in found if row is not None]

@@ -10,7 +10,7 @@ from terravane.plans import catalogue
 from terravane.plans.registry import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = ("trained_", "candidate_models", "horizon_model")
+SLOW = ("trained_",)
 
 
 @pytest.fixture(scope="module")
@@ -35,11 +35,13 @@ def test_no_collecting_plans_in_the_core(spark):
 
 
 def test_scan_is_pruned_and_filtered(spark):
-    frame = entry_point.queries()["event_window_labels"](spark, FOLDER)
+    frame = entry_point.queries()["provider_inner_join"](spark, FOLDER)
     plan = frame._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [In(event_type, [error,signup]), IsNotNull(value), GreaterThan(value,120.0)" in plan.replace(
-        "IsNotNull(value), In(event_type, [error,signup])", "In(event_type, [error,signup]), IsNotNull(value)"
-    )
+    assert "PushedFilters: [In(event_type, [click,view])]" in plan
+    assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,purchase)]" in plan
+    labels = entry_point.queries()["event_window_labels"](spark, FOLDER)
+    read = labels._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in read
 
 
 def test_entry(spark):

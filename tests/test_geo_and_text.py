@@ -82,11 +82,37 @@ def test_names_reconcile(rows):
         "place_id int, name string, latitude double, longitude double",
         (1, "East Hill District", 0.5, 0.5), (2, "Western", 5.5, 5.5), (3, "Other", 5.6, 5.6), (4, "Nowhere", 50.0, 50.0),
     )
-    out = geo.reconcile_names(places, shapes, text.name_similarity, text.normalise_name, 0.76)
+    out = geo.reconcile_names(places, shapes, text.name_similarity, text.normalise_name, 0.7)
     got = {r.place_id: (r.source_id, r.status) for r in out.collect()}
     assert got == {1: (1, "exact"), 2: (2, "fuzzy"), 3: (2, "legacy"), 4: (None, "unresolved")}
 
 
+def test_places_of_one_name_take_the_polygon_around_them(rows):
+    shapes = rows(
+        "source_id int, source_name string, geometry array<array<array<struct<lon:double,lat:double>>>>",
+        (10, "Hill Town", [[square(0.0, 0.0, 1.0)]]), (20, "Hill Town", [[square(5.0, 5.0, 1.0)]]),
+    )
+    places = rows(
+        "place_id int, name string, latitude double, longitude double",
+        (1, "hill town dist", 0.5, 0.5), (2, "Hill-Town", 5.5, 5.5),
+    )
+    out = geo.reconcile_names(places, shapes, text.name_similarity, text.normalise_name, 0.7)
+    assert {r.place_id: (r.source_id, r.status) for r in out.collect()} == {1: (10, "exact"), 2: (20, "exact")}
+
+
+def test_nearest_cells_have_no_limit(rows):
+    places = rows("id int, latitude double, longitude double", (1, 10.0, 10.0), (2, 0.1, 0.1), (3, -89.0, 170.0), (4, 21.0, -3.0))
+    cells = rows("latitude double, longitude double", (20.0, 20.0), (0.0, 0.0), (0.0, 0.25))
+    near = {r.id: (r.cell_latitude, r.cell_longitude) for r in geo.nearest_cell(places, cells, ["id"]).collect()}
+    want = {}
+    for i, la, lo in ((1, 10.0, 10.0), (2, 0.1, 0.1), (3, -89.0, 170.0), (4, 21.0, -3.0)):
+        shrink = math.cos(math.radians(la))
+        want[i] = min((math.hypot(a - la, (o - lo) * shrink), a, o) for a, o in ((20.0, 20.0), (0.0, 0.0), (0.0, 0.25)))[1:]
+    assert near == want
+    axes = {r.id: (r.cell_latitude, r.cell_longitude) for r in geo.axis_nearest(places, cells, ["id"]).collect()}
+    assert axes == {1: (0.0, 0.25), 2: (0.0, 0.0), 3: (0.0, 20.0), 4: (20.0, 0.0)}
+
+
 def test_substring_names_against_brute_force(rows):
     rng = random.Random(3)
     texts = [(i, "".join(rng.choice("abc ") for _ in range(60))) for i in range(40)] + [(99, "")]
@@ -98,12 +124,13 @@ def test_substring_names_against_brute_force(rows):
     assert {(r.id, r.name) for r in got.collect()} == {(i, n) for i, b in texts for n in names if n in b}
 
 
-def test_whole_word_names_up_to_three_words(rows):
-    texts = rows("id int, body string", (1, "north east hills are wet"), (2, "northeast"), (3, "hills"))
-    names = rows("name string", ("north east",), ("north east hills",), ("hills",), ("east",))
-    got = textmatch.whole_word_names(texts, names, "id", "body", "name", longest=3)
+def test_whole_word_names_of_any_length(rows):
+    texts = rows("id int, body string", (1, "north east hills are wet"), (2, "northeast"), (3, "hills"), (4, "in the south west wet hills of old " + "x " * 20000 + "end"))
+    names = rows("name string", ("north east",), ("north east hills",), ("hills",), ("east",), ("the south west wet hills of old",), ("south west wet hills",), ("x end",))
+    got = textmatch.whole_word_names(texts, names, "id", "body", "name")
     assert {(r.id, r.name) for r in got.collect()} == {
-        (1, "north east"), (1, "north east hills"), (1, "hills"), (1, "east"), (3, "hills")
+        (1, "north east"), (1, "north east hills"), (1, "hills"), (1, "east"), (3, "hills"), (4, "hills"),
+        (4, "the south west wet hills of old"), (4, "south west wet hills"), (4, "x end"),
     }
 
 

@@ -1,5 +1,6 @@
 from datetime import date, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ def column(frame, expression):
 
 
 def test_rolling_sum_counts_rows_not_days(rows):
-    frame = series(rows, [float(i) for i in range(10)], offsets=[0, 1, 5, 9, 20, 21, 22, 40, 41, 50])
-    assert column(frame, windows.rolling_sum(KEY, "rain", 3))[-1] == 24.0
+    frame = series(rows, [4.0, 0.5, 2.0, 8.5, 1.0, 6.0], offsets=[0, 3, 4, 11, 30, 31])
+    assert column(frame, windows.rolling_sum(KEY, "rain", 4)) == [4.0, 4.5, 6.5, 15.0, 12.0, 17.5]
 
 
 @pytest.mark.parametrize("n", [32, 90])
@@ -40,14 +41,23 @@ def test_long_frames_equal_sliding_frames(rows, n):
         assert means[i] == pytest.approx(sum(window) / len(window))
 
 
+@pytest.mark.parametrize("n", [5, 31, 32, 90])
+def test_values_that_left_the_frame_leave_no_trace(rows, n):
+    values = [1e16, 1.0, float("inf"), float("nan")] + [1.0] * 150
+    frame = series(rows, values)
+    got = column(frame, windows.rolling_sum(KEY, "rain", n))
+    assert got[2 + n :] == [min(n, i - 3.0) for i in range(2 + n, len(values))][: len(got[2 + n :])]
+    assert column(frame, windows.rolling_mean(KEY, "rain", n))[-1] == 1.0
+
+
 def test_rolling_sum_of_only_nulls_is_null(rows):
     frame = series(rows, [None] * 40)
     assert column(frame, windows.rolling_sum(KEY, "rain", 35)) == [None] * 40
 
 
 def test_future_window_needs_all_rows(rows):
-    frame = series(rows, [1.0, 2.0, 3.0, 4.0])
-    assert column(frame, windows.future_window(KEY, "rain", 2, "sum")) == [5.0, 7.0, None, None]
+    frame = series(rows, [0.5, 6.0, 2.25, 1.0, 9.0])
+    assert column(frame, windows.future_window(KEY, "rain", 3, "sum")) == [9.25, 12.25, None, None, None]
 
 
 def test_streak_resets_and_treats_null_as_false(rows):
@@ -60,13 +70,25 @@ def test_streak_resets_and_treats_null_as_false(rows):
 
 def test_decayed_index_matches_the_recursion(rows):
     values = [float((i * 17) % 23) for i in range(400)]
-    got = column(series(rows, values), windows.decayed_index(KEY, "rain", 0.15))
+    frame = windows.decayed_index(series(rows, values), KEY, "rain", 0.15, "index")
+    got = column(frame, F.col("index"))
     y = values[0]
     for i, v in enumerate(values):
         y = v if i == 0 else 0.15 * v + 0.85 * y
         assert got[i] == pytest.approx(y, abs=1e-9)
 
 
+def test_decayed_index_weighs_by_position_and_cuts_nothing(rows):
+    values = [None, 0.0, None, 2.0, float("nan"), 5.0] + [1.0 if i % 5 else None for i in range(300)]
+    frame = windows.decayed_index(series(rows, values), KEY, "rain", 0.5, "index")
+    got = column(frame, F.col("index"))
+    assert got[0] is None and got[3] == pytest.approx(4 / 3) and got[4] == got[3]
+    want = pd.Series(values, dtype=float).ewm(alpha=0.5, adjust=False).mean()
+    assert got[1:] == pytest.approx(want.tolist()[1:])
+    slow = windows.decayed_index(series(rows, [1e16] + [0.0] * 400), KEY, "rain", 0.01, "index")
+    assert column(slow, F.col("index"))[-1] == pytest.approx(1e16 * 0.99**400)
+
+
 @pytest.mark.parametrize("gap,expected", [(7, 1), (8, 2)])
 def test_episode_gap(rows, gap, expected):
     offsets = list(range(10)) + [9 + gap + i for i in range(10)]

@@ -16,9 +16,8 @@ def test_running_series_survives_restarts_and_equals_the_batch_result(spark, row
         stream = jobs.files(spark, source, rows(schema, every[0]).schema)
         got = jobs.once(jobs.running_series(stream, "cell", "day", "rain", 5.0, 0.3), table, checkpoint)
     key = SeriesKey(("cell",), "day")
-    batch = streak(rows(schema, *every), key, {"wet_streak": F.col("rain") >= 5}).withColumn(
-        "wetness", decayed_index(key, "rain", 0.3)
-    )
+    runs = streak(rows(schema, *every), key, {"wet_streak": F.col("rain") >= 5})
+    batch = decayed_index(runs, key, "rain", 0.3, "wetness")
     want = {(r.cell, r.day): (r.wet_streak, round(r.wetness, 9)) for r in batch.collect()}
     assert {(r.cell, r.day): (r.wet_streak, round(r.wetness, 9)) for r in got.collect()} == want
 
@@ -44,4 +43,39 @@ def test_append_new_adds_each_id_once(spark, rows, tmp_path):
     path = str(tmp_path / "t")
     assert writers.append_new(rows("id int, v int", (1, 1), (1, 2), (2, 1)), path, "id", ["v"]) == 2
     assert writers.append_new(rows("id int, v int", (2, 9), (3, 1)), path, "id", ["v"]) == 1
+    assert writers.append_new(rows("id int, v int", (3, 9)), path, "id", ["v"]) == 0
     assert {(r.id, r.v) for r in spark.read.parquet(path).collect()} == {(1, 1), (2, 1), (3, 1)}
+    units = str(tmp_path / "u")
+    for batch in ([("a", 1, 1), ("b", 1, 1)], [("a", 1, 2), ("a", 2, 1)]):
+        writers.append_new(rows("unit string, id int, v int", *batch), units, "id", ["v"], "unit")
+    assert spark.read.parquet(units).count() == 3
+
+
+def test_a_unit_may_come_in_several_batches(spark, rows, tmp_path):
+    source, table, book = (str(tmp_path / n) for n in ("in", "t", "l"))
+    schema = "unit string, _row_id long, v int"
+    expected = rows("unit string, rows long", ("u1", 3), ("u2", 1))
+    parts = ([("u1", 1, 1), ("u1", 2, 1)], [("u1", 3, 1), ("u1", 2, 9), ("u2", 4, 1)], [("u1", 5, 1), ("u2", 4, 2)])
+    for number, part in enumerate(parts):
+        rows(schema, *part).write.mode("append").parquet(source)
+        stream = jobs.files(spark, source, rows(schema, part[0]).schema)
+        work = jobs.ingest_units("unit", ["v"], table, book, expected)
+        jobs.once_per_batch(stream, work, str(tmp_path / "c"))
+    stored = spark.read.schema(rows(schema, parts[0][0]).schema).parquet(table)
+    # u1 was complete with its third row; the repeat of row 2 and all of the last batch are left out
+    assert sorted((r.unit, r._row_id, r.v) for r in stored.collect()) == [("u1", 1, 1), ("u1", 2, 1), ("u1", 3, 1), ("u2", 4, 1)]
+    jobs.ingest_units("unit", ["v"], table, book)(rows(schema, ("u1", 5, 1)), 9)
+    assert stored.sparkSession.read.schema(stored.schema).parquet(table).count() == 5
+
+
+def test_days_out_of_order_are_settled(spark, rows, tmp_path):
+    schema = "cell long, day date, rain double"
+    day = lambda n: date(2024, 1, n)
+    parts = ([(1, day(2), 8.0), (2, day(1), 1.0)], [(1, day(1), 6.0), (2, day(2), 9.0)], [(1, day(3), 7.0)])
+    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    for part in parts:
+        rows(schema, *part).write.mode("append").parquet(source)
+        stream = jobs.files(spark, source, rows(schema, part[0]).schema)
+        stored = jobs.once(jobs.running_series(stream, "cell", "day", "rain", 5.0, 0.3), table, checkpoint)
+    got = {(r.cell, r.day.day): (r.wet_streak, round(r.wetness, 9)) for r in jobs.settled(stored, "cell", "day", "rain", 5.0, 0.3).collect()}
+    assert got == {(1, 1): (1, 6.0), (1, 2): (2, 6.6), (1, 3): (3, 6.72), (2, 1): (0, 1.0), (2, 2): (1, 3.4)}
