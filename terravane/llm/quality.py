@@ -81,8 +81,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0)
     if len(_known) > REMEMBERED:
         _known.clear()
-    for word in counts.keys() - _known.keys():
-        _known[word] = _numbers(word)
+    for word in counts:
+        if word not in _known:
+            _known[word] = _numbers(word)
     both = np.fromiter(map(_known.__getitem__, counts), np.int64, len(counts))
     share = np.fromiter(counts.values(), np.float64, len(counts))
     share /= share.sum()

@@ -55,7 +55,7 @@ def test_features_cover_the_whole_text():
     n1, v1 = quality.features(head)
     n2, v2 = quality.features(head + "last###")
     assert len(n2) == len(n1) + 2 and abs((v2[:-4] ** 2).sum() - 2) < 1e-9
-    assert v2[-4:].tolist() == [0.0, 0.5, (79_998 / 80_000) ** 0.5, 0.5]
+    assert v2[-4:].tolist() == [0.0, 0.5, (79_997 / 80_000) ** 0.5, 0.5]
     assert len(quality.features(None)[0]) == len(quality.features(" ")[0]) == 0
 
 
