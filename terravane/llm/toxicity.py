@@ -7,6 +7,10 @@ speech what follows it in the clause, and target whether an insult is aimed at s
 composed machine runs over each clause, and a document's score is a logistic function of the
 weights of the clauses matched, by kind of match.
 
+The lexicon counts each group of near-copies about once: of sample documents with an equal smallest
+shingle hash, by either of two hashes, one is counted.  Otherwise the words of a toxic text with many
+copies would pass for insults.
+
 Labels are read only in ``train``: a bounded, documented sample of the rows of the training folds.
 Scoring reads every whole text and nothing else.
 
@@ -26,17 +30,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from terravane.llm.common import fresh, table
+from terravane.llm.common import fresh, table, written
 from terravane.llm.training import labelled_sample
 
 FOLDS, HELD_OUT, TOXIC_FROM = 3, 1, 0.7
 #: Labelled documents that the lexicon and the final weights are fitted on, at most.
 CLEAN_SAMPLE, TOXIC_SAMPLE = 6_000, 4_000
-BEGINNINGS, LEAST_TOXIC, LEAST_WEIGHT = (4, 5, 6), 3, 2.5
+BEGINNINGS, LEAST_WEIGHT = (4, 5, 6, 7, 8), 3.5
+#: An entry needs so many toxic documents, and so many that chance alone would leave all of them toxic
+#: once in CHANCE entries.
+LEAST_TOXIC, CHANCE = 3, 1_000
+SHINGLE_WORDS = 5
 WORD, CLAUSE_END = re.compile(r"[^\W\d_]+"), re.compile(r"[.,;:!?\n]+")
 #: Function words of the grammar, by class; all are arguments.
 CLASSES = {
@@ -159,7 +168,7 @@ def _tallies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def _logistic_fit(x: np.ndarray, y: np.ndarray, importance: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def _logistic_fit(x: np.ndarray, y: np.ndarray, importance: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
     """Newton steps for logistic regression; the last weight is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
     share, weights = importance / importance.sum(), np.zeros(x.shape[1])
@@ -176,6 +185,24 @@ def _logistic_fit(x: np.ndarray, y: np.ndarray, importance: np.ndarray, ridge: f
     return weights
 
 
+def _least_shingle(text: str, seed: int) -> int:
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    runs = [words[i : i + SHINGLE_WORDS] for i in range(max(1, len(words) - SHINGLE_WORDS + 1))]
+    return min(xxhash.xxh64_intdigest(b" ".join(run), seed) for run in runs) >> 1
+
+
+@F.pandas_udf(StructType([StructField("one", LongType()), StructField("two", LongType())]))
+def _sketch(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"one": [_least_shingle(t, 1) for t in texts], "two": [_least_shingle(t, 2) for t in texts]})
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """(label, text) rows of the sample, of near-copies about one."""
+    sketched = sample.select("label", "text", _sketch("text").alias("s"))
+    once = sketched.groupBy("label", "s.one").agg(F.min(F.struct("s.two", "text")).alias("r"))
+    return once.groupBy("label", "r.two").agg(F.min("r.text").alias("text")).select("label", "text")
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     fold = F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
     return F.coalesce(fold == HELD_OUT, F.lit(False))
@@ -188,19 +215,21 @@ def train(documents: DataFrame, labels: DataFrame, classes: Mapping[str, frozens
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("label"))
     )
-    sample, counts = labelled_sample(documents, rated, [0, 1], [CLEAN_SAMPLE, TOXIC_SAMPLE])
-    drawn = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    clean, toxic = drawn.get(0, 0), drawn.get(1, 0)
+    drawn, counts = labelled_sample(documents, rated, [0, 1], [CLEAN_SAMPLE, TOXIC_SAMPLE])
+    sample = written(without_copies(drawn), "distinct-sample")
+    found = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    clean, toxic = found.get(0, 0), found.get(1, 0)
     if not clean or not toxic:
         share = counts.get(1, 0) / max(1, sum(counts.values()))
         odds = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return Model(Lexicon({}, {}), np.array([0.0] * len(KINDS) + [odds]))
+    least = max(LEAST_TOXIC, math.ceil(math.log(CHANCE) / math.log((toxic + clean) / toxic)))
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     learned = (
         sample.mapInPandas(_tallies, "entry string, clean long, toxic long")
         .groupBy("entry")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .where(F.col("toxic") >= max(LEAST_TOXIC, toxic // 1000))
+        .where(F.col("toxic") >= least)
         .withColumn("weight", weight)
         .where(F.col("weight") >= LEAST_WEIGHT)
         .collect()  # no more entries than the bounded sample has
