@@ -46,7 +46,7 @@ def whole_word_names(
     return runs.distinct().join(known, [*by, name], "inner")
 
 
-# names shorter than this are looked up whole, longer ones by one of their blocks
+# names shorter than this are few and are searched for one by one, longer ones by one of their blocks
 SHORT_NAME = 7
 LONGEST_BLOCK = 8
 
@@ -68,8 +68,9 @@ def substring_names(
     A text is cut once into consecutive blocks of q characters.  A name of at least
     2q - 1 characters that occurs in it covers one of these blocks whole, at one of its
     first q offsets, so names are keyed by those q windows and the join is on equality.
-    The blocks of a text are no longer than the text.  Short names are keyed whole
-    against all pieces of their length.  The full name is checked at the end.
+    The blocks of a text are no longer than the text.  Short names have no such blocks; there
+    are only so many, and each text is searched for those of its own ``by`` values.
+    The full name is checked at the end.
     """
     known = names.where(F.length(name) > 0)
     short = F.length(name) < SHORT_NAME
@@ -77,30 +78,31 @@ def substring_names(
     windows = F.transform(
         F.sequence(F.lit(1), block), lambda i: F.substring(F.col(name), i, block)
     )
-    keyed = known.withColumn(
-        "_piece", F.explode(F.when(short, F.array(F.col(name))).otherwise(F.array_distinct(windows)))
-    )
-    lengths = known.agg(
-        F.collect_set(F.when(~short, block)).alias("blocks"),
-        F.collect_set(F.when(short, F.length(name))).alias("whole"),
-    ).select(F.struct("blocks", "whole").alias("s"))
+    keyed = known.where(~short).withColumn("_piece", F.explode(F.array_distinct(windows)))
+    lengths = known.where(~short).agg(F.collect_set(block))
     sized = texts.withColumn("_s", lengths.scalar())
     none = F.array().cast("array<string>")
     cut = [
         F.when(
-            F.array_contains("_s.blocks", n), F.regexp_extract_all(text, F.lit(f"(?s).{{{n}}}"), 0)
+            F.array_contains("_s", n), F.regexp_extract_all(text, F.lit(f"(?s).{{{n}}}"), 0)
         ).otherwise(none)
         for n in range((SHORT_NAME + 1) // 2, LONGEST_BLOCK + 1)
-    ] + [
-        F.when(
-            F.array_contains("_s.whole", n), F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
-        ).otherwise(none)
-        for n in range(1, SHORT_NAME)
     ]
     pieces = sized.select(
         identity, *by, F.explode(F.array_distinct(F.concat(*cut))).alias("_piece")
     )
     hits = pieces.join(keyed, [*by, "_piece"], "inner").drop("_piece").distinct()
-    return hits.join(texts.select(identity, F.col(text).alias("_text")), identity).where(
+    long_hits = hits.join(texts.select(identity, F.col(text).alias("_text")), identity).where(
         F.contains("_text", F.col(name))
     ).drop("_text")
+    # one row per ``by`` value, or one in all
+    gathered = known.where(short).groupBy(*by).agg(F.collect_set(name).alias("_short"))
+    if by:
+        asked = texts.join(gathered, list(by))
+    else:
+        asked = texts.withColumn("_short", gathered.scalar())
+    found = asked.select(
+        identity, *by, F.explode(F.filter("_short", lambda n: F.contains(F.col(text), n))).alias(name)
+    )
+    short_hits = found.join(known.where(short), [*by, name]).distinct()
+    return long_hits.unionByName(short_hits.select(*long_hits.columns))
