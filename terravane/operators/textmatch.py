@@ -32,16 +32,15 @@ def whole_word_names(
         "_longest", longest.scalar()
     )
     places = F.sequence(F.lit(1), F.size("_words"))
-    starts = words.select(
-        identity,
-        *by,
-        F.explode(F.array_distinct(F.transform(places, lambda at: F.slice("_words", at, F.col("_longest"))))).alias("_run"),
-    ).withColumn("_first", F.element_at("_run", 1))
-    fitting = F.filter("_lengths", lambda n: n <= F.size("_run"))
+    # runs are kept as strings: distinct strings are told apart by hash, arrays pair by pair
+    following = F.transform(places, lambda at: F.array_join(F.slice("_words", at, F.col("_longest")), " "))
+    starts = words.select(identity, *by, F.explode(F.array_distinct(following)).alias("_run")).withColumn(
+        "_first", F.substring_index("_run", " ", 1)
+    )
+    # a run shorter than n words stays whole, and still stands in the text
+    cut = F.transform("_lengths", lambda n: F.call_function("substring_index", F.col("_run"), F.lit(" "), n))
     runs = starts.join(lengths, [*by, "_first"]).select(
-        identity,
-        *by,
-        F.explode(F.transform(fitting, lambda n: F.array_join(F.slice("_run", 1, n), " "))).alias(name),
+        identity, *by, F.explode(F.array_distinct(cut)).alias(name)
     )
     return runs.distinct().join(known, [*by, name], "inner")
 
