@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from terravane.llm import (
     chat,
+    decontaminate,
     licenses,
     mixing,
     nearest,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_counts": tokencounts.query,
     "op9_nearest_neighbours": nearest.query,
     "op10_quality_grades": quality.query,
+    "op12_decontamination": decontaminate.query,
 }
 
 SQL = {
@@ -33,4 +35,5 @@ SQL = {
     "op2_license_scan": licenses.SQL,
     "op5_preference_format": chat.SQL,
     "op7_exact_top_k": topk.SQL,
+    "op12_decontamination": decontaminate.SQL,
 }

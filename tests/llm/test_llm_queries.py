@@ -9,7 +9,7 @@ from check_oracle import canonical
 from terravane.llm import catalogue, mixing, packing, quality, simhash, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "conversations", "labels")
+TABLES = ("documents", "embeddings", "conversations", "labels", "benchmark")
 
 
 @pytest.mark.parametrize("name", list(catalogue.SQL))
