@@ -6,6 +6,7 @@ from terravane.llm import (
     chat,
     decontaminate,
     licenses,
+    manifest,
     mixing,
     nearest,
     packing,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_nearest_neighbours": nearest.query,
     "op10_quality_grades": quality.query,
     "op12_decontamination": decontaminate.query,
+    "op13_merkle_manifest": manifest.query,
 }
 
 SQL = {
@@ -36,4 +38,5 @@ SQL = {
     "op5_preference_format": chat.SQL,
     "op7_exact_top_k": topk.SQL,
     "op12_decontamination": decontaminate.SQL,
+    "op13_merkle_manifest": manifest.SQL,
 }
