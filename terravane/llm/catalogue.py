@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from terravane.llm import (
+    alignment,
     chat,
     decontaminate,
     licenses,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_token_counts": tokencounts.query,
     "op9_nearest_neighbours": nearest.query,
     "op10_quality_grades": quality.query,
+    "op11_tokenizer_alignment": alignment.query,
     "op12_decontamination": decontaminate.query,
     "op13_merkle_manifest": manifest.query,
 }
