@@ -17,8 +17,9 @@ A block's postings are bounded by the block; a pair held by all documents has on
 
 Tokenizers.  Texts are cut before single spaces that stand between two plain letters or signs; both
 vocabularies start a token there, as the first splits at such a space and no piece of the second
-goes past one (checked when it is loaded).  Each distinct cut is encoded once per task by the two
-libraries themselves and its alignment is kept, up to ``REMEMBERED`` cuts at a time.
+goes past one (checked when it is loaded).  Each distinct cut is encoded once per task and its
+alignment is kept, up to ``REMEMBERED`` cuts at a time.  Cuts of plain letters and signs get the first
+vocabulary's ids by rank, all others from the library of its file; tests hold both against whole texts.
 
 Defined cases: null and empty texts, and texts whose tokens do not spell them byte by byte, have no
 tokens, zeros and an empty digest; rows with equal or null ids are documents of their own and count
@@ -30,13 +31,17 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,24 +55,35 @@ FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Documents and characters of a block; 12 bits number its documents.
 BLOCK, BLOCK_CHARS = 4096, 8_000_000
 #: Cuts whose alignment a worker remembers before it starts afresh, and the longest of them.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 300_000, 64
+#: Documents whose new cuts are encoded by one call.
+TOGETHER = 250
 #: Characters beside which a space is a safe place to cut: printable ASCII, Latin, Greek, Cyrillic.
 PLAIN = "!-~¡-ʯΑ-ωА-я"
 CUT = re.compile(f"(?<=[{PLAIN}])(?= [{PLAIN}])")
+COMMON = re.compile(f"[ \n{PLAIN}]*")
 NOTHING = np.zeros(0, dtype=np.int64)
 
 
-class Aligned:
+class Aligned(NamedTuple):
     """Tokens, groups and linked pairs of one stretch of text."""
 
-    __slots__ = ("first", "second", "groups", "pairs", "listing")
+    first: int
+    second: int
+    groups: int
+    pairs: Sequence[int]
+    listing: str
 
-    def __init__(self, first: int, second: int, groups: int, pairs: np.ndarray, listing: str):
-        self.first, self.second, self.groups, self.pairs, self.listing = first, second, groups, pairs, listing
+
+def _texts_of(size: int, mark: str) -> np.ndarray:
+    """For each id the texts ``id,`` and ``id`` with the mark that closes its side of a group."""
+    return np.array([f"{i}{end}" for i in range(size) for end in (",", mark)], dtype=object)
 
 
 class Aligner:
     def __init__(self, first_path: str, second_path: str):
+        # Spark's tasks are the parallelism; a pool of threads per worker would not outlive its fork
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.first = Tokenizer.from_file(first_path)
         self.first.encode_special_tokens = True
         letters = _byte_letters()
@@ -75,59 +91,101 @@ class Aligner:
             number: bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
             for token, number in self.first.get_vocab(with_added_tokens=True).items()
         }
+        # the same vocabulary by rank: for letters and signs that any Unicode version splits alike
+        special = set(self.first.get_added_tokens_decoder())
+        ranks = {part: number for number, part in self.first_bytes.items() if number not in special}
+        self.ranked = tiktoken.Encoding(
+            "first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        ).encode_ordinary
         self.second = sentencepiece.SentencePieceProcessor(model_file=second_path)
         pieces = [self.second.id_to_piece(i) for i in range(self.second.vocab_size())]
         self.second_bytes = [
             bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         ]
+        self.first_sizes = np.zeros(max(self.first_bytes) + 1, dtype=np.int64)
+        self.first_sizes[list(self.first_bytes)] = [len(part) for part in self.first_bytes.values()]
+        self.second_sizes = np.array([len(part) for part in self.second_bytes], dtype=np.int64)
+        self.first_texts, self.second_texts = _texts_of(len(self.first_sizes), "|"), _texts_of(len(pieces), ";")
         self.separable = not any("▁" in p.lstrip("▁") for p in pieces)
         self.known: dict[str, Aligned | None] = {}
 
-    def _align(self, text: str) -> Aligned | None:
-        """The alignment of a text that begins with a space; None if its bytes do not come back."""
-        a = self.first.encode(text, add_special_tokens=False).ids
-        b = self.second.encode(text[1:])
-        wanted, a_bytes, b_bytes = text.encode(), self.first_bytes, self.second_bytes
-        a_parts, b_parts = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
-        if b"".join(a_parts) != wanted or b"".join(b_parts) != wanted:
-            return None
-        a_ends, b_ends = np.cumsum([len(p) for p in a_parts]), np.cumsum([len(p) for p in b_parts])
+    def _spelled(self, text: str, a: Sequence[int], b: Sequence[int]) -> bool:
+        """Whether the tokens of either side are the text's bytes."""
+        return all(
+            b"".join([parts[i] for i in ids]) == text.encode() for parts, ids in ((self.first_bytes, a), (self.second_bytes, b))
+        )
+
+    def _weave(self, texts: list[str], firsts: list[list[int]], seconds: list[list[int]]) -> list[Aligned]:
+        """Alignments of spelled texts, all at once: their bytes stand one after the other."""
+        sizes = np.array([len(t.encode()) for t in texts])
+        a, b = (np.fromiter(itertools.chain.from_iterable(side), dtype=np.int64) for side in (firsts, seconds))
+        a_ends, b_ends = np.cumsum(self.first_sizes[a]), np.cumsum(self.second_sizes[b])
         # every stretch between two ends of either side lies in one token of each: a link
-        ends = np.union1d(a_ends, b_ends)
-        a_ids, b_ids = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-        pairs = a_ids[np.searchsorted(a_ends, ends)] << 32 | b_ids[np.searchsorted(b_ends, ends)]
-        both = np.intersect1d(a_ends, b_ends)
-        a_cuts = np.searchsorted(a_ends, both, "right").tolist()
-        b_cuts = np.searchsorted(b_ends, both, "right").tolist()
-        listing, a_from, b_from = [], 0, 0
-        for a_to, b_to in zip(a_cuts, b_cuts):
-            listing.append(",".join(map(str, a[a_from:a_to])) + "|" + ",".join(map(str, b[b_from:b_to])))
-            a_from, b_from = a_to, b_to
-        return Aligned(len(a), len(b), len(both), pairs, ";".join(listing))
-
-    def align(self, text: str | None) -> Aligned | None:
-        if not text:
-            return None
-        spaced = " " + text
-        cuts = CUT.split(spaced) if self.separable else [spaced]
+        ends, both = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends, assume_unique=True)
+        pairs = (a[np.searchsorted(a_ends, ends)] << 32 | b[np.searchsorted(b_ends, ends)]).tolist()
+        # tokens in the order of the listing: of each group the first side's, then the second's
+        a_group, b_group = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
+        listing = np.empty(len(a) + len(b), dtype=object)
+        listing[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = self.first_texts[2 * a + (both[a_group] == a_ends)]
+        listing[np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")] = self.second_texts[
+            2 * b + (both[b_group] == b_ends)
+        ]
+        listing = listing.tolist()
+        close = np.cumsum(sizes)
+        to_pair = np.searchsorted(ends, close, "right").tolist()
+        groups = np.diff(np.searchsorted(both, close, "right"), prepend=0).tolist()
+        found, pair, token = [], 0, 0
+        for n_a, n_b, n_groups, last in zip(map(len, firsts), map(len, seconds), groups, to_pair):
+            shown = "".join(listing[token : token + n_a + n_b])[:-1]
+            found.append(Aligned(n_a, n_b, n_groups, tuple(pairs[pair:last]), shown))
+            token, pair = token + n_a + n_b, last
+        return found
+
+    def _encoded(self, texts: list[str]) -> list[Aligned | None]:
+        """Alignments of texts that begin with a space; None where the bytes do not come back."""
+        if not texts:
+            return []
+        others = [t for t in texts if not COMMON.fullmatch(t)]
+        ids = {t: e.ids for t, e in zip(others, self.first.encode_batch_fast(others, add_special_tokens=False))}
+        firsts = [ids[t] if t in ids else self.ranked(t) for t in texts]
+        seconds = self.second.encode([t[1:] for t in texts], num_threads=1)
+        right = [i for i, of_text in enumerate(zip(texts, firsts, seconds)) if self._spelled(*of_text)]
+        found: list[Aligned | None] = [None] * len(texts)
+        if right:
+            woven = self._weave(*([side[i] for i in right] for side in (texts, firsts, seconds)))
+            for i, aligned in zip(right, woven):
+                found[i] = aligned
+        return found
+
+    def align(self, texts: Sequence[str | None]) -> list[Aligned | None]:
+        """The alignment of each text; None where it has no tokens."""
+        spaced = [" " + t if t else None for t in texts]
+        cuts = [(CUT.split(t) if self.separable else [t]) if t else [] for t in spaced]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, parts = self.known, []
-        for cut in cuts:
-            part = known.get(cut)
-            if part is None:
-                part = self._align(cut)
-                if part is None:
-                    return self._align(spaced) if len(cuts) > 1 else None
-                if len(cut) <= LONGEST:
-                    known[cut] = part
-            parts.append(part)
+        known = self.known
+        new = list(set(itertools.chain.from_iterable(cuts)).difference(known))
+        known.update(zip(new, self._encoded(new)))
+        found = [self._joined([known[c] for c in parts]) for parts in cuts]
+        for i, parts in enumerate(cuts):
+            if found[i] is None and len(parts) > 1:
+                # some cut did not spell its text: the whole text decides
+                found[i] = self._encoded([spaced[i]])[0]
+        for cut in new:
+            if len(cut) > LONGEST:
+                del known[cut]
+        return found
+
+    @staticmethod
+    def _joined(parts: list[Aligned | None]) -> Aligned | None:
+        if not parts or None in parts:
+            return None
         if len(parts) == 1:
             return parts[0]
+        firsts, seconds, groups, pairs, listings = zip(*parts)
         return Aligned(
-            sum(p.first for p in parts), sum(p.second for p in parts), sum(p.groups for p in parts),
-            np.concatenate([p.pairs for p in parts]), ";".join(p.listing for p in parts),
+            sum(firsts), sum(seconds), sum(groups), list(itertools.chain.from_iterable(pairs)), ";".join(listings)
         )
 
 
@@ -256,7 +314,7 @@ class _Block:
                 n_a=found.first, n_b=found.second, n_groups=found.groups, n_links=len(found.pairs),
                 groups_sha256=hashlib.sha256(found.listing.encode()).hexdigest(),
             )
-            pairs, counts = np.unique(found.pairs, return_counts=True)
+            pairs, counts = np.unique(np.array(found.pairs, dtype=np.int64), return_counts=True)
             self.pairs.append(pairs)
             self.counts.append(counts)
             self.docs.append(np.full(len(pairs), place))
@@ -282,11 +340,14 @@ def _encode(first: str, second: str):
         tool, task = aligner(first, second), TaskContext.get().partitionId()
         block = _Block(task << 32)
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                block.add(doc_id, text, tool.align(text))
-                if block.full():
-                    yield from block.close()
-                    block = _Block(block.number + 1)
+            for start in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(start, TOGETHER)
+                texts = some["text"].to_pylist()
+                for doc_id, text, found in zip(some["doc_id"].to_pylist(), texts, tool.align(texts)):
+                    block.add(doc_id, text, found)
+                    if block.full():
+                        yield from block.close()
+                        block = _Block(block.number + 1)
         yield from block.close()
 
     return encode

@@ -100,7 +100,7 @@ def test_cut_texts_have_the_ids_of_whole_texts(tools):
     for _ in range(1500):
         text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 60)))
         a, b = tokens(tools, text)
-        found = tool.align(text)
+        found = tool.align([text])[0]
         assert (found.first, found.second) == (len(a), len(b)) if a else found is None
         if a:
             sides = [part.split("|") for part in found.listing.split(";")]
