@@ -46,11 +46,9 @@ def _not_nan(value) -> Column:
 
 
 def _windowed(key: SeriesKey, value, rows: int) -> tuple[Column, Column]:
-    """Sum and count of the non-null values in the trailing frame.
+    """Sum and count of the non-null values in the trailing frame, added up row by row.
 
-    The frame itself is summed at every length.  A difference of two growing sums would be
-    cheaper for long frames, but a very large or infinite value that has left the frame would
-    stay in its rounding.
+    One expression, for short frames; ``rolling`` builds long ones from blocks.
     """
     value, frame = _not_nan(value), key.trailing(rows)
     return F.sum(value).over(frame), F.count(value).over(frame)
@@ -69,8 +67,79 @@ def rolling_max(key: SeriesKey, value, rows: int) -> Column:
     return F.max(as_column(value)).over(key.trailing(rows))
 
 
-def trailing_anomaly(key: SeriesKey, value, rows: int) -> Column:
-    return as_column(value) - rolling_mean(key, value, rows)
+#: Rows of the smallest block; each larger block is made of as many smaller ones.
+BLOCK_ROWS = 8
+
+
+@dataclass(frozen=True)
+class Rolling:
+    """A trailing ``sum``, ``mean`` or ``anomaly`` (value less mean) of a column over ``rows`` rows."""
+
+    kind: str
+    value: str
+    rows: int
+
+
+def rolling(frame: DataFrame, key: SeriesKey, wanted: Mapping[str, Rolling]) -> DataFrame:
+    """Adds trailing sums, means and anomalies over frames of any length.
+
+    Every row first carries the sum of the block of ``BLOCK_ROWS`` rows that ends with it, then that
+    of the block of ``BLOCK_ROWS`` such blocks, and so on.  A frame is a few whole blocks, picked at
+    their distance from the row, and a ragged rest of fewer than ``BLOCK_ROWS`` rows.  So a frame of n
+    rows costs about log(n) steps a row, all frames of a column share the blocks, and all of it the
+    one exchange and sort of the key.  Nothing is ever subtracted: a huge or infinite value leaves no
+    trace in frames it is not in.  Nulls and NaN count as missing; a frame of them alone is null.
+    """
+    values = list(dict.fromkeys(w.value for w in wanted.values()))
+    order, longest = key.order(), {v: max(w.rows for w in wanted.values() if w.value == v) for v in values}
+    parts = {
+        v: (f"_v{i}", f"_k{i}") for i, v in enumerate(values)
+    }  # sum and count; missing values add nothing
+    first = {}
+    for v, (total, count) in parts.items():
+        x = _not_nan(F.col(v))
+        first |= {total: F.coalesce(x, F.lit(0.0)), count: F.when(x.isNull(), 0).otherwise(1)}
+    work, sizes = frame.withColumns(first), [1]
+
+    def back(name: str, rows: int) -> Column:
+        return F.coalesce(F.lag(name, rows).over(order), F.lit(0)) if rows else F.col(name)
+
+    while sizes[-1] * BLOCK_ROWS <= max(longest.values()):
+        size, below = sizes[-1] * BLOCK_ROWS, sizes[-1]
+        level = {}
+        for v, names in parts.items():
+            if longest[v] < size:
+                continue
+            for name in names:
+                if below == 1:
+                    level[f"{name}_{size}"] = F.sum(name).over(key.trailing(size))
+                else:
+                    steps = [back(f"{name}_{below}", below * i) for i in range(BLOCK_ROWS)]
+                    level[f"{name}_{size}"] = sum(steps[1:], steps[0])
+        work = work.withColumns(level)
+        sizes.append(size)
+
+    def framed(name: str, rows: int) -> Column:
+        pieces, offset = [], 0
+        for size in reversed(sizes[1:]):
+            while rows - offset >= size:
+                pieces.append(back(f"{name}_{size}", offset))
+                offset += size
+        if rows > offset:
+            rest = F.sum(name).over(order.rowsBetween(1 - rows, -offset))
+            pieces.append(F.coalesce(rest, F.lit(0)))
+        return sum(pieces[1:], pieces[0])
+
+    out = {}
+    for name, w in wanted.items():
+        total, count = (framed(part, w.rows) for part in parts[w.value])
+        if w.kind == "sum":
+            out[name] = F.when(count > 0, total)
+        else:
+            mean = F.when(count > 0, total / count)
+            out[name] = mean if w.kind == "mean" else F.col(w.value) - mean
+    helpers = [c for c in work.columns if c not in frame.columns]
+    return work.withColumns(out).drop(*helpers)
 
 
 def month_anomaly(key: SeriesKey, value) -> Column:
@@ -78,8 +147,10 @@ def month_anomaly(key: SeriesKey, value) -> Column:
     return as_column(value) - F.avg(as_column(value)).over(key.monthly())
 
 
-def water_balance(key: SeriesKey, gain, loss, rows: int) -> Column:
-    return rolling_sum(key, gain, rows) - rolling_sum(key, loss, rows)
+def water_balance(frame: DataFrame, key: SeriesKey, gain: str, loss: str, rows: int, name: str) -> DataFrame:
+    """Adds the trailing sum of ``gain`` less that of ``loss``."""
+    summed = rolling(frame, key, {"_gain": Rolling("sum", gain, rows), "_loss": Rolling("sum", loss, rows)})
+    return summed.withColumn(name, F.col("_gain") - F.col("_loss")).drop("_gain", "_loss")
 
 
 # days folded at a time, so that the list of a cell's results is copied once per chunk
@@ -199,20 +270,19 @@ def rolling_features(
     anomalies: Mapping[str, Sequence[int]] | None = None,
 ) -> DataFrame:
     """All rolling columns of a feature table in one pass: ``{column}_{n}d_{kind}``."""
-    wanted = (
-        ("sum", rolling_sum, sums),
-        ("mean", rolling_mean, means),
-        ("max", rolling_max, maxima),
-        ("anomaly", trailing_anomaly, anomalies),
-    )
-    return frame.withColumns(
-        {
-            f"{column}_{rows}d_{kind}": build(key, column, rows)
-            for kind, build, columns in wanted
-            for column, spans in (columns or {}).items()
-            for rows in spans
-        }
-    )
+    wanted = {
+        f"{column}_{rows}d_{kind}": Rolling(kind, column, rows)
+        for kind, columns in (("sum", sums), ("mean", means), ("anomaly", anomalies))
+        for column, spans in (columns or {}).items()
+        for rows in spans
+    }
+    highest = {
+        f"{column}_{rows}d_max": rolling_max(key, column, rows)
+        for column, spans in (maxima or {}).items()
+        for rows in spans
+    }
+    rolled = rolling(frame, key, wanted) if wanted else frame
+    return rolled.withColumns(highest) if highest else rolled
 
 
 def short_history_features(
@@ -220,11 +290,11 @@ def short_history_features(
 ) -> DataFrame:
     """Rolling sum and anomaly, replaced by the value and zero in cells with too few days."""
     days = F.count(F.lit(1)).over(Window.partitionBy(*key.cell))
-    short = days < min_days
-    return frame.withColumns(
+    rolled = rolling(frame, key, {"rolling": Rolling("sum", value, rows), "anomaly": Rolling("anomaly", value, rows)})
+    short = F.col("history_days") < min_days
+    return rolled.withColumn("history_days", days).withColumns(
         {
-            "history_days": days,
-            "rolling": F.when(short, as_column(value)).otherwise(rolling_sum(key, value, rows)),
-            "anomaly": F.when(short, F.lit(0.0)).otherwise(trailing_anomaly(key, value, rows)),
+            "rolling": F.when(short, as_column(value)).otherwise(F.col("rolling")),
+            "anomaly": F.when(short, F.lit(0.0)).otherwise(F.col("anomaly")),
         }
     )

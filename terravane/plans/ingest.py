@@ -287,7 +287,7 @@ def stream_incremental_ingest(t):
 @query(
     "stream_ledger_ingest",
     "R2",
-    "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS unit, count(*) AS rows FROM events GROUP BY 1",
+    "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS unit, count(*) AS rows, count(*) AS ledger_rows, 'struct<unit:string,_row_id:bigint,value:double>' AS schema, 1 AS phase FROM events GROUP BY 1",
 )
 def stream_ledger_ingest(t):
     base = run_folder(t.spark, "units")
@@ -295,12 +295,16 @@ def stream_ledger_ingest(t):
     rows = event_stream(t).select(
         F.to_date("ts").cast("string").alias("unit"), F.col("event_id").alias("_row_id"), "value"
     )
-    work = jobs.ingest_units("unit", ["value"], table, book)
+    expected = t.events.groupBy(F.to_date("ts").cast("string").alias("unit")).agg(F.count(F.lit(1)).alias("rows"))
+    work = jobs.ingest_units("unit", ["value"], table, book, expected)
     jobs.once_per_batch(rows, work, f"{base}/first")
-    # the same input through a new checkpoint: the ledger keeps it out
+    # the same input through a new checkpoint: full units are skipped by schema and count
     jobs.once_per_batch(rows, work, f"{base}/second")
-    stored = t.spark.read.schema(rows.schema).parquet(table)
-    return stored.groupBy("unit").agg(F.count(F.lit(1)).alias("rows"))
+    stored = t.spark.read.schema(rows.schema).parquet(table).groupBy("unit").agg(F.count(F.lit(1)).alias("rows"))
+    state = jobs.ledger_state(t.spark.read.schema(f"unit STRING, {jobs.ENTRY}").parquet(book), "unit")
+    return stored.join(state.withColumnRenamed("rows", "ledger_rows"), "unit").select(
+        "unit", "rows", "ledger_rows", "schema", "phase"
+    )
 
 
 @query(
@@ -403,11 +407,15 @@ def stream_dry_spells(t):
 def stream_running_series(t):
     source = run_folder(t.spark, "cell-days")
     days = t.events.groupBy(F.col("user_id").alias("cell"), F.to_date("ts").alias("day")).agg(F.sum("value").alias("rain"))
-    writers.snapshot(days, source)
     table, checkpoint = folders(t, "series")
-    stream = jobs.files(t.spark, source, days.schema)
-    stored = jobs.once(jobs.running_series(stream, "cell", "day", "rain", 60.0, 0.2), table, checkpoint)
-    out = jobs.settled(stored, "cell", "day", "rain", 60.0, 0.2)
+    # two runs: every third day of a cell comes after the days that follow it
+    for late in (False, True):
+        part = days.where((F.dayofyear("day") % 3 == 0) == F.lit(late))
+        writers.snapshot(part, f"{source}/late={int(late)}")
+        stream = jobs.files(t.spark, f"{source}/*", days.schema)
+        series = jobs.running_series(stream, "cell", "day", "rain", 60.0, 0.2)
+        stored = jobs.once(series, table, checkpoint, jobs.KEYED_STATE)
+    out = jobs.newest(stored, "cell", "day")
     return out.select("cell", F.col("day").cast("string").alias("day"), "wet_streak", tidy("wetness").alias("wetness"))
 
 
@@ -418,14 +426,10 @@ def stream_running_series(t):
 )
 def stream_freshness(t):
     base = run_folder(t.spark, "fresh")
-    metrics = jobs.observed(jobs.freshness(event_stream(t), "ts"), "freshness", f"{base}/checkpoint")
-    newest = max((m["newest_us"] for m in metrics if m["newest_us"] is not None), default=None)
+    batches = jobs.freshness(event_stream(t), "ts", f"{base}/checkpoint", f"{base}/batches")
     limit = F.unix_micros(F.lit("2024-02-01 00:00:00").cast("timestamp") - F.expr("INTERVAL 36 HOURS"))
-    newest_us = F.lit(newest).cast("long")
-    return t.spark.range(1).select(
-        F.lit(sum(m["rows"] for m in metrics)).cast("long").alias("rows"),
-        newest_us.alias("newest_us"),
-        (newest_us < limit).cast("int").alias("stale"),
+    return batches.agg(F.sum("rows").alias("rows"), F.max("newest_us").alias("newest_us")).withColumn(
+        "stale", (F.col("newest_us") < limit).cast("int")
     )
 
 

@@ -84,11 +84,9 @@ SUM_ROWS = (3, 7, 14, 30, 90, 180)
     + " FROM station_days",
 )
 def rolling_sums(t):
-    return station_days(t).select(
-        "station",
-        day_text(),
-        *[tidy(windows.rolling_sum(STATION, "precipitation", n)).alias(f"sum_{n}") for n in SUM_ROWS],
-    )
+    wanted = {f"sum_{n}": windows.Rolling("sum", "precipitation", n) for n in SUM_ROWS}
+    rolled = windows.rolling(station_days(t), STATION, wanted)
+    return rolled.select("station", day_text(), *[tidy(name).alias(name) for name in wanted])
 
 
 MEAN_ROWS = (7, 30, 90, 365)
@@ -104,10 +102,11 @@ MEAN_ROWS = (7, 30, 90, 365)
     + " FROM station_days",
 )
 def rolling_means_and_maxima(t):
-    return station_days(t).select(
+    wanted = {f"mean_{n}": windows.Rolling("mean", "precipitation", n) for n in MEAN_ROWS}
+    return windows.rolling(station_days(t), STATION, wanted).select(
         "station",
         day_text(),
-        *[tidy(windows.rolling_mean(STATION, "precipitation", n)).alias(f"mean_{n}") for n in MEAN_ROWS],
+        *[tidy(name).alias(name) for name in wanted],
         *[windows.rolling_max(STATION, "temperature", n).alias(f"max_{n}") for n in (3, 7)],
     )
 
@@ -123,14 +122,9 @@ def rolling_means_and_maxima(t):
     + " FROM station_days",
 )
 def trailing_anomalies(t):
-    return station_days(t).select(
-        "station",
-        day_text(),
-        *[
-            tidy(windows.trailing_anomaly(STATION, "precipitation", n)).alias(f"anomaly_{n}")
-            for n in (30, 365)
-        ],
-    )
+    wanted = {f"anomaly_{n}": windows.Rolling("anomaly", "precipitation", n) for n in (30, 365)}
+    rolled = windows.rolling(station_days(t), STATION, wanted)
+    return rolled.select("station", day_text(), *[tidy(name).alias(name) for name in wanted])
 
 
 @query(
@@ -196,8 +190,10 @@ def wet_and_dry_streaks(t):
     FROM station_days""",
 )
 def rolling_water_balance(t):
-    balance = windows.water_balance(STATION, "precipitation", "potential_evaporation", 30)
-    return station_days(t).select("station", day_text(), tidy(balance).alias("balance_30"))
+    days = windows.water_balance(
+        station_days(t), STATION, "precipitation", "potential_evaporation", 30, "balance_30"
+    )
+    return days.select("station", day_text(), tidy("balance_30").alias("balance_30"))
 
 
 HORIZONS = (3, 7, 14)

@@ -1,3 +1,4 @@
+import math
 from datetime import date, timedelta
 
 import pandas as pd
@@ -33,8 +34,10 @@ def test_rolling_sum_counts_rows_not_days(rows):
 def test_long_frames_equal_sliding_frames(rows, n):
     values = [None if i % 7 == 3 else float((i * 37) % 11) for i in range(200)]
     frame = series(rows, values)
-    got = column(frame, windows.rolling_sum(KEY, "rain", n))
-    means = column(frame, windows.rolling_mean(KEY, "rain", n))
+    wanted = {"s": windows.Rolling("sum", "rain", n), "m": windows.Rolling("mean", "rain", n)}
+    rolled = windows.rolling(frame, KEY, wanted)
+    got, means = column(rolled, F.col("s")), column(rolled, F.col("m"))
+    assert means == pytest.approx(column(frame, windows.rolling_mean(KEY, "rain", n)))
     for i in range(200):
         window = [v for v in values[max(0, i - n + 1) : i + 1] if v is not None]
         assert got[i] == pytest.approx(sum(window))
@@ -45,7 +48,8 @@ def test_long_frames_equal_sliding_frames(rows, n):
 def test_values_that_left_the_frame_leave_no_trace(rows, n):
     values = [1e16, 1.0, float("inf"), float("nan")] + [1.0] * 150
     frame = series(rows, values)
-    got = column(frame, windows.rolling_sum(KEY, "rain", n))
+    got = column(windows.rolling(frame, KEY, {"s": windows.Rolling("sum", "rain", n)}), F.col("s"))
+    assert got == column(frame, windows.rolling_sum(KEY, "rain", n)) or math.isinf(got[2])
     assert got[2 + n :] == [min(n, i - 3.0) for i in range(2 + n, len(values))][: len(got[2 + n :])]
     assert column(frame, windows.rolling_mean(KEY, "rain", n))[-1] == 1.0
 
@@ -53,6 +57,30 @@ def test_values_that_left_the_frame_leave_no_trace(rows, n):
 def test_rolling_sum_of_only_nulls_is_null(rows):
     frame = series(rows, [None] * 40)
     assert column(frame, windows.rolling_sum(KEY, "rain", 35)) == [None] * 40
+    assert column(windows.rolling(frame, KEY, {"s": windows.Rolling("sum", "rain", 35)}), F.col("s")) == [None] * 40
+
+
+def test_all_frame_lengths_from_blocks(rows):
+    """Every length around the block sizes, two columns with their own nulls, several cells."""
+    lengths = [1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 127, 200, 511, 512, 513, 700]
+    values = [(c, START + timedelta(days=2 * i), None if (i + c) % 5 == 0 else float((i * 31 + c) % 17), float(i % 9)) for c in (1, 2) for i in range(600)]
+    frame = rows("cell long, day date, rain double, heat double", *values)
+    wanted = {f"r{n}": windows.Rolling("sum", "rain", n) for n in lengths}
+    wanted |= {f"h{n}": windows.Rolling("anomaly", "heat", n) for n in (3, 30, 365)}
+    rolled = windows.rolling(frame, KEY, wanted)
+    assert rolled.columns == [*frame.columns, *wanted]
+    series = {c: [v for v in values if v[0] == c] for c in (1, 2)}
+    place = {(v[0], v[1]): i for c in series for i, v in enumerate(series[c])}
+    for r in rolled.collect():
+        i, own = place[r["cell"], r["day"]], series[r["cell"]]
+        for n in lengths:
+            inside = [v[2] for v in own[max(0, i - n + 1) : i + 1] if v[2] is not None]
+            assert r[f"r{n}"] == (sum(inside) if inside else None)
+        for n in (3, 30, 365):
+            inside = [v[3] for v in own[max(0, i - n + 1) : i + 1]]
+            assert r[f"h{n}"] == pytest.approx(own[i][3] - sum(inside) / len(inside))
+    plan = rolled._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
 
 
 def test_future_window_needs_all_rows(rows):

@@ -1,5 +1,6 @@
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from terravane.operators.windows import SeriesKey, decayed_index, streak
@@ -8,18 +9,30 @@ from terravane.streaming import jobs
 
 
 def test_running_series_survives_restarts_and_equals_the_batch_result(spark, rows, tmp_path):
-    schema = "cell long, day date, rain double"
-    every = [(c, date(2024, 1, 1) + timedelta(days=d), float((d * 7 + c) % 10)) for c in (1, 2) for d in range(20)]
+    """Nulls, NaN, days out of order and given twice, over three restarts."""
+    schema, nan = "cell long, day date, rain double", float("nan")
+    day = lambda n: date(2024, 1, 1) + timedelta(days=n)
+    amount = lambda c, d: None if (d + c) % 6 == 1 else nan if d % 9 == 5 else float((d * 7 + c) % 10)
+    every = [(c, day(d), amount(c, d)) for c in (1, 2, 3) for d in range(24)]
+    parts = [[r for i, r in enumerate(every) if (i * 5) % 8 in kinds] for kinds in ((0, 1, 2), (3,), (4, 5), (6, 7))]
+    parts[2] += [(1, day(2), 99.0), (4, day(3), None)]
+    parts[3] += [(4, day(1), 8.0), (4, day(5), 2.0), (4, day(7), 4.0)]
     source, table, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
-    for part in (every[:10] + every[20:30], every[10:20] + every[30:]):
-        rows(schema, *part).write.mode("append").parquet(source)
+    for part in parts:
+        rows(schema, *part).coalesce(1).write.mode("append").parquet(source)
         stream = jobs.files(spark, source, rows(schema, every[0]).schema)
-        got = jobs.once(jobs.running_series(stream, "cell", "day", "rain", 5.0, 0.3), table, checkpoint)
+        series = jobs.running_series(stream, "cell", "day", "rain", 5.0, 0.3)
+        got = jobs.newest(jobs.once(series, table, checkpoint, jobs.KEYED_STATE), "cell", "day")
+    given = rows(schema, *[r for part in parts for r in part])
+    tidy = given.withColumn("rain", F.when(~F.isnan("rain"), F.col("rain"))).groupBy("cell", "day").agg(F.min("rain").alias("rain"))
     key = SeriesKey(("cell",), "day")
-    runs = streak(rows(schema, *every), key, {"wet_streak": F.col("rain") >= 5})
+    runs = streak(tidy, key, {"wet_streak": F.col("rain") >= 5})
     batch = decayed_index(runs, key, "rain", 0.3, "wetness")
-    want = {(r.cell, r.day): (r.wet_streak, round(r.wetness, 9)) for r in batch.collect()}
-    assert {(r.cell, r.day): (r.wet_streak, round(r.wetness, 9)) for r in got.collect()} == want
+    shown = lambda frame: {
+        (r.cell, r.day): (r.rain, r.wet_streak, r.wetness if r.wetness is None else round(r.wetness, 9)) for r in frame.collect()
+    }
+    assert shown(got) == shown(batch) and len(shown(got)) == 24 * 3 + 4
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != list(jobs.KEYED_STATE.values())[0]
 
 
 def test_late_rows_and_duplicates(spark, rows, tmp_path):
@@ -68,14 +81,46 @@ def test_a_unit_may_come_in_several_batches(spark, rows, tmp_path):
     assert stored.sparkSession.read.schema(stored.schema).parquet(table).count() == 5
 
 
-def test_days_out_of_order_are_settled(spark, rows, tmp_path):
-    schema = "cell long, day date, rain double"
-    day = lambda n: date(2024, 1, n)
-    parts = ([(1, day(2), 8.0), (2, day(1), 1.0)], [(1, day(1), 6.0), (2, day(2), 9.0)], [(1, day(3), 7.0)])
-    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
-    for part in parts:
-        rows(schema, *part).write.mode("append").parquet(source)
-        stream = jobs.files(spark, source, rows(schema, part[0]).schema)
-        stored = jobs.once(jobs.running_series(stream, "cell", "day", "rain", 5.0, 0.3), table, checkpoint)
-    got = {(r.cell, r.day.day): (r.wet_streak, round(r.wetness, 9)) for r in jobs.settled(stored, "cell", "day", "rain", 5.0, 0.3).collect()}
-    assert got == {(1, 1): (1, 6.0), (1, 2): (2, 6.6), (1, 3): (3, 6.72), (2, 1): (0, 1.0), (2, 2): (1, 3.4)}
+class Crash(Exception):
+    pass
+
+
+@pytest.mark.parametrize("written", [False, True])
+@pytest.mark.parametrize("step", [1, 2, 3])
+def test_a_crash_at_any_step_doubles_and_loses_nothing(spark, rows, tmp_path, monkeypatch, step, written):
+    """The batch dies before or after its intent, data or commit is written, and is run again."""
+    table, book = str(tmp_path / "t"), str(tmp_path / "l")
+    schema = "unit string, _row_id long, v int"
+    first = rows(schema, ("u1", 1, 1), ("u1", 2, 1), ("u2", 3, 1))
+    work = jobs.ingest_units("unit", ["v"], table, book, rows("unit string, rows long", ("u1", 2), ("u2", 1)))
+    calls, plain = [], jobs._append
+
+    def failing(*arguments):
+        calls.append(arguments)
+        if len(calls) == step and not written:
+            raise Crash
+        plain(*arguments)
+        if len(calls) == step:
+            raise Crash
+
+    monkeypatch.setattr(jobs, "_append", failing)
+    with pytest.raises(Crash):
+        work(first, 0)
+    monkeypatch.setattr(jobs, "_append", plain)
+    for number in (0, 1):
+        work(first, number)
+    stored = spark.read.schema(schema).parquet(table)
+    assert sorted((r.unit, r._row_id, r.v) for r in stored.collect()) == [("u1", 1, 1), ("u1", 2, 1), ("u2", 3, 1)]
+    state = jobs.ledger_state(spark.read.schema(f"unit string, {jobs.ENTRY}").parquet(book), "unit")
+    assert sorted((r.unit, r.phase, r.rows) for r in state.collect()) == [("u1", 1, 2), ("u2", 1, 1)]
+
+
+def test_freshness_of_more_batches_than_spark_remembers(spark, rows, tmp_path):
+    source = str(tmp_path / "in")
+    days = [(i, datetime(2024, 1, 1) + timedelta(hours=(i * 37) % 130)) for i in range(130)]
+    rows("id int, ts timestamp", *days).repartition(130, "id").write.option("maxRecordsPerFile", 1).parquet(source)
+    stream = jobs.files(spark, source, rows("id int, ts timestamp", days[0]).schema, per_batch=1)
+    found = jobs.freshness(stream, "ts", str(tmp_path / "c"), str(tmp_path / "b"))
+    totals = found.agg(F.count("batch").alias("n"), F.sum("rows").alias("rows"), F.max("newest_us").alias("us")).first()
+    assert totals["n"] >= 130 and totals["rows"] == 130
+    assert totals["us"] == (datetime(2024, 1, 1) + timedelta(hours=129)).replace(tzinfo=timezone.utc).timestamp() * 1e6
