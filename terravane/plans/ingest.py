@@ -84,6 +84,31 @@ def event_export_scan(t):
     ).distinct()
 
 
+@query(
+    "export_line_outcomes",
+    "S5",
+    """SELECT 'accepted' AS outcome, count(*) AS lines FROM documents WHERE doc_id <> 0 UNION ALL SELECT 'repeated id', count(*) FROM documents WHERE doc_id % 4 = 0 AND doc_id <> 0
+    UNION ALL SELECT 'too many fields', count(*) FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT 'id 0', count(*) * 2 FROM documents WHERE doc_id = 0
+    UNION ALL SELECT 'empty line', count(*) FROM documents WHERE doc_id % 11 = 0""",
+)
+def export_line_outcomes(t):
+    key, last = F.col("doc_id"), len(readers.EXPORT_COLUMNS) - 2
+    line = F.concat_ws("\t", key.cast("string"), F.col("lang"), *[F.lit("")] * last)
+    lines = F.array_compact(
+        F.array(
+            line,
+            F.when(key % 4 == 0, line),
+            F.when(key % 7 == 0, F.concat_ws("\t", line, F.lit("one"), F.lit("more"))),
+            F.when(key % 11 == 0, F.lit("")),
+        )
+    )
+    path = run_folder(t.spark, "export-lines")
+    # all lines of an id stand in one file
+    t.documents.repartition("doc_id").select(F.explode(lines).alias("value")).write.text(path)
+    outcome = F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")
+    return readers.export_lines(t.spark, path).groupBy(outcome).agg(F.count(F.lit(1)).alias("lines"))
+
+
 INDEX_SQL = """idx AS (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) AS size_bytes, strftime(o_orderdate, '%Y%m%d') || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || '1500' AS stamp,
   CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month FROM orders WHERE o_orderkey % 3 <> 0)"""
 

@@ -315,11 +315,11 @@ def value_counts(t):
 @query(
     "confidence_histogram",
     "A12",
-    f"""WITH {CANONICAL_SQL} SELECT count(*) FILTER (confidence >= 80) AS from_80, count(*) FILTER (confidence >= 60 AND confidence < 80) AS from_60,
-      count(*) FILTER (confidence >= 45 AND confidence < 60) AS from_45, count(*) FILTER (confidence < 45) AS below_45, {tidy_sql('avg(confidence)', 4)} AS mean FROM canonical""",
+    f"""WITH {CANONICAL_SQL} SELECT count(*) FILTER (confidence >= 64) AS from_64, count(*) FILTER (confidence >= 32 AND confidence < 64) AS from_32,
+      count(*) FILTER (confidence >= 16 AND confidence < 32) AS from_16, count(*) FILTER (confidence < 16) AS below_16, {tidy_sql('avg(confidence)', 4)} AS mean FROM canonical""",
 )
 def confidence_histogram(t):
-    return tidy_columns(audits.score_histogram(canonical(t), "confidence", [80, 60, 45]), ["mean"], 4)
+    return tidy_columns(audits.score_histogram(canonical(t), "confidence", [64, 32, 16]), ["mean"], 4)
 
 
 @query(

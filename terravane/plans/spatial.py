@@ -86,11 +86,11 @@ def nearest_district(t):
         CASE WHEN point_id % 5 <> 0 THEN amount / 100 + 15 END AS w3 FROM points),
     s AS (SELECT *, greatest(w1, w2, w3) AS wind FROM track), v AS (SELECT * FROM s WHERE wind >= 40),
     c AS (SELECT v.*, d.district_id, {haversine_sql('v.latitude', 'v.longitude', 'd.latitude', 'd.longitude')} AS km
-      FROM v, districts d WHERE abs(v.latitude - d.latitude) < 1.0)
+      FROM v, districts d WHERE abs(v.latitude - d.latitude) < 1.2)
     SELECT storm, district_id, {tidy_sql('km', 4)} AS distance_km, {tidy_sql('wind')} AS wind,
       CASE wind WHEN w1 THEN 'first' WHEN w2 THEN 'second' ELSE 'third' END AS agency,
       CASE WHEN wind >= 100 THEN 'third level' WHEN wind >= 70 THEN 'second level' ELSE 'first level' END AS severity
-    FROM c WHERE km <= 100 QUALIFY row_number() OVER (PARTITION BY storm, district_id ORDER BY km, point_id) = 1""",
+    FROM c WHERE km <= 128 QUALIFY row_number() OVER (PARTITION BY storm, district_id ORDER BY km, point_id) = 1""",
 )
 def storm_closest_approach(t):
     track = points(t).select(
@@ -104,7 +104,7 @@ def storm_closest_approach(t):
     )
     wind, agency = geo.strongest({"first": F.col("w1"), "second": F.col("w2"), "third": F.col("w3")})
     strong = track.withColumns({"wind": wind, "agency": agency}).where("wind >= 40")
-    best = geo.closest_approach(strong, districts(t), "storm", ["district_id"], 100.0, ["point_id"])
+    best = geo.closest_approach(strong, districts(t), "storm", ["district_id"], 128.0, ["point_id"])
     severity = F.when(F.col("wind") >= 100, "third level").when(F.col("wind") >= 70, "second level").otherwise("first level")
     return best.select(
         "storm",

@@ -33,7 +33,7 @@ RULES = {
 POINTS = ClassPoints(base=40, per_word=4, most_extra=12, url=20)
 STATES = {"ALPHA": ("thre", "anti"), "BETA": ("thon", "ering", "le de"), "GAMMA": ("und", "thed", "los")}
 COUNTRIES = {"action_country": "HM", "actor_country": "HOM"}
-ROW = RowPoints(per_state_hit=8, most_state=24, district=12, country=6, geo_name=3, url=3, cap=100, review_below=76)
+ROW = RowPoints(per_state_hit=12, most_state=24, district=12, country=6, geo_name=3, url=3, cap=100, review_below=76)
 LACKS = RowReasons(state="no state named", district="no district named", country="other country", url="no link")
 # the same scale, with coverage instead of place name and link
 DETAIL = DetailPoints(
@@ -186,11 +186,11 @@ def state_inference(t):
 
 
 def place_names(t):
-    """District names per state: every run of one to four words of the benchmark texts' own phrases."""
+    """District names per state: every phrase of the benchmark texts, however long."""
     state = F.element_at(F.array(*[F.lit(s) for s in STATES]), (F.col("item_id") % 3 + 1).cast("int"))
     phrases = F.filter(
         F.transform(F.split(F.lower("text"), r"[.,\n]+"), lambda p: F.trim(F.regexp_replace(p, "[^a-z0-9]+", " "))),
-        lambda p: p.rlike("^[a-z0-9]+( [a-z0-9]+){0,3}$"),
+        lambda p: p != "",
     )
     names = F.explode(phrases)
     return (
@@ -203,7 +203,7 @@ def place_names(t):
 PLACES_SQL = """bench AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[.,\\n]+')) AS part FROM benchmark),
 cut AS (SELECT item_id, trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) AS district_norm FROM bench),
 place_names AS (SELECT DISTINCT CASE item_id % 3 WHEN 0 THEN 'ALPHA' WHEN 1 THEN 'BETA' ELSE 'GAMMA' END AS state, district_norm FROM cut
-  WHERE regexp_full_match(district_norm, '[a-z0-9]+( [a-z0-9]+){0,3}'))"""
+  WHERE district_norm <> '')"""
 
 
 def placed(t):
@@ -326,29 +326,32 @@ def deduplicated_candidates(t):
     return kept.select(F.col("id").alias("event_key"), "source_url", F.col("score").cast("int").alias("score"))
 
 
-BANDS = ((75, "EXTREME"), (55, "SEVERE"), (35, "MODERATE"))
+# severity grades halve the score from step to step; an unsure row counts half
+BANDS = ((64, "GRADE 4"), (32, "GRADE 3"), (16, "GRADE 2"))
 
 
 @query(
     "severity_and_confidence",
     "F23",
-    f"""WITH {SCORED_SQL} SELECT event_key, CASE WHEN score >= 75 THEN 'EXTREME' WHEN score >= 55 THEN 'SEVERE' WHEN score >= 35 THEN 'MODERATE' ELSE 'MINOR' END AS severity,
-      {tidy_sql("least(CASE WHEN score < 76 OR district = 'UNKNOWN' THEN score * 0.8 ELSE score END, 100)", 2)} AS confidence FROM s""",
+    f"""WITH {SCORED_SQL} SELECT event_key, CASE WHEN score >= 64 THEN 'GRADE 4' WHEN score >= 32 THEN 'GRADE 3' WHEN score >= 16 THEN 'GRADE 2' ELSE 'GRADE 1' END AS severity,
+      {tidy_sql("least(CASE WHEN score < 76 OR district = 'UNKNOWN' THEN score * 0.5 ELSE score END, 100)", 2)} AS confidence FROM s""",
 )
 def severity_and_confidence(t):
     rows = placed(t).where("hazard IS NOT NULL")
     scored = rows.withColumns(
         candidates.score_row(F.col("action_country") == "HM", F.col("geo_name"), F.col("source_url"), ROW, LACKS)
     )
-    out = scored.withColumns(groundtruth.severity_and_confidence("score", F.col("needs_review"), BANDS, "MINOR", 0.8))
+    out = scored.withColumns(groundtruth.severity_and_confidence("score", F.col("needs_review"), BANDS, "GRADE 1", 0.5))
     return out.select("event_key", "severity", tidy("confidence", 2).alias("confidence"))
 
 
 PLACE_WORDS = ["thand", "ofthe", "erand", "inthe"]
+# points and lengths of articles are powers of two: each band is four times as long as the next and
+# earns twice its points, a body earns twice a headline, a keyword twice a place
 ARTICLE = ArticlePoints(
-    length=((4000, 40), (1500, 25), (400, 15)), per_keyword=9, most_keywords=40, headline=20, body=30,
-    per_found=8, most_found=30, per_place=7, most_places=20, hazard_per_keyword=18, place_per_place=12,
-    relevance={"title": 10, "long": 20, "keyword": 30, "place": 20, "impact": 20}, relevant_length=900, weights=(0.5, 0.2, 0.3),
+    length=((8192, 32), (2048, 16), (512, 8)), per_keyword=4, most_keywords=32, headline=16, body=32,
+    per_found=4, most_found=32, per_place=2, most_places=16, hazard_per_keyword=16, place_per_place=8,
+    relevance={"title": 8, "long": 8, "keyword": 32, "place": 16, "impact": 32}, relevant_length=1024, weights=(0.5, 0.25, 0.25),
 )
 ARTICLE_WORDS = {"FLOOD": ["thst", "erth", "erthth"], "DROUGHT": ["onth", "ontion"], "CYCLONE": ["erst", "que la"]}
 ALL_ARTICLE_WORDS = sorted({p for ps in ARTICLE_WORDS.values() for p in ps})
@@ -388,12 +391,12 @@ def article_keywords(t):
 @query(
     "article_scores",
     "F26",
-    f"""WITH {ANALYSED_SQL}, c AS (SELECT *, CAST(least(CASE WHEN length(text) > 4000 THEN 40 WHEN length(text) > 1500 THEN 25 WHEN length(text) > 400 THEN 15 ELSE 0 END + least(nk * 9, 40), 100) AS INTEGER) AS article_quality,
-      CAST(least(CASE WHEN length(title) > 0 THEN 20 ELSE 0 END + CASE WHEN length(text) > 0 THEN 30 ELSE 0 END + least(nk * 8, 30) + least(np * 7, 20), 100) AS INTEGER) AS enrichment_confidence,
-      CAST(least(CASE WHEN length(title) > 0 THEN 10 ELSE 0 END + CASE WHEN length(text) > 900 THEN 20 ELSE 0 END + CASE WHEN nk > 0 THEN 30 ELSE 0 END + CASE WHEN np > 0 THEN 20 ELSE 0 END
-        + CASE WHEN contains(low, 'rest') OR contains(low, 'queux') THEN 20 ELSE 0 END, 100) AS INTEGER) AS relevance_score FROM b)
+    f"""WITH {ANALYSED_SQL}, c AS (SELECT *, CAST(least(CASE WHEN length(text) > 8192 THEN 32 WHEN length(text) > 2048 THEN 16 WHEN length(text) > 512 THEN 8 ELSE 0 END + least(nk * 4, 32), 100) AS INTEGER) AS article_quality,
+      CAST(least(CASE WHEN length(title) > 0 THEN 16 ELSE 0 END + CASE WHEN length(text) > 0 THEN 32 ELSE 0 END + least(nk * 4, 32) + least(np * 2, 16), 100) AS INTEGER) AS enrichment_confidence,
+      CAST(least(CASE WHEN length(title) > 0 THEN 8 ELSE 0 END + CASE WHEN length(text) > 1024 THEN 8 ELSE 0 END + CASE WHEN nk > 0 THEN 32 ELSE 0 END + CASE WHEN np > 0 THEN 16 ELSE 0 END
+        + CASE WHEN contains(low, 'rest') OR contains(low, 'queux') THEN 32 ELSE 0 END, 100) AS INTEGER) AS relevance_score FROM b)
     SELECT doc_id, article_quality, enrichment_confidence, relevance_score,
-      CAST((least(nk * 18, 100) * 5 + least(np * 12, 100) * 2 + relevance_score * 3) // 10 AS INTEGER) AS article_score FROM c""",
+      CAST((least(nk * 16, 100) * 2 + least(np * 8, 100) + relevance_score) // 4 AS INTEGER) AS article_score FROM c""",
 )
 def article_scores(t):
     out = analysed(t).withColumns(
@@ -450,17 +453,19 @@ def enriched_candidates(t):
 @query(
     "districts_named_in_text",
     "J21",
-    """WITH allnames AS (SELECT DISTINCT 'zone' || (item_id % 2) AS state, unnest(regexp_split_to_array(lower(text), '[ .,\\n]+')) AS name FROM benchmark), n AS (SELECT * FROM allnames WHERE length(name) >= 10),
+    """WITH parts AS (SELECT 'zone' || (item_id % 2) AS state, unnest(regexp_split_to_array(lower(text), '[.,\\n]+')) AS name FROM benchmark),
+    n AS (SELECT DISTINCT state, trim(name) AS name FROM parts WHERE trim(name) <> '' UNION SELECT 'zone' || (item_id % 2), split_part(lower(text), ' ', 1) FROM benchmark),
     d AS (SELECT doc_id, 'zone' || (doc_id % 2) AS state, lower(text) AS low FROM documents),
     m AS (SELECT doc_id, name FROM d JOIN n ON n.state = d.state AND contains(low, name))
     SELECT DISTINCT doc_id, state, coalesce('in ' || name, 'UNKNOWN') AS district, CASE WHEN name IS NULL THEN 'none' ELSE 'district_name' END AS match_method FROM d LEFT JOIN m USING (doc_id)""",
 )
 def districts_named_in_text(t):
-    # every long word of the benchmark texts stands for a name
-    names = t.benchmark.select(
-        F.concat(F.lit("zone"), F.col("item_id") % 2).alias("state"),
-        F.explode(F.split(F.lower("text"), r"[ .,\n]+")).alias("district_name"),
-    ).where(F.length("district_name") >= 10).distinct().withColumn("district", F.concat(F.lit("in "), "district_name"))
+    # every phrase of the benchmark texts stands for a name, and each text's first word, however short
+    zone, low = F.concat(F.lit("zone"), F.col("item_id") % 2).alias("state"), F.lower("text")
+    phrases = F.transform(F.split(low, r"[.,\n]+"), lambda p: F.trim(p))
+    words = F.array_append(phrases, F.substring_index(low, " ", 1))
+    names = t.benchmark.select(zone, F.explode(words).alias("district_name")).where("district_name <> ''").distinct()
+    names = names.withColumn("district", F.concat(F.lit("in "), "district_name"))
     texts = spread(t.documents).select(
         "doc_id", F.concat(F.lit("zone"), F.col("doc_id") % 2).alias("state"), F.lower("text").alias("body")
     )
@@ -468,13 +473,13 @@ def districts_named_in_text(t):
 
 
 def _truth_and_reports(t):
-    truth = t.events.where("event_type = 'error'").select(
+    truth = t.events.where("event_type IN ('error', 'purchase')").select(
         F.col("event_id").alias("truth_id"),
         F.to_date("ts").alias("date"),
         F.concat(F.lit("Zone "), F.col("user_id") % 40).alias("state"),
         F.concat(F.lit("Station "), F.col("user_id")).alias("district"),
     )
-    reports = t.events.where("event_type = 'view'").select(
+    reports = t.events.where("event_type NOT IN ('error', 'purchase')").select(
         F.col("event_id").alias("report_id"),
         F.to_date("ts").alias("date"),
         F.concat(F.lit("station "), F.col("user_id"), F.lit(" in zone "), F.col("user_id") % 60).alias("location"),
@@ -482,8 +487,8 @@ def _truth_and_reports(t):
     return truth, reports
 
 
-_TRUTH_SQL = """truth AS (SELECT event_id AS truth_id, CAST(ts AS DATE) AS date, 'zone ' || (user_id % 40) AS state, 'station ' || user_id AS district FROM events WHERE event_type = 'error'),
-reports AS (SELECT event_id AS report_id, CAST(ts AS DATE) AS date, 'station ' || user_id || ' in zone ' || (user_id % 60) AS location FROM events WHERE event_type = 'view'),
+_TRUTH_SQL = """truth AS (SELECT event_id AS truth_id, CAST(ts AS DATE) AS date, 'zone ' || (user_id % 40) AS state, 'station ' || user_id AS district FROM events WHERE event_type IN ('error', 'purchase')),
+reports AS (SELECT event_id AS report_id, CAST(ts AS DATE) AS date, 'station ' || user_id || ' in zone ' || (user_id % 60) AS location FROM events WHERE event_type NOT IN ('error', 'purchase')),
 pairs AS (SELECT truth_id, CASE WHEN contains(location, district) THEN 1 ELSE 2 END AS rk, r.date, report_id, location
   FROM truth t JOIN reports r ON abs(r.date - t.date) <= 2 AND (contains(location, district) OR contains(location, state))),
 matches AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY truth_id ORDER BY rk, date, report_id) = 1)"""

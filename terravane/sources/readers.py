@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from terravane import contracts
-from terravane.operators import dedupe
 
 
 def yearly(
@@ -46,50 +45,63 @@ def dimension(spark: SparkSession, path: str, schema: str, key: Sequence[str]) -
     return frame.orderBy(*key)
 
 
-def _actor(number: int) -> list[str]:
-    parts = "Code Name CountryCode KnownGroupCode EthnicCode Religion1Code Religion2Code Type1Code Type2Code Type3Code"
-    return [f"Actor{number}{part}" for part in parts.split()]
-
-
-def _geo(prefix: str) -> list[str]:
-    parts = "Type FullName CountryCode ADM1Code ADM2Code Lat Long FeatureID"
-    return [f"{prefix}Geo_{part}" for part in parts.split()]
-
-
 # Column order of the public event export, version 2.
 EXPORT_COLUMNS = (
-    "GLOBALEVENTID SQLDATE MonthYear Year FractionDate".split()
-    + _actor(1)
-    + _actor(2)
-    + "IsRootEvent EventCode EventBaseCode EventRootCode QuadClass GoldsteinScale".split()
-    + "NumMentions NumSources NumArticles AvgTone".split()
-    + _geo("Actor1")
-    + _geo("Actor2")
-    + _geo("Action")
-    + ["DATEADDED", "SOURCEURL"]
-)
-
-
-def event_export(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless tab separated event rows, all text, one per id and file.
-
-    A line without tabs but with commas is read as comma separated.  Header lines, id 0 and
-    lines with too many fields are dropped.  Of repeated ids the smallest line is kept.
+    "GLOBALEVENTID", "SQLDATE", "MonthYear", "Year", "FractionDate",
+    "Actor1Code", "Actor1Name", "Actor1CountryCode", "Actor1KnownGroupCode", "Actor1EthnicCode",
+    "Actor1Religion1Code", "Actor1Religion2Code", "Actor1Type1Code", "Actor1Type2Code", "Actor1Type3Code",
+    "Actor2Code", "Actor2Name", "Actor2CountryCode", "Actor2KnownGroupCode", "Actor2EthnicCode",
+    "Actor2Religion1Code", "Actor2Religion2Code", "Actor2Type1Code", "Actor2Type2Code", "Actor2Type3Code",
+    "IsRootEvent", "EventCode", "EventBaseCode", "EventRootCode", "QuadClass", "GoldsteinScale",
+    "NumMentions", "NumSources", "NumArticles", "AvgTone",
+    "Actor1Geo_Type", "Actor1Geo_FullName", "Actor1Geo_CountryCode", "Actor1Geo_ADM1Code", "Actor1Geo_ADM2Code",
+    "Actor1Geo_Lat", "Actor1Geo_Long", "Actor1Geo_FeatureID",
+    "Actor2Geo_Type", "Actor2Geo_FullName", "Actor2Geo_CountryCode", "Actor2Geo_ADM1Code", "Actor2Geo_ADM2Code",
+    "Actor2Geo_Lat", "Actor2Geo_Long", "Actor2Geo_FeatureID",
+    "ActionGeo_Type", "ActionGeo_FullName", "ActionGeo_CountryCode", "ActionGeo_ADM1Code", "ActionGeo_ADM2Code",
+    "ActionGeo_Lat", "ActionGeo_Long", "ActionGeo_FeatureID",
+    "DATEADDED", "SOURCEURL",
+)
+
+
+def export_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of headerless export files: source_file, value, the fields, and why it is rejected.
+
+    A line without tabs but with commas is read as comma separated; missing fields at the end are
+    null.  ``reject_reason`` is null for accepted lines, one per id and file, the smallest of its lines.
     """
     names = StructType([StructField(name, StringType()) for name in EXPORT_COLUMNS])
     ddl = ", ".join(f"{name} STRING" for name in names.fieldNames())
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("source_file"))
-    tabbed = F.contains("value", F.lit("\t"))
-    parsed = lines.where(F.size(F.split("value", "\t")) <= len(EXPORT_COLUMNS)).withColumn(
+    comma = ~F.contains("value", F.lit("\t"))
+    parsed = lines.withColumn(
         "_row",
-        F.when(tabbed, F.from_csv("value", ddl, {"sep": "\t"})).otherwise(
-            F.from_csv("value", ddl, {"sep": ","})
-        ),
+        F.when(comma, F.from_csv("value", ddl, {"sep": ","})).otherwise(F.from_csv("value", ddl, {"sep": "\t"})),
     )
-    rows = parsed.select("value", "source_file", "_row.*").where(
-        F.col("GLOBALEVENTID").isNotNull() & ~F.col("GLOBALEVENTID").isin("GLOBALEVENTID", "0")
+    identity = F.col("GLOBALEVENTID")
+    # quoted commas are no separators, so only a line that the fields do not fill up can be too long
+    fields = F.size(F.split("value", F.lit("\t")))
+    judged = parsed.select("source_file", "value", "_row.*").withColumn(
+        "reject_reason",
+        F.when(F.trim("value") == "", "empty line")
+        .when(fields > len(EXPORT_COLUMNS), "too many fields")
+        .when(identity.isNull(), "no id")
+        .when(identity == "GLOBALEVENTID", "header")
+        .when(identity == "0", "id 0"),
     )
-    return dedupe.keep_first(rows, ["source_file", "GLOBALEVENTID"], ["value"]).drop("value")
+    same = Window.partitionBy("source_file", "GLOBALEVENTID", F.col("reject_reason").isNull()).orderBy("value")
+    repeated = F.col("reject_reason").isNull() & (F.row_number().over(same) > 1)
+    return judged.withColumn("reject_reason", F.when(repeated, "repeated id").otherwise(F.col("reject_reason")))
+
+
+def event_export(spark: SparkSession, path: str) -> DataFrame:
+    """The accepted rows of headerless export files, all text, one per id and file."""
+    return export_lines(spark, path).where("reject_reason IS NULL").drop("value", "reject_reason")
+
+
+def export_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that are no rows: source_file, value, reject_reason; with the rows, all lines."""
+    return export_lines(spark, path).where("reject_reason IS NOT NULL").select("source_file", "value", "reject_reason")
 
 
 def file_index(spark: SparkSession, path: str, suffix: str) -> DataFrame:

@@ -113,7 +113,9 @@ def test_nearest_cells_have_no_limit(rows):
     assert axes == {1: (0.0, 0.25), 2: (0.0, 0.0), 3: (0.0, 20.0), 4: (20.0, 0.0)}
 
 
-def test_substring_names_against_brute_force(rows):
+@pytest.mark.parametrize("limit", [0, 8_000_000], ids=["joined", "automaton"])
+def test_substring_names_against_brute_force(rows, monkeypatch, limit):
+    monkeypatch.setattr(textmatch, "AUTOMATON_CHARS", limit)
     rng = random.Random(3)
     texts = [(i, "".join(rng.choice("abc ") for _ in range(60))) for i in range(40)] + [(99, "")]
     names = sorted({"".join(rng.choice("abc") for _ in range(n)) for n in (1, 2, 3, 5, 6, 7, 8, 9, 12) for _ in range(8)})
@@ -124,7 +126,9 @@ def test_substring_names_against_brute_force(rows):
     assert {(r.id, r.name) for r in got.collect()} == {(i, n) for i, b in texts for n in names if n in b}
 
 
-def test_whole_word_names_of_any_length(rows):
+@pytest.mark.parametrize("limit", [0, 8_000_000], ids=["joined", "automaton"])
+def test_whole_word_names_of_any_length(rows, monkeypatch, limit):
+    monkeypatch.setattr(textmatch, "AUTOMATON_CHARS", limit)
     texts = rows("id int, body string", (1, "north east hills are wet"), (2, "northeast"), (3, "hills"), (4, "in the south west wet hills of old " + "x " * 20000 + "end"))
     names = rows("name string", ("north east",), ("north east hills",), ("hills",), ("east",), ("the south west wet hills of old",), ("south west wet hills",), ("x end",))
     got = textmatch.whole_word_names(texts, names, "id", "body", "name")
@@ -134,6 +138,18 @@ def test_whole_word_names_of_any_length(rows):
     }
 
 
+@pytest.mark.parametrize("limit", [0, 8_000_000], ids=["joined", "automaton"])
+def test_names_belong_to_their_state_and_may_be_one_letter(rows, monkeypatch, limit):
+    monkeypatch.setattr(textmatch, "AUTOMATON_CHARS", limit)
+    long = " ".join(f"w{i % 5000}" for i in range(20_000)) + " q last"
+    texts = rows("id int, state string, body string", (1, "a", "q r"), (2, "b", "q r"), (3, "a", long), (4, None, "q"), (5, "a", None))
+    names = rows("state string, name string, code int", ("a", "q", 1), ("b", "r", 2), ("b", "q r", 3), ("a", "w4999 w0 w1", 4), ("a", "", 5))
+    whole = textmatch.whole_word_names(texts, names, "id", "body", "name", ["state"])
+    assert {(r.id, r.code) for r in whole.collect()} == {(1, 1), (2, 2), (2, 3), (3, 1), (3, 4)}
+    anywhere = textmatch.substring_names(texts, names, "id", "body", "name", ["state"])
+    assert {(r.id, r.code) for r in anywhere.collect()} == {(1, 1), (2, 2), (2, 3), (3, 1), (3, 4)}
+
+
 def test_flags_equal_plain_search(rows):
     frame = rows("body string", ("wet hill road",), ("wethill",), (None,))
     flags = text.Flags("body", ["hill", "wet hill"])

@@ -40,3 +40,24 @@ def test_the_named_folder_is_used_and_set():
 def test_one_machine_gets_a_folder_of_its_own():
     spark = Session("local[4]")
     assert session.shared_folder(spark) == spark.sparkContext.folder
+
+
+def test_export_lines_are_rows_or_rejects(spark, tmp_path):
+    from terravane.sources import readers
+
+    wide = len(readers.EXPORT_COLUMNS)
+    line = lambda key, n=wide, sep="\t": sep.join([key] + ["x"] * (n - 1))
+    lines = [
+        "\t".join(readers.EXPORT_COLUMNS), line("7"), line("7"), line("8", 4), line("9", sep=","), line("0"),
+        line("10", wide + 1), "", "   ", "\tno id", line("11"), line("11", 3),
+    ]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.csv").write_text(line("7") + "\n")
+    rows = readers.event_export(spark, str(tmp_path))
+    rejects = readers.export_rejects(spark, str(tmp_path))
+    assert sorted((r.source_file, r.GLOBALEVENTID) for r in rows.collect()) == [
+        ("a.csv", "11"), ("a.csv", "7"), ("a.csv", "8"), ("a.csv", "9"), ("b.csv", "7")
+    ]
+    reasons = sorted(r.reject_reason for r in rejects.collect())
+    assert reasons == ["empty line", "empty line", "header", "id 0", "no id", "repeated id", "repeated id", "too many fields"]
+    assert rows.count() + rejects.count() == len(lines) + 1
