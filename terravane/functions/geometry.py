@@ -32,8 +32,11 @@ def prepared(geometry) -> Column:
     return F.transform(as_column(geometry), lambda polygon: F.transform(polygon, edges_of))
 
 
-def in_ring(lon: Column, lat: Column, edges: Column) -> Column:
-    """Even-odd rule; a point on an edge counts as inside."""
+def in_ring(lon: Column, lat: Column, edges: Column, beyond: Column | None = None) -> Column:
+    """Even-odd rule; a point on an edge counts as inside.
+
+    ``beyond`` counts crossings to the right of the point that are not among the edges.
+    """
     touches = F.exists(
         edges,
         lambda e: lat.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
@@ -50,6 +53,8 @@ def in_ring(lon: Column, lat: Column, edges: Column) -> Column:
             & (lon < (e["x2"] - e["x1"]) * (lat - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]),
         )
     )
+    if beyond is not None:
+        crossings = crossings + beyond
     return touches | (crossings % 2 == 1)
 
 

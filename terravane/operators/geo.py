@@ -155,31 +155,84 @@ def strongest(values: dict[str, Column]) -> tuple[Column, Column]:
     return largest, source
 
 
-def _cover(polygons: DataFrame, size: float) -> DataFrame:
-    """Explode each polygon to the tiles of its bounding box."""
-    box = geometry.bounding_box("geometry")
+def _edges(polygons: DataFrame, size: float) -> DataFrame:
+    """Every edge of every ring with the tiles its box spans."""
+    rings = polygons.select("_pid", F.posexplode("geometry").alias("_part", "_rings")).select(
+        "_pid", "_part", F.posexplode("_rings").alias("_ring", "_points")
+    )
+    edges = rings.select("_pid", "_part", "_ring", F.explode(geometry.edges_of(F.col("_points"))).alias("e"))
 
-    def tiles(low: str, high: str) -> Column:
-        return F.explode(
-            F.sequence(
-                F.floor(F.col(f"_box.{low}") / size).cast("int"),
-                F.floor(F.col(f"_box.{high}") / size).cast("int"),
-            )
-        )
+    def tile(pick, a: str, b: str) -> Column:
+        return F.floor(pick(F.col(f"e.{a}"), F.col(f"e.{b}")) / size).cast("int")
+
+    return edges.withColumns(
+        {
+            "_south": tile(F.least, "y1", "y2"),
+            "_north": tile(F.greatest, "y1", "y2"),
+            "_west": tile(F.least, "x1", "x2"),
+            "_east": tile(F.greatest, "x1", "x2"),
+        }
+    )
 
+
+def _tiled(polygons: DataFrame, size: float) -> DataFrame:
+    """(_pid, _tile_row, _tile_column, _parts): what a tile has to know of each polygon that reaches it.
+
+    Of each ring a tile holds the edges whose box meets it, and the crossings that any point of the
+    tile has to its right with edges farther east.  Those are told by heights: an edge crosses
+    the ray at ``lat`` if one of its ends is above and the other is not, so all of them together cross
+    it as often, odd or even, as they have ends above it; and a height that two edges share cancels
+    out.  Of a chain of any number of edges only its ends remain.  A tile that no edge meets is left
+    with nothing, outside, or with one end above all of it, inside.
+    """
+    ring = ["_pid", "_part", "_ring"]
+    edges = _edges(polygons, size)
+    by_row = edges.withColumn("_tile_row", F.explode(F.sequence("_south", "_north")))
+    local = (
+        by_row.withColumn("_tile_column", F.explode(F.sequence("_west", "_east")))
+        .groupBy(*ring, "_tile_row", "_tile_column")
+        .agg(F.collect_list("e").alias("edges"))
+    )
+    # ends below the row are never above a point of it, ends beyond it always are
+    end = F.explode(F.array("e.y1", "e.y2"))
+    row = F.floor(F.col("_y") / size)
+    height = F.when(row > F.col("_tile_row"), F.lit(float("inf"))).otherwise(F.col("_y"))
+    ends = by_row.select(*ring, "_tile_row", "_west", end.alias("_y")).where(row >= F.col("_tile_row"))
+    odd = F.count(F.lit(1)) % 2 == 1
+
+    def uneven(frame: DataFrame, *keys: str) -> DataFrame:
+        return frame.groupBy(*ring, "_tile_row", *keys, "_y").agg(odd.alias("_odd")).where("_odd").drop("_odd")
+
+    first = edges.groupBy(*ring).agg(F.min("_west").alias("_first"))
+    beyond = (
+        uneven(ends.withColumn("_y", height), "_west")
+        .join(first, ring)
+        .where("_west > _first")
+        .withColumn("_tile_column", F.explode(F.sequence(F.col("_first"), F.col("_west") - 1)))
+    )
+    above = uneven(beyond, "_tile_column").groupBy(*ring, "_tile_row", "_tile_column").agg(
+        F.collect_list("_y").alias("above")
+    )
+    known = F.struct("_ring", "edges", "above")
     return (
-        polygons.withColumn("_box", box)
-        .withColumn("_edges", geometry.prepared("geometry"))
-        .drop("geometry")
-        .withColumn("_tile_row", tiles("south", "north"))
-        .withColumn("_tile_column", tiles("west", "east"))
+        local.join(above, [*ring, "_tile_row", "_tile_column"], "full")
+        .withColumns({
+                "edges": F.coalesce("edges", F.array().cast(local.schema["edges"].dataType)),
+                "above": F.coalesce("above", F.array().cast("array<double>")),
+            })
+        .groupBy("_pid", "_part", "_tile_row", "_tile_column")
+        .agg(F.collect_list(known).alias("_rings"))
+        .where(F.exists("_rings", lambda r: r["_ring"] == 0))
+        .groupBy("_pid", "_tile_row", "_tile_column")
+        .agg(F.collect_list("_rings").alias("_parts"))
     )
 
 
 def containing(points: DataFrame, polygons: DataFrame, tile: float = 1.0) -> DataFrame:
     """Pairs of distinct points and the polygons they lie in.
 
-    ``polygons`` has ``geometry`` plus identity columns, which the pairs keep.
+    ``polygons`` has ``geometry`` plus identity columns, which the pairs keep.  A point meets the edges in
+    its own tile only, however many the polygon has; crowded tiles are split by the skew join.
     """
     left = distinct_points(points).withColumns(
         {
@@ -187,13 +240,21 @@ def containing(points: DataFrame, polygons: DataFrame, tile: float = 1.0) -> Dat
             "_tile_column": F.floor(F.col("longitude") / tile).cast("int"),
         }
     )
-    near = left.join(_cover(polygons, tile), ["_tile_row", "_tile_column"], "inner").where(
-        F.col("longitude").between(F.col("_box.west"), F.col("_box.east"))
-        & F.col("latitude").between(F.col("_box.south"), F.col("_box.north"))
-    )
-    return near.where(geometry.contains("longitude", "latitude", "_edges")).drop(
-        "_tile_row", "_tile_column", "_box", "_edges"
-    )
+    # numbered once and for all: equal rows are polygons of their own
+    shapes = cut_lineage(polygons.withColumn("_pid", F.monotonically_increasing_id()))
+    lon, lat = F.col("longitude"), F.col("latitude")
+
+    def inside(r: Column) -> Column:
+        return geometry.in_ring(lon, lat, r["edges"], F.size(F.filter(r["above"], lambda y: y > lat)))
+
+    def holds(rings: Column) -> Column:
+        return F.exists(rings, lambda r: (r["_ring"] == 0) & inside(r)) & ~F.exists(
+            rings, lambda r: (r["_ring"] > 0) & inside(r)
+        )
+
+    near = left.join(_tiled(shapes.select("_pid", "geometry"), tile), ["_tile_row", "_tile_column"])
+    pairs = near.where(F.exists("_parts", holds)).select(*POINT, "_pid")
+    return pairs.join(shapes.drop("geometry"), "_pid").drop("_pid")
 
 
 def locate(

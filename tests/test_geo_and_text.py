@@ -27,6 +27,64 @@ def test_hole_edge_and_outside(rows):
     assert {r.name for r in got.collect()} == {"inside", "edge"}
 
 
+def ray_cast(lon, lat, polygon):
+    def in_ring(ring):
+        odd = False
+        for (x1, y1), (x2, y2) in zip([ring[-1], *ring[:-1]], ring):
+            if min(y1, y2) <= lat <= max(y1, y2) and min(x1, x2) <= lon <= max(x1, x2):
+                if abs((x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1)) < geometry.ON_EDGE:
+                    return True
+            if (y1 > lat) != (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1:
+                odd = not odd
+        return odd
+
+    return in_ring(polygon[0]) and not any(map(in_ring, polygon[1:]))
+
+
+def wave(edges, x, y, radius, teeth):
+    """A star-like closed outline of many short edges."""
+    turn = [2 * math.pi * i / edges for i in range(edges)]
+    return [(x + (radius + math.sin(teeth * a)) * math.cos(a), y + (radius + math.sin(teeth * a)) * math.sin(a)) for a in turn]
+
+
+@pytest.mark.parametrize("tile", [0.4, 1.0, 50.0])
+def test_points_against_ray_casting_over_whole_polygons(rows, tile):
+    """Holes, vertices on tile borders, tiles without edges, several parts, a copy, and points on edges."""
+    rng = random.Random(8)
+    shapes = [
+        [wave(3000, 3.0, -2.0, 5.0, 40), square(1.0, -3.0, 2.0), wave(50, 5.0, 0.0, 1.5, 3)],
+        [square(-2.0, -2.0, 4.0), square(-1.0, -1.0, 2.0)],
+        [[(rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(25)]],
+    ]
+    schema = "id int, geometry array<array<array<struct<lon:double,lat:double>>>>"
+    several = [shapes[1], [square(6.0, 6.0, 1.0)], [square(1.5, 1.5, 3.0)]]
+    frame = rows(schema, *[(i, [s]) for i, s in enumerate(shapes)], (3, several), (1, [shapes[1]]), (4, []))
+    points = [(rng.uniform(-10, 10), rng.uniform(-10, 10)) for _ in range(1500)]
+    points += [(x / 2, y / 2) for x in range(-10, 15) for y in range(-10, 15)]
+    wanted = sorted(
+        (i, p) for i, parts in [*enumerate([[s] for s in shapes]), (3, several), (1, [shapes[1]])] for p in points
+        if any(ray_cast(*p, part) for part in parts)
+    )
+    got = geo.containing(rows("longitude double, latitude double", *points, points[0]), frame, tile)
+    assert sorted((r.id, (r.longitude, r.latitude)) for r in got.collect()) == wanted
+
+
+def test_a_polygon_of_many_edges_gives_each_tile_its_own(rows):
+    """100,000 edges and a tile that holds most points: no tile row has more than its part of the edges."""
+    outline = wave(100_000, 0.0, 0.0, 20.0, 500)
+    frame = rows("_pid long, geometry array<array<array<struct<lon:double,lat:double>>>>", (1, [[outline]]))
+    tiles = geo._tiled(frame, 1.0).select(F.size(F.col("_parts")[0][0]["edges"]).alias("n")).collect()
+    assert max(r.n for r in tiles) < 5_000 and sum(r.n == 0 for r in tiles) > 900
+    rng = random.Random(2)
+    points = [(rng.uniform(19.0, 20.0), rng.uniform(0.0, 1.0)) for _ in range(3000)] + [(30.0, 0.5), (0.0, 0.0)]
+    got = geo.containing(rows("longitude double, latitude double", *points), frame.drop("_pid").withColumn("id", F.lit(1)))
+    near = [(x, y) for x, y in outline if x > 0 and -2 < y < 3]
+    local = [[(0.0, 3.0), (0.0, -2.0), *sorted(near, key=lambda p: math.atan2(p[1], p[0]))]]
+    wanted = sum(ray_cast(x, y, local) for x, y in points[:200])
+    inside = {(r.longitude, r.latitude) for r in got.collect()}
+    assert sum(p in inside for p in points[:200]) == wanted and (0.0, 0.0) in inside and (30.0, 0.5) not in inside
+
+
 def test_polygon_mean_keeps_empty_polygons(rows):
     shapes = polygon_frame(rows, [square(0.0, 0.0, 1.0)], [square(30.0, 30.0, 1.0)])
     cells = rows("longitude double, latitude double, rain double", (0.5, 0.5, 10.0), (5.0, 5.0, 90.0))
