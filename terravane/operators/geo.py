@@ -24,8 +24,15 @@ def _row(latitude, size: float) -> Column:
     return F.floor(F.col(latitude) / size).cast("int")
 
 
-def _column(longitude: Column, size: float) -> Column:
-    return F.pmod(F.floor(longitude / size).cast("int"), F.lit(math.ceil(360 / size)))
+def _columns_in(row: Column, size: float) -> Column:
+    """Number of tiles in a row: about as wide as high at its narrow side, one at the poles."""
+    edge = F.least(F.greatest(F.abs(row * size), F.abs((row + 1) * size)), F.lit(90.0))
+    return F.greatest(F.floor(F.cos(F.radians(edge)) * 360.0 / size), F.lit(1)).cast("int")
+
+
+def _column(longitude: Column, row: Column, size: float) -> Column:
+    """Tile of a longitude in a row, before it is wrapped around the globe."""
+    return F.floor((longitude + 180.0) * _columns_in(row, size) / 360.0).cast("int")
 
 
 def distinct_points(frame: DataFrame) -> DataFrame:
@@ -35,27 +42,23 @@ def distinct_points(frame: DataFrame) -> DataFrame:
 
 
 def _with_reach(places: DataFrame, km: float, size: float) -> DataFrame:
-    """Explode each place to every tile a point within ``km`` of it can lie in."""
+    """Explode each place to every tile a point within ``km`` of it can lie in.
+
+    Rows have columns of their own width, so a place near a pole reaches few tiles, like any other.
+    """
     up = km / grid.KM_PER_DEGREE * 1.001
     top = F.least(F.abs("_place_lat") + up, F.lit(89.9))
-    side = F.least(F.lit(up) / F.cos(F.radians(top)), F.lit(180.0 - size / 2))
-    side = F.when(F.abs("_place_lat") + up >= 89.9, F.lit(180.0 - size / 2)).otherwise(side)
+    side = F.least(F.lit(up) / F.cos(F.radians(top)), F.lit(180.0))
+    side = F.when(F.abs("_place_lat") + up >= 89.9, F.lit(180.0)).otherwise(side)
     rows = F.sequence(
-        F.floor((F.col("_place_lat") - up) / size).cast("int"),
-        F.floor((F.col("_place_lat") + up) / size).cast("int"),
-    )
-    columns = F.array_distinct(
-        F.transform(
-            F.sequence(
-                F.floor((F.col("_place_lon") - side) / size).cast("int"),
-                F.floor((F.col("_place_lon") + side) / size).cast("int"),
-            ),
-            lambda c: F.pmod(c, F.lit(math.ceil(360 / size))),
-        )
-    )
-    return places.withColumn("_tile_row", F.explode(rows)).withColumn(
-        "_tile_column", F.explode(columns)
+        F.floor(F.greatest(F.col("_place_lat") - up, F.lit(-90.0)) / size).cast("int"),
+        F.floor(F.least(F.col("_place_lat") + up, F.lit(90.0)) / size).cast("int"),
     )
+    row = F.col("_tile_row")
+    west, east = (_column(F.col("_place_lon") + sign * side, row, size) for sign in (-1, 1))
+    around = _columns_in(row, size)
+    columns = F.transform(F.sequence(west, F.least(east, west + around - 1)), lambda c: F.pmod(c, around))
+    return places.withColumn("_tile_row", F.explode(rows)).withColumn("_tile_column", F.explode(columns))
 
 
 def within(
@@ -67,11 +70,9 @@ def within(
     both sides and gains ``distance_km``.
     """
     size = tile or max(km / grid.KM_PER_DEGREE, 0.05)
-    left = points.withColumns(
-        {
-            "_tile_row": _row("latitude", size),
-            "_tile_column": _column(F.col("longitude"), size),
-        }
+    row = F.col("_tile_row")
+    left = points.withColumn("_tile_row", _row("latitude", size)).withColumn(
+        "_tile_column", F.pmod(_column(F.col("longitude"), row, size), _columns_in(row, size))
     )
     pairs = left.join(_with_reach(places, km, size), ["_tile_row", "_tile_column"], "inner")
     distance = grid.haversine_km("latitude", "longitude", "_place_lat", "_place_lon")
@@ -367,32 +368,81 @@ def axis_nearest(places: DataFrame, cells: DataFrame, place: Sequence[str]) -> D
     )
 
 
-# no two points are farther apart in flat degrees
-WHOLE_MAP = 403.0
+#: Sides of the tiles that far places descend through, in degrees; the first holds any map in few tiles.
+TILE_SIDES = (64.0, 16.0, 4.0, 1.0)
 
 
 def nearest_cell(places: DataFrame, cells: DataFrame, place: Sequence[str], start: float = 1.0) -> DataFrame:
     """Closest grid cell to each place by cosine-corrected flat distance, however far.
 
-    Looks within ``start`` degrees first; places still open go on to a ring four times as wide.
-    A cell found within the ring is the closest one, so the first answer is final.
+    Looks within ``start`` degrees first: a cell found there is the closest one.  Places without one
+    descend through ever smaller tiles that hold cells.  On every level a place goes on with the
+    tiles that can still win: those whose nearest border is no farther than the farthest corner of
+    some other.  Only the cells of the last tiles are measured, so no place meets all of them.
     """
     grid_points = distinct_points(cells).select(
         F.col("latitude").alias("cell_latitude"), F.col("longitude").alias("cell_longitude")
     )
-    open_points, answers, reach = distinct_points(places), None, start
-    while True:
-        found = cut_lineage(_closest_within(open_points, grid_points, reach))
-        answers = found if answers is None else answers.unionByName(found)
-        if reach > WHOLE_MAP:
-            break
-        open_points = cut_lineage(open_points.join(found.select(*POINT), list(POINT), "left_anti"))
-        if open_points.isEmpty():
-            break
-        reach *= 4
+    grid_points = cut_lineage(grid_points)
+    near = cut_lineage(_closest_within(distinct_points(places), grid_points, start))
+    far = cut_lineage(distinct_points(places).join(near.select(*POINT), list(POINT), "left_anti"))
+    answers = near if far.isEmpty() else near.unionByName(_descended(far, grid_points))
     return places.select(*place, *POINT).join(answers, list(POINT)).drop(*POINT)
 
 
+def _tile_of(size: float, latitude: str, longitude: str, suffix: str) -> dict[str, Column]:
+    return {
+        f"_row{suffix}": F.floor(F.col(latitude) / size).cast("int"),
+        f"_column{suffix}": F.floor(F.col(longitude) / size).cast("int"),
+    }
+
+
+def _descended(points: DataFrame, grid_points: DataFrame) -> DataFrame:
+    """Closest cell of each point, by tiles within tiles."""
+    shrink = F.cos(F.radians("latitude"))
+
+    def promising(open_tiles: DataFrame, size: float) -> DataFrame:
+        """The tiles of each point that may hold its closest cell."""
+        south, west = F.col("_row") * size, F.col("_column") * size
+        up = F.greatest(south - F.col("latitude"), F.col("latitude") - south - size, F.lit(0.0))
+        side = F.greatest(west - F.col("longitude"), F.col("longitude") - west - size, F.lit(0.0))
+        far_up = F.greatest(F.abs(south - F.col("latitude")), F.abs(south + size - F.col("latitude")))
+        far_side = F.greatest(F.abs(west - F.col("longitude")), F.abs(west + size - F.col("longitude")))
+        bounds = open_tiles.withColumns(
+            {"_least": F.hypot(up, side * shrink), "_most": F.hypot(far_up, far_side * shrink)}
+        )
+        best = F.min("_most").over(Window.partitionBy(*POINT))
+        # rounding of the bounds must not cost a tie
+        return bounds.withColumn("_best", best).where(F.col("_least") <= F.col("_best") * (1 + 1e-9)).select(
+            *POINT, "_row", "_column"
+        )
+
+    top = grid_points.select(*[c.alias(n) for n, c in _tile_of(TILE_SIDES[0], "cell_latitude", "cell_longitude", "").items()])
+    # a map has few tiles of the largest side, which each point is measured against in its own row
+    listed = F.col("_tops")
+    tops = top.distinct().agg(F.collect_list(F.struct("_row", "_column")).alias("_tops"))
+    open_tiles = points.withColumn("_tops", tops.scalar()).select(*POINT, F.inline(listed))
+    open_tiles = promising(open_tiles, TILE_SIDES[0])
+    for larger, size in zip(TILE_SIDES, TILE_SIDES[1:]):
+        inner = grid_points.select(
+            *[c.alias(n) for n, c in _tile_of(larger, "cell_latitude", "cell_longitude", "").items()],
+            *[c.alias(n) for n, c in _tile_of(size, "cell_latitude", "cell_longitude", "_inner").items()],
+        ).distinct()
+        stepped = open_tiles.join(inner, ["_row", "_column"]).select(
+            *POINT, F.col("_row_inner").alias("_row"), F.col("_column_inner").alias("_column")
+        )
+        open_tiles = cut_lineage(promising(stepped, size))
+    last = grid_points.withColumns(_tile_of(TILE_SIDES[-1], "cell_latitude", "cell_longitude", ""))
+    distance = grid.flat_distance("latitude", "longitude", "cell_latitude", "cell_longitude")
+    return (
+        open_tiles.join(last, ["_row", "_column"])
+        .withColumn("distance", distance)
+        .groupBy(*POINT)
+        .agg(F.min(F.struct("distance", "cell_latitude", "cell_longitude")).alias("_best"))
+        .select(*POINT, "_best.*")
+    )
+
+
 def _closest_within(points: DataFrame, grid_points: DataFrame, reach: float) -> DataFrame:
     tiles = grid_points.withColumn(
         "_tile_row",

@@ -117,6 +117,38 @@ def test_nearest_against_brute_force_with_a_hot_place_and_the_date_line(rows):
     assert got[1000] == 900
 
 
+def test_places_near_the_poles(rows):
+    rng = random.Random(6)
+    places = [(i, sign * rng.uniform(86, 90), rng.uniform(-180, 180)) for i, sign in enumerate([1, -1] * 60)]
+    places += [(500, 90.0, 0.0), (501, -90.0, 10.0)]
+    points = [(i, sign * rng.uniform(85, 90), rng.uniform(-180, 180)) for i, sign in enumerate([1, -1] * 100)]
+    frame = rows("place int, latitude double, longitude double", *places)
+    got = geo.nearest(rows("pid int, latitude double, longitude double", *points), frame, "place", [], 120.0)
+    for r in got.collect():
+        best = min((km((r.latitude, r.longitude), (a, b)), i) for i, a, b in places)
+        assert r.place == (best[1] if best[0] <= 120.0 else None)
+    reached = geo._with_reach(geo._as_places(frame, "place", []), 120.0, 1.1).groupBy("_place_lat", "_place_lon").count()
+    assert max(r["count"] for r in reached.collect()) < 60
+
+
+def test_far_places_meet_few_cells(rows):
+    """Clustered cells, places up to the whole map away, and ties."""
+    rng = random.Random(11)
+    cells = [(lat + rng.uniform(-3, 3), lon + rng.uniform(-3, 3)) for lat, lon in ((10, 10), (-60, 150), (70, -170), (0, -20)) for _ in range(150)]
+    cells += [(5.0, 50.0), (5.0, 52.0), (-5.0, 50.0)]
+    places = [(i, rng.uniform(-89, 89), rng.uniform(-180, 180)) for i in range(300)] + [(900, 5.0, 51.0), (901, 0.0, 50.0)]
+    got = geo.nearest_cell(
+        rows("id int, latitude double, longitude double", *places), rows("latitude double, longitude double", *cells), ["id"]
+    )
+    found = {r.id: (r.cell_latitude, r.cell_longitude) for r in got.collect()}
+    for i, la, lo in places:
+        shrink = math.cos(math.radians(la))
+        nearest = min((round(math.hypot(a - la, (o - lo) * shrink), 9), a, o) for a, o in cells)
+        chosen = found[i]
+        assert round(math.hypot(chosen[0] - la, (chosen[1] - lo) * shrink), 9) == nearest[0]
+    assert found[900] == (5.0, 50.0) and found[901] == (-5.0, 50.0)
+
+
 def test_locate_falls_back_to_nearest(rows):
     shapes = polygon_frame(rows, [square(0.0, 0.0, 1.0)])
     places = rows("id int, latitude double, longitude double", (7, 3.0, 3.0))
