@@ -157,14 +157,50 @@ def score(frame: DataFrame, hazard: str, trained: HazardModel) -> DataFrame:
 
 
 def score_horizons(frame: DataFrame, horizon: str, hazard: str, models: Mapping[int, HazardModel]) -> DataFrame:
-    """Each row by the model of its own horizon."""
-    parts = [score(frame.where(F.col(horizon) == days), hazard, model) for days, model in models.items()]
+    """Each row by the model of its own horizon; rows of other horizons are left out.
+
+    Linear models become a table with one row per horizon, which the rows join in a single pass.
+    A fitted tree model scores the rows of its horizon on its own.
+    """
+    linear = {d: m for d, m in models.items() if isinstance(m.model, LinearModel)}
+    parts = [score(frame.where(F.col(horizon) == d), hazard, m) for d, m in models.items() if d not in linear]
+    if linear:
+        parts.insert(0, _score_linear(frame, horizon, hazard, linear))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def _score_linear(frame: DataFrame, horizon: str, hazard: str, models: Mapping[int, HazardModel]) -> DataFrame:
+    rows = [
+        (
+            days, dict(m.model.coefficients), m.model.intercept,
+            m.calibration and m.calibration.slope, m.calibration and m.calibration.intercept, float(m.threshold),
+        )
+        for days, m in models.items()
+    ]
+    kind = "_horizon INT, _weights MAP<STRING, DOUBLE>, _start DOUBLE, _slope DOUBLE, _offset DOUBLE, _threshold DOUBLE"
+    table = frame.sparkSession.createDataFrame(rows, kind)
+    total = F.col("_start")
+    for feature in dict.fromkeys(f for m in models.values() for f in m.model.coefficients):
+        weight = F.try_element_at("_weights", F.lit(feature))
+        # a feature that this horizon's model does not have adds nothing, a missing value leaves no score
+        total = total + F.when(weight.isNull(), F.lit(0.0)).otherwise(F.col(feature) * weight)
+    raw = 1.0 / (1.0 + F.exp(-total))
+    calibrated = 1.0 / (1.0 + F.exp(-(F.col("_slope") * F.col("_raw") + F.col("_offset"))))
+    probability, prediction = F.col(f"{hazard}_probability"), (F.col(f"{hazard}_probability") >= F.col("_threshold"))
+    joined = frame.join(table, frame[horizon] == table["_horizon"]).withColumn("_raw", raw)
+    return joined.withColumn(
+        f"{hazard}_probability", F.when(F.col("_slope").isNull(), F.col("_raw")).otherwise(calibrated)
+    ).select(
+        *frame.columns,
+        probability,
+        F.coalesce(prediction.cast("int"), F.lit(0)).alias(f"{hazard}_prediction"),
+        F.lit(True).alias(f"{hazard}_available"),
+    )
+
+
 def compare(
     frame: DataFrame,
     features: Sequence[str],

@@ -91,6 +91,16 @@ def eligibility_measures(
     return whole.withColumn("skill", skill).drop("_brier").join(areas, by, "left").join(binned, by, "left")
 
 
+def events_by_partition(
+    frame: DataFrame, by: Sequence[str], target: str, group: str, partition: str, names: Sequence[str]
+) -> DataFrame:
+    """Per group of rows the independent events of each named partition, ``{name}_events``."""
+    event = F.when((F.col(target) == 1) & (F.coalesce(group, F.lit("")) != ""), F.col(group))
+    return frame.groupBy(*by).agg(
+        *[F.countDistinct(F.when(F.col(partition) == name, event)).alias(f"{name}_events") for name in names]
+    )
+
+
 def event_metrics(
     frame: DataFrame, probability: str, target: str, group: str, day: str, threshold: float
 ) -> DataFrame:
@@ -128,11 +138,17 @@ def event_metrics(
 def event_ranks(
     frame: DataFrame, probability: str, target: str, group: str, day: str
 ) -> DataFrame:
-    """Best rank fraction each event reaches among all rows of a day."""
+    """Best rank fraction each event reaches among all rows of a day.
+
+    A rank falls as the score rises, so an event's best rank of a day is that of its highest score;
+    only these few rows meet the ranks, whatever the number of rows.
+    """
     dated = frame.withColumn("_day", F.to_date(day))
-    ranked = ranking.rank_fraction(dated, probability, ["_day"], "rank_fraction")
+    ranks = ranking.fractions(dated, probability, ["_day"], "rank_fraction")
     positive = (F.col(target) == 1) & (F.coalesce(group, F.lit("")) != "")
-    return ranked.where(positive).groupBy(group).agg(F.min("rank_fraction").alias("best_rank"))
+    scored = positive & F.col(probability).isNotNull() & ~F.isnan(F.col(probability).cast("double"))
+    highest = dated.where(positive).groupBy(group, "_day").agg(F.max(F.when(scored, F.col(probability))).alias(probability))
+    return highest.join(ranks, ["_day", probability], "left").groupBy(group).agg(F.min("rank_fraction").alias("best_rank"))
 
 
 def event_ranking(ranks: DataFrame, budgets: Sequence[float]) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravane.session import shuffle_width
+from terravane.session import cut_lineage, shuffle_width
 
 
 def positions(
@@ -33,9 +33,12 @@ def positions(
     by = list(by)
     keep = frame.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     sums = ["at_value", *extra]
-    tallies = keep.groupBy(*by, value).agg(
-        F.count(F.lit(1)).alias("at_value"),
-        *[F.sum(column).alias(name) for name, column in extra.items()],
+    # counted once: edges, offsets and ranks all start from the written tallies
+    tallies = cut_lineage(
+        keep.groupBy(*by, value).agg(
+            F.count(F.lit(1)).alias("at_value"),
+            *[F.sum(column).alias(name) for name, column in extra.items()],
+        )
     )
     width = shuffle_width(frame.sparkSession)
     approximate = F.percentile_approx(
@@ -85,14 +88,16 @@ def positions(
     )
 
 
-def rank_fraction(frame: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
-    """Descending competition rank divided by group size, attached to every row."""
-    ranks = positions(frame.select(*by, value), value, by).select(
-        *by,
-        value,
-        ((F.col("total") - F.col("below") - F.col("at_value") + 1) / F.col("total")).alias(name),
+def fractions(frame: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
+    """Descending competition rank of each distinct value divided by the group's size."""
+    return positions(frame.select(*by, value), value, by).select(
+        *by, value, ((F.col("total") - F.col("below") - F.col("at_value") + 1) / F.col("total")).alias(name)
     )
-    return frame.join(ranks, [*by, value], "left")
+
+
+def rank_fraction(frame: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
+    """The same, attached to every row."""
+    return frame.join(fractions(frame, value, by, name), [*by, value], "left")
 
 
 def quantiles(

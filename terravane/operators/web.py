@@ -1,4 +1,4 @@
-"""Fields of fetched HTML pages, with JVM text functions only.
+"""Fields of fetched HTML pages, with JVM text functions; character references are resolved in Arrow batches.
 
 Markup is read the way the HTML standard treats it: a paragraph ends at its
 closing tag or where the next paragraph starts.
@@ -97,7 +97,9 @@ def page_fields(pages: DataFrame, html: str = "html") -> DataFrame:
         "article_text": F.array_join(paragraphs(page), "\n\n"),
         "clean_text": collapse(without_tags(without_dropped(page))),
     }
-    return pages.withColumns(raw).withColumns({name: _unescape(F.col(name)) for name in raw})
+    # only texts that hold a reference leave the JVM
+    marked = {name: _unescape(F.when(F.contains(F.col(name), F.lit("&")), F.col(name))) for name in raw}
+    return pages.withColumns(raw).withColumns({name: F.coalesce(found, F.col(name)) for name, found in marked.items()})
 
 
 def links(pages: DataFrame, identity: str, html: str = "html") -> DataFrame:

@@ -480,7 +480,14 @@ def year_split_counts(t):
     return out.withColumn("both_classes", F.col("both_classes").cast("int"))
 
 
-ELIGIBLE = {"events": 5, "roc_auc": 0.45, "calibration_error": 0.6, "skill": -8.0}
+ELIGIBLE = {"train": 4, "calibration": 2, "test": 2, "roc_auc": 0.45, "calibration_error": 0.6, "skill": -8.0}
+
+
+ELIGIBLE_PARTS = {
+    "train": "date < DATE '2024-01-16'",
+    "calibration": "date BETWEEN DATE '2024-01-16' AND DATE '2024-01-22'",
+    "test": "date > DATE '2024-01-22'",
+}
 
 
 @query(
@@ -488,20 +495,27 @@ ELIGIBLE = {"events": 5, "roc_auc": 0.45, "calibration_error": 0.6, "skill": -8.
     "M13",
     f"""WITH {SCORED_SQL}, r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY probability) + (count(*) OVER (PARTITION BY lang, probability) - 1) / 2.0 AS rk FROM scored),
     n AS (SELECT lang, sum(target) AS p, count(*) - sum(target) AS q, count(*) AS rows, avg(target) AS prevalence, avg(pow(probability - target, 2)) AS brier,
-      count(DISTINCT CASE WHEN target = 1 THEN event_group END) AS events FROM scored GROUP BY 1),
+      count(DISTINCT CASE WHEN target = 1 THEN event_group END) AS events,
+      {', '.join(f"count(DISTINCT CASE WHEN target = 1 AND {test} THEN event_group END) AS {name}_events" for name, test in ELIGIBLE_PARTS.items())} FROM scored GROUP BY 1),
     a AS (SELECT r.lang, (sum(rk) - any_value(p) * (any_value(p) + 1) / 2) / nullif(any_value(p) * any_value(q), 0) AS roc_auc FROM r JOIN n USING (lang) WHERE target = 1 GROUP BY 1),
     d AS (SELECT lang, probability, sum(target) AS pos, count(*) AS c FROM scored GROUP BY 1, 2),
     w AS (SELECT lang, pos, sum(pos) OVER (PARTITION BY lang ORDER BY probability DESC) AS tp, sum(c) OVER (PARTITION BY lang ORDER BY probability DESC) AS pred FROM d),
     b AS (SELECT w.lang, sum(pos * tp / pred) / nullif(any_value(p), 0) AS pr_auc FROM w JOIN n USING (lang) GROUP BY 1),
     e AS (SELECT lang, sum(gap) / sum(c) AS calibration_error FROM (SELECT lang, abs(sum(target) - sum(probability)) AS gap, count(*) AS c FROM scored GROUP BY lang, least(floor(probability * 10), 9)) GROUP BY 1),
     m AS (SELECT n.*, roc_auc, pr_auc, calibration_error, 1 - brier / nullif(prevalence * (1 - prevalence), 0) AS skill FROM n LEFT JOIN a USING (lang) LEFT JOIN b USING (lang) LEFT JOIN e USING (lang))
-    SELECT lang, rows, events, {', '.join(f'{tidy_sql(c)} AS {c}' for c in ('roc_auc', 'pr_auc', 'calibration_error', 'skill'))},
-      CAST(coalesce(events >= {ELIGIBLE['events']} AND roc_auc >= {ELIGIBLE['roc_auc']} AND pr_auc >= prevalence AND calibration_error <= {ELIGIBLE['calibration_error']} AND skill >= {ELIGIBLE['skill']}, false) AS INTEGER) AS eligible FROM m""",
+    SELECT lang, rows, events, train_events, calibration_events, test_events, {', '.join(f'{tidy_sql(c)} AS {c}' for c in ('roc_auc', 'pr_auc', 'calibration_error', 'skill'))},
+      CAST(coalesce(train_events >= {ELIGIBLE['train']} AND calibration_events >= {ELIGIBLE['calibration']} AND test_events >= {ELIGIBLE['test']} AND roc_auc >= {ELIGIBLE['roc_auc']} AND pr_auc >= prevalence AND calibration_error <= {ELIGIBLE['calibration_error']} AND skill >= {ELIGIBLE['skill']}, false) AS INTEGER) AS eligible FROM m""",
 )
 def model_eligibility(t):
-    measures = metrics.eligibility_measures(scored(t), ["lang"], "probability", "target", "event_group")
+    rows = scored(t)
+    measures = metrics.eligibility_measures(rows, ["lang"], "probability", "target", "event_group")
+    part = F.coalesce(*[F.when(F.expr(test), F.lit(name)) for name, test in ELIGIBLE_PARTS.items()])
+    counts = metrics.events_by_partition(
+        rows.withColumn("part", part), ["lang"], "target", "event_group", "part", list(ELIGIBLE_PARTS)
+    )
+    measures = measures.join(counts, "lang", "left")
     rules = [
-        F.col("events") >= ELIGIBLE["events"],
+        *[F.col(f"{name}_events") >= ELIGIBLE[name] for name in ELIGIBLE_PARTS],
         F.col("roc_auc") >= ELIGIBLE["roc_auc"],
         F.col("pr_auc") >= F.col("prevalence"),
         F.col("calibration_error") <= ELIGIBLE["calibration_error"],
@@ -509,4 +523,6 @@ def model_eligibility(t):
     ]
     judged = measures.withColumn("eligible", metrics.eligible(rules).cast("int"))
     shown = ["roc_auc", "pr_auc", "calibration_error", "skill"]
-    return tidy_columns(judged.select("lang", "rows", "events", *shown, "eligible"), shown)
+    return tidy_columns(
+        judged.select("lang", "rows", "events", *[f"{name}_events" for name in ELIGIBLE_PARTS], *shown, "eligible"), shown
+    )
