@@ -1,19 +1,23 @@
 """License scan: base phrases by place, and notices by an exact set-similarity join.
 
-Every line of a text is a block, seen as the set of its words; a notice template is a set of words.
-A block matches a template if it contains at least ``CONTAINMENT`` of the template's words.  The join
-finds all such pairs without comparing each block with each template:
-
-* length filter: a block with fewer template words than the smallest template requires is out;
-* prefix filter: words are ordered by how few blocks of the whole corpus hold them, and a match must
-  share one of the template's first ``size - required + 1`` words, so pairs meet on those alone;
+A notice template is a set of words.  It stands in a text if some run of consecutive words, as long as
+the template and a quarter more, holds at least ``CONTAINMENT`` of its words, whatever line breaks,
+marks or other words stand between them.  Texts are cut into blocks that overlap so far that
+every run lies whole in one of them, and the join finds all such blocks without comparing each of them
+with each template:
+
+* prefix filter: words are ordered by how few documents of the whole corpus hold them, and a match must
+  share one of the template's first ``size - required + 1`` words, so blocks without such a word are never
+  formed into rows and the others meet templates on it alone;
+* length filter: a block with fewer template words than the template requires is out;
 * positional filter: from the places of the shared word in both ordered sets, what can still be shared
   is bounded and must reach the requirement.
 
-Survivors are verified by counting shared words.  All of it is DataFrame functions.
+Survivors are verified run by run.  All of it is DataFrame functions.
 
-Defined cases: null and empty texts have no words and no labels; a line is a block however long; the
-template list and phrases are arguments; repeated rows are rows of their own.
+Defined cases: null and empty texts have no words and no labels; a text may be one line of any length; the
+template list and phrases are arguments; repeated rows are rows of their own; an empty table gives
+no rows; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm.common import LOWER, UPPER, ascii_lower, table, written
+from terravane.llm.common import LOWER, UPPER, table, written
+from terravane.llm.decontaminate import words_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -43,11 +48,20 @@ TEMPLATES = {
 }
 
 
-def template_words(text: str) -> list[str]:
-    """Distinct words of a template, by the same rule as for texts."""
+def listed_words(text: str) -> list[str]:
+    """Words of a template in order, by the same rule as for texts."""
     lowered = "".join(LOWER[UPPER.index(c)] if c in UPPER else c for c in text)
-    spaced = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in lowered)
-    return sorted(set(spaced.split()))
+    return "".join(c if ord(c) > 127 or c.isalnum() else " " for c in lowered).split()
+
+
+def template_words(text: str) -> list[str]:
+    return sorted(set(listed_words(text)))
+
+
+def run_length(text: str) -> int:
+    """Consecutive words among which a template's words are looked for."""
+    size = len(listed_words(text))
+    return size + math.ceil(size / 4)
 
 
 def required(size: int, containment: float = CONTAINMENT) -> int:
@@ -84,22 +98,32 @@ def scan(
     sets = {label: template_words(text) for label, text in templates.items()}
     sets = {label: words for label, words in sets.items() if words}
     needs = {label: required(len(words), containment) for label, words in sets.items()}
+    runs = {label: run_length(templates[label]) for label in sets}
     vocabulary = sorted(set().union(*sets.values())) if sets else []
-    literals = F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>")
+    step = max(runs.values(), default=1)
 
-    lined = documents.select(
-        "doc_id",
-        F.transform(
-            F.split(ascii_lower("text"), "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
-        ).alias("lines"),
-    ).withColumn("words", F.flatten("lines"))
-    spots = [_places(F.col("words"), phrase.split()) for phrase, _ in phrases]
-    blocks = F.filter(
-        F.transform("lines", lambda words: F.array_intersect(words, literals)),
-        lambda block: F.size(block) >= min(needs.values(), default=1),
+    worded = documents.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id"), words_of("text").alias("words")
     )
-    compact = lined.select(
-        F.monotonically_increasing_id().alias("row"),
+    # one row per template word at most: bounded by the templates, whatever the corpus holds
+    own = F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>"))
+    held = {r["word"]: r["count"] for r in worded.select(F.explode(own).alias("word")).groupBy("word").count().collect()}
+    order = sorted(vocabulary, key=lambda w: (held.get(w, 0), w))
+    place = {word: i for i, word in enumerate(order)}
+    ordered = {label: sorted(words, key=place.__getitem__) for label, words in sets.items()}
+    prefix = {label: words[: len(words) - needs[label] + 1] for label, words in ordered.items()}
+    leading = F.array(*[F.lit(w) for w in sorted(set().union(*prefix.values()))]).cast("array<string>")
+
+    spots = [_places(F.col("words"), phrase.split()) for phrase, _ in phrases]
+    # a run that starts in the first half of a block ends in it
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.size("words") - 1) / step), F.lit(0)).cast("int"))
+    cut = F.transform(starts, lambda k: F.slice("words", k * step + 1, F.lit(2 * step)))
+    none = F.array().cast("array<array<string>>")
+    blocks = F.when(
+        F.arrays_overlap("words", leading), F.filter(cut, lambda block: F.arrays_overlap(block, leading))
+    ).otherwise(none)
+    compact = worded.select(
+        "row",
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.array(*spots).alias("spots"),
@@ -117,31 +141,24 @@ def scan(
     )
     compact = written(compact, "license-blocks")
 
-    exploded = compact.select("row", F.explode("blocks").alias("block"))
-    # one row per template word at most: bounded by the templates, whatever the corpus holds
-    held = {
-        r["word"]: r["count"]
-        for r in exploded.select(F.explode("block").alias("word")).groupBy("word").count().collect()
-    }
-    order = sorted(vocabulary, key=lambda w: (held.get(w, 0), w))
-    place = {word: i for i, word in enumerate(order)}
-    entries = []
-    for label, words in sets.items():
-        ordered = sorted(words, key=place.__getitem__)
-        whole = F.array(*[F.lit(w) for w in ordered])
-        for i, word in enumerate(ordered[: len(ordered) - needs[label] + 1]):
-            entries.append(
-                F.struct(
-                    F.lit(word).alias("word"),
-                    F.lit(label).alias("label"),
-                    F.lit(i).alias("i"),
-                    F.lit(needs[label]).alias("needed"),
-                    whole.alias("template"),
-                )
-            )
+    entries = [
+        F.struct(
+            F.lit(word).alias("word"),
+            F.lit(label).alias("label"),
+            F.lit(i).alias("i"),
+            F.lit(needs[label]).alias("needed"),
+            F.lit(runs[label]).alias("run"),
+            F.array(*[F.lit(w) for w in ordered[label]]).alias("template"),
+        )
+        for label in sets
+        for i, word in enumerate(prefix[label])
+    ]
     ordered_words = F.array(*[F.lit(w) for w in order]).cast("array<string>")
-    ordered_blocks = exploded.select("row", F.array_intersect(ordered_words, "block").alias("block"))
-    tokens = ordered_blocks.select("row", "block", F.posexplode("block").alias("j", "word"))
+    tokens = (
+        compact.select("row", F.explode("blocks").alias("words"))
+        .withColumn("block", F.array_intersect(ordered_words, "words"))
+        .select("row", "words", "block", F.posexplode("block").alias("j", "word"))
+    )
     if entries:
         prefixes = documents.sparkSession.range(1).select(F.inline(F.array(*entries)))
         size_t, size_b = F.size("template"), F.size("block")
@@ -150,14 +167,20 @@ def scan(
         candidates = tokens.join(F.broadcast(prefixes), "word").where(
             (size_b >= F.col("needed")) & (reach >= F.col("needed"))
         )
-        shared = F.size(F.array_intersect("block", "template"))
+        places = F.sequence(F.lit(0), F.least(F.size("words"), F.lit(step)) - 1)
+        shared = F.array_max(
+            F.transform(
+                places, lambda at: F.size(F.array_intersect("template", F.slice("words", at + 1, F.col("run"))))
+            )
+        )
         found = (
-            candidates.where(shared >= F.col("needed"))
+            candidates.withColumn("shared", shared)
+            .where("shared >= needed")
             .groupBy("row")
-            .agg(F.collect_set("label").alias("found"), F.max(shared / F.size("template")).alias("best"))
+            .agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.size("template")).alias("best"))
         )
     else:
-        found = exploded.where("false").select(
+        found = tokens.where("false").select(
             "row", F.array().cast("array<string>").alias("found"), F.lit(0.0).alias("best")
         )
     joined = compact.join(found, "row", "left")
@@ -185,31 +208,33 @@ def _template_rows() -> str:
     for label, text in TEMPLATES.items():
         words = template_words(text)
         listed = ", ".join(f"'{w}'" for w in words)
-        rows.append(f"('{label}', [{listed}], {len(words)}, {required(len(words))})")
+        rows.append(f"('{label}', [{listed}], {len(words)}, {required(len(words))}, {run_length(text)})")
     return ",\n  ".join(rows)
 
 
 SQL = f"""
-with templates(label, words, size, needed) as (values
+with templates(label, tokens, size, needed, run) as (values
   {_template_rows()}),
-lined as (
+worded as (
   select row_number() over () as rid, doc_id,
-         [regexp_extract_all(line, '{WORD}') for line in
-          string_split(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), chr(10))] as lines
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') as words
   from documents),
-worded as (select rid, doc_id, lines, flatten(lines) as words from lined),
 spotted as (
-  select rid, doc_id, lines, len(words)::BIGINT as n_words,
+  select rid, doc_id, words, len(words)::BIGINT as n_words,
          [p for p in range(0, len(words) - 1) if words[p + 1] = 'cc' and words[p + 2] = 'by'] as cc,
          [p for p in range(0, len(words) - 2)
           if words[p + 1] = 'general' and words[p + 2] = 'public' and words[p + 3] = 'license'] as gpl,
          [p for p in range(0, len(words) - 2)
           if words[p + 1] = 'all' and words[p + 2] = 'rights' and words[p + 3] = 'reserved'] as res
   from worded),
-blocks as (select rid, list_distinct(unnest(lines)) as block from spotted),
+near as (
+  select rid, words, label, tokens, size, needed, run from spotted, templates
+  where len(list_intersect(list_distinct(words), tokens)) >= needed),
+runs as (select rid, label, tokens, size, needed, words[s + 1 : s + run] as part
+  from (select *, unnest(range(0, len(words))) as s from near) where list_contains(tokens, words[s + 1])),
 matches as (
-  select b.rid, t.label, len(list_intersect(b.block, t.words)) / t.size::DOUBLE as part
-  from blocks b, templates t where len(list_intersect(b.block, t.words)) >= t.needed),
+  select rid, label, len(list_intersect(list_distinct(part), tokens)) / size::DOUBLE as part
+  from runs where len(list_intersect(list_distinct(part), tokens)) >= needed),
 per_row as (select rid, list(distinct label) as found, max(part) as best from matches group by rid),
 based as (
   select *, [x for x in [case when len(cc) > 0 then 'cc-by' end, case when len(gpl) > 0 then 'gpl' end,

@@ -21,13 +21,13 @@ def brute(doc_id, text):
                 places.append(at)
                 base.add(label)
     labels, best = set(base), 1.0 if base else 0.0
-    for line in lower(text).split("\n"):
-        block = set(WORD.findall(line))
-        for label, template in licenses.TEMPLATES.items():
-            wanted = set(WORD.findall(lower(template)))
-            if len(wanted & block) >= licenses.required(len(wanted)):
+    for label, template in licenses.TEMPLATES.items():
+        wanted, run = set(WORD.findall(lower(template))), licenses.run_length(template)
+        for at in range(len(words)):
+            shared = len(wanted & set(words[at : at + run]))
+            if shared >= licenses.required(len(wanted)):
                 labels.add(label)
-                best = max(best, len(wanted & block) / len(wanted))
+                best = max(best, shared / len(wanted))
     return (
         doc_id, len(words), len(places), min(places, default=None), max(places, default=None),
         ",".join(sorted(base)), ",".join(sorted(labels)), best,
@@ -60,3 +60,26 @@ def test_only_built_in_functions_run(spark):
 def test_empty_inputs(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
     assert licenses.scan(documents(spark, ["All rights reserved"]), templates={}).first()["labels"] == "reserved"
+
+
+WRAPPED = {
+    "mit-permission": "Permission is hereby granted, free of charge, to any person\n// obtaining a copy of this software and",
+    "bsd": "# Redistribution and use in source and binary\n# forms, with or without modification,\n# are permitted",
+    "mpl-2.0": "This Source Code Form is subject to the\r\n * terms of the Mozilla Public License, v. 2.0. If",
+    "isc": "Permission to use, copy, modify, and\n\n distribute this software for any\npurpose is hereby granted",
+}
+
+
+def test_wrapped_notices_are_found_and_scattered_words_are_not(spark):
+    filler = [f"filler{i}" for i in range(3000)]
+    texts = [f"{' '.join(filler[:n])} {text} {' '.join(filler[:50])}" for text in WRAPPED.values() for n in (0, 17, 200)]
+    rng = random.Random(5)
+    for template in licenses.TEMPLATES.values():
+        words = filler[:]
+        for word in WORD.findall(lower(template)):
+            words.insert(rng.randrange(len(words)), word)
+        texts.append(" ".join(words))
+    rows = {r["doc_id"]: r for r in licenses.scan(documents(spark, texts)).collect()}
+    for i, label in enumerate(label for label in WRAPPED for _ in range(3)):
+        assert label in rows[i]["labels"].split(",") and rows[i]["score"] >= 0.9
+    assert all(rows[i]["labels"] == "" and rows[i]["score"] == 0.0 for i in range(3 * len(WRAPPED), len(texts)))
