@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -107,6 +107,97 @@ def source_measures(frame: DataFrame, by: str, year: Column, group: Column) -> D
     )
 
 
+def _one(frame: DataFrame | None, measure: Column) -> Column:
+    """One measure of a table; null for a table that is missing, which breaks every rule on it."""
+    return F.lit(None) if frame is None else frame.agg(measure.alias("x")).scalar()
+
+
+def _without(column: str, mark: str) -> Column:
+    return F.count_if(~F.coalesce(F.contains(F.col(column).cast("string"), F.lit(mark)), F.lit(False)))
+
+
+def confirmation_measures(
+    spark: SparkSession,
+    crosscheck: DataFrame | None,
+    place: str,
+    episodes: DataFrame | None,
+    confirmation: DataFrame | None,
+    collected: str,
+    now: Column,
+    provenance: DataFrame | None,
+) -> DataFrame:
+    """Places of the rainfall cross-check, episodes, age of the confirmation, provenance rows."""
+    age = (F.unix_micros(now) - F.unix_micros(F.max(F.col(collected).cast("timestamp")))) / 3.6e9
+    rows = F.count(F.lit(1))
+    return spark.range(1).select(
+        _one(crosscheck, F.countDistinct(place)).alias("checked_places"),
+        _one(episodes, rows).alias("episodes"),
+        _one(confirmation, age).alias("confirmation_age_hours"),
+        _one(provenance, rows).alias("provenance_rows"),
+    )
+
+
+def land_measures(
+    spark: SparkSession,
+    terrain: DataFrame | None,
+    cover: DataFrame | None,
+    place: str,
+    source: str,
+    marks: tuple[str, str],
+    slope: str,
+    samples: str,
+    dominant: str,
+) -> DataFrame:
+    """Places of both land tables, and their rows without the named source, slope, samples or class."""
+    missing = lambda column: F.count_if(F.col(column).isNull())
+    return spark.range(1).select(
+        _one(terrain, F.countDistinct(place)).alias("terrain_places"),
+        _one(terrain, _without(source, marks[0])).alias("terrain_unsourced"),
+        _one(terrain, missing(slope)).alias("terrain_without_slope"),
+        _one(cover, F.countDistinct(place)).alias("cover_places"),
+        _one(cover, _without(source, marks[1])).alias("cover_unsourced"),
+        _one(cover, F.count_if(~F.coalesce(F.col(samples) > 0, F.lit(False)))).alias("cover_without_samples"),
+        _one(cover, missing(dominant)).alias("cover_without_class"),
+    )
+
+
+def partition_measures(ledger: DataFrame, unit: str, schema: str, required: Sequence[str]) -> DataFrame:
+    """Units of a partitioned table, and those whose recorded schema has all required columns.
+
+    ``schema`` holds each unit's type as the unit ledger records it, so no file is opened.
+    """
+    has = [F.regexp_like(schema, F.lit(rf"[<,]{name}:")) for name in required]
+    complete = F.lit(True)
+    for test in has:
+        complete = complete & F.coalesce(test, F.lit(False))
+    return ledger.agg(
+        F.countDistinct(unit).alias("partitions"), F.countDistinct(F.when(complete, F.col(unit))).alias("complete_partitions")
+    )
+
+
+def truth_findings(
+    events: DataFrame, kind: str, hazards: Mapping[str, str], source: str, group: str, least_events: int, least_groups: int
+) -> DataFrame:
+    """Findings on hazards with too few events or too few independent source events.
+
+    ``hazards`` gives the severity of too few events by hazard; a blank group names no event.
+    """
+    named = F.when(F.length(F.trim(F.coalesce(group, F.lit("")))) > 0, F.struct(source, F.trim(group)))
+    counted = events.groupBy(F.col(kind).alias("_kind")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.countDistinct(named).alias("_groups")
+    )
+    wanted = events.sparkSession.createDataFrame(list(hazards.items()), "_kind STRING, _severity STRING")
+    rows, groups = (F.coalesce(c, F.lit(0).cast("long")) for c in ("_rows", "_groups"))
+    found = lambda n, least: F.concat(F.lit("found "), n.cast("string"), F.lit(f" of {least}"))
+    check = F.concat(F.lit("ground_truth."), "_kind")
+    few = F.when(rows < least_events, F.struct(F.col("_severity").alias("severity"), check.alias("check"), found(rows, least_events).alias("message")))
+    narrow = F.when(
+        groups < least_groups,
+        F.struct(F.lit("WARNING").alias("severity"), F.concat(check, F.lit("_diversity")).alias("check"), found(groups, least_groups).alias("message")),
+    )
+    return wanted.join(counted, "_kind", "left").select(F.inline(F.array_compact(F.array(few, narrow))))
+
+
 def review_measures(review: DataFrame) -> DataFrame:
     """Pending and approved reviewer rows."""
 

@@ -266,6 +266,96 @@ def source_diversity_audit(t):
     return audits.source_measures(verified_events(t), "source", F.year("event_date"), F.col("source_event_id"))
 
 
+CONFIRMATION_RULES = [
+    Rule("ERROR", "validation.rain_places", "checked_places < 60", "cross-check covers {checked_places} of 60 places"),
+    Rule("ERROR", "history.episodes", "episodes < 1", "no episodes"),
+    Rule("ERROR", "confirmation.freshness", "confirmation_age_hours > 24", "confirmation is too old"),
+    Rule("ERROR", "history.provenance", "provenance_rows < 1", "provenance is missing"),
+]
+
+
+@query(
+    "confirmation_findings",
+    "A30",
+    f"""WITH {READINGS_SQL}, m AS (SELECT (SELECT count(DISTINCT user_id) FROM readings WHERE event_type = 'error') AS places, (SELECT count(*) FROM readings WHERE value < 1) AS episodes,
+      (SELECT (epoch_us(TIMESTAMP '2024-02-02') - epoch_us(max(ts))) / 3.6e9 FROM events) AS age)
+    SELECT 'ERROR' AS severity, 'validation.rain_places' AS "check", 'cross-check covers ' || places || ' of 60 places' AS message FROM m WHERE places < 60
+    UNION ALL SELECT 'ERROR', 'history.episodes', 'no episodes' FROM m WHERE episodes < 1
+    UNION ALL SELECT 'ERROR', 'confirmation.freshness', 'confirmation is too old' FROM m WHERE age > 24
+    UNION ALL SELECT 'ERROR', 'history.provenance', 'provenance is missing'""",
+)
+def confirmation_findings(t):
+    r = readings(t)
+    measures = audits.confirmation_measures(
+        t.spark, r.where("event_type = 'error'"), "user_id", r.where("value < 1"), t.events, "ts",
+        F.lit("2024-02-02 00:00:00").cast("timestamp"), None,
+    )
+    return audits.findings(measures, CONFIRMATION_RULES)
+
+
+LAND_RULES = [
+    Rule(
+        "ERROR", "land.terrain",
+        "terrain_places < 25 OR terrain_unsourced > 0 OR terrain_without_slope > 0",
+        "{terrain_places} of 25 places, {terrain_unsourced} rows without source, {terrain_without_slope} without slope",
+    ),
+    Rule(
+        "ERROR", "land.cover",
+        "cover_places < 25 OR cover_unsourced > 0 OR cover_without_samples > 0 OR cover_without_class > 0",
+        "{cover_places} of 25 places, {cover_unsourced} rows without source, {cover_without_samples} without samples, {cover_without_class} without class",
+    ),
+]
+
+
+@query(
+    "land_findings",
+    "A30",
+    """WITH m AS (SELECT (SELECT count(DISTINCT s_nationkey) FROM supplier) AS tp, (SELECT count(*) FILTER (s_name NOT LIKE '%Supplier%') FROM supplier) AS tu, (SELECT count(*) FILTER (s_acctbal IS NULL) FROM supplier) AS ts,
+      (SELECT count(DISTINCT c_nationkey) FROM customer) AS cp, (SELECT count(*) FILTER (c_mktsegment NOT LIKE '%B%') FROM customer) AS cu, (SELECT count(*) FILTER (c_acctbal <= 0) FROM customer) AS cs)
+    SELECT 'ERROR' AS severity, 'land.terrain' AS "check", tp || ' of 25 places, ' || tu || ' rows without source, ' || ts || ' without slope' AS message FROM m WHERE tp < 25 OR tu > 0 OR ts > 0
+    UNION ALL SELECT 'ERROR', 'land.cover', cp || ' of 25 places, ' || cu || ' rows without source, ' || cs || ' without samples, 0 without class' FROM m WHERE cp < 25 OR cu > 0 OR cs > 0""",
+)
+def land_findings(t):
+    terrain = t.supplier.select(F.col("s_nationkey").alias("place"), F.col("s_name").alias("source"), F.col("s_acctbal").alias("slope"))
+    cover = t.customer.select(
+        F.col("c_nationkey").alias("place"), F.col("c_mktsegment").alias("source"), F.col("c_acctbal").alias("samples"), F.col("c_name").alias("dominant")
+    )
+    measures = audits.land_measures(t.spark, terrain, cover, "place", "source", ("Supplier", "B"), "slope", "samples", "dominant")
+    return audits.findings(measures, LAND_RULES)
+
+
+@query(
+    "partition_schema_findings",
+    "A30",
+    """WITH u AS (SELECT DISTINCT CAST(ts AS DATE) AS unit FROM events), m AS (SELECT count(*) AS n, count(*) FILTER (day(unit) % 3 <> 0) AS complete FROM u)
+    SELECT 'ERROR' AS severity, 'sources.partitions' AS "check", complete || ' of ' || n || ' partitions are complete' AS message FROM m WHERE complete < n""",
+)
+def partition_schema_findings(t):
+    """Every third day's partition was written without its soil column."""
+    day = F.to_date("ts")
+    shape = F.when(F.dayofmonth(day) % 3 == 0, "struct<unit:date,rain:double,soil_depth:double>").otherwise(
+        "struct<unit:date,rain:double,soil:double>"
+    )
+    ledger = t.events.select(day.alias("unit"), shape.alias("schema"))
+    rule = Rule(
+        "ERROR", "sources.partitions", "complete_partitions < partitions", "{complete_partitions} of {partitions} partitions are complete"
+    )
+    return audits.findings(audits.partition_measures(ledger, "unit", "schema", ["rain", "soil"]), [rule])
+
+
+@query(
+    "ground_truth_findings",
+    "A30",
+    f"""WITH {VERIFIED_EVENTS_SQL}, w AS (SELECT unnest(['flood', 'drought', 'cyclone']) AS kind, unnest(['ERROR', 'WARNING', 'ERROR']) AS severity),
+    c AS (SELECT hazard_type AS kind, count(*) AS n, count(DISTINCT source || '/' || source_event_id) AS g FROM verified_events GROUP BY 1), j AS (SELECT w.kind, severity, coalesce(n, 0) AS n, coalesce(g, 0) AS g FROM w LEFT JOIN c USING (kind))
+    SELECT severity, 'ground_truth.' || kind AS "check", 'found ' || n || ' of 500' AS message FROM j WHERE n < 500
+    UNION ALL SELECT 'WARNING', 'ground_truth.' || kind || '_diversity', 'found ' || g || ' of 2000' FROM j WHERE g < 2000""",
+)
+def ground_truth_findings(t):
+    severities = {"flood": "ERROR", "drought": "WARNING", "cyclone": "ERROR"}
+    return audits.truth_findings(verified_events(t), "hazard_type", severities, "source", "source_event_id", 500, 2000)
+
+
 @query(
     "review_completeness",
     "A31",

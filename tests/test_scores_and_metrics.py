@@ -174,3 +174,39 @@ def test_downsampling_keeps_positives_and_the_limit(rows):
     assert sum(r.y for r in got) == 3
     assert sum(r.y == 0 and r.g == "a" for r in got) == 12
     assert sum(r.g == "b" for r in got) == 1
+
+
+def test_missing_and_broken_tables_are_findings(spark, rows):
+    """Land and confirmation audits: absent tables, wrong sources, old confirmations, thin truth."""
+    from terravane.plans.quality import CONFIRMATION_RULES, LAND_RULES
+
+    now = F.lit("2024-01-03 00:00:00").cast("timestamp")
+    none = audits.confirmation_measures(spark, None, "p", None, None, "at", now, None)
+    assert {r.check for r in audits.findings(none, CONFIRMATION_RULES).collect()} == {rule.check for rule in CONFIRMATION_RULES}
+    places = rows("p int, at string", *[(i, "2024-01-02 12:00:00") for i in range(60)])
+    good = audits.confirmation_measures(spark, places, "p", places, places, "at", now, places)
+    assert audits.findings(good, CONFIRMATION_RULES).count() == 0
+    old = audits.confirmation_measures(spark, places, "p", places, places.withColumn("at", F.lit("2023-12-30")), "at", now, places)
+    assert [r.check for r in audits.findings(old, CONFIRMATION_RULES).collect()] == ["confirmation.freshness"]
+
+    kind = "p int, source string, slope double, samples int, dominant string"
+    land = rows(kind, *[(i, "model SRC", 1.0, 5, "wood") for i in range(25)])
+    measure = lambda terrain, cover: audits.findings(
+        audits.land_measures(spark, terrain, cover, "p", "source", ("SRC", "SRC"), "slope", "samples", "dominant"), LAND_RULES
+    )
+    assert measure(land, land).count() == 0
+    holed = land.withColumn("slope", F.when(F.col("p") > 0, F.col("slope"))).withColumn("samples", F.when(F.col("p") > 1, 5).otherwise(0))
+    assert {r.check: r.message for r in measure(holed, holed).collect()} == {
+        "land.terrain": "25 of 25 places, 0 rows without source, 1 without slope",
+        "land.cover": "25 of 25 places, 0 rows without source, 2 without samples, 0 without class",
+    }
+    assert {r.check for r in measure(None, land).collect()} == {"land.terrain"}
+
+    units = rows("unit string, schema string", ("a", "struct<unit:string,rain:double>"), ("b", "struct<rainfall:double>"), ("c", None))
+    assert tuple(audits.partition_measures(units, "unit", "schema", ["rain"]).first()) == (3, 1)
+    events = rows("k string, s string, g string", ("flood", "x", "1"), ("flood", "x", " 1 "), ("flood", "y", " "), ("flood", "y", None))
+    found = audits.truth_findings(events, "k", {"flood": "ERROR", "storm": "WARNING"}, "s", "g", 3, 2)
+    assert {(r.severity, r.check, r.message) for r in found.collect()} == {
+        ("WARNING", "ground_truth.flood_diversity", "found 1 of 2"), ("WARNING", "ground_truth.storm", "found 0 of 3"),
+        ("WARNING", "ground_truth.storm_diversity", "found 0 of 2"),
+    }
