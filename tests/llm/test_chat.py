@@ -67,3 +67,8 @@ def test_only_built_in_functions_run(spark):
     plan = chat.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert chat.format_preferences(chat.neighbours_as_pairs(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_empty_table(spark):
+    none = clashing(spark.createDataFrame([], SCHEMA), "side", "prompt")
+    assert chat.format_preferences(chat.neighbours_as_pairs(none)).count() == 0
