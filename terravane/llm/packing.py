@@ -4,8 +4,9 @@ Pieces are dealt evenly over partitions, and each partition is packed by best-fi
 Dual feasible functions give a lower bound on the bins any packing of the partition needs; a
 partition that meets its bound is certified and keeps its bins.  Partitions with a gap keep
 their full bins and hand over the pieces of the others, and so does every partition with its
-emptiest bin; what is handed over is dealt anew over partitions and packed again, and the new
-packing is taken if it has fewer bins.  Only lengths travel, never token ids.
+emptiest bin; what is handed over is dealt anew over partitions and packed again.  Exchanges go on
+while they save bins, and end early once the bins handed over are certified as a whole.  Only
+lengths travel, never token ids.
 
 Defined cases: a null or empty text is the end id alone; a text longer than a sequence, end id
 included, is cut into full pieces and a rest; repeated rows are packed each; pieces of one length
@@ -14,6 +15,7 @@ are interchangeable, so ties are broken by the order of dealing.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -58,11 +60,17 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str
     return slim.mapInArrow(cut, PIECE_SCHEMA)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Fewest bins any packing of the lengths can have, by two families of dual feasible functions."""
+def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, counts: np.ndarray | None = None) -> int:
+    """Fewest bins any packing of the lengths can have, by two families of dual feasible functions.
+
+    With ``counts``, each length stands for that many pieces.
+    """
     if not len(lengths):
         return 0
     count = np.bincount(lengths, minlength=capacity + 1)
+    if counts is not None:
+        count = np.zeros(capacity + 1, np.int64)
+        np.add.at(count, lengths, counts)
     size = np.arange(capacity + 1)
     many, total = np.cumsum(count), np.cumsum(count * size)
     # small pieces below a limit count nothing, pieces above capacity minus the limit a whole bin
@@ -126,24 +134,30 @@ def _packed(pieces: DataFrame, turn: int, capacity: int) -> DataFrame:
             loose |= fills < capacity
         if fills.min() < capacity:
             loose[fills.argmin()] = True
-        base = (turn << 58) + (int(group["part"].iloc[0]) << 28)
+        base = (turn << 52) + (int(group["part"].iloc[0]) << 28)
         return group.assign(sequence_id=base + bins, offset=offsets, loose=loose[bins]).drop(columns="part")
 
     schema = f"row long, {PIECE_SCHEMA}, sequence_id long, offset long, loose boolean"
     return written(dealt.groupBy("part").applyInPandas(pack, schema), "packed")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 3) -> DataFrame:
+def _bound(pieces: DataFrame, capacity: int) -> int:
+    """The lower bound for all the pieces; only counts of the lengths, ``capacity`` at most, are fetched."""
+    counts = pieces.groupBy("length").count().toPandas()
+    return lower_bound(counts["length"].to_numpy(np.int64), capacity, counts["count"].to_numpy(np.int64))
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with sequence_id and offset; no piece may be longer than ``capacity``."""
     numbered = written(
         pieces.select(F.monotonically_increasing_id().alias("row"), *pieces.columns), "pieces"
     )
     settled = []
     current = _packed(numbered, 0, capacity)
-    for turn in range(1, rounds):
+    for turn in itertools.count(1):
         loose = current.where("loose")
         before = loose.select("sequence_id").distinct().count()
-        if before < 2:
+        if before <= max(_bound(loose, capacity), 1):
             break
         again = _packed(loose, turn, capacity)
         after = again.select("sequence_id").distinct().count()

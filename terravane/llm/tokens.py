@@ -4,8 +4,9 @@ The vocabulary's own pipeline is: NFC, white space to one space, lower case, a s
 byte letters, merges, where the last letter of a pre-token carries an end mark.  White space is
 never inside a pre-token, so a text's ids are those of its white-space pieces in order, and a
 worker keeps the ids of pieces it has met.  Texts for which that reasoning does not hold
-(special-token strings, control characters that count as space on one side only) go through the
-tokenizer as they are; so do all texts if the file's merges are not numbered in merge order.
+(special-token strings, control characters that count as space on one side only, code points that
+this Python's Unicode tables do not assign and the tokenizer's may) go through the tokenizer as they
+are; so do all texts if the file's merges are not numbered in merge order.
 """
 
 from __future__ import annotations
@@ -61,13 +62,18 @@ class WordEncoder:
         ids = [i for word in self.words.findall(piece) for i in self.merge(word.encode() + END_BYTE)]
         return np.array(ids, dtype="<u4").tobytes()
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers; nothing for null and empty texts."""
         if not text:
             return b""
         if self.merge is None or ODD.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return self._whole(text)
         if not text.isascii():
+            if any(unicodedata.category(c) == "Cn" for c in set(text)):
+                return self._whole(text)
             # per character, as the vocabulary's pipeline does it: no final sigma
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         pieces = text.lower().split()
