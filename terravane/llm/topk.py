@@ -9,6 +9,10 @@ end.  Once the outsiders' upper bounds lie below the k-th best lower bound, read
 and the final scores of the candidates left are resolved.  The bounds of a step are matrix products
 over clipped components, so all queries of a block read together.
 
+The first block of candidates is read first.  A query's k-th best score there is a lower bound that
+holds for the whole table; it is written and joined to the query in all other blocks, where only
+candidates whose upper bound reaches it stay.
+
 Defined cases: vectors that are null or hold null or non-finite components take no part; only vectors
 of a query's own length are its candidates; rows with the query's vec_id are its own and no
 candidates; a vec_id given to several rows is that many candidates, and each query row has its own
@@ -28,7 +32,8 @@ from terravane.llm.common import table, written
 EVERY, BEST, SCALE = 50, 5, 256
 #: Rows of a block; small tables are still dealt over LEAST_BLOCKS blocks of FEWEST rows or more.
 CANDIDATE_BLOCK, QUERY_BLOCK, LEAST_BLOCKS, FEWEST = 4_096, 1_024, 24, 128
-DEPTHS = (0.25, 0.5)
+#: Shares of the lists read step by step.  In isotropic vectors bounds fall late, in clustered ones early.
+DEPTHS = (0.05, 0.2, 0.5, 0.6, 0.7, 0.8, 0.9)
 RESOLVE = 64  # candidates left per query at which reading on costs more than resolving them
 RESULT = "query_row long, query_id long, vec_id long, score long"
 
@@ -68,9 +73,19 @@ def _exact(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 
 
 def block_top(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, best: int
+    query_ids: np.ndarray,
+    queries: np.ndarray,
+    ids: np.ndarray,
+    candidates: np.ndarray,
+    best: int,
+    bars: np.ndarray | None = None,
+    by_bounds: list[int] | None = None,
 ) -> list[tuple[int, int, int]]:
-    """(query number, candidate number, score) of each query's best candidates of the block."""
+    """(query number, candidate number, score) of each query's best candidates of the block.
+
+    Candidates below a query's bar, a lower bound for its k-th best score of the whole table, may be
+    left out.  The numbers of queries settled by bounds before their lists' ends go to ``by_bounds``.
+    """
     size, dims = candidates.shape
     own = query_ids[:, None] == ids[None, :]
     lists = np.sort(candidates.astype(float), axis=0)
@@ -80,6 +95,7 @@ def block_top(
     # room for the rounding of sums of doubles, nothing while sums are exact
     reach = float(np.abs(weights).max()) * float(np.abs(values).max()) * dims
     slack = 0.0 if reach < 2.0**53 else reach * dims * 2.0**-50
+    carried = np.full(len(queries), -np.inf) if bars is None else bars - slack
     open_queries = np.arange(len(queries))
     found: list[tuple[int, int, int]] = []
 
@@ -99,18 +115,21 @@ def block_top(
         top, bottom = lists[size - read], lists[read - 1]
         up, down = rising[open_queries], falling[open_queries]
         upper = up @ np.maximum(values, top).T + down @ np.minimum(values, bottom).T + slack
-        lower = (
-            up @ np.where(values >= top, values, lowest).T
-            + down @ np.where(values <= bottom, values, highest).T
-            - slack
-        )
-        lower[own[open_queries]] = -np.inf
         upper[own[open_queries]] = -np.inf
-        if size <= best:
-            break
-        bar = np.partition(lower, size - best, axis=1)[:, size - best]
-        possible = upper >= bar[:, None]
+        bar = carried[open_queries]
+        bare = np.flatnonzero(np.isinf(bar))
+        if len(bare) and size > best:
+            lower = (
+                up[bare] @ np.where(values >= top, values, lowest).T
+                + down[bare] @ np.where(values <= bottom, values, highest).T
+                - slack
+            )
+            lower[own[open_queries[bare]]] = -np.inf
+            bar[bare] = np.partition(lower, size - best, axis=1)[:, size - best]
+        possible = (upper >= bar[:, None]) & ~own[open_queries]
         settled = possible.sum(axis=1) <= RESOLVE
+        if by_bounds is not None:
+            by_bounds.extend(open_queries[settled].tolist())
         for place in np.flatnonzero(settled):
             resolve(int(open_queries[place]), np.flatnonzero(possible[place]))
         open_queries = open_queries[~settled]
@@ -163,7 +182,10 @@ def top_inner_products(
         else:
             dims = key[2].as_py()
             query_ids, ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-            met = block_top(query_ids, _matrix(left, "v", dims), ids, _matrix(right, "v", dims), best)
+            # scores and bars beyond exact doubles are bounds still: one step down is below them
+            bars = left.column("bar").cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy()
+            bars = np.where(np.abs(bars) < 2.0**53, bars, np.nextafter(bars, -np.inf))
+            met = block_top(query_ids, _matrix(left, "v", dims), ids, _matrix(right, "v", dims), best, bars)
             rows = left.column("row").to_numpy()
             columns = [
                 [rows[q] for q, _, _ in met],
@@ -174,10 +196,27 @@ def top_inner_products(
         names = ["query_row", "query_id", "vec_id", "score"]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})
 
-    met = questions.groupBy("q", "c", "dims").cogroup(candidates.groupBy("q", "c", "dims")).applyInArrow(meet, RESULT)
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
-    ranked = met.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= best)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+
+    def ranked(met: DataFrame) -> DataFrame:
+        return met.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= best)
+
+    def against(asking: DataFrame, offered: DataFrame) -> DataFrame:
+        keys = "q", "c", "dims"
+        return ranked(asking.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(meet, RESULT))
+
+    opening = F.col("c") == 0
+    bare = questions.where(opening).withColumn("bar", F.lit(None).cast("long"))
+    found = written(against(bare, candidates.where(opening)), "opening")
+    if across > 1:
+        # one row per query: the bar that its first block of candidates sets
+        bars = found.where(F.col("rank") == best).select(F.col("query_row").alias("row"), F.col("score").alias("bar"))
+        later = questions.where(~opening).join(bars, "row", "left")
+        # columns of their own, as both sides come from one table
+        later = later.select(*[F.col(c).alias(c) for c in later.columns])
+        others = against(later, candidates.where(~opening))
+        found = ranked(found.drop("rank").unionByName(others.drop("rank")))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,26 @@ def test_block_bounds_settle_on_the_exact_answer(seed):
         assert sorted(found[q]) == exact
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_a_carried_bar_settles_most_queries_by_bounds(spark, clustered):
+    """With the bar of one block, reading another stops before the ends of its lists."""
+    rng = np.random.default_rng(3)
+    rows = np.array([r[0] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()])
+    if clustered:
+        rows = rows[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 64)) * 0.02
+    rows = np.floor(256 * rows).astype(np.int64)
+    half, ids = len(rows) // 2, np.arange(len(rows))
+    queries, query_ids, settled, found = rows[::50], ids[::50], [], {}
+    for block in (slice(0, half), slice(half, None)):
+        bars = np.array([sorted(found[q])[4][0] * -1.0 for q in range(len(queries))]) if found else None
+        for q, c, s in topk.block_top(query_ids, queries, ids[block], rows[block], 5, bars, settled if found else None):
+            found.setdefault(q, []).append((-s, int(ids[block][c])))
+    for q, own in enumerate(query_ids):
+        exact = sorted((-int(queries[q] @ v), int(i)) for v, i in zip(rows, ids) if i != own)[:5]
+        assert sorted(found[q])[:5] == exact
+    assert len(set(settled)) == len(settled) >= 0.9 * len(queries)
+
+
 def test_top_beyond_exact_doubles(spark):
     rows = [(50 * i, [3.0e5 * (i + 1), 2.5e5 + i, -1.0e5], 0) for i in range(12)] + [(1, [2.0e6, 1.0, 1.0], 0)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
