@@ -172,3 +172,68 @@ def test_lonely_and_copied_queries_are_answered(spark):
     assert [v for _, v, _ in sorted(found[2000])] == list(range(2001, 2011))
     want = sorted((math.dist(v, rows[1499][1]), i) for i, v, _ in rows if i != 0)[:10]
     assert [v for _, v, _ in sorted(found[0])] == [i for _, i in want]
+
+
+def brute_lengths(rows, every, best):
+    good = [(i, np.array(v)) for i, v, _ in rows]
+    found = []
+    for i, v in good:
+        if i % every == 0:
+            others = sorted((float(np.sqrt(((v - w) ** 2).sum())), j) for j, w in good if j != i and len(w) == len(v))
+            found += [(i, r, j, d) for r, (d, j) in enumerate(others[:best], 1)]
+    return sorted(found)
+
+
+def test_vectors_of_rarer_lengths_and_copied_ids_are_searched(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(-2, 3, 2 + (i % 5 == 0) + (i % 25 == 0)).astype(float).tolist(), 0) for i in range(600)]
+    rows += [(100, [1.0, 1.0, 1.0], 0)] * 25 + [(7, [1.0, 1.0, 1.0], 0)] * 15
+    rows = [r for r in rows if any(r[1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(nearest, "LIST_ROWS", 10_000)
+    assert sorted(map(tuple, nearest.nearest(frame, every=50).collect())) == brute_lengths(rows, 50, 10)
+
+
+def clustered(many, rng):
+    centres = rng.normal(size=(many // 100, 32))
+    return centres[rng.integers(0, len(centres), many)] + 0.35 * rng.normal(size=(many, 32))
+
+
+def test_long_lists_are_divided_level_by_level(spark, monkeypatch):
+    """With few lists a level, the number of lists still grows with the table."""
+    monkeypatch.setattr(nearest, "MOST_LISTS", 4)
+    monkeypatch.setattr(nearest, "SPLIT", 400)
+    monkeypatch.setattr(nearest, "SPLIT_SAMPLE", 64)
+    monkeypatch.setattr(nearest, "BLOCK", 128)
+    kept, real = [], nearest.answers
+    monkeypatch.setattr(nearest, "answers", lambda a, h, b: kept.append(h) or real(a, h, b))
+    values = clustered(6000, np.random.default_rng(4))
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(values)], "vec_id long, embedding array<double>, label int")
+    found = {}
+    for r in nearest.nearest(frame).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = 0
+    for q in range(0, 6000, 100):
+        away = ((values - values[q]) ** 2).sum(1)
+        away[q] = np.inf
+        assert len(found[q]) == 10
+        hits += len(set(np.argsort(away)[:10].tolist()) & set(found[q]))
+    assert hits >= 0.9 * 600
+    sizes = kept[0].groupBy("list").count().collect()
+    assert len(sizes) > 16 and any(r["list"].count("/") > 1 for r in sizes)
+
+
+def test_share_of_entries_read_on_clustered_vectors():
+    values = clustered(50_000, np.random.default_rng(6))
+    sample, queries = values[::3][:16_000], values[::500]
+    index = nearest.fit(sample, 500)
+    homes = index.homes(values)
+    size = np.bincount(np.concatenate(homes), minlength=len(index.centroids))
+    probes = index.probes(queries)
+    assert np.mean([size[p].sum() for p in probes]) < 0.3 * len(values)
+    hits = 0
+    for query, read in zip(queries, probes):
+        truth = np.argsort(((values - query) ** 2).sum(1))[1:11]
+        hits += sum(not set(read).isdisjoint(homes[t]) for t in truth)
+    assert hits >= 0.95 * 10 * len(queries)
