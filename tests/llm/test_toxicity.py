@@ -94,3 +94,21 @@ def test_held_out_accuracy_on_the_tables(spark):
     # some documents labelled toxic hold no insult at all, as their words were replaced by junk
     assert caught >= 0.9 * sum(truth[r["doc_id"]] == 1 for r in rows)
     assert sum(r["predicted"] for r in rows if truth[r["doc_id"]] == 0) <= 0.005 * len(rows)
+
+
+def test_threats_quotations_and_negations_move_scores_though_no_label_shows_them(spark):
+    frame, labels = corpus(spark)
+    texts = ["", "alba coru", "i will kill you", "she said he is a zork", "this is not a zork", "a zork", "you are a zork"]
+    asked = documents(spark, texts)
+    asked = asked.withColumn("doc_id", asked["doc_id"] + 10_000)
+    scores = {r["doc_id"] - 10_000: r["score"] for r in toxicity.score(frame.unionByName(asked), labels).collect()}
+    empty, clean, threat, quoted, negated, plain, aimed = (scores[i] for i in range(7))
+    assert empty == clean < quoted < negated < plain < aimed
+    assert empty < threat and plain >= 0.7 > max(quoted, negated)
+
+
+def test_only_unseen_kinds_get_the_stated_shares():
+    x = np.zeros((4, len(KINDS)))
+    x[:, KINDS.index("plain")], x[0, KINDS.index("negated")] = 1, 1
+    weights = toxicity.with_unseen(np.array([2.0, 0.0, 0.7, 0.0, 0.0, -3.0]), x)
+    assert np.allclose(weights, [2.0, 2.2, 0.7, 0.6, 2.4, -3.0])
