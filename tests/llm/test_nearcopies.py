@@ -1,7 +1,6 @@
 import random
 
 from helpers import classes_of, clashing, documents, hard_documents
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terravane.llm import nearcopies, simhash
@@ -96,37 +95,3 @@ def test_large_buckets_are_dealt_over_blocks(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert nearcopies.keep_one(documents(spark, [])).count() == 0
-
-
-def test_prefixes_of_many_labels(spark, monkeypatch):
-    """One bucket of copies around a passage, at similarities just below and above 0.8, without any link found before."""
-    monkeypatch.setattr(nearcopies, "BLOCK", 5)
-    rng = random.Random(13)
-    passage = " ".join(f"p{i}" for i in range(100))
-    texts = [f"{passage} " + " ".join(f"o{rng.random()}" for _ in range(rng.randrange(4, 22))) for _ in range(60)]
-    texts += [edited(rng, passage, n) for n in range(4) for _ in range(4)]
-    rows = [(i, t, len(slow_shingles(t)), [7]) for i, t in enumerate(texts)]
-    frame = spark.createDataFrame(rows, "node long, text string, size long, bands array<long>")
-    alone = frame.select("node", F.col("node").alias("label"))
-    none = spark.createDataFrame([], "a long, b long")
-    found = nearcopies._left_over(frame.select("node"), frame.select("node", "text"), none, alone, 0.8)
-    sets = [slow_shingles(t) for t in texts]
-    wanted = classes_of(range(len(texts)), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
-    assert {tuple(r) for r in found.collect()} == {
-        (n, c) for n, c in wanted.items() if list(wanted.values()).count(c) > 1
-    }
-    assert 3 < len(set(wanted.values())) < len(texts) - 20
-
-
-def test_simhash_components_are_buckets(spark):
-    """A pair that shares no band is found by its fingerprints, and verified like any other."""
-    rng = random.Random(3)
-    text = " ".join(f"w{rng.randrange(900)}" for _ in range(400))
-    texts = [text, text + " end", text.replace("w1", "v1")]
-    prints = [simhash.fingerprint(t) for t in texts]
-    prints[2] = prints[0]
-    rows = [(i, t, len(slow_shingles(t)), [i], p) for i, (t, p) in enumerate(zip(texts, prints))]
-    frame = spark.createDataFrame(rows, "node long, text string, size long, bands array<long>, print long")
-    sets = nearcopies._with_classes(frame.select("node", "size", "bands", "print"))
-    found = nearcopies.groups(sets, frame.select("node", "text"))
-    assert {tuple(r) for r in found.collect()} == {(0, 0), (1, 0)}
