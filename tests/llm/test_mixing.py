@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 from helpers import clashing, documents, hard_documents, rows_of
+from pyspark.sql import functions as F
 
 from terravane.llm import mixing
 
@@ -69,3 +70,13 @@ def test_many_documents_come_near_their_target(spark):
 def test_empty_table(spark):
     assert mixing.mix_report(documents(spark, [])).count() == 0
     assert mixing.mix(documents(spark, [])).count() == 0
+
+
+def test_mix_and_report_agree_on_rows_without_an_id(spark):
+    rows = [(None if i % 2 else i, "ab"[i % 3 == 0], f"word{i} " * (i % 7 + 1)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    taken = {}
+    for r in mixing.mix(frame).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + len(r["text"].split())
+    told = {r["source"]: r["n"] for r in mixing.mix_report(frame).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    assert taken == told
