@@ -6,7 +6,7 @@ so a query and its SQL twin start from the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.operators.windows import SeriesKey
@@ -51,10 +51,21 @@ READINGS_SQL = f"""readings AS (
   FROM events)"""
 
 
+def exact_sum(value: str) -> Column:
+    """Sum of amounts of up to six decimals: exact, so the same in whatever order the rows come.
+
+    A group that holds any other amount (NaN, infinite, finer or larger) is added up as doubles.
+    """
+    amount = F.col(value)
+    written = amount.try_cast("decimal(18,6)")
+    plain = F.bool_and(F.coalesce(written.cast("double") == amount, amount.isNull()))
+    return F.coalesce(F.when(plain, F.try_sum(written).cast("double")), F.sum(amount))
+
+
 def cell_days(t: Tables) -> DataFrame:
     """The core fact: one row per cell and day."""
     return readings(t).groupBy("latitude", "longitude", "valid_date").agg(
-        F.sum("value").alias("precipitation"),
+        exact_sum("value").alias("precipitation"),
         F.avg("value").alias("temperature"),
         F.min("value").alias("temperature_min"),
         F.max("value").alias("temperature_max"),

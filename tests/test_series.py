@@ -161,3 +161,17 @@ def test_season_and_humidity(rows):
     got = frame.select(calendar.season("d"), weather.relative_humidity("t", "dew")).collect()
     assert [r[0] for r in got] == [1, 3]
     assert got[0][1] == pytest.approx(100.0) and got[1][1] == 100.0
+
+
+def test_heavy_rain_does_not_depend_on_the_order_of_readings(rows):
+    """Amounts that make 150 exactly, but not as doubles added one by one."""
+    from functools import reduce
+    from operator import add
+
+    from terravane.plans.bindings import exact_sum
+
+    amounts = [0.1] * 1500
+    assert reduce(add, amounts) != 150.0
+    given = [("a", v) for v in amounts] + [("b", 1e-9), ("b", None), ("c", None), ("d", float("inf")), ("d", 1.0)]
+    found = rows("cell string, value double", *given).groupBy("cell").agg(exact_sum("value").alias("s"))
+    assert {r["cell"]: r["s"] for r in found.collect()} == {"a": 150.0, "b": 1e-9, "c": None, "d": float("inf")}
