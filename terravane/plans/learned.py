@@ -12,12 +12,14 @@ from terravane.operators import learning, sampling, windows
 from terravane.plans.bindings import SCORED_SQL, STATION, STATION_DAYS_SQL, scored, station_days
 from terravane.plans.registry import query, tidy, tidy_columns, tidy_sql
 from terravane.plans.served import HORIZONS_SQL, horizons
+from terravane.session import run_folder
+from terravane.sources import writers
 
 FEATURES = ["rain", "rain_7d", "temperature_30d", "season_sin"]
 
 
 def learning_rows(t):
-    """Next-days heavy rain per station-day, split by year."""
+    """Next-days heavy rain per station-day, split by year; written once, as learners pass over it many times."""
     days = station_days(t)
     future = windows.future_window(STATION, "precipitation", 3, "sum")
     rows = days.withColumns(
@@ -32,9 +34,10 @@ def learning_rows(t):
     labelled = rows.withColumn("target", (F.col("future_rain") >= 120).cast("int")).withColumn(
         "event_group", F.when(F.col("target") == 1, F.concat_ws("/", "station", F.year("valid_date"))).otherwise("")
     )
-    return sampling.split_by_year(labelled, F.year("valid_date"), 1998, 1999).select(
+    split = sampling.split_by_year(labelled, F.year("valid_date"), 1998, 1999).select(
         "station", "valid_date", *FEATURES, "target", "event_group", "partition"
     )
+    return t.spark.read.schema(split.schema).parquet(writers.snapshot(split, run_folder(t.spark, "learning-rows")))
 
 
 TEST_SQL = f"""WITH {STATION_DAYS_SQL}, n AS (SELECT *, lead(valid_date, 3) OVER (PARTITION BY station ORDER BY valid_date) AS later FROM station_days),

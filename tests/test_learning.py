@@ -79,3 +79,12 @@ def test_comparison_trains_and_picks_the_candidate_that_learns(rows):
     )
     measures = {r.candidate: r.pr_auc for r in table.collect()}
     assert best in measures and measures[best] == max(measures.values()) > 0.95
+
+
+def test_learning_rows_are_written_once(spark):
+    """Learners and measures read stored rows and do not repeat the series' windows."""
+    from terravane.plans import learned
+    from terravane.plans.registry import Tables
+
+    plan = learned.learning_rows(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
