@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,6 +77,15 @@ def lead_keys(
     )
 
 
+def _field(name: str):
+    return lambda day: day[name]
+
+
+def _within(days: str, groups: str, horizon: int) -> Column:
+    """Of the days ahead those within the horizon that have groups of a hazard."""
+    return F.filter(days, lambda d: (d["at"] <= F.col("_now") + horizon) & (F.size(d[groups]) > 0))
+
+
 def future_targets(
     series: DataFrame,
     events: DataFrame,
@@ -85,29 +94,49 @@ def future_targets(
     key: Sequence[str],
     day: str,
 ) -> DataFrame:
-    """Targets for every hazard and horizon from one expansion and one join."""
-    leads = lead_keys(events.where(F.col("hazard_type").isin(*hazards)), max(horizons), key, day)
-    aggregates = []
+    """Targets for every hazard and horizon.
+
+    Events and series rows meet once, aggregated to one row per key and day; a window over the key's
+    days, bounded by the calendar, then looks ahead, so no event is repeated for the days before it.
+    """
+    key, longest = list(key), max(horizons)
+    rest = [c for c in series.columns if c not in (*key, day)]
+    own = F.struct(F.lit(True).alias("_one"), *rest)
+    kind = series.select(own.alias("_own")).schema["_own"].dataType
+    happened = events.where(F.col("hazard_type").isin(*hazards)).dropna(subset=[*key, "event_date"])
+    mixed = series.select(*key, day, own.alias("_own"), *[F.lit(None).cast("string").alias(f"_{h}") for h in hazards]).unionByName(
+        happened.select(
+            *key,
+            F.to_date("event_date").cast(series.schema[day].dataType).alias(day),
+            F.lit(None).cast(kind).alias("_own"),
+            # an event without a group still counts as one
+            *[F.when(F.col("hazard_type") == h, F.concat(F.lit("g"), F.coalesce(F.col("event_group").cast("string"), F.lit("")))).alias(f"_{h}") for h in hazards],
+        )
+    )
+    daily = mixed.groupBy(*key, day).agg(
+        F.collect_list("_own").alias("_rows"), *[F.collect_set(f"_{h}").alias(f"_{h}") for h in hazards]
+    )
+    number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
+    ahead = Window.partitionBy(*key).orderBy(number).rangeBetween(1, longest)
+    busy = F.when(sum((F.size(f"_{h}") for h in hazards), F.lit(0)) > 0, F.struct(number.alias("at"), *[f"_{h}" for h in hazards]))
+    seen = (
+        daily.withColumns({"_ahead": F.collect_list(busy).over(ahead), "_now": number})
+        .where(F.size("_rows") > 0)
+        .select(*key, day, "_ahead", "_now", F.explode("_rows").alias("_own"))
+    )
+    columns = []
     for hazard in hazards:
         for horizon in horizons:
-            inside = (F.col("hazard_type") == hazard) & (F.col("lead_days") <= horizon)
-            aggregates += [
-                F.array_join(
-                    F.array_sort(F.collect_set(F.when(inside, F.col("event_group")))), "|"
-                ).alias(f"{hazard}_group_{horizon}d"),
-                F.min(F.when(inside, F.col("lead_days"))).alias(f"{hazard}_lead_{horizon}d"),
+            inside = _within("_ahead", f"_{hazard}", horizon)
+            groups = F.array_distinct(F.flatten(F.transform(inside, _field(f"_{hazard}"))))
+            lead = F.array_min(F.transform(inside, _field("at"))) - F.col("_now")
+            named = F.filter(F.transform(groups, lambda g: F.substring(g, 2, 1 << 30)), lambda g: g != "")
+            columns += [
+                F.array_join(F.array_sort(named), "|").alias(f"{hazard}_group_{horizon}d"),
+                lead.alias(f"{hazard}_lead_{horizon}d"),
+                lead.isNotNull().cast("int").alias(f"{hazard}_risk_{horizon}d"),
             ]
-    targets = leads.groupBy(*key, day).agg(*aggregates)
-    joined = series.join(targets, [*key, day], "left")
-    columns = {}
-    for hazard in hazards:
-        for horizon in horizons:
-            lead = F.col(f"{hazard}_lead_{horizon}d")
-            columns[f"{hazard}_risk_{horizon}d"] = lead.isNotNull().cast("int")
-            columns[f"{hazard}_group_{horizon}d"] = F.coalesce(
-                f"{hazard}_group_{horizon}d", F.lit("")
-            )
-    return joined.withColumns(columns)
+    return seen.select(*key, day, *[F.col(f"_own.{c}").alias(c) for c in rest], *columns)
 
 
 def target_summary(targets: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -92,3 +92,17 @@ def test_zero_filled_years(rows):
     assert {(r.year, r.kind, r.events) for r in out.collect()} == {
         (2020, "x", 1), (2021, "x", 0), (2022, "x", 1), (2020, "y", 0), (2021, "y", 0), (2022, "y", 0)
     }
+
+
+def test_future_targets_repeat_no_event_for_the_days_before_it(rows):
+    """One aggregation by key and day and one window; extra columns, repeated rows and null keys stay."""
+    series = rows("cell string, valid_date string, note int", ("a", "2024-01-01", 1), ("a", "2024-01-01", 2), (None, "2024-01-01", 3))
+    events = rows(
+        "cell string, event_date string, hazard_type string, event_group string",
+        ("a", "2024-01-03", "flood", "x"), ("a", "2024-01-08", "flood", "y"), (None, "2024-01-02", "flood", "z"), ("a", "2024-01-02", "flood", None),
+    )
+    days = series.withColumn("valid_date", F.col("valid_date").cast("date"))
+    out = alignment.future_targets(days, events.withColumn("event_date", F.col("event_date").cast("date")), ["flood"], [3, 7], ["cell"], "valid_date")
+    assert "explode(sequence" not in out._jdf.queryExecution().toString()
+    found = {r["note"]: (r["flood_risk_3d"], r["flood_group_3d"], r["flood_lead_3d"], r["flood_group_7d"]) for r in out.collect()}
+    assert found == {1: (1, "x", 1, "x|y"), 2: (1, "x", 1, "x|y"), 3: (0, "", None, "")}
