@@ -243,7 +243,37 @@ def containing(points: DataFrame, polygons: DataFrame, tile: float = 1.0) -> Dat
     )
     # numbered once and for all: equal rows are polygons of their own
     shapes = cut_lineage(polygons.withColumn("_pid", F.monotonically_increasing_id()))
-    lon, lat = F.col("longitude"), F.col("latitude")
+    near = left.join(_tiled(shapes.select("_pid", "geometry"), tile), ["_tile_row", "_tile_column"])
+    pairs = near.where(_holds(F.col("longitude"), F.col("latitude"))).select(*POINT, "_pid")
+    return pairs.join(shapes.drop("geometry"), "_pid").drop("_pid")
+
+
+def smallest_containing(points: DataFrame, polygons: DataFrame, identity: str, tile: float) -> DataFrame:
+    """Distinct points inside any polygon, with the smallest identity of those that hold them (``_inside``).
+
+    A polygon that covers a whole tile holds all its points, so in that tile only polygons of a
+    smaller identity are tested, however many others lie over it.
+    """
+    spot = ["_tile_row", "_tile_column"]
+    left = distinct_points(points).withColumns(
+        {"_tile_row": _row("latitude", tile), "_tile_column": F.floor(F.col("longitude") / tile).cast("int")}
+    )
+    shapes = cut_lineage(polygons.select(F.col(identity).alias("_id"), "geometry").withColumn("_pid", F.monotonically_increasing_id()))
+    tiled = cut_lineage(_tiled(shapes.select("_pid", "geometry"), tile).join(shapes.select("_pid", "_id"), "_pid").drop("_pid"))
+    # no edge meets the tile: what holds of its centre holds of all its points
+    plain = F.forall("_parts", lambda rings: F.forall(rings, lambda r: F.size(r["edges"]) == 0))
+    centre = _holds((F.col("_tile_column") + 0.5) * tile, (F.col("_tile_row") + 0.5) * tile)
+    covering = cut_lineage(tiled.where(plain & centre & F.col("_id").isNotNull()).groupBy(*spot).agg(F.min("_id").alias("_cover")))
+    edged = tiled.where(~plain).join(covering, spot, "left").where("_cover IS NULL OR _id < _cover").drop("_cover")
+    tested = (
+        left.join(edged, spot).where(_holds(F.col("longitude"), F.col("latitude"))).groupBy(*POINT).agg(F.min("_id").alias("_tested"))
+    )
+    found = left.join(covering, spot, "left").join(tested, list(POINT), "left")
+    return found.select(*POINT, F.least("_cover", "_tested").alias("_inside")).where("_inside IS NOT NULL")
+
+
+def _holds(lon: Column, lat: Column) -> Column:
+    """Whether the polygon in ``_parts``, as its tile knows it, holds a place of that tile."""
 
     def inside(r: Column) -> Column:
         return geometry.in_ring(lon, lat, r["edges"], F.size(F.filter(r["above"], lambda y: y > lat)))
@@ -253,9 +283,7 @@ def containing(points: DataFrame, polygons: DataFrame, tile: float = 1.0) -> Dat
             rings, lambda r: (r["_ring"] > 0) & inside(r)
         )
 
-    near = left.join(_tiled(shapes.select("_pid", "geometry"), tile), ["_tile_row", "_tile_column"])
-    pairs = near.where(F.exists("_parts", holds)).select(*POINT, "_pid")
-    return pairs.join(shapes.drop("geometry"), "_pid").drop("_pid")
+    return F.exists("_parts", holds)
 
 
 def locate(
@@ -264,14 +292,10 @@ def locate(
     places: DataFrame,
     identity: str,
     max_km: float,
-    tile: float = 1.0,
+    tile: float = 0.5,
 ) -> DataFrame:
     """Polygon that holds the point (smallest identity), else the nearest place within reach."""
-    inside = (
-        containing(points, polygons.select(identity, "geometry"), tile)
-        .groupBy(*POINT)
-        .agg(F.min(identity).alias("_inside"))
-    )
+    inside = smallest_containing(points, polygons, identity, tile)
     distinct = cut_lineage(distinct_points(points).join(inside, list(POINT), "left"))
     open_points = distinct.where("_inside IS NULL").select(*POINT)
     near = nearest(open_points, places, identity, [], max_km).select(

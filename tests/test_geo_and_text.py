@@ -289,3 +289,18 @@ def test_page_fields(rows):
     assert (row.title, row.description) == ("A & B", "told")
     assert row.article_text == "This paragraph is long enough to be kept."
     assert "menu" not in row.clean_text and "x()" not in row.clean_text
+
+
+def test_a_tile_tests_only_polygons_below_the_one_that_covers_it(spark):
+    """Many squares over one place: all but the smallest identity and what is smaller are left out."""
+    from pyspark.sql import functions as F
+
+    from terravane.functions import geometry
+
+    x, y = F.lit(0.0) + F.col("i") * 0.001, F.lit(0.0)
+    square = geometry.ring_of((x, y), (x + 3, y), (x + 3, y + 3), (x, y + 3))
+    shapes = spark.range(300).select(F.col("id").alias("i")).select("i", F.array(F.array(square)).alias("geometry"))
+    points = spark.createDataFrame([(1.25, 1.25), (1.25, 0.0005), (1.25, 3.2), (9.0, 9.0), (1.25, 0.0)], "latitude double, longitude double")
+    found = geo.smallest_containing(points, shapes, "i", 0.5)
+    pairs = geo.containing(points, shapes).groupBy("latitude", "longitude").agg(F.min("i").alias("_inside"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pairs.collect())) and found.count() == 4
