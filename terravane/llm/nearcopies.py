@@ -4,12 +4,14 @@ Two texts are near-copies if the Jaccard similarity of their sets of five-word s
 or more; groups are the components of that relation.  Words are those of the SimHash operator: A-Z in
 lower case, cut at ASCII white space.  A text of fewer than five words is one shingle.
 
-Equal sets are first reduced to one node.  Nodes meet in the bands of a MinHash: 48 bands of 6
-minima, in which a pair of similarity 0.8 has no band in common with a probability of
+Equal sets are first reduced to one node.  Nodes meet in buckets of two kinds.  The components of the
+SimHash operator, found by its fingerprints and anchors, are the first.  Its three bits miss most pairs
+near 0.8, whose fingerprints differ in about ten bits, so the bands of a MinHash are the second: 48 bands
+of 6 minima, in which a pair of similarity 0.8 has no band in common with a probability of
 (1 - 0.8^6)^48 = 5e-7, and a more similar pair with less.  Every pair that counts is verified on the
 texts, so no document goes for a hash.  To keep a large group from making all its pairs, the members of
-a band's bucket first meet one of them.  Only in buckets that still hold several components do all
-members meet, in blocks of bounded size that give nothing but the links found.
+a bucket first meet one of them.  Only in buckets that still hold several components do all members
+meet, in blocks of bounded size that give nothing but the links found.
 
 Defined cases: texts without words are copies of each other and of nothing else; repeated rows and
 rows without an id are rows of their own.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from terravane.llm.common import fresh, written
-from terravane.llm.simhash import components
+from terravane.llm.simhash import components, fingerprint, links
 
 SHINGLE_WORDS, SEED, LEAST = 5, 42, 0.8
 BANDS, MINIMA = 48, 6
@@ -40,7 +42,11 @@ _DRAWN = np.random.Generator(np.random.PCG64(SEED))
 FACTORS = _DRAWN.integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WEIGHTS = _DRAWN.integers(0, 1 << 63, (BANDS, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MARKS = (
-    StructType().add("key", StringType()).add("size", LongType()).add("bands", ArrayType(LongType()))
+    StructType()
+    .add("key", StringType())
+    .add("size", LongType())
+    .add("bands", ArrayType(LongType()))
+    .add("print", LongType())
 )
 
 
@@ -77,6 +83,7 @@ def _marks_of(texts: pd.Series) -> pd.DataFrame:
             "key": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets],
             "size": np.array([len(s) for s in sets], dtype="int64"),
             "bands": [bands(s) for s in sets],
+            "print": np.array([fingerprint(text) for text in texts], dtype="int64"),
         }
     )
 
@@ -153,19 +160,47 @@ def _left_over(rest: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     )
 
     def meet(found: pa.Table) -> pa.Table:
-        links = np.zeros((0, 2), np.int64)
+        met = np.zeros((0, 2), np.int64)
         if found.num_rows > 1:
             nodes, labels = found.column("node").to_numpy(), found.column("label").to_numpy()
             sides = found.column("side").to_numpy(zero_copy_only=False).astype(bool)
             sets = [shingles(text) for text in found.column("text").to_pylist()]
-            links = np.sort(nodes[block_links(sets, labels, sides, least)].reshape(-1, 2), axis=1)
-        return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
+            met = np.sort(nodes[block_links(sets, labels, sides, least)].reshape(-1, 2), axis=1)
+        return pa.table({"a": pa.array(met[:, 0], pa.int64()), "b": pa.array(met[:, 1], pa.int64())})
 
     return dealt.groupBy("bucket", "low", "high").applyInArrow(meet, "a long, b long").distinct()
 
 
+def thinned(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the same components and the same nodes, in a number that follows the nodes'.
+
+    Every node is tied to its least neighbour, and a pair then only has to tie the least neighbours of
+    its ends: the many pairs of a dense group come down to a few distinct ones.
+    """
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("low")), "near")
+    low_b = near.select(F.col("a").alias("b"), F.col("low").alias("low_b"))
+    ends = pairs.join(near, "a").join(low_b, "b").where("low != low_b")
+    between = ends.select(F.least("low", "low_b").alias("a"), F.greatest("low", "low_b").alias("b"))
+    tied = near.where("low != a").select(F.col("low").alias("a"), F.col("a").alias("b"))
+    return written(tied.unionByName(between).distinct(), "thinned")
+
+
 def _labels(linked: DataFrame) -> DataFrame:
-    return components(linked).select(F.col("print").alias("node"), "label")
+    return components(thinned(linked)).select(F.col("print").alias("node"), "label")
+
+
+def with_classes(sets: DataFrame) -> DataFrame:
+    """(node, size, bands) of (node, size, bands, print): the SimHash component is one more bucket.
+
+    Nodes alone in their component have nobody to meet there and get none.
+    """
+    label = components(thinned(written(links(sets.select("print").distinct()), "prints")))
+    classed = sets.join(label, "print", "left").withColumn("label", F.coalesce("label", "print"))
+    many = written(classed.groupBy("label").count().where("count > 1").select("label"), "classes")
+    bucket = F.array(F.xxhash64(F.lit("simhash"), "label"))
+    met = classed.join(many.withColumn("met", F.lit(True)), "label", "left")
+    return met.select("node", "size", F.when(F.col("met"), F.concat("bands", bucket)).otherwise(F.col("bands")).alias("bands"))
 
 
 def groups(sets: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
@@ -224,9 +259,10 @@ def keep_one(documents: DataFrame, least: float = LEAST) -> DataFrame:
         "nodes",
     )
     sets = marked.select(
-        F.col(tag).alias("node"), F.col(f"{mark}.size").alias("size"), F.col(f"{mark}.bands").alias("bands")
+        F.col(tag).alias("node"), *[F.col(f"{mark}.{part}").alias(part) for part in ("size", "bands", "print")]
     ).join(nodes.select("node"), "node", "left_semi")
-    label = groups(written(sets, "sets"), marked.select(F.col(tag).alias("node"), text.alias("text")), least)
+    met = written(with_classes(written(sets, "sets")), "met")
+    label = groups(met, marked.select(F.col(tag).alias("node"), text.alias("text")), least)
     chosen = (
         nodes.join(label, "node", "left")
         .groupBy(F.coalesce("label", "node").alias("label"))

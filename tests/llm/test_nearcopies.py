@@ -93,5 +93,47 @@ def test_large_buckets_are_dealt_over_blocks(spark, monkeypatch):
     assert {tuple(r) for r in found.collect()} == {(n, c) for n, c in wanted.items() if n not in alone}
 
 
+def test_simhash_components_are_buckets(spark):
+    """Without any band, near-copies within three bits of each other still meet, and are verified on the texts."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(6)]
+    texts += [f"{t} end" for t in texts[:4]]
+    prints = [simhash.fingerprint(t) for t in texts]
+    within = {(i, i + 6) for i in range(4) if ((prints[i] ^ prints[i + 6]) & (2**64 - 1)).bit_count() <= 3}
+    assert within
+    # a component of two texts that have nothing in common but a fingerprint
+    prints[5] = prints[4]
+    rows = [(i, t, len(slow_shingles(t)), [], p) for i, (t, p) in enumerate(zip(texts, prints))]
+    frame = spark.createDataFrame(rows, "node long, text string, size long, bands array<long>, print long")
+    met = nearcopies.with_classes(frame.select("node", "size", "bands", "print"))
+    buckets = {r["node"]: r["bands"] for r in met.collect()}
+    assert len(buckets[4]) == 1 and buckets[4] == buckets[5]
+    assert all(buckets[a] == buckets[b] != [] for a, b in within)
+    found = nearcopies.groups(met, frame.select("node", "text"))
+    assert {tuple(r) for r in found.collect()} == {(n, a) for a, b in within for n in (a, b)}
+
+
+def test_thinned_pairs_keep_components(spark):
+    """A dense group comes down to one pair a node; chains and stars keep their components."""
+    dense = [(i, j) for i in range(60) for j in range(i + 1, 60)]
+    chain = [(100 + i, 101 + i) for i in range(40)]
+    star = [(300, 200 + i) for i in range(40)]
+    rng = random.Random(2)
+    loose = [tuple(rng.sample(range(400, 500), 2)) for _ in range(70)]
+    pairs = spark.createDataFrame(dense + chain + star + loose, "a long, b long")
+    nodes = {n for r in pairs.collect() for n in r}
+    links = {frozenset(r) for r in pairs.collect()}
+    thin = nearcopies.thinned(pairs)
+    assert thin.where("a < 60").count() == 59 and thin.count() <= 2 * len(nodes)
+    wanted = classes_of(nodes, lambda a, b: frozenset((a, b)) in links)
+    assert {tuple(r) for r in nearcopies._labels(pairs).collect()} == set(wanted.items())
+
+
+def test_marks_hold_the_fingerprint(spark):
+    frame = documents(spark, ["One two three four five six", "", None, "one two"])
+    found = frame.select("text", nearcopies._marks_of("text").alias("m")).collect()
+    assert [r["m"]["print"] for r in found] == [simhash.fingerprint(r["text"]) for r in found]
+
+
 def test_empty_table(spark):
     assert nearcopies.keep_one(documents(spark, [])).count() == 0
