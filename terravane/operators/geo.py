@@ -135,18 +135,49 @@ def closest_approach(
     max_km: float,
     order: Sequence[str],
 ) -> DataFrame:
-    """For each storm and place the track row nearest to the place, if within ``max_km``."""
+    """For each storm and place the track row nearest to the place, if within ``max_km``.
+
+    A storm's rows that reach a tile travel together, and a place lies in one tile, so a storm and a
+    place meet once and their closest row is known on the spot: no pair is shuffled, sorted or kept.
+    Only places with several coordinates and rows without a storm, which may be many, go by all pairs.
+    """
+    rest = [c for c in track.columns if c != storm]
     named = places.select(
         *place,
         F.col("latitude").alias("_place_lat"),
         F.col("longitude").alias("_place_lon"),
     )
-    rest = [c for c in track.columns if c != storm]
-    pairs = within(track, named, max_km)
-    best = pairs.groupBy(storm, *place).agg(
-        F.min_by(F.struct("distance_km", *rest), F.struct("distance_km", *order)).alias("_best")
+    lone = F.count(F.lit(1)).over(Window.partitionBy(*place)) == 1
+    named = named.withColumn("_lone", lone)
+    once, several = named.where("_lone").drop("_lone"), named.where(~F.col("_lone")).drop("_lone")
+    nameless = F.col(storm).isNull()
+
+    pairs = within(track, several, max_km).unionByName(within(track.where(nameless), once, max_km))
+    nearest_row = F.min_by(F.struct("distance_km", *rest), F.struct("distance_km", *order)).alias("_best")
+    best = pairs.groupBy(storm, *place).agg(nearest_row)
+
+    size, tile = max(max_km / grid.KM_PER_DEGREE, 0.05), ["_tile_row", "_tile_column"]
+    whole = track.where(~nameless).select(
+        storm,
+        F.col("latitude").alias("_place_lat"),
+        F.col("longitude").alias("_place_lon"),
+        F.struct(*rest).alias("_row"),
+    )
+    reach = _with_reach(whole, max_km, size).groupBy(*tile, storm).agg(F.collect_list("_row").alias("_rows"))
+    row = F.col("_tile_row")
+    tiled = once.withColumn("_tile_row", _row("_place_lat", size)).withColumn(
+        "_tile_column", F.pmod(_column(F.col("_place_lon"), row, size), _columns_in(row, size))
+    )
+
+    def met(point: Column) -> Column:
+        km = grid.haversine_km(point["latitude"], point["longitude"], F.col("_place_lat"), F.col("_place_lon"))
+        return F.struct(km.alias("distance_km"), *[point[c].alias(c) for c in order], point.alias("_row"))
+
+    closest = F.array_min(F.transform("_rows", met)).alias("_best")
+    streamed = reach.join(tiled, tile).select(storm, *place, closest).where(F.col("_best.distance_km") <= max_km)
+    return streamed.select(storm, *place, "_best.distance_km", *[f"_best._row.`{c}`" for c in rest]).unionByName(
+        best.select(storm, *place, "_best.*")
     )
-    return best.select(storm, *place, "_best.*")
 
 
 def strongest(values: dict[str, Column]) -> tuple[Column, Column]:

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from terravane.functions import geometry, text
+from terravane.functions import geometry, grid, text
 from terravane.operators import geo, groundtruth, textmatch, web
 
 
@@ -304,3 +304,20 @@ def test_a_tile_tests_only_polygons_below_the_one_that_covers_it(spark):
     found = geo.smallest_containing(points, shapes, "i", 0.5)
     pairs = geo.containing(points, shapes).groupBy("latitude", "longitude").agg(F.min("i").alias("_inside"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pairs.collect())) and found.count() == 4
+
+
+def test_closest_approach_keeps_no_pairs(spark, rows):
+    """Against all pairs, with a storm-less row, a place of two coordinates, a tie and a pole; single places meet a storm once."""
+    track = [(1, 10.0, 20.0, 1), (1, 10.5, 20.0, 2), (1, 9.5, 20.0, 3), (2, 10.2, 20.3, 4), (None, 10.0, 20.1, 5), (None, 10.4, 20.0, 6)]
+    track += [(3, 89.6, 170.0, 7), (3, 89.7, -60.0, 8), (4, 0.0, 179.9, 9), (5, None, 1.0, 10)]
+    places = [("a", 10.0, 20.2), ("b", 10.0, 20.0), ("c", 89.9, 10.0), ("d", 0.1, -179.8), ("e", 10.3, 20.1), ("e", 9.4, 20.0), ("f", None, 3.0)]
+    moves = rows("storm long, latitude double, longitude double, at long", *track)
+    spots = rows("place string, latitude double, longitude double", *places)
+    found = geo.closest_approach(moves, spots, "storm", ["place"], 110.0, ["at"])
+    everything = moves.crossJoin(spots.toDF("place", "la", "lo")).withColumn("km", grid.haversine_km("latitude", "longitude", "la", "lo"))
+    best = everything.where("km <= 110").groupBy("storm", "place").agg(F.min(F.struct("km", "at")).alias("b"))
+    wanted = {(r.storm, r.place, r.b["at"], round(r.b["km"], 6)) for r in best.collect()}
+    got = [(r.storm, r.place, r["at"], round(r["distance_km"], 6)) for r in found.collect()]
+    assert set(got) == wanted and len(got) == len(wanted) > 10
+    streamed = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Aggregate" not in streamed
