@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from terravane.functions import as_column
+from terravane.session import shuffle_width
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,12 @@ class SeriesKey:
         return Window.partitionBy(*self.cell, F.month(self.day))
 
 
+def dealt(frame: DataFrame, key: SeriesKey) -> DataFrame:
+    """Whole series dealt over at least eight tasks a core, each of which then sorts few rows at a time."""
+    spark = frame.sparkSession
+    return frame.repartition(max(shuffle_width(spark), 8 * spark.sparkContext.defaultParallelism), *key.cell)
+
+
 def _not_nan(value) -> Column:
     value = as_column(value).cast("double")
     return F.when(~F.isnan(value), value)

@@ -175,3 +175,13 @@ def test_heavy_rain_does_not_depend_on_the_order_of_readings(rows):
     given = [("a", v) for v in amounts] + [("b", 1e-9), ("b", None), ("c", None), ("d", float("inf")), ("d", 1.0)]
     found = rows("cell string, value double", *given).groupBy("cell").agg(exact_sum("value").alias("s"))
     assert {r["cell"]: r["s"] for r in found.collect()} == {"a": 150.0, "b": 1e-9, "c": None, "d": float("inf")}
+
+
+def test_proxy_labels_sort_twice_in_small_tasks(spark, rows):
+    from terravane.operators import labels
+
+    limits = labels.ProxyThresholds(50, 100, 10, 2, 5, 2, -1, 1, 20, 30)
+    frame = rows("station long, valid_date date, precipitation double, temperature double")
+    plan = labels.proxy_labels(frame, SeriesKey(("station",)), limits)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2 and plan.count("Exchange hashpartitioning") == 1
+    assert f", {8 * spark.sparkContext.defaultParallelism})" in plan
