@@ -124,3 +124,32 @@ def test_freshness_of_more_batches_than_spark_remembers(spark, rows, tmp_path):
     totals = found.agg(F.count("batch").alias("n"), F.sum("rows").alias("rows"), F.max("newest_us").alias("us")).first()
     assert totals["n"] >= 130 and totals["rows"] == 130
     assert totals["us"] == (datetime(2024, 1, 1) + timedelta(hours=129)).replace(tzinfo=timezone.utc).timestamp() * 1e6
+
+
+def test_running_series_asks_the_state_once(spark):
+    """Three calls to the state per cell in order, and columns that come out typed."""
+    import pandas as pd
+
+    calls, kept = [], {}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            def done(*given):
+                calls.append((self.name, call))
+                if call in ("update", "appendList"):
+                    kept[self.name] = given[0]
+                return kept.get(self.name)
+
+            return done
+
+    series = jobs.RunningSeries("day", "value", 5.0, 0.3)
+    series.last, series.days = State("last"), State("days")
+    for first in (1, 3):
+        part = pd.DataFrame({"day": [date(2024, 1, first), date(2024, 1, first + 1)], "value": [6.0, None]})
+        (frame,) = series.handleInputRows((7,), iter([part]), None)
+    assert calls == [("last", "get"), ("days", "appendList"), ("last", "update")] * 2
+    assert [str(t) for t in frame.dtypes[2:]] == ["float64", "int32", "float64", "int32"]
+    assert frame["wet_streak"].tolist() == [1, 0] and frame["revision"].tolist() == [2, 2]
