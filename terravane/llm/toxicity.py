@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from terravane.llm.common import fresh, table, written
-from terravane.llm.training import labelled_sample
+from terravane.llm.training import labelled_sample, pieces
 
 FOLDS, HELD_OUT, TOXIC_FROM = 3, 1, 0.7
 #: Labelled documents that the lexicon and the final weights are fitted on, at most.
@@ -226,8 +226,9 @@ def train(documents: DataFrame, labels: DataFrame, classes: Mapping[str, frozens
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("label"))
     )
-    drawn, counts = labelled_sample(documents, rated, [0, 1], [CLEAN_SAMPLE, TOXIC_SAMPLE])
-    sample = written(without_copies(drawn), "distinct-sample")
+    most = [CLEAN_SAMPLE, TOXIC_SAMPLE]
+    drawn, counts = labelled_sample(documents, rated, [0, 1], most)
+    sample = written(without_copies(drawn).coalesce(pieces(most)), "distinct-sample")
     found = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     clean, toxic = found.get(0, 0), found.get(1, 0)
     if not clean or not toxic:

@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 from terravane.llm.common import written
 
+#: Rows of a sample that a written piece holds, about.
+PIECE = 500
+
+
+def pieces(most: Sequence[int]) -> int:
+    """Files of a sample of at most ``most`` rows per label, however many shuffle partitions there are."""
+    return max(1, sum(most) // PIECE)
+
 
 def labelled_sample(
     documents: DataFrame, rated: DataFrame, values: Sequence[int], most: Sequence[int]
@@ -17,7 +25,8 @@ def labelled_sample(
 
     ``rated`` has one row (doc_id, label) per id.  Within a label the ids of smallest hash are
     taken, so the sample does not depend on order or partitioning.  The chosen ids, at most
-    ``sum(most)`` rows, are the only broadcast.
+    ``sum(most)`` rows, are the only broadcast.  The sample is written in a few files: each file
+    costs the executors processes of their own, which hundreds of almost empty ones would multiply.
     """
     counts = {r["label"]: r["count"] for r in rated.groupBy("label").count().collect() if r["label"] in values}
     parts = [
@@ -32,4 +41,4 @@ def labelled_sample(
     sample = slim.join(F.broadcast(chosen), slim["doc_id"] == chosen["chosen_id"])
     # an id given to several rows counts once
     sample = sample.groupBy("chosen_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
-    return written(sample.select("label", "text"), "sample"), counts
+    return written(sample.select("label", "text").coalesce(pieces(most)), "sample"), counts

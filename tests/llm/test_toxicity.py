@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from helpers import clashing, documents, hard_documents
 
-from terravane.llm import toxicity
+from terravane.llm import common, toxicity, training
 from terravane.llm.toxicity import GRAMMAR, KINDS, Lexicon, Transducer, compose, match
 
 LEXICON = Lexicon({"fool": 2.0, "grub-": 3.0})
@@ -107,6 +107,32 @@ def test_threats_quotations_and_negations_move_scores_though_no_label_shows_them
     assert empty < threat and plain >= 0.7 > max(quoted, negated)
 
 
+def test_a_sample_is_written_in_few_files_however_many_partitions_there_are(spark, monkeypatch):
+    frame, labels = corpus(spark, 300)
+    made = []
+
+    def noted(frame, label):
+        found = common.written(frame, label)
+        made.append((label, len(found.inputFiles()), found.count()))
+        return found
+
+    monkeypatch.setattr(training, "written", noted)
+    monkeypatch.setattr(toxicity, "written", noted)
+    few = 20
+    settings = {"spark.sql.shuffle.partitions": "80", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        toxicity.train(frame, labels)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    rows = labels.where(~toxicity.held_out()).count()
+    assert [label for label, _, _ in made] == ["chosen", "sample", "distinct-sample"]
+    assert made[1][2] == rows and all(files <= few for _, files, _ in made)
+
+
 def test_only_unseen_kinds_get_the_stated_shares():
     x = np.zeros((4, len(KINDS)))
     x[:, KINDS.index("plain")], x[0, KINDS.index("negated")] = 1, 1
