@@ -17,8 +17,8 @@ A block's postings are bounded by the block; a pair held by all documents has on
 
 Tokenizers.  Texts are cut before single spaces that stand between two plain letters or signs; both
 vocabularies start a token there, as the first splits at such a space and no piece of the second
-goes past one (checked when it is loaded).  Each distinct cut is encoded once per task and its
-alignment is kept, up to ``REMEMBERED`` cuts at a time.  Cuts of plain letters and signs get the first
+goes past one (checked when it is loaded).  The alignments of distinct cuts are kept as numbers in
+arrays; beyond ``REMEMBERED`` cuts only those met again stay.  Cuts of plain letters and signs get the first
 vocabulary's ids by rank, all others from the library of its file; tests hold both against whole texts.
 
 Defined cases: null and empty texts, and texts whose tokens do not spell them byte by byte, have no
@@ -60,8 +60,10 @@ REMEMBERED, LONGEST = 300_000, 64
 TOGETHER = 250
 #: Characters beside which a space is a safe place to cut: printable ASCII, Latin, Greek, Cyrillic.
 PLAIN = "!-~¡-ʯΑ-ωА-я"
-CUT = re.compile(f"(?<=[{PLAIN}])(?= [{PLAIN}])")
+CUT = re.compile(f" (?<=[{PLAIN}] )(?=[{PLAIN}])")
 COMMON = re.compile(f"[ \n{PLAIN}]*")
+#: Cuts that may stand in one text, parted by the spaces at which texts are cut.
+CHAINED = re.compile(f"[{PLAIN}](?:[ \n{PLAIN}]*[{PLAIN}])?")
 NOTHING = np.zeros(0, dtype=np.int64)
 
 
@@ -71,10 +73,59 @@ class Aligned(NamedTuple):
     first: int
     second: int
     groups: int
-    pairs: Sequence[int]
+    pairs: np.ndarray
     listing: str
 
 
+class _Kept:
+    """Alignments of cuts by number: tokens and groups, linked pairs one cut after the other, listings."""
+
+    def __init__(self):
+        self.firsts, self.seconds, self.groups, self.uses = (np.zeros(1024, dtype=np.int64) for _ in range(4))
+        self.starts, self.pairs = np.zeros(1025, dtype=np.int64), np.zeros(4096, dtype=np.int64)
+        self.listings: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self.listings)
+
+    def add(self, firsts: np.ndarray, seconds: np.ndarray, groups: np.ndarray, sizes: np.ndarray, pairs: np.ndarray, listings: list[str]) -> None:
+        old, new = len(self), len(self) + len(listings)
+        for name, values in (("firsts", firsts), ("seconds", seconds), ("groups", groups), ("uses", 0)):
+            setattr(self, name, _with(getattr(self, name), old, new, values))
+        start = int(self.starts[old])
+        self.starts = _with(self.starts, old + 1, new + 1, start + np.cumsum(sizes))
+        self.pairs = _with(self.pairs, start, start + len(pairs), pairs)
+        self.listings += listings
+
+    def cut(self, size: int) -> None:
+        """Forget all but the first ``size``."""
+        del self.listings[size:]
+
+    def pairs_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of the cuts, one cut after the other, and how many each has."""
+        starts, sizes = self.starts[numbers], self.starts[numbers + 1] - self.starts[numbers]
+        ends = np.cumsum(sizes)
+        return self.pairs[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+    def only(self, numbers: np.ndarray) -> _Kept:
+        """The alignments of these numbers, numbered anew."""
+        found = _Kept()
+        pairs, sizes = self.pairs_of(numbers)
+        found.add(
+            self.firsts[numbers], self.seconds[numbers], self.groups[numbers], sizes, pairs,
+            [self.listings[i] for i in numbers.tolist()],
+        )
+        return found
+
+
+def _with(array: np.ndarray, start: int, end: int, values) -> np.ndarray:
+    """The array with values from start to end, longer if it must be."""
+    if end > len(array):
+        array = np.concatenate([array, np.zeros(max(end - len(array), len(array) // 2), dtype=array.dtype)])
+    array[start:end] = values
+    return array
+
+
 def _texts_of(size: int, mark: str) -> np.ndarray:
     """For each id the texts ``id,`` and ``id`` with the mark that closes its side of a group."""
     return np.array([f"{i}{end}" for i in range(size) for end in (",", mark)], dtype=object)
@@ -107,86 +158,170 @@ class Aligner:
         self.first_sizes[list(self.first_bytes)] = [len(part) for part in self.first_bytes.values()]
         self.second_sizes = np.array([len(part) for part in self.second_bytes], dtype=np.int64)
         self.first_texts, self.second_texts = _texts_of(len(self.first_sizes), "|"), _texts_of(len(pieces), ";")
-        self.separable = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.known: dict[str, Aligned | None] = {}
-
-    def _spelled(self, text: str, a: Sequence[int], b: Sequence[int]) -> bool:
-        """Whether the tokens of either side are the text's bytes."""
-        return all(
-            b"".join([parts[i] for i in ids]) == text.encode() for parts, ids in ((self.first_bytes, a), (self.second_bytes, b))
+        self.first_widths, self.second_widths = (
+            np.array([len(t) for t in texts], dtype=np.int64) for texts in (self.first_texts, self.second_texts)
         )
-
-    def _weave(self, texts: list[str], firsts: list[list[int]], seconds: list[list[int]]) -> list[Aligned]:
-        """Alignments of spelled texts, all at once: their bytes stand one after the other."""
-        sizes = np.array([len(t.encode()) for t in texts])
-        a, b = (np.fromiter(itertools.chain.from_iterable(side), dtype=np.int64) for side in (firsts, seconds))
+        self.separable = not any("▁" in p.lstrip("▁") for p in pieces)
+        # numbers of the kept alignments by cut; below 0 where the bytes do not come back
+        self.known: dict[str, int] = {}
+        self.kept = _Kept()
+
+    def _first_ids(self, chained: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the first vocabulary, cut after cut, and how many each cut has."""
+        found, counts = NOTHING, NOTHING
+        if chained:
+            found = np.array(self.ranked(" " + " ".join(chained)), dtype=np.int64)
+            ends, close = np.cumsum(self.first_sizes[found]), _closes(chained)[1]
+            through = np.searchsorted(ends, close, "right")
+            counts = np.diff(through, prepend=0)
+            if not counts.all() or (ends[through - 1] != close).any():
+                # some token goes past a cut's end
+                found, counts = _flat([self.ranked(" " + t) for t in chained])
+        far = [t for t in others if not COMMON.fullmatch(t)]
+        ids = {t: e.ids for t, e in zip(far, self.first.encode_batch_fast([" " + t for t in far], add_special_tokens=False))}
+        rest, sizes = _flat([ids[t] if t in ids else self.ranked(" " + t) for t in others])
+        return np.concatenate([found, rest]), np.concatenate([counts, sizes])
+
+    def _aligned(self, cuts: list[str]) -> tuple[list[str], np.ndarray, tuple]:
+        """The cuts in an order of their own, which of them are spelled, and what ``_Kept.add`` takes of those."""
+        chained, others = [], []
+        for cut in cuts:
+            (chained if CHAINED.fullmatch(cut) else others).append(cut)
+        cuts = chained + others
+        a, n_a = self._first_ids(chained, others)
+        b, n_b = _flat(self.second.encode(cuts, num_threads=1))
+        text, close = _closes(cuts)
+        right = _spelling(text, close, a, n_a, self.first_sizes, self.first_bytes)
+        right &= _spelling(text, close, b, n_b, self.second_sizes, self.second_bytes)
+        if not right.all():
+            a, b = a[np.repeat(right, n_a)], b[np.repeat(right, n_b)]
+            n_a, n_b, close = n_a[right], n_b[right], np.cumsum(np.diff(close, prepend=0)[right])
+        return cuts, right, self._weave(close, a, n_a, b, n_b)
+
+    def _weave(self, close: np.ndarray, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple:
+        """Alignments of spelled cuts, all at once: their bytes stand one after the other up to ``close``."""
         a_ends, b_ends = np.cumsum(self.first_sizes[a]), np.cumsum(self.second_sizes[b])
         # every stretch between two ends of either side lies in one token of each: a link
-        ends, both = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends, assume_unique=True)
-        pairs = (a[np.searchsorted(a_ends, ends)] << 32 | b[np.searchsorted(b_ends, ends)]).tolist()
+        ends = np.concatenate([a_ends, b_ends])
+        ends.sort(kind="stable")
+        twice = ends[1:] == ends[:-1]
+        both, ends = ends[1:][twice], ends[np.concatenate([np.ones(min(1, len(ends)), dtype=bool), ~twice])]
+        pairs = a[np.searchsorted(a_ends, ends)] << 32 | b[np.searchsorted(b_ends, ends)]
         # tokens in the order of the listing: of each group the first side's, then the second's
         a_group, b_group = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
-        listing = np.empty(len(a) + len(b), dtype=object)
-        listing[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = self.first_texts[2 * a + (both[a_group] == a_ends)]
-        listing[np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")] = self.second_texts[
-            2 * b + (both[b_group] == b_ends)
-        ]
-        listing = listing.tolist()
-        close = np.cumsum(sizes)
-        to_pair = np.searchsorted(ends, close, "right").tolist()
-        groups = np.diff(np.searchsorted(both, close, "right"), prepend=0).tolist()
-        found, pair, token = [], 0, 0
-        for n_a, n_b, n_groups, last in zip(map(len, firsts), map(len, seconds), groups, to_pair):
-            shown = "".join(listing[token : token + n_a + n_b])[:-1]
-            found.append(Aligned(n_a, n_b, n_groups, tuple(pairs[pair:last]), shown))
-            token, pair = token + n_a + n_b, last
-        return found
-
-    def _encoded(self, texts: list[str]) -> list[Aligned | None]:
-        """Alignments of texts that begin with a space; None where the bytes do not come back."""
-        if not texts:
-            return []
-        others = [t for t in texts if not COMMON.fullmatch(t)]
-        ids = {t: e.ids for t, e in zip(others, self.first.encode_batch_fast(others, add_special_tokens=False))}
-        firsts = [ids[t] if t in ids else self.ranked(t) for t in texts]
-        seconds = self.second.encode([t[1:] for t in texts], num_threads=1)
-        right = [i for i, of_text in enumerate(zip(texts, firsts, seconds)) if self._spelled(*of_text)]
-        found: list[Aligned | None] = [None] * len(texts)
-        if right:
-            woven = self._weave(*([side[i] for i in right] for side in (texts, firsts, seconds)))
-            for i, aligned in zip(right, woven):
-                found[i] = aligned
-        return found
+        a_place = np.arange(len(a)) + np.searchsorted(b_group, a_group)
+        b_place = np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")
+        a_text, b_text = 2 * a + (both[a_group] == a_ends), 2 * b + (both[b_group] == b_ends)
+        listing, widths = np.empty(len(a) + len(b), dtype=object), np.empty(len(a) + len(b), dtype=np.int64)
+        listing[a_place], widths[a_place] = self.first_texts[a_text], self.first_widths[a_text]
+        listing[b_place], widths[b_place] = self.second_texts[b_text], self.second_widths[b_text]
+        shown, stops = "".join(listing.tolist()), np.cumsum(widths)[np.cumsum(n_a + n_b) - 1].tolist()
+        sizes, groups = (np.diff(np.searchsorted(x, close, "right"), prepend=0) for x in (ends, both))
+        # without the mark that closes the last group
+        listings = [shown[start : stop - 1] for start, stop in zip([0, *stops], stops)]
+        return n_a, n_b, groups, sizes, pairs, listings
+
+    def _learn(self, cuts: list[str]) -> None:
+        if cuts:
+            cuts, right, found = self._aligned(cuts)
+            numbers = np.where(right, len(self.kept) + np.cumsum(right) - 1, -1)
+            self.kept.add(*found)
+            self.known.update(zip(cuts, numbers.tolist()))
+
+    def _forget(self) -> None:
+        """Keep the cuts that were met again, the most frequent ones if those are many."""
+        uses = self.kept.uses[: len(self.kept)]
+        least = max(2, int(np.partition(uses, -REMEMBERED // 2)[-REMEMBERED // 2]) + 1)
+        stay = np.flatnonzero(uses >= least)
+        number = np.full(len(uses), -1)
+        number[stay] = np.arange(len(stay))
+        numbers = number.tolist()
+        self.known = {cut: numbers[i] for cut, i in self.known.items() if i >= 0 and numbers[i] >= 0}
+        self.kept = self.kept.only(stay)
 
     def align(self, texts: Sequence[str | None]) -> list[Aligned | None]:
         """The alignment of each text; None where it has no tokens."""
-        spaced = [" " + t if t else None for t in texts]
-        cuts = [(CUT.split(t) if self.separable else [t]) if t else [] for t in spaced]
+        cuts = [(CUT.split(t) if self.separable else [t]) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list(set(itertools.chain.from_iterable(cuts)).difference(known))
-        known.update(zip(new, self._encoded(new)))
-        found = [self._joined([known[c] for c in parts]) for parts in cuts]
+            if len(self.kept) > REMEMBERED:
+                self._forget()
+            else:
+                self.known, self.kept = {}, _Kept()
+        every = list(itertools.chain.from_iterable(cuts))
+        new = set(every).difference(self.known)
+        long = [cut for cut in new if len(cut) > LONGEST]
+        self._learn([cut for cut in new if len(cut) <= LONGEST] if long else list(new))
+        brief = len(self.kept)
+        self._learn(long)
+        numbers = list(map(self.known.__getitem__, every))
+        found = self._joined(numbers, np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts)))
+        for cut in long:
+            del self.known[cut]
+        self.kept.cut(brief)
         for i, parts in enumerate(cuts):
             if found[i] is None and len(parts) > 1:
                 # some cut did not spell its text: the whole text decides
-                found[i] = self._encoded([spaced[i]])[0]
-        for cut in new:
-            if len(cut) > LONGEST:
-                del known[cut]
+                _, right, whole = self._aligned([texts[i]])
+                if right[0]:
+                    n_a, n_b, groups, _, pairs, (listing,) = whole
+                    found[i] = Aligned(int(n_a[0]), int(n_b[0]), int(groups[0]), pairs, listing)
         return found
 
-    @staticmethod
-    def _joined(parts: list[Aligned | None]) -> Aligned | None:
-        if not parts or None in parts:
-            return None
-        if len(parts) == 1:
-            return parts[0]
-        firsts, seconds, groups, pairs, listings = zip(*parts)
-        return Aligned(
-            sum(firsts), sum(seconds), sum(groups), list(itertools.chain.from_iterable(pairs)), ";".join(listings)
-        )
+    def _joined(self, numbers: list[int], sizes: np.ndarray) -> list[Aligned | None]:
+        """Alignments of texts of so many cuts each, of the cuts' numbers; None with a cut that is not spelled."""
+        kept, at = self.kept, np.array(numbers, dtype=np.int64)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        spelled = at >= 0
+        ok = (sizes > 0) & (np.diff(_summed(~spelled)[bounds]) == 0)
+        kept.uses += np.bincount(at[spelled], minlength=len(kept.uses))
+        at[~spelled] = 0
+        if not ok.any():
+            return [None] * len(sizes)
+        firsts, seconds, groups = (np.diff(_summed(x[at])[bounds]).tolist() for x in (kept.firsts, kept.seconds, kept.groups))
+        pairs, links = kept.pairs_of(at)
+        stops, bounds = _summed(links)[bounds].tolist(), bounds.tolist()
+        listings = kept.listings
+        return [
+            Aligned(
+                firsts[i], seconds[i], groups[i], pairs[stops[i] : stops[i + 1]],
+                ";".join([listings[n] for n in numbers[bounds[i] : bounds[i + 1]]]),
+            )
+            if good
+            else None
+            for i, good in enumerate(ok.tolist())
+        ]
+
+
+def _summed(values: np.ndarray) -> np.ndarray:
+    """Sums of all values before each place and after the last."""
+    return np.concatenate([[0], np.cumsum(values)])
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The members of all lists, and the lists' sizes."""
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int64, count=int(sizes.sum())), sizes
+
+
+def _closes(cuts: list[str]) -> tuple[bytes, np.ndarray]:
+    """The bytes of the cuts, a space before each, and where each cut's bytes end."""
+    text = (" " + " ".join(cuts)).encode()
+    close = np.cumsum(np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts)) + 1)
+    if close[-1] < len(text):
+        begins = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) & 0xC0 != 0x80)
+        close = np.append(begins, len(text))[close]
+    return text, close
+
+
+def _spelling(text: bytes, close: np.ndarray, ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, parts) -> np.ndarray:
+    """Which cuts of the text, by their ends, the tokens of a side spell byte by byte."""
+    spelled = b"".join([parts[i] for i in ids.tolist()])
+    if spelled == text:
+        return np.diff(close, prepend=0) == np.diff(_summed(sizes[ids])[np.cumsum(counts)], prepend=0)
+    ends = _summed(sizes[ids])[np.cumsum(counts)]
+    right = np.diff(close, prepend=0) == np.diff(ends, prepend=0)
+    spans = zip([0, *close.tolist()], close.tolist(), [0, *ends.tolist()], ends.tolist())
+    return right & np.array([text[i:j] == spelled[k:m] for i, j, k, m in spans], dtype=bool)
 
 
 @functools.lru_cache(maxsize=2)
@@ -202,8 +337,10 @@ def planes(pair: np.ndarray, doc: np.ndarray, count: np.ndarray) -> list[tuple]:
 
     Sparse entries are document + BLOCK x plane; planes above 15 go to a further row with base 16 and so on.
     """
-    order = np.lexsort((doc, pair))
-    pair, doc, count = pair[order], doc[order], count[order]
+    later = np.diff(pair)
+    if ((later < 0) | (later == 0) & (np.diff(doc) < 0)).any():
+        order = np.lexsort((doc, pair))
+        pair, doc, count = pair[order], doc[order], count[order]
     starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else NOTHING
     which = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pair)]))
     keys, entries = [], []
@@ -225,7 +362,8 @@ def planes(pair: np.ndarray, doc: np.ndarray, count: np.ndarray) -> list[tuple]:
     tails = np.r_[heads[1:], len(first)]
     sizes = ends - first
     # documents: popcount of a pair's planes merged by OR; links: popcounts of the planes by weight
-    merged = np.unique(key // 64 * BLOCK + entry)
+    merged = np.sort(key // 64 * BLOCK + entry)
+    merged = merged[np.r_[True, merged[1:] != merged[:-1]]]
     docs = np.bincount(merged // BLOCK, minlength=len(starts))
     by_pair = np.flatnonzero(np.r_[True, np.diff(key[first] // 64) > 0])
     links = np.add.reduceat(sizes << key[first] % 64, by_pair)
@@ -256,6 +394,23 @@ def planes(pair: np.ndarray, doc: np.ndarray, count: np.ndarray) -> list[tuple]:
     return rows
 
 
+def tallied(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, doc, count), in this order, of the pairs of a block's documents by place."""
+    pairs = np.concatenate(found) if found else NOTHING
+    if not len(pairs):
+        return NOTHING, NOTHING, NOTHING
+    first, second = pairs >> 32, pairs & (1 << 32) - 1
+    low, place = int(second.max()).bit_length(), BLOCK.bit_length() - 1
+    if int(first.max()).bit_length() + low + place > 63:
+        raise ValueError("the vocabularies have too many ids")
+    key = (first << low | second) << place | np.repeat(np.arange(len(found)), [len(f) for f in found])
+    key.sort()
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count, key = np.diff(starts, append=len(key)), key[starts]
+    number = key >> place
+    return number >> low << 32 | number & (1 << low) - 1, key & BLOCK - 1, count
+
+
 def returned(size: int, base, count, best, sparse, marks, dense) -> tuple[np.ndarray, np.ndarray]:
     """Sums over a block's postings, per document: count x links, and links of the best pairs."""
     sums, tops = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
@@ -304,7 +459,7 @@ class _Block:
 
     def __init__(self, number: int):
         self.number, self.rows, self.chars = number, [], 0
-        self.pairs, self.docs, self.counts = [], [], []
+        self.pairs: list[np.ndarray] = []
 
     def add(self, doc_id: int | None, text: str | None, found: Aligned | None) -> None:
         place = len(self.rows)
@@ -314,10 +469,7 @@ class _Block:
                 n_a=found.first, n_b=found.second, n_groups=found.groups, n_links=len(found.pairs),
                 groups_sha256=hashlib.sha256(found.listing.encode()).hexdigest(),
             )
-            pairs, counts = np.unique(np.array(found.pairs, dtype=np.int64), return_counts=True)
-            self.pairs.append(pairs)
-            self.counts.append(counts)
-            self.docs.append(np.full(len(pairs), place))
+        self.pairs.append(NOTHING if found is None else found.pairs)
         self.rows.append(row)
         self.chars += len(text or "")
 
@@ -326,9 +478,8 @@ class _Block:
 
     def close(self) -> Iterator[pa.RecordBatch]:
         yield from _batches(self.rows)
-        joined = [np.concatenate(part) if part else NOTHING for part in (self.pairs, self.docs, self.counts)]
         names = ("pair", "base", "docs", "links", "sparse", "marks", "dense")
-        made = planes(*joined)
+        made = planes(*tallied(self.pairs))
         for start in range(0, len(made), BATCH):
             yield from _batches(
                 [dict(zip(names, r), kind=POSTING, block=self.number) for r in made[start : start + BATCH]]

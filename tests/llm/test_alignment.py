@@ -108,6 +108,28 @@ def test_cut_texts_have_the_ids_of_whole_texts(tools):
             assert [x for s in sides for x in s[1].split(",")] == [str(i) for i, _ in b]
 
 
+def test_cuts_met_again_are_encoded_once(tools, monkeypatch):
+    """Many cuts that are met once do not push out those that every text holds."""
+    monkeypatch.setattr(alignment, "REMEMBERED", 100)
+    tool = alignment.Aligner(*map(public_tokenizers.path, (alignment.FIRST, alignment.SECOND)))
+    asked, second = Counter(), tool.second
+
+    class Noted:
+        def encode(self, cuts, **settings):
+            asked.update(cut.strip() for cut in cuts)
+            return second.encode(cuts, **settings)
+
+    monkeypatch.setattr(tool, "second", Noted())
+    for n in range(12):
+        texts = [f"common words and w{n}x{i} naïve" for i in range(40)]
+        for text, found in zip(texts, tool.align(texts)):
+            a, b = tokens(tools, text)
+            assert (found.first, found.second) == (len(a), len(b))
+            sides = [part.split("|") for part in found.listing.split(";")]
+            assert [x for s in sides for x in s[0].split(",")] == [str(i) for i, _ in a]
+    assert len(asked) == 4 + 12 * 40 and set(asked.values()) == {1}
+
+
 def test_bitmaps_return_what_was_put_in():
     """Sparse and dense planes, and links beyond 2**16 in one document."""
     rng = np.random.default_rng(2)
