@@ -116,8 +116,9 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     home = prints.select(F.col("print").alias("a"), F.explode(homes).alias("anchor"))
     visit = prints.select(F.col("print").alias("b"), F.explode(visits).alias("anchor"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+    # sized by the prints alone, the up to 32 visits of each would be broadcast whole
     met = home.join(
-        visit, (home["anchor"] == visit["anchor"]) & (F.col("a") < F.col("b")) & near
+        visit.hint("merge"), (home["anchor"] == visit["anchor"]) & (F.col("a") < F.col("b")) & near
     )
     return met.select("a", "b")
 

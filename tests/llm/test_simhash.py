@@ -3,6 +3,7 @@ import re
 
 import xxhash
 from helpers import classes_of, clashing, documents, hard_documents, rows_of
+from pyspark.sql import functions as F
 
 from terravane.llm import simhash
 
@@ -57,6 +58,14 @@ def test_links_lose_and_add_nothing(spark):
     assert {tuple(r) for r in simhash.links(frame).collect()} == wanted
 
 
+def test_visits_are_not_broadcast(spark):
+    """Their size is estimated before they are replicated, so a small table of prints tells nothing of it."""
+    found = simhash.links(spark.range(0, 3000, 1000).select(F.col("id").alias("print")))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_every_split_of_three_bits_meets(spark):
     """Differences of every weight in either half, bits 31 and 63 included."""
     rng, pairs = random.Random(8), []
