@@ -238,7 +238,7 @@ def _tiled(polygons: DataFrame, size: float) -> DataFrame:
     first = edges.groupBy(*ring).agg(F.min("_west").alias("_first"))
     beyond = (
         uneven(ends.withColumn("_y", height), "_west")
-        .join(first, ring)
+        .join(first.hint("merge"), ring)
         .where("_west > _first")
         .withColumn("_tile_column", F.explode(F.sequence(F.col("_first"), F.col("_west") - 1)))
     )
@@ -274,9 +274,11 @@ def containing(points: DataFrame, polygons: DataFrame, tile: float = 1.0) -> Dat
     )
     # numbered once and for all: equal rows are polygons of their own
     shapes = cut_lineage(polygons.withColumn("_pid", F.monotonically_increasing_id()))
-    near = left.join(_tiled(shapes.select("_pid", "geometry"), tile), ["_tile_row", "_tile_column"])
-    pairs = near.where(_holds(F.col("longitude"), F.col("latitude"))).select(*POINT, "_pid")
-    return pairs.join(shapes.drop("geometry"), "_pid").drop("_pid")
+    names = shapes.drop("geometry").select("_pid", F.struct("*").alias("_shape"))
+    # sized by the polygons' table alone, tiles would be broadcast whole
+    tiled = _tiled(shapes.select("_pid", "geometry"), tile).join(names.hint("merge"), "_pid")
+    near = left.join(tiled.hint("merge"), ["_tile_row", "_tile_column"])
+    return near.where(_holds(F.col("longitude"), F.col("latitude"))).select(*POINT, "_shape.*").drop("_pid")
 
 
 def smallest_containing(points: DataFrame, polygons: DataFrame, identity: str, tile: float) -> DataFrame:

@@ -148,7 +148,7 @@ def nearest_cell_series(t):
 def point_in_polygon(t):
     p = points(t)
     pairs = geo.containing(p, polygons(t).select("district_id", "geometry"))
-    return p.join(pairs, ["latitude", "longitude"]).select("point_id", "district_id")
+    return p.hint("merge").join(pairs, ["latitude", "longitude"]).select("point_id", "district_id")
 
 
 @query(

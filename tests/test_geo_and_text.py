@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import geometry, grid, text
 from terravane.operators import geo, groundtruth, textmatch, web
+from terravane.plans import catalogue
 
 
 def square(x, y, side):
@@ -321,3 +322,22 @@ def test_closest_approach_keeps_no_pairs(spark, rows):
     assert set(got) == wanted and len(got) == len(wanted) > 10
     streamed = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
     assert "Aggregate" not in streamed
+
+
+def test_points_and_tiles_are_not_broadcast(spark, tmp_path):
+    """Small files tell nothing of the size that tiles of polygons and rows of coordinates have."""
+    customers = spark.range(1, 301).selectExpr("id c_custkey", "double(id) c_acctbal", "'x' c_mktsegment")
+    suppliers = spark.range(1, 41).selectExpr("id s_suppkey", "id % 5 s_nationkey", "'n' || id s_name", "double(id) s_acctbal")
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    suppliers.write.parquet(f"{tmp_path}/supplier.parquet")
+    found = catalogue()["point_in_polygon"](spark, str(tmp_path))
+    wanted = []
+    for i in range(1, 301):
+        y, x = i * 7919 % 3203 * 0.015625 - 20.0, i * 104729 % 3187 * 0.015625 + 60.0
+        for k in range(1, 41):
+            v, u = y - (k * 37 % 800 * 0.0625 - 20.0), x - (k * 53 % 797 * 0.0625 + 60.0)
+            shape = (0 <= u <= 2 and 0 <= v <= 1) or (0 <= u <= 1 and 0 <= v <= 2)
+            if shape and not (0.25 <= u <= 0.75 and 0.25 <= v <= 0.75):
+                wanted.append((i, k))
+    assert wanted and sorted(tuple(r) for r in found.collect()) == wanted
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
